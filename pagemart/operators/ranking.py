@@ -55,4 +55,6 @@ def best_value(frame: DataFrame, n: int = 15, suffix: str = "...") -> DataFrame:
 
 def sample_books(frame: DataFrame, n: int = 500, seed: int = 0) -> DataFrame:
     """n rows picked by a seeded hash of the whole row, all rows when there are fewer."""
-    return frame.orderBy(F.xxhash64(F.lit(seed), *frame.columns), *frame.columns).limit(n)
+    texts = [F.col(c).cast("string") for c in frame.columns]
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), *texts))
+    return frame.orderBy(draw, *[F.col(c).asc_nulls_first() for c in frame.columns]).limit(n)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemart.functions.numbers import round_half_even
-from pagemart.plans.lookup import share_of_total
+from pagemart.plans.lookup import local_rows, share_of_total
 from pagemart.plans.order_statistics import exact_percentiles
 from pagemart.schema import PRICE_BINS
 
@@ -90,11 +90,8 @@ def stock_share(frame: DataFrame) -> DataFrame:
 
 def price_range_counts(frame: DataFrame) -> DataFrame:
     """Books per price bin in bin order; empty bins count 0, prices outside are left out."""
-    spark = frame.sparkSession
-    bins = spark.createDataFrame(
-        [(place, name) for place, (_, _, name) in enumerate(PRICE_BINS)],
-        "place int, price_range string",
-    )
+    labels = [name for _, _, name in PRICE_BINS]
+    bins = local_rows(frame.sparkSession, place=list(range(len(labels))), price_range=labels)
     counts = frame.where(F.col("price_range").isNotNull()).groupBy("price_range").count()
     return (
         bins.join(counts, "price_range", "left")

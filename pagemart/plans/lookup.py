@@ -7,7 +7,8 @@ few lookup rows are measured and broadcast instead.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemart.session import shared_folder
@@ -17,6 +18,11 @@ SMALL_BYTES = 32 * 1024 * 1024
 HOT_SHARE = 0.01
 
 
+def local_rows(spark: SparkSession, **columns: list) -> DataFrame:
+    """A few rows that the optimizer knows the size of."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 def held_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame | None:
     """The frame as local rows if it is within the bound, else None."""
     rows = df.limit(max_rows + 1).toArrow()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemart.plans.lookup import local_rows
 from pagemart.session import shared_folder
 
 _ROW_BITS = 33
@@ -22,11 +24,14 @@ def with_serial_ids(
     placed = df.sort(*order).checkpoint().withColumn("_at", F.monotonically_increasing_id())
     part = F.shiftrightunsigned("_at", _ROW_BITS).cast("int")
     counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).collect()
-    bases, total = [], 0
+    parts, bases, total = [], [], 0
     for row in sorted(counts, key=lambda r: r["_part"]):
-        bases.append((row["_part"], start + total))
+        parts.append(row["_part"])
+        bases.append(start + total)
         total += row["n"]
-    lookup = df.sparkSession.createDataFrame(bases, "_part int, _base bigint")
+    lookup = local_rows(
+        df.sparkSession, _part=pa.array(parts, pa.int32()), _base=pa.array(bases, pa.int64())
+    )
     offset = F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     numbered = (
         placed.withColumn("_part", part)
