@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemart.functions.numbers import bin_index
@@ -72,38 +72,36 @@ def box_by(frame: DataFrame, value: str, key: str, **sizes) -> DataFrame:
 def correlation_matrix(frame: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson r per column pair over the rows where both are set, as (x, y, r).
 
-    One aggregate computes all pairs. A constant column has no r. Columns without values
+    Each row turns into one row per pair, which the partial aggregate takes back at once, so
+    the shuffle carries one row per pair and task. A constant column has no r. Columns without values
     are left out, and with fewer than two columns left there is no row.
     """
     columns = [c for c in columns if c in frame.columns]
-    values = frame.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    pairs = [(x, y) for i, x in enumerate(columns) for y in columns[i:]]
-    wanted = [F.count(c).alias(f"n_{i}") for i, c in enumerate(columns)]
-    for place, (x, y) in enumerate(pairs):
-        both = F.col(x).isNotNull() & F.col(y).isNotNull()
-        left, right = F.when(both, F.col(x)), F.when(both, F.col(y))
-        spread = F.stddev_samp(left) * F.stddev_samp(right)
-        wanted.append((F.covar_samp(left, right) / F.nullif(spread, F.lit(0.0))).alias(f"r_{place}"))
-    cells = []
-    for place, (x, y) in enumerate(pairs):
-        known = (F.col(f"n_{columns.index(x)}") > 0) & (F.col(f"n_{columns.index(y)}") > 0)
-        for a, b in {(x, y), (y, x)}:
-            cells.append(
-                F.struct(
-                    F.lit(a).alias("x"),
-                    F.lit(b).alias("y"),
-                    F.col(f"r_{place}").alias("r"),
-                    known.alias("known"),
-                )
-            )
-    usable = sum((F.col(f"n_{i}") > 0).cast("int") for i in range(len(columns)))
-    return (
-        values.agg(*wanted)
-        .where(usable >= 2)
-        .select(F.inline(F.array(*cells)))
-        .where("known")
-        .drop("known")
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
+    values = frame.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("v"))
+    first, second = F.get("v", F.col("i")), F.get("v", F.col("j"))
+    a, b = F.when(F.col("b").isNotNull(), F.col("a")), F.when(F.col("a").isNotNull(), F.col("b"))
+    spread = F.nullif(F.stddev_samp(a) * F.stddev_samp(b), F.lit(0.0))
+    names = F.array(*[F.lit(c) for c in columns])
+    cells = (
+        values.select("v", F.inline(places))
+        .select("i", "j", first.alias("a"), second.alias("b"))
+        .groupBy("i", "j")
+        .agg(
+            F.count("a").alias("n_x"),
+            F.count("b").alias("n_y"),
+            (F.covar_samp("a", "b") / spread).alias("r"),
+        )
+        .select(F.get(names, "i").alias("x"), F.get(names, "j").alias("y"), "n_x", "n_y", "r")
+    )
+    # From here on one row per column pair.
+    usable = F.count_if((F.col("x") == F.col("y")) & (F.col("n_x") > 0))
+    cells = cells.withColumn("usable", usable.over(Window.partitionBy())).where(
+        "usable >= 2 AND n_x > 0 AND n_y > 0"
     )
+    mirrored = cells.where("x <> y").select(F.col("y").alias("x"), F.col("x").alias("y"), "r")
+    return cells.select("x", "y", "r").unionByName(mirrored)
 
 
 def price_rating_ols(frame: DataFrame, on: str = "all", seed: int = 0) -> DataFrame:

@@ -10,14 +10,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemart.functions import text as X
+from pagemart.operators import html_fields
 from pagemart.operators.enrich import UNKNOWN
 from pagemart.operators.html_fields import PageSpec, Rule, Step, page_records
-from pagemart.schema import DETAIL, LISTING
+from pagemart.schema import LISTING
+
+# The tasks need this one module; it travels with the job instead of being installed.
+cloudpickle.register_pickle_by_value(html_fields)
 
 _LINK = (Step("h3"), Step("a"))
 
@@ -101,6 +106,17 @@ def _spark_schema(layout: pa.Schema) -> T.StructType:
     return T.StructType([T.StructField(f.name, kinds[f.type]) for f in layout])
 
 
+# The product table keys that become columns.
+PRODUCT_KEYS = [
+    "upc",
+    "product_type",
+    "price_excl_tax",
+    "price_incl_tax",
+    "tax",
+    "number_of_reviews",
+]
+
+
 def extract_listing(
     pages: DataFrame,
     base_url: str,
@@ -169,11 +185,18 @@ def extract_detail(
             lambda p: F.struct(X.normalize_key(p["key"]).alias("key"), p["value"].alias("value")),
         ),
     )
+    known = PRODUCT_KEYS + (["availability"] if with_availability else [])
+    has_src = F.coalesce(F.col("image_src"), F.lit("")) != ""
+    # Asked of the raw texts, so that the typed columns are computed once.
+    found = (
+        F.coalesce("page_error", "crumbs", "description").isNotNull()
+        | has_src
+        | F.coalesce(F.exists("pairs", lambda p: p["key"].isin(known)), F.lit(False))
+    )
     prices = ["price_excl_tax", "price_incl_tax", "tax"]
-    texts = raw.withColumns(
+    texts = raw.where(found).withColumns(
         {f"_{k}": _last_value(k) for k in ["upc", "product_type", "number_of_reviews", *prices]}
     )
-    has_src = F.coalesce(F.col("image_src"), F.lit("")) != ""
     columns = {
         "category": F.when(F.col("crumbs").cast("int") >= 3, X.strip(F.col("category"))).when(
             F.col("crumbs").isNotNull(), F.lit(UNKNOWN)
@@ -198,10 +221,9 @@ def extract_detail(
     error = F.when(F.col("page_error").isNotNull(), F.concat(F.lit("page: "), "page_error")).when(
         malformed, F.lit("malformed price")
     )
-    rows = texts.select(
+    return texts.select(
         "page_id", "url", *[c.alias(n) for n, c in columns.items()], error.alias("error")
     )
-    return rows.where(F.coalesce("error", *[F.col(n).cast("string") for n in columns]).isNotNull())
 
 
 def product_table(pages: DataFrame, spec: PageSpec = DETAIL_SPEC) -> DataFrame:
@@ -215,17 +237,6 @@ def product_table(pages: DataFrame, spec: PageSpec = DETAIL_SPEC) -> DataFrame:
     )
 
 
-# The product table keys that become columns.
-PRODUCT_KEYS = [
-    "upc",
-    "product_type",
-    "price_excl_tax",
-    "price_incl_tax",
-    "tax",
-    "number_of_reviews",
-]
-
-
 def pivot_product(lines: DataFrame) -> DataFrame:
     """(page_id, line, key, value) rows to one typed row per page; the last of a key wins."""
     wide = (
@@ -277,6 +288,3 @@ def union_listings(*listings: DataFrame) -> DataFrame:
     for listing in rest:
         whole = whole.unionByName(listing)
     return whole
-
-
-DETAIL_COLUMNS = [f for f in DETAIL.fieldNames() if f != "url"]

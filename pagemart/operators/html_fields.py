@@ -49,6 +49,10 @@ class PageElements(HTMLParser):
         for place in self._open:
             self.ends[place] = len(self.tags)
 
+    def updatepos(self, i, j):
+        """Line numbers are not wanted."""
+        return j
+
     def _add(self, tag, value):
         self.tags.append(tag)
         self.values.append(value)

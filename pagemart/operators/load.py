@@ -8,6 +8,7 @@ batch the first record of a UPC wins; records without a UPC are always added; th
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,17 +37,26 @@ class LoadPlan:
         )
 
 
-def reject_reason(extra_columns: list[str]) -> Column:
-    """First rule a record breaks, NULL for a valid one."""
-    checks = [(F.col(c).isNull(), f"{c} is missing") for c in ("title", "price")]
-    checks += [
-        (F.length(c) > longest, f"{c} is longer than {longest}")
+def _rules(unknown: list[str]) -> list[tuple[Column, str]]:
+    """(condition that a valid record meets, text if it does not), in order."""
+    rules = [(F.col(c).isNotNull(), f"{c} is missing") for c in ("title", "price")]
+    rules += [
+        (F.coalesce(F.length(c) <= longest, F.lit(True)), f"{c} is longer than {longest}")
         for c, longest in MAX_LENGTH.items()
     ]
-    checks += [(F.col(c).isNotNull(), f"unknown field {c}") for c in extra_columns]
+    return rules + [(F.col(c).isNull(), f"unknown field {c}") for c in unknown]
+
+
+def is_valid(unknown: list[str]) -> Column:
+    """All rules as one conjunction of plain conditions, which the scan can take over."""
+    return reduce(Column.__and__, [met for met, _ in _rules(unknown)])
+
+
+def reject_reason(unknown: list[str]) -> Column:
+    """First rule a record breaks, NULL for a valid one."""
     reason = F.lit(None).cast("string")
-    for broken, text in reversed(checks):
-        reason = F.when(broken, F.lit(text)).otherwise(reason)
+    for met, text in reversed(_rules(unknown)):
+        reason = F.when(~met, F.lit(text)).otherwise(reason)
     return reason
 
 
@@ -75,8 +85,8 @@ def plan_load(
     aside = [c for c in order if c not in RECORD.fieldNames()]
     records = as_records(batch.withColumns(dict(zip(places, map(F.col, order)))).drop(*aside))
     unknown = [c for c in records.columns if c not in RECORD.fieldNames() + places]
-    checked = records.withColumn("reason", reject_reason(unknown))
-    valid = checked.where(F.col("reason").isNull()).drop("reason", *unknown)
+    valid = records.where(is_valid(unknown)).drop(*unknown)
+    rejected = records.where(~is_valid(unknown)).withColumn("reason", reject_reason(unknown))
     without_key = valid.where(F.col("upc").isNull())
     with_key = valid.where(F.col("upc").isNotNull())
     first = first_per_key(with_key, "upc", [F.col(c) for c in places])
@@ -84,7 +94,9 @@ def plan_load(
     new = first.join(known, "upc", "left_anti").select(valid.columns)
     return LoadPlan(
         accepted=new.unionByName(without_key),
-        rejected=checked.where(F.col("reason").isNotNull()).drop(*places),
-        counts=checked.agg(F.count("*").alias("records"), F.count("reason").alias("rejected")),
+        rejected=rejected.drop(*places),
+        counts=records.agg(
+            F.count("*").alias("records"), F.count_if(~is_valid(unknown)).alias("rejected")
+        ),
         places=places,
     )

@@ -218,15 +218,30 @@ category_index AS (
 
 _BATCH = """
 batch AS (
-  SELECT upc,
-         CASE WHEN availability = 'Out of stock' AND rating = 5 THEN repeat(title, 60)
-              WHEN availability = 'Out of stock' AND rating = 4 THEN NULL ELSE title END AS title,
-         CASE WHEN price <= 100 THEN price END AS price,
-         availability, rating,
-         CASE WHEN availability = 'In stock' AND rating = 3 THEN repeat(category, 20)
-              ELSE category END AS category,
-         url, price_excl_tax, price_incl_tax, tax, number_of_reviews, scraped_at
-  FROM books
+  SELECT CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linenumber = 6 THEN ''
+              ELSE CAST(l_orderkey * 10 + l_linenumber AS VARCHAR) END AS upc,
+         CASE WHEN l_returnflag = 'R' AND l_linenumber = 5
+                THEN repeat(concat(p_name, ' ', p_type), 60)
+              WHEN l_returnflag = 'R' AND l_linenumber = 4 THEN NULL
+              ELSE concat(p_name, ' ', p_type) END AS title,
+         CASE WHEN l_extendedprice <= 100000 THEN l_extendedprice / 1000 END AS price,
+         CASE WHEN l_linestatus = 'O'
+                THEN concat('In stock (', CAST(CAST(l_quantity AS INT) AS VARCHAR), ' available)')
+              WHEN l_returnflag = 'N' THEN NULL
+              WHEN l_returnflag = 'A' THEN 'In stock'
+              ELSE 'Out of stock' END AS availability,
+         CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linenumber = 6 THEN 0
+              ELSE l_linenumber END AS rating,
+         CASE WHEN l_returnflag = 'A' AND l_linenumber = 3
+                THEN repeat(NULLIF(p_brand, 'Brand#1'), 20)
+              ELSE NULLIF(p_brand, 'Brand#1') END AS category,
+         concat('https://shop.example/catalogue/', CAST(p_partkey AS VARCHAR), '/index.html') AS url,
+         l_extendedprice / 1000 AS price_excl_tax,
+         l_extendedprice / 1000 * (1 + l_tax) AS price_incl_tax,
+         l_extendedprice / 1000 * l_tax AS tax,
+         0 AS number_of_reviews,
+         l_shipdate AS scraped_at
+  FROM lineitem JOIN part ON l_partkey = p_partkey
 ),
 checked AS (
   SELECT *, CASE WHEN title IS NULL THEN 'title is missing'

@@ -23,34 +23,33 @@ def local_rows(spark: SparkSession, **columns: list) -> DataFrame:
     return spark.createDataFrame(pa.table(columns))
 
 
+def small_rows(df: DataFrame, max_rows: int = SMALL_ROWS) -> pa.Table | None:
+    """The rows if they are within the bound, else None."""
+    rows = df.limit(max_rows + 1).toArrow()
+    return None if rows.num_rows > max_rows or rows.nbytes > SMALL_BYTES else rows
+
+
 def held_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame | None:
     """The frame as local rows if it is within the bound, else None."""
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows or rows.nbytes > SMALL_BYTES:
-        return None
-    return df.sparkSession.createDataFrame(rows, schema=df.schema)
+    rows = small_rows(df, max_rows)
+    return None if rows is None else df.sparkSession.createDataFrame(rows, schema=df.schema)
 
 
-def held(df: DataFrame) -> tuple[DataFrame, bool]:
-    """Cut the lineage: local rows when small (True), else a reliable checkpoint (False)."""
-    small = held_if_small(df)
-    if small is not None:
-        return small, True
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(), False
+    return df.checkpoint()
 
 
 def first_per_key(df: DataFrame, key: str, order: list[Column] | None = None) -> DataFrame:
     """One row per key: the smallest by `order`, then by every column.
 
-    A plain aggregate, so copies of a key are reduced before the shuffle; a key that holds
-    a third of the rows costs each task one row.
+    Spark turns row_number = 1 into a group limit that already runs before the shuffle, so a
+    key that holds a third of the rows sends one row per task.
     """
-    rank = [c.alias(f"_o{i}") for i, c in enumerate(order or [])]
-    columns = [c for c in df.columns if c != key]
-    best = F.min(F.struct(*rank, *columns)).alias("_best")
-    picked = df.groupBy(key).agg(best)
-    return picked.select(*[key if c == key else F.col(f"_best.{c}").alias(c) for c in df.columns])
+    ties = [F.col(c).asc_nulls_first() for c in df.columns if c != key]
+    by = Window.partitionBy(key).orderBy(*(order or []), *ties)
+    return df.withColumn("_place", F.row_number().over(by)).where("_place = 1").drop("_place")
 
 
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, fraction: float = 0.01) -> list:

@@ -11,13 +11,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemart.plans.lookup import held
+from pagemart.plans.lookup import checkpointed, small_rows
 
-SMALL_GROUP = 1_000_000
-BINS = 1024
+SMALL_GROUP = 100_000
+BINS = 4096
 
 
 def exact_percentiles(
@@ -29,56 +30,43 @@ def exact_percentiles(
     small_group: int = SMALL_GROUP,
     bins: int = BINS,
 ) -> DataFrame:
-    """One row per group with the linearly interpolated percentiles, keys not null."""
+    """One row per group with the linearly interpolated percentiles; null keys have none."""
     keys = list(by or [])
     names = names or [f"p{i}" for i in range(len(probabilities))]
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     for key in keys:
         rows = rows.where(F.col(key).isNotNull())
-    extent, small = held(
-        rows.groupBy(*keys).agg(
-            F.count("*").alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-        )
+    extent = rows.groupBy(*keys).agg(
+        F.count("*").alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
-    largest = extent.agg(F.max("_m").alias("m")).first()["m"] or 0
-    if largest <= small_group:
-        wanted = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probabilities]))
-        picked = rows.groupBy(*keys).agg(wanted.alias("_p"))
-        return picked.select(*keys, *[F.col("_p")[i].alias(n) for i, n in enumerate(names)])
-    return _by_narrowing(rows, extent, small, keys, probabilities, names, bins)
-
-
-def _by_narrowing(rows, extent, small, keys, probabilities, names, bins):
     wanted = F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))
     place = (F.col("_m") - 1) * F.col("_p")
-    # A target: rank _k and the next one lie between _lo and _hi, with _below rows under _lo.
-    targets = (
-        extent.where(F.col("_m") > 0)
-        .withColumn("_p", wanted)
-        .withColumn("_k", F.floor(place))
-        .withColumn("_part", place - F.floor(place))
-        .withColumn("_below", F.lit(0).cast("bigint"))
+    # A target: ranks _k and _k + 1 lie between _lo and _hi, with _below rows under _lo; the
+    # percentile is the _part between their values.
+    targets = extent.where(F.col("_m") > 0).withColumn("_p", wanted)
+    targets = targets.select(
+        *keys,
+        "_m",
+        "_p",
+        F.floor(place).alias("_k"),
+        (place - F.floor(place)).alias("_part"),
+        F.lit(0).cast("bigint").alias("_below"),
+        "_lo",
+        "_hi",
+        (F.col("_lo") < F.col("_hi")).alias("_open"),
     )
+    state = _State(targets)
+    if state.largest() <= small_group:
+        percentile = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probabilities]))
+        picked = rows.groupBy(*keys).agg(percentile.alias("_p"))
+        return picked.select(*keys, *[F.col("_p")[i].alias(n) for i, n in enumerate(names)])
     done = []
     while True:
-        same = F.col("_lo") == F.col("_hi")
-        done.append(_settled(targets.where(same), keys, F.col("_lo"), F.col("_hi")))
-        targets = targets.where(~same)
-        if targets.isEmpty():
+        value_at = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")
+        done.append(state.frame.where("NOT _open").select(*keys, "_p", value_at.alias("_value")))
+        if not state.any_open():
             break
-        located, small = held(_locate(rows, targets, small, keys, bins))
-        done.append(
-            _settled(located.where("_split"), keys, F.col("_bin_hi"), F.col("_next_lo"))
-        )
-        targets = located.where("NOT _split").select(
-            *keys,
-            "_p",
-            "_k",
-            "_part",
-            (F.col("_below") + F.col("_before")).alias("_below"),
-            F.col("_bin_lo").alias("_lo"),
-            F.col("_bin_hi").alias("_hi"),
-        )
+        state = _State(_narrowed(rows, state, keys, bins))
     found = reduce(DataFrame.unionByName, done)
     return found.groupBy(*keys).agg(
         *[
@@ -88,28 +76,48 @@ def _by_narrowing(rows, extent, small, keys, probabilities, names, bins):
     )
 
 
-def _settled(targets, keys, low, high):
-    value = low + (high - low) * F.col("_part")
-    return targets.select(*keys, "_p", value.alias("_value"))
+class _State:
+    """The targets between two rounds: local rows when few, a checkpoint when many."""
+
+    def __init__(self, targets: DataFrame):
+        self.rows = small_rows(targets)
+        if self.rows is None:
+            self.frame = checkpointed(targets)
+        else:
+            self.frame = targets.sparkSession.createDataFrame(self.rows, schema=targets.schema)
+
+    def largest(self) -> int:
+        if self.rows is None:
+            return self.frame.agg(F.max("_m").alias("m")).first()["m"]
+        return pc.max(self.rows["_m"]).as_py() or 0
+
+    def any_open(self) -> bool:
+        if self.rows is None:
+            return not self.frame.where("_open").isEmpty()
+        return bool(pc.any(self.rows["_open"]).as_py())
 
 
-def _locate(rows, targets, small, keys, bins):
-    """Histogram the open intervals and find the bin of each target's rank."""
-    spans = targets.groupBy(*keys).agg(F.collect_set(F.struct("_lo", "_hi")).alias("_spans"))
+def _inside(rows: DataFrame, state: _State, keys: list[str]) -> DataFrame:
+    """Each value once per open interval that it lies in."""
     if keys:
-        # At most one interval per probability and group; broadcast only if measured small.
-        inside = rows.join(F.broadcast(spans) if small else spans, keys)
+        spans = state.frame.where("_open").select(*keys, "_lo", "_hi").distinct()
+        # At most one interval per probability and group, and broadcast only if measured.
+        within = rows.join(spans if state.rows is None else F.broadcast(spans), keys)
     else:
-        inside = rows.withColumn("_spans", spans.select("_spans").scalar())
-    hits = F.filter("_spans", lambda s: F.col("_v").between(s["_lo"], s["_hi"]))
-    inside = inside.select(*keys, "_v", F.explode(hits).alias("_s")).select(
-        *keys, "_v", F.col("_s._lo").alias("_lo"), F.col("_s._hi").alias("_hi")
-    )
+        limits = {(r["_lo"], r["_hi"]) for r in state.rows.to_pylist() if r["_open"]}
+        spans = [F.struct(F.lit(a).alias("_lo"), F.lit(b).alias("_hi")) for a, b in sorted(limits)]
+        within = rows.select("_v", F.inline(F.array(*spans)))
+    return within.where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+
+
+def _narrowed(rows: DataFrame, state: _State, keys: list[str], bins: int) -> DataFrame:
+    """Histogram the open intervals and put each target into the bin of its rank."""
     # Halving first keeps the width finite for the widest doubles.
     width = F.col("_hi") / 2 - F.col("_lo") / 2
     spot = F.floor((F.col("_v") / 2 - F.col("_lo") / 2) / width * bins)
     histogram = (
-        inside.withColumn("_bin", F.least(spot, F.lit(bins - 1)).cast("int"))
+        _inside(rows, state, keys)
+        .withColumn("_bin", F.least(spot, F.lit(bins - 1)).cast("int"))
         .groupBy(*keys, "_lo", "_hi", "_bin")
         .agg(
             F.count("*").alias("_n"),
@@ -123,19 +131,24 @@ def _locate(rows, targets, small, keys, bins):
         "_upto", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))
     ).withColumn("_next_lo", F.lead("_bin_lo").over(order))
     rank = F.col("_k") - F.col("_below")
-    found = targets.join(histogram, [*keys, "_lo", "_hi"]).where(
+    found = state.frame.where("_open").join(histogram, [*keys, "_lo", "_hi"]).where(
         (rank >= F.col("_upto") - F.col("_n")) & (rank < F.col("_upto"))
     )
-    last_of_bin = rank + 1 == F.col("_upto")
+    # The rank is the last of its bin: its value and the next one are known.
+    split = (rank + 1 == F.col("_upto")) & F.col("_next_lo").isNotNull()
+    low = F.when(split, F.col("_bin_hi")).otherwise(F.col("_bin_lo"))
+    high = F.when(split, F.col("_next_lo")).otherwise(F.col("_bin_hi"))
+    # The highest rank of all has no next one.
+    last = (rank + 1 == F.col("_upto")) & F.col("_next_lo").isNull()
+    low = F.when(last, F.col("_bin_hi")).otherwise(low)
     return found.select(
         *keys,
+        "_m",
         "_p",
         "_k",
         "_part",
-        "_below",
-        (F.col("_upto") - F.col("_n")).alias("_before"),
-        "_bin_lo",
-        "_bin_hi",
-        F.coalesce("_next_lo", "_bin_hi").alias("_next_lo"),
-        (last_of_bin & ((F.col("_part") == 0) | F.col("_next_lo").isNotNull())).alias("_split"),
+        (F.col("_below") + F.col("_upto") - F.col("_n")).alias("_below"),
+        low.alias("_lo"),
+        high.alias("_hi"),
+        (~split & (low < high)).alias("_open"),
     )

@@ -15,8 +15,8 @@ BASE_URL = "https://shop.example/"
 
 _BOOKS = """
 SELECT l_orderkey * 10 + l_linenumber AS id,
-       concat(p_name, ' ', p_type) AS title,
-       l_extendedprice / 1000 AS price,
+       {title} AS title,
+       {price} AS price,
        CASE WHEN l_linestatus = 'O'
               THEN concat('In stock (', CAST(CAST(l_quantity AS INT) AS STRING), ' available)')
             WHEN l_returnflag = 'N' THEN NULL
@@ -24,7 +24,7 @@ SELECT l_orderkey * 10 + l_linenumber AS id,
             ELSE 'Out of stock' END AS availability,
        CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linenumber = 6 THEN 0
             ELSE l_linenumber END AS rating,
-       NULLIF(p_brand, 'Brand#1') AS category,
+       {category} AS category,
        concat('https://shop.example/catalogue/', CAST(p_partkey AS STRING), '/index.html') AS url,
        CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linenumber = 6 THEN ''
             ELSE CAST(l_orderkey * 10 + l_linenumber AS STRING) END AS upc,
@@ -34,9 +34,25 @@ SELECT l_orderkey * 10 + l_linenumber AS id,
        0 AS number_of_reviews,
        l_shipdate AS scraped_at,
        l_shipdate AS created_at
-FROM {lineitem} JOIN {part} ON l_partkey = p_partkey
+FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey
 """
 
+_PLAIN = {
+    "title": "concat(p_name, ' ', p_type)",
+    "price": "l_extendedprice / 1000",
+    "category": "NULLIF(p_brand, 'Brand#1')",
+}
+_FAULTY = {
+    "title": """CASE WHEN l_returnflag = 'R' AND l_linenumber = 5
+              THEN repeat(concat(p_name, ' ', p_type), 60)
+            WHEN l_returnflag = 'R' AND l_linenumber = 4 THEN NULL
+            ELSE concat(p_name, ' ', p_type) END""",
+    "price": "CASE WHEN l_extendedprice <= 100000 THEN l_extendedprice / 1000 END",
+    "category": """CASE WHEN l_returnflag = 'A' AND l_linenumber = 3
+              THEN repeat(NULLIF(p_brand, 'Brand#1'), 20)
+            ELSE NULLIF(p_brand, 'Brand#1') END""",
+}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -45,25 +61,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def books(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
     """One book per order line; ids repeat, categories, ratings and UPCs have gaps."""
     lines = table(spark, sf_dir, "lineitem") if lineitem is None else lineitem
-    return spark.sql(_BOOKS, lineitem=lines, part=table(spark, sf_dir, "part"))
+    return spark.sql(_BOOKS.format(**_PLAIN), lineitem=lines, part=table(spark, sf_dir, "part"))
 
 
 def load_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The books as a load batch, some of them without price or title or with long texts."""
-    out = F.col("availability") == "Out of stock"
-    bare = F.col("availability") == "In stock"
-    title = F.when(out & (F.col("rating") == 5), F.repeat("title", F.lit(60))).when(
-        out & (F.col("rating") == 4), F.lit(None)
-    )
-    return books(spark, sf_dir).withColumns(
-        {
-            "title": F.when(out & F.col("rating").isin(4, 5), title).otherwise(F.col("title")),
-            "price": F.when(F.col("price") <= 100, F.col("price")),
-            "category": F.when(
-                bare & (F.col("rating") == 3), F.repeat("category", F.lit(20))
-            ).otherwise(F.col("category")),
-        }
-    ).drop("id", "created_at")
+    lines = spread(table(spark, sf_dir, "lineitem"))
+    rows = spark.sql(_BOOKS.format(**_FAULTY), lineitem=lines, part=table(spark, sf_dir, "part"))
+    return rows.drop("id", "created_at")
 
 
 def load_target(spark: SparkSession, sf_dir: str) -> DataFrame:
