@@ -19,8 +19,10 @@ def enrich_listing(
     A book without detail keeps its row. Several details of one url: the first by `order`.
     """
     columns = [c for c in _DETAIL_COLUMNS + ["availability"] if c in detail.columns]
-    one = first_per_key(detail.select("url", *columns), "url", order)
-    one = one.withColumnsRenamed({c: f"_{c}" for c in columns})
+    places = [c.alias(f"_place_{i}") for i, c in enumerate(order or [])]
+    by = [F.col(f"_place_{i}") for i in range(len(places))]
+    one = first_per_key(detail.select("url", *columns, *places), "url", by)
+    one = one.select("url", *[F.col(c).alias(f"_{c}") for c in columns])
     joined = lookup_join(listing, one, "url", **sizes)
     values = {
         c: F.coalesce(f"_{c}", c) if c in listing.columns else F.col(f"_{c}") for c in columns

@@ -63,7 +63,13 @@ BOOKS = _struct(
 )
 
 # What a record may carry into a load: every column but the ones the table fills in.
-RECORD = T.StructType([f for f in BOOKS if f.name not in ("id", "created_at", "updated_at")])
+RECORD = T.StructType(
+    [
+        T.StructField(f.name, f.dataType)
+        for f in BOOKS
+        if f.name not in ("id", "created_at", "updated_at")
+    ]
+)
 
 API_COLUMNS = ["id", "title", "price", "availability", "rating", "category", "url"]
 EXPLORER_COLUMNS = ["title", "price", "rating", "category", "availability", "upc", "url"]

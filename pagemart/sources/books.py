@@ -66,13 +66,16 @@ class BooksTable:
         self.create()
 
     def read(self) -> DataFrame:
+        """The table as it is now, with what other sessions have added."""
+        self.spark.catalog.refreshTable(self.name)
         return self.spark.table(self.name)
 
     def load(self, batch: DataFrame, order: list[str] | None = None) -> LoadResult:
         """Append what the load rules accept. Running the same load again is safe for
         records with a UPC; records without one are added each time."""
-        plan = plan_load(batch, self.read(), order)
-        start = self.read().agg(F.max("id").alias("m")).first()["m"] or 0
+        target = self.read()
+        plan = plan_load(batch, target, order)
+        start = target.agg(F.max("id").alias("m")).first()["m"] or 0
         by = [F.col(c).asc_nulls_first() for c in plan.places + RECORD.fieldNames()]
         numbered, inserted = with_serial_ids(plan.accepted, start, by)
         now = F.current_timestamp().cast("timestamp_ntz")
