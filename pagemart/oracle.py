@@ -480,7 +480,7 @@ FROM frame GROUP BY category ORDER BY total DESC, category LIMIT 15"""),
     "avg_price_by_rating": _f("""
 SELECT rating, round(avg(price), 6) AS avg_price FROM frame WHERE rating IS NOT NULL GROUP BY rating"""),
     "price_center": _f(
-        "SELECT round(avg(price), 6) AS mean_price, round(median(price), 6) AS median_price FROM frame"
+        "SELECT round(avg(price), 8) AS mean_price, round(median(price), 8) AS median_price FROM frame"
     ),
     "price_histogram": _histogram("price", 50),
     "price_histogram_30": _histogram("price", 30),
@@ -491,18 +491,18 @@ SELECT rating, round(avg(price), 6) AS avg_price FROM frame WHERE rating IS NOT
          quantile_cont(price, 0.75) AS q3
   FROM frame WHERE rating IS NOT NULL GROUP BY rating
 )
-SELECT f.rating, round(any_value(q1), 6) AS q1, round(any_value(median), 6) AS median,
-       round(any_value(q3), 6) AS q3, count(*) AS n,
-       round(min(price), 6) AS lowest, round(max(price), 6) AS highest,
-       round(min(price) FILTER (price BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)), 6)
+SELECT f.rating, round(any_value(q1), 8) AS q1, round(any_value(median), 8) AS median,
+       round(any_value(q3), 8) AS q3, count(*) AS n,
+       round(min(price), 8) AS lowest, round(max(price), 8) AS highest,
+       round(min(price) FILTER (price BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)), 8)
          AS lower_whisker,
-       round(max(price) FILTER (price BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)), 6)
+       round(max(price) FILTER (price BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)), 8)
          AS upper_whisker,
        count(*) FILTER (NOT price BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS outliers
 FROM frame f JOIN q ON f.rating = q.rating GROUP BY f.rating"""),
     "price_quantiles": _f("""
-SELECT category, round(quantile_cont(price, 0.1), 6) AS p10, round(quantile_cont(price, 0.5), 6) AS p50,
-       round(quantile_cont(price, 0.9), 6) AS p90
+SELECT category, round(quantile_cont(price, 0.1), 8) AS p10, round(quantile_cont(price, 0.5), 8) AS p50,
+       round(quantile_cont(price, 0.9), 8) AS p90
 FROM frame GROUP BY category"""),
     "correlation_matrix": _correlation(),
     "price_rating_ols": _f("""

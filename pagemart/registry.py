@@ -23,9 +23,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 BASE = derived.BASE_URL
 
 
-def _rounded(frame: DataFrame, *columns: str) -> DataFrame:
+def _rounded(frame: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     """Six decimals: sums of doubles depend on the order of addition beyond that."""
-    return frame.withColumns({c: F.round(c, 6) for c in columns})
+    return frame.withColumns({c: F.round(c, digits) for c in columns})
 
 
 def _on_books(report: Callable[[DataFrame], DataFrame], *round_columns: str) -> Query:
@@ -35,9 +35,12 @@ def _on_books(report: Callable[[DataFrame], DataFrame], *round_columns: str) ->
     return query
 
 
-def _on_frame(report: Callable[[DataFrame], DataFrame], *round_columns: str) -> Query:
+def _on_frame(
+    report: Callable[[DataFrame], DataFrame], *round_columns: str, digits: int = 6
+) -> Query:
     def query(spark, sf_dir):
-        return _rounded(report(enriched(derived.books(spark, sf_dir))), *round_columns)
+        frame = enriched(derived.books(spark, sf_dir))
+        return _rounded(report(frame), *round_columns, digits=digits)
 
     return query
 
@@ -200,12 +203,16 @@ def _lenient_types(spark, sf_dir):
 
 
 def _price_quantiles(spark, sf_dir):
-    """Percentiles per category by histogram narrowing, whatever the size."""
+    """Percentiles per category by histogram narrowing, whatever the size.
+
+    Prices have five decimals, so percentiles at quarters and tenths have up to seven: eight
+    keep them off a rounding tie.
+    """
     frame = enriched(derived.books(spark, sf_dir))
     found = exact_percentiles(
         frame, "price", [0.1, 0.5, 0.9], ["category"], ["p10", "p50", "p90"], small_group=0
     )
-    return _rounded(found, "p10", "p50", "p90")
+    return _rounded(found, "p10", "p50", "p90", digits=8)
 
 
 def _stream_daily(spark, sf_dir):
@@ -305,7 +312,7 @@ QUERIES: dict[str, Query] = {
     "category_stats": _on_frame(summaries.category_stats),
     "category_stock": _on_frame(summaries.category_stock),
     "avg_price_by_rating": _on_frame(summaries.avg_price_by_rating, "avg_price"),
-    "price_center": _on_frame(summaries.price_center, "mean_price", "median_price"),
+    "price_center": _on_frame(summaries.price_center, "mean_price", "median_price", digits=8),
     # Distributions
     "price_histogram": _on_frame(lambda f: distributions.histogram(f, "price", 50)),
     "price_histogram_30": _on_frame(lambda f: distributions.histogram(f, "price", 30)),
@@ -313,6 +320,7 @@ QUERIES: dict[str, Query] = {
     "price_box_by_rating": _on_frame(
         lambda f: distributions.box_by(f, "price", "rating"),
         *["q1", "median", "q3", "lowest", "highest", "lower_whisker", "upper_whisker"],
+        digits=8,
     ),
     "price_quantiles": _price_quantiles,
     "correlation_matrix": _on_frame(
