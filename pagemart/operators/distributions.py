@@ -2,40 +2,41 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemart.functions.numbers import bin_index
 from pagemart.operators.ranking import sample_books
-from pagemart.plans.lookup import held_if_small
+from pagemart.plans.lookup import held_if_small, local_rows
 from pagemart.plans.order_statistics import exact_percentiles
 
 
 def histogram(frame: DataFrame, column: str, bins: int) -> DataFrame:
     """Rows per equal-width bin between the lowest and the highest value, empty bins too.
 
+    The two limits are read first, then the bins are counted in a second scan of the column.
     A column with a single value has one bin, an empty column none.
     """
     values = frame.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    limits = values.agg(F.min("v").alias("low"), F.max("v").alias("high"))
-    low, high = limits.select("low").scalar(), limits.select("high").scalar()
-    counts = values.groupBy(bin_index(F.col("v"), low, high, bins).alias("bin")).count()
-    step = F.col("bin") - 1
-    width = (F.col("high") - F.col("low")) / float(bins)
-    edges = (
-        limits.where(F.col("low").isNotNull())
-        .withColumn("last", F.when(F.col("low") == F.col("high"), 1).otherwise(bins))
-        .select("low", "high", "last", F.explode(F.sequence(F.lit(1), F.col("last"))).alias("bin"))
-        .select(
-            "bin",
-            (F.col("low") + step * width).alias("bin_low"),
-            F.when(F.col("bin") == F.col("last"), F.col("high"))
-            .otherwise(F.col("low") + F.col("bin") * width)
-            .alias("bin_high"),
-        )
+    low, high = values.agg(F.min("v"), F.max("v")).first()
+    if low is None:
+        places = []
+    else:
+        places = list(range(1, (1 if low == high else bins) + 1))
+    width = 0.0 if low is None else (high - low) / bins
+    edges = local_rows(
+        frame.sparkSession,
+        bin=pa.array(places, pa.int32()),
+        bin_low=pa.array([low + (i - 1) * width for i in places], pa.float64()),
+        bin_high=pa.array(
+            [high if i == places[-1] else low + i * width for i in places], pa.float64()
+        ),
     )
+    found = bin_index(F.col("v"), F.lit(low), F.lit(high), bins)
+    counts = values.groupBy(found.alias("bin")).count()
     return (
-        edges.join(F.broadcast(counts), "bin", "left")
+        edges.join(F.broadcast(counts), "bin", "left")  # one row per bin
         .select("bin", "bin_low", "bin_high", F.coalesce("count", F.lit(0)).alias("n"))
         .orderBy("bin")
     )
@@ -100,8 +101,12 @@ def correlation_matrix(frame: DataFrame, columns: list[str]) -> DataFrame:
     cells = cells.withColumn("usable", usable.over(Window.partitionBy())).where(
         "usable >= 2 AND n_x > 0 AND n_y > 0"
     )
-    mirrored = cells.where("x <> y").select(F.col("y").alias("x"), F.col("x").alias("y"), "r")
-    return cells.select("x", "y", "r").unionByName(mirrored)
+    both_ways = F.array(
+        F.struct("x", "y", "r"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"), "r")
+    )
+    return cells.select(
+        F.inline(F.when(F.col("x") == F.col("y"), F.slice(both_ways, 1, 1)).otherwise(both_ways))
+    )
 
 
 def price_rating_ols(frame: DataFrame, on: str = "all", seed: int = 0) -> DataFrame:

@@ -60,32 +60,37 @@ def category_counts(frame: DataFrame, n: int | None = None) -> DataFrame:
 
 def category_share(frame: DataFrame, n: int = 10) -> DataFrame:
     """The n most frequent categories and their share among these n."""
-    return share_of_total(category_counts(frame, n))
+    return share_of_total(category_counts(frame, n)).orderBy(F.desc("n"), "category")
+
+
+def _per_rating(frame: DataFrame) -> DataFrame:
+    rated = frame.where(F.col("rating").isNotNull())
+    return rated.groupBy("rating").agg(F.count("*").alias("n"))
 
 
 def rating_counts(frame: DataFrame) -> DataFrame:
     """Books per rating in rating order, unrated books left out."""
-    rated = frame.where(F.col("rating").isNotNull())
-    return rated.groupBy("rating").agg(F.count("*").alias("n")).orderBy("rating")
+    return _per_rating(frame).orderBy("rating")
 
 
 def rating_share(frame: DataFrame) -> DataFrame:
-    return share_of_total(rating_counts(frame))
+    """Share of each rating among the rated books."""
+    return share_of_total(_per_rating(frame)).orderBy("rating")
+
+
+def _per_stock_status(frame: DataFrame) -> DataFrame:
+    label = F.when(F.col("in_stock"), "In Stock").otherwise("Out of Stock").alias("status")
+    return frame.groupBy("in_stock").agg(F.count("*").alias("n")).select(label, "n")
 
 
 def stock_status(frame: DataFrame) -> DataFrame:
     """Books in and out of stock, the larger group first."""
-    label = F.when(F.col("in_stock"), "In Stock").otherwise("Out of Stock").alias("status")
-    return (
-        frame.groupBy("in_stock")
-        .agg(F.count("*").alias("n"))
-        .select(label, "n")
-        .orderBy(F.desc("n"), "status")
-    )
+    return _per_stock_status(frame).orderBy(F.desc("n"), "status")
 
 
 def stock_share(frame: DataFrame) -> DataFrame:
-    return share_of_total(stock_status(frame))
+    """Share of the books in and out of stock."""
+    return share_of_total(_per_stock_status(frame)).orderBy(F.desc("n"), "status")
 
 
 def price_range_counts(frame: DataFrame) -> DataFrame:
@@ -94,7 +99,7 @@ def price_range_counts(frame: DataFrame) -> DataFrame:
     bins = local_rows(frame.sparkSession, place=list(range(len(labels))), price_range=labels)
     counts = frame.where(F.col("price_range").isNotNull()).groupBy("price_range").count()
     return (
-        bins.join(counts, "price_range", "left")
+        bins.join(F.broadcast(counts), "price_range", "left")  # one row per label
         .orderBy("place")
         .select("price_range", F.coalesce("count", F.lit(0)).cast("bigint").alias("n"))
     )

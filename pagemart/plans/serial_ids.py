@@ -6,8 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemart.plans.lookup import local_rows
-from pagemart.session import shared_folder
+from pagemart.plans.lookup import checkpointed, local_rows
 
 _ROW_BITS = 33
 
@@ -17,11 +16,12 @@ def with_serial_ids(
 ) -> tuple[DataFrame, int]:
     """Ids start+1, start+2, ... in the given order, and the number of rows.
 
-    A range sort spreads the rows, a reliable checkpoint fixes them, then each partition
-    gets the number of rows before it. Only one count per partition reaches the driver.
+    A reliable checkpoint fixes the rows, then each partition gets the number of rows before
+    it; only one count per partition reaches the driver. An order adds a range sort, which
+    spreads the rows as long as few of them share a place. Without one there is no shuffle.
     """
-    shared_folder(df.sparkSession)
-    placed = df.sort(*order).checkpoint().withColumn("_at", F.monotonically_increasing_id())
+    fixed = checkpointed(df.sort(*order) if order else df)
+    placed = fixed.withColumn("_at", F.monotonically_increasing_id())
     part = F.shiftrightunsigned("_at", _ROW_BITS).cast("int")
     counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).collect()
     parts, bases, total = [], [], 0

@@ -71,12 +71,16 @@ class BooksTable:
         return self.spark.table(self.name)
 
     def load(self, batch: DataFrame, order: list[str] | None = None) -> LoadResult:
-        """Append what the load rules accept. Running the same load again is safe for
-        records with a UPC; records without one are added each time."""
+        """Append what the load rules accept; ids follow `order` if it is given.
+
+        Running the same load again is safe for records with a UPC; records without one are
+        added each time.
+        """
         target = self.read()
         plan = plan_load(batch, target, order)
         start = target.agg(F.max("id").alias("m")).first()["m"] or 0
-        by = [F.col(c).asc_nulls_first() for c in plan.places + RECORD.fieldNames()]
+        ties = RECORD.fieldNames() if plan.places else []
+        by = [F.col(c).asc_nulls_first() for c in plan.places + ties]
         numbered, inserted = with_serial_ids(plan.accepted, start, by)
         now = F.current_timestamp().cast("timestamp_ntz")
         rows = numbered.withColumns(

@@ -2,32 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pagemart.operators.combine import enrich_listing
 from pagemart.operators.extract import extract_detail, extract_listing, good_rows
-from pagemart.session import new_folder
+from pagemart.plans.lookup import checkpointed
 from pagemart.sources.books import BooksTable
 
 
 def records_of_pages(pages: DataFrame, base_url: str) -> DataFrame:
     """Records of the listing pages, completed from the detail pages among the same pages.
 
-    Both extractions are written to the shared folder first: the HTML is parsed once, however
-    often the join reads its sides.
+    Both extractions are checkpointed: the HTML is parsed once for each, however often the
+    join reads its sides.
     """
-    spark: SparkSession = pages.sparkSession
-    listing = _written(good_rows(extract_listing(pages, base_url)), "listing")
-    detail = extract_detail(pages, base_url)
-    detail = _written(detail.where("error IS NULL").drop("error", "page_id"), "detail")
-    return enrich_listing(spark.read.parquet(listing), spark.read.parquet(detail))
-
-
-def _written(frame: DataFrame, name: str) -> str:
-    path = new_folder(frame.sparkSession, name)
-    frame.write.parquet(path)
-    return path
+    listing = checkpointed(good_rows(extract_listing(pages, base_url)))
+    detail = extract_detail(pages, base_url).where("error IS NULL")
+    detail = checkpointed(detail.drop("error"))
+    return enrich_listing(listing, detail, [F.col("page_id")])
 
 
 def stream_ingest(
