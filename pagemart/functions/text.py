@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from pagemart.schema import RATING_WORDS
 
-# (?U) makes \s cover Unicode white space; the four separators complete it.
-_BLANK = r"[\s\x1c-\x1f]"
-_STRIP = rf"(?U)\A{_BLANK}++|(?<!{_BLANK}){_BLANK}++\z"
+# The characters that count as white space in page texts.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(text: Column) -> Column:
     """Drop white space at both ends, tabs, newlines and no-break spaces included."""
-    return F.regexp_replace(text, _STRIP, "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def number_token(text: Column, thousands: bool = False) -> Column:
@@ -37,14 +39,12 @@ def price_is_malformed(text: Column, thousands: bool = False) -> Column:
 
 
 def parse_rating(css_class: Column) -> Column:
-    """Rating word among the class tokens, as 1 to 5; 0 when there is none."""
-    tokens = F.split(css_class, r"\s+")
-    rating = F.lit(0)
-    for value in range(len(RATING_WORDS), 0, -1):
-        rating = F.when(
-            F.array_contains(tokens, RATING_WORDS[value - 1]), F.lit(value)
-        ).otherwise(rating)
-    return rating
+    """Rating word among the class tokens, as 1 to 5, the lowest of several; 0 without one."""
+    words = F.array(*[F.lit(word) for word in RATING_WORDS])
+    token = rf"(?<!\S)({'|'.join(RATING_WORDS)})(?!\S)"
+    found = F.regexp_extract_all(css_class, F.lit(token), F.lit(0))
+    lowest = F.array_min(F.transform(found, lambda word: F.array_position(words, word)))
+    return F.coalesce(lowest, F.lit(0)).cast("int")
 
 
 def _without(text: Column, part: str) -> Column:
