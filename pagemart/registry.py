@@ -13,7 +13,7 @@ from pagemart.operators.combine import enrich_listing
 from pagemart.operators.enrich import enriched, lenient_types
 from pagemart.operators.load import plan_load
 from pagemart.plans.order_statistics import exact_percentiles
-from pagemart.schema import BOOKS, NUMERIC_COLUMNS, RECORD
+from pagemart.schema import BOOKS, NUMERIC_COLUMNS
 from pagemart.session import new_folder
 from pagemart.sources import derived
 from pagemart.sources.sinks import to_json_rows

@@ -15,13 +15,15 @@ def stream_daily_counts(
     Every batch writes the days it changed into its own folder, so a batch that is run again
     replaces its own output.
     """
-    dated = books.select(F.col("scraped_at").cast("timestamp").alias("scraped_at"))
+    # Days of the session's calendar, as in the batch report; time windows would be UTC days.
+    day = F.date_trunc("day", F.col("scraped_at").cast("timestamp"))
     days = (
-        dated.where(F.col("scraped_at").isNotNull())
-        .withWatermark("scraped_at", delay)
-        .groupBy(F.window("scraped_at", "1 day"))
+        books.where(F.col("scraped_at").isNotNull())
+        .select(day.alias("day"))
+        .withWatermark("day", delay)
+        .groupBy("day")
         .agg(F.count("*").alias("n"))
-        .select(F.to_date("window.start").alias("scrape_date"), "n")
+        .select(F.to_date("day").alias("scrape_date"), "n")
     )
 
     def save(batch: DataFrame, batch_id: int) -> None:

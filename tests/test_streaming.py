@@ -45,3 +45,20 @@ def test_streamed_days_equal_batch_days(spark, tmp_path):
         stream_daily_counts(stream, out, state).awaitTermination()
     batch = daily_counts(spark.read.parquet(folder)).collect()
     assert read_daily_counts(spark, out).collect() == batch and len(batch) == 13
+
+
+def test_streamed_days_do_not_depend_on_the_time_zone(spark, tmp_path):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        folder = str(tmp_path / "books")
+        texts = ["2024-05-01 00:10:00", "2024-05-01 23:50:00", "2024-05-02 00:00:00"]
+        frame = spark.createDataFrame([(t,) for t in texts], "t string")
+        frame = frame.select(F.col("t").cast("timestamp_ntz").alias("scraped_at"))
+        frame.write.parquet(folder)
+        stream = spark.readStream.schema(frame.schema).parquet(folder)
+        out = str(tmp_path / "out")
+        stream_daily_counts(stream, out, str(tmp_path / "state")).awaitTermination()
+        got = read_daily_counts(spark, out).collect()
+        assert got == daily_counts(frame).collect() and [r["n"] for r in got] == [2, 1]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
