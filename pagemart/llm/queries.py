@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pagemart.llm import sharding
+from pagemart.llm import language, pii, quality, sharding
 
 QUERIES = {
+    "op1_quality_rules": quality.query,
+    "op6_language_id": language.query,
+    "op8_pii": pii.query,
     "op9_sharding": sharding.query,
 }
 
