@@ -25,7 +25,7 @@ MAX_LANGUAGES = 500
 MIN_REFERENCE_WORDS = 2000
 #: Shorter documents are not held against the references.
 MIN_CHARS, MIN_WORDS = 200, 50
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.2, 0.6
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.33, 0.5
 
 #: Fixed values of the base rules.
 SYMBOLS = r"[#*$%&|<>]"
