@@ -28,7 +28,7 @@ ROUNDS = 12
 #: A text is rejected below this share of the lowest cosine among the centroid's own texts.
 REJECT_SHARE = 0.5
 #: Texts with fewer trigrams say too little to be rejected.
-MIN_TRIGRAMS = 50
+MIN_TRIGRAMS = 200
 #: Texts of one block share a count matrix; a longer text has a block of its own.
 BLOCK_BYTES = 1 << 20
 

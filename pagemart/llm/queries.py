@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
-from pagemart.llm import language, pii, quality, sharding
+from pagemart.llm import (
+    backoff,
+    language,
+    mixing,
+    ngram_join,
+    pieces,
+    pii,
+    quality,
+    sharding,
+    winnowing,
+)
 
 QUERIES = {
     "op1_quality_rules": quality.query,
+    "op2_winnowing": winnowing.query,
+    "op3_ngram_join": ngram_join.query,
+    "op5_backoff_lm": backoff.query,
     "op6_language_id": language.query,
+    "op7_mixing": mixing.query,
     "op8_pii": pii.query,
     "op9_sharding": sharding.query,
+    "op10_sentencepiece": pieces.query,
 }
 
 ORACLES: dict[str, str] = {}
