@@ -68,10 +68,10 @@ def shingle_sets(texts: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
         if count >= width:
             yield np.unique(grams[begin : end - width + 1])
         elif count:
-            short = words[begin]
+            short = words[begin : begin + 1]
             for n in range(1, count):
                 short = mixed(short * np.uint64(0xA0761D6478BD642F) + words[begin + n], n)
-            yield np.array([mixed(short, 100 + int(count))], np.uint64)
+            yield mixed(short, 100 + int(count))
         else:
             yield np.zeros(0, np.uint64)
         begin = end

@@ -40,7 +40,7 @@ BYTE_PENALTY = 10.0
 
 #: Fixed values of the piece format.
 SPACE = "▁"
-_UNITS = re.compile(f" *[^\\s{SPACE}]+|[^\\S ]|{SPACE}| +")
+WHITE = "".join(filter(str.isspace, map(chr, range(0x3001))))
 
 
 def read_vocabulary(path: str) -> tuple[list[tuple[int, str, float]], list[int]]:
@@ -61,7 +61,7 @@ def read_vocabulary(path: str) -> tuple[list[tuple[int, str, float]], list[int]]
         scores = [-math.log(r + 2) - total for r in range(len(ordinary))]
     pieces = [(i, model.id_to_piece(i), s) for i, s in zip(ordinary, scores, strict=True)]
     for _, piece, _ in pieces:
-        if re.search(rf"[^{SPACE}]{SPACE}", piece) or (len(piece) > 1 and re.search(r"\s", piece)):
+        if re.search(rf"[^{SPACE}]{SPACE}| ", piece):
             raise ValueError(f"the piece {piece!r} reaches across words")
     return pieces, [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
 
@@ -82,6 +82,10 @@ class Codec:
             self.bytes[i] = piece.replace(SPACE, " ").encode()
         for b, i in enumerate(byte_ids):
             self.bytes[i] = bytes([b])
+        # White space that no longer piece holds stands alone, like a literal mark.
+        joined = set("".join(p for p in self.ids if len(p) > 1))
+        alone = re.escape("".join(c for c in WHITE if c not in joined and c != " ") + SPACE)
+        self.units = re.compile(f" *[^ {alone}]+|[{alone}]| +")
         self.words: dict = {}
         self.ways: dict = {}
 
@@ -163,7 +167,7 @@ class Codec:
 
     def encode(self, text: str, count: int) -> list[tuple[float, bytes]]:
         """The `count` best ways of a text, as (score, ids); a leading space is added."""
-        units = _UNITS.findall(f" {text}")
+        units = self.units.findall(f" {text}")
         known = self.words
         if len(known) > REMEMBERED:
             known.clear()

@@ -95,7 +95,7 @@ def character_classes(text: Column, word_chars: Column) -> Column:
         F.regexp_count(text, F.lit(r"\p{N}")),
         F.regexp_count(text, F.lit(r"[.,;:!?'\x22()-]")),
         F.regexp_count(text, F.lit(r"[#$%&*+/<=>@\[\\\]^_`{|}~]")),
-        F.regexp_count(text, F.lit(r"[^\x00-\x7F&&[^\p{Lu}\p{N}]]")),
+        F.regexp_count(text, F.lit(r"[[^\x00-\x7F]&&[^\p{Lu}\p{N}]]")),
     ]
     none = F.lit(0).cast("long")
 

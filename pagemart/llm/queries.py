@@ -5,6 +5,7 @@ from __future__ import annotations
 from pagemart.llm import (
     backoff,
     language,
+    line_dedup,
     mixing,
     ngram_join,
     pieces,
@@ -18,6 +19,7 @@ QUERIES = {
     "op1_quality_rules": quality.query,
     "op2_winnowing": winnowing.query,
     "op3_ngram_join": ngram_join.query,
+    "op4_line_dedup": line_dedup.query,
     "op5_backoff_lm": backoff.query,
     "op6_language_id": language.query,
     "op7_mixing": mixing.query,

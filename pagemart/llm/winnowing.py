@@ -36,9 +36,13 @@ def _composed(values: Column, length: int, step) -> Column:
 
     Places whose run would reach beyond the end hold what is left of it.
     """
+
+    def doubled(values: Column, reach: int) -> Column:
+        return let(values, lambda v: F.zip_with(v, tail(v, reach + 1), step))
+
     reach = 1
     while reach < length:
-        values = let(values, lambda v, r=reach: F.zip_with(v, tail(v, r + 1), step))
+        values = doubled(values, reach)
         reach *= 2
     return values
 
@@ -48,8 +52,12 @@ def gram_hashes(text: Column, gram: int = GRAM) -> Column:
     tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
     hashes = F.transform(tokens, lambda t: F.xxhash64(t))
     grams = _composed(hashes, gram, lambda a, b: F.xxhash64(a, b))
-    count = F.size(grams)
-    return let(grams, lambda g: F.slice(g, 1, F.least(F.size(g), F.greatest(F.size(g) - (gram - 1), F.lit(1)))))
+
+    def whole(found: Column) -> Column:
+        count = F.greatest(F.size(found) - (gram - 1), F.lit(1))
+        return F.slice(found, 1, F.least(F.size(found), count))
+
+    return let(grams, whole)
 
 
 def marks(grams: Column, window: int = WINDOW) -> Column:
