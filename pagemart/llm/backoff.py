@@ -5,9 +5,10 @@ log-probability, and a state's failure arc goes to the shorter context with the
 left for unknown words. A text is read once from left to right: each word follows an arc of
 the current state, or failure arcs until one has it.
 
-An n-gram's probability is (c(context, word) + MASS * p(word | shorter context)) /
-(c(context) + MASS), down to the base model of single words, so the probabilities of each
-state sum to 1 and the failure weight is MASS / (c(context) + MASS).
+An n-gram's probability is t * c(context, word) / c(context) + (1 - t) * p(word | shorter
+context), down to the base model of single words. The trust t in a context is c / (c + MASS),
+at most TRUST: rare contexts are trusted little, and frequent ones leave room for words never
+seen after them. The probabilities of each state sum to 1; the failure weight is 1 - t.
 
 The automaton grows with the corpus and stays distributed. Texts are put into blocks by hash.
 Each block asks for the counts of its own distinct n-grams and adds its training counts; the
@@ -31,7 +32,8 @@ from pagemart.llm.hashing import END, mixed, word_hashes
 from pagemart.llm.language import remainder
 
 ORDER = 2
-MASS = 300.0
+MASS = 100.0
+TRUST = 0.4
 #: About so many bytes of text in a block; a block is one task's work and so bounds its memory.
 BLOCK_BYTES = 12 << 20
 
@@ -140,8 +142,9 @@ def traverse(
     for level, context in enumerate(contexts(block.levels, block.begins), start=2):
         of_context = np.where(context == 0, 0, _at(*known[level - 2], context))
         of_gram = np.where(block.levels[level - 1] == 0, 0, _at(*known[level - 1], block.levels[level - 1]))
-        failure = np.log10(mass) - np.log10(of_context + mass)
-        arc = np.log10(of_gram + mass * probability) - np.log10(of_context + mass)
+        trust = np.minimum(of_context / (of_context + mass), TRUST)
+        failure = np.log10(1 - trust)
+        arc = np.log10(trust * of_gram / np.maximum(of_context, 1) + (1 - trust) * probability)
         score = np.where(of_gram > 0, arc, failure + score)
         probability = 10.0**score
     starts = block.begins[:-1]

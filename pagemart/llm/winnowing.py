@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pagemart.llm.common import documents, let, tail, written
 
 GRAM = 4
-WINDOW = 16
+WINDOW = 8
 MAX_TOKEN = 16
 TOKEN = rf"[^\x20\x09-\x0D]{{1,{MAX_TOKEN}}}"
 #: Ranges of doc_id at most; the driver gets their borders and no more.
