@@ -6,8 +6,9 @@ are ordered by document and then by place.
 
 Words are ordered by rarity, so that the first few words of a set, which two matching sets
 must share, are ones that few lines have (prefix filter). The sizes of the sets (length
-filter) and the places of a shared word in both (positional filter) rule out most of what is
-left; what remains is verified on whole sets. Equal sets are one class from the start, so
+filter), the places of a shared word in both (positional filter) and 64 parity bits, whose
+Hamming distance is at most the number of words in which two sets differ, rule out nearly all
+of what is left; what remains is verified on whole sets. Equal sets are one class from the start, so
 copies, however many, are never paired.
 
 Everything is a column expression. Rarity comes from word counts over the whole corpus, kept
@@ -23,49 +24,55 @@ from pyspark.sql import functions as F
 from pagemart.llm.common import documents, let, words, written
 
 PERCENT = 80
-COUNTERS = 1 << 15
-#: Fixed: levels of rarity are written as the characters from here on.
-_FIRST_LEVEL = 33
+COUNTERS = 1 << 16
+#: Steps of rarity to each doubling of a count.
+STEPS = 2
 
 
-def _slot(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(COUNTERS))
+def rarity_levels(docs: DataFrame) -> list[int]:
+    """The level of each counter, higher for more frequent words.
 
-
-def rarity_levels(docs: DataFrame) -> bytes:
-    """One byte per counter: four levels to each doubling of the count.
-
-    The counters come together in one row of COUNTERS bytes, whatever the size of the corpus.
+    The driver receives COUNTERS counts, whatever the size of the corpus.
     """
     each = docs.select(F.explode(words(F.col("text"))).alias("word"))
-    counts = each.groupBy(_slot(F.col("word")).cast("int").alias("slot")).agg(F.count("*").alias("n"))
-    level = F.least(F.floor(F.log2("n") * 2), F.lit(90)) + _FIRST_LEVEL
-    found = counts.select("slot", F.char(level).alias("level"))
-    row = found.agg(F.array_sort(F.collect_list(F.struct("slot", "level"))).alias("all")).first()
-    levels = bytearray([_FIRST_LEVEL]) * COUNTERS
-    for slot, character in row["all"]:
-        levels[slot] = ord(character)
-    return bytes(levels)
+    slot = F.xxhash64("word").bitwiseAND(F.lit(COUNTERS - 1)).cast("int")
+    counts = each.groupBy(slot.alias("slot")).agg(F.count("*").alias("n"))
+    level = F.floor(F.log2("n") * STEPS).cast("int")
+    levels = [0] * COUNTERS
+    for row in counts.select("slot", level.alias("level")).collect():
+        levels[row["slot"]] = row["level"]
+    return levels
 
 
-def token_codes(line: Column, levels: bytes) -> Column:
+def token_codes(line: Column, levels: list[int]) -> Column:
     """The distinct words of a line as numbers, the rarest first: level, then hash."""
-    table = F.lit(levels)
+    # Constant folding makes this one array in the plan.
+    table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
+
+    def code(hash: Column) -> Column:
+        level = F.get(table, hash.bitwiseAND(F.lit(COUNTERS - 1)).cast("int"))
+        return F.shiftleft(level, 56).bitwiseOR(hash.bitwiseAND(F.lit((1 << 56) - 1)))
+
+    hashes = F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.transform(hashes, code))
+
 
-    def code(word: Column) -> Column:
-        level = F.ascii(F.substring(table, (_slot(word) + 1).cast("int"), F.lit(1)).cast("string"))
-        rest = F.xxhash64(word).bitwiseAND(F.lit((1 << 56) - 1))
-        return F.shiftleft(level.cast("long"), 56).bitwiseOR(rest)
+def parity(codes: Column) -> Column:
+    """64 bits, one of which each code flips."""
 
-    return F.sort_array(F.transform(F.array_distinct(words(line)), code))
+    def flipped(bits: Column, code: Column) -> Column:
+        place = code.bitwiseAND(F.lit(63)).cast("int")
+        return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), place))
+
+    return F.aggregate(codes, F.lit(0).cast("long"), flipped)
 
 
 def _ceil_share(total: Column, numerator: int, denominator: int) -> Column:
     return F.floor((total * numerator + (denominator - 1)) / denominator).cast("int")
 
 
-def line_sets(docs: DataFrame, levels: bytes) -> DataFrame:
-    """(doc_id, tie, no, size, cls, prefix) of every line with a word.
+def line_sets(docs: DataFrame, levels: list[int]) -> DataFrame:
+    """(doc_id, tie, no, size, cls, bits, prefix) of every line with a word.
 
     `tie` tells rows with equal doc_ids apart, `cls` is the same for equal sets, `prefix` has
     the words, as short numbers, of which matching sets share at least one.
@@ -84,6 +91,7 @@ def line_sets(docs: DataFrame, levels: bytes) -> DataFrame:
         "no",
         "size",
         F.xxhash64("codes").alias("cls"),
+        parity(F.col("codes")).alias("bits"),
         F.transform(F.slice("codes", 1, length), lambda c: F.hash(c)).alias("prefix"),
     )
 
@@ -92,21 +100,25 @@ def _position() -> Column:
     return F.struct("doc_id", "tie", "no")
 
 
-def matching_classes(docs: DataFrame, lines: DataFrame, levels: bytes) -> DataFrame:
-    """(cls, earliest): the place of the first line that matches a class, if not its own."""
+def matching_classes(docs: DataFrame, lines: DataFrame, levels: list[int]) -> DataFrame:
+    """(cls, earliest): the place of the first line that matches a class, its own included."""
     classes = lines.groupBy("cls").agg(
         F.min(_position()).alias("first"),
         F.first("size").alias("size"),
+        F.first("bits").alias("bits"),
         F.first("prefix").alias("prefix"),
     )
     classes = written(classes, "line-classes")
-    each = classes.select("cls", "size", F.posexplode("prefix").alias("at", "word"))
-    one = each.toDF("a", "size_a", "at_a", "word")
-    two = each.toDF("b", "size_b", "at_b", "word")
+    each = classes.select("cls", "size", "bits", F.posexplode("prefix").alias("at", "word"))
+    one = each.toDF("a", "size_a", "bits_a", "at_a", "word")
+    two = each.toDF("b", "size_b", "bits_b", "at_b", "word")
     needed = _ceil_share(F.col("size_a") + F.col("size_b"), PERCENT, 100 + PERCENT)
     possible = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
     lengths = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * PERCENT
-    pairs = one.join(two, "word").where((F.col("a") < F.col("b")) & lengths & (possible >= needed))
+    differing = F.col("size_a") + F.col("size_b") - 2 * needed
+    near = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= differing
+    filters = (F.col("a") < F.col("b")) & lengths & (possible >= needed) & near
+    pairs = one.join(two, "word").where(filters)
     pairs = written(pairs.select("a", "b").distinct(), "line-pairs")
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
@@ -129,10 +141,9 @@ def matching_classes(docs: DataFrame, lines: DataFrame, levels: bytes) -> DataFr
     links = written(links, "line-links")
     links = links.union(links.select("b", "a")).toDF("cls", "other")
     firsts = classes.select(F.col("cls").alias("other"), "first")
-    near = links.join(firsts, "other").select("cls", "first")
-    return near.unionByName(classes.select("cls", "first")).groupBy("cls").agg(
-        F.min("first").alias("earliest")
-    )
+    near = links.join(firsts, "other").groupBy("cls").agg(F.min("first").alias("near"))
+    earliest = F.least("first", F.coalesce("near", "first"))
+    return classes.join(near, "cls", "left").select("cls", earliest.alias("earliest"))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -146,10 +157,16 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     levels = rarity_levels(docs)
     lines = written(line_sets(docs, levels), "line-sets")
     earliest = matching_classes(docs, lines, levels)
-    each = lines.select("doc_id", "tie", "no", "cls").distinct().join(earliest, "cls")
+    each = lines.select("doc_id", "tie", "no", "cls").join(earliest, "cls")
     goes = F.when(F.col("earliest") < _position(), F.col("no"))
-    return each.groupBy("doc_id", "tie").agg(
-        F.count("*").alias("n_token_lines"), F.sort_array(F.collect_list(goes)).alias("removed")
+    found = each.groupBy("doc_id", "tie").agg(
+        F.collect_list("no").alias("numbers"), F.collect_list(goes).alias("removed")
+    )
+    return found.select(
+        "doc_id",
+        "tie",
+        F.size(F.array_distinct("numbers")).alias("n_token_lines"),
+        F.sort_array(F.array_distinct("removed")).alias("removed"),
     )
 
 

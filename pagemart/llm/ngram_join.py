@@ -27,11 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemart.llm.common import documents, written
+from pagemart.llm.common import WORD, documents, written
 from pagemart.llm.components import components
 from pagemart.llm.hashing import mixed, word_hashes
 from pagemart.plans.lookup import lookup_join
@@ -334,13 +334,11 @@ def _cross_pairs(groups: DataFrame, labels: DataFrame) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def link_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row.
+def linked(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, text_key, n, label, component_id) of every row.
 
-    The component is the smallest doc_id that links reach, itself included. A null text, or
-    one without words, has an empty set and is linked with nothing; its component is its own
-    doc_id. Rows with equal texts are linked, repeated rows too. A null doc_id counts as no
-    candidate for the smallest. Further columns are ignored; an empty table gives no rows.
+    `label` is the same for all rows that links connect, and null for an empty set; `text_key`
+    is a hash of the text. The rest is as in `link_documents`.
     """
     docs = docs.select("doc_id", "text")
     sets = _sets(docs, width)
@@ -366,13 +364,40 @@ def link_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     labelled = classes.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left")
     labelled = labelled.select("cls", "doc_id", F.coalesce("label", "cls").alias("label"))
     smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    by_class = written(labelled.join(smallest, "label").select("cls", "component_id"), "components")
-    found = lookup_join(rows.select("doc_id", "n", "cls"), by_class, "cls", max_rows=0)
-    return found.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-    )
+    by_class = written(labelled.join(smallest, "label").drop("doc_id"), "components")
+    found = lookup_join(rows.select("doc_id", "text_key", "n", "cls"), by_class, "cls", max_rows=0)
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return found.select("doc_id", "text_key", "n", "label", own.alias("component_id"))
+
+
+def link_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row.
+
+    The component is the smallest doc_id that links reach, itself included. A null text, or
+    one without words, has an empty set and is linked with nothing; its component is its own
+    doc_id. Rows with equal texts are linked, repeated rows too. A null doc_id is no candidate
+    for the smallest. Further columns are ignored; an empty table gives no rows.
+    """
+    found = linked(docs, width)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """`docs` with one row of each group of linked rows: the first by (doc_id, text hash).
+
+    Rows without words are linked with nothing and all stay.
+    """
+    found = linked(docs, width).where("n > 0")
+    first = found.groupBy("label").agg(F.min(F.struct("doc_id", "text_key")).alias("row"))
+    first = written(first.select("row.*").toDF("_id", "_key"), "survivors")
+    wordless = ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    keyed = docs.where(~wordless).withColumn("_text_key", F.xxhash64("text"))
+    same = keyed["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
+    kept = keyed.join(first, same, "left_semi")
+    # A row may be repeated as a whole: its copies have equal keys.
+    again = Window.partitionBy("doc_id", "_text_key").orderBy(F.lit(0))
+    kept = kept.withColumn("_again", F.row_number().over(again)).where("_again = 1")
+    return kept.select(docs.columns).unionByName(docs.where(wordless))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

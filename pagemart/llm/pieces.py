@@ -37,6 +37,8 @@ REMEMBERED = 300_000
 SLICE_CHARS = 1 << 21
 #: A byte piece scores so much less than the rarest piece.
 BYTE_PENALTY = 10.0
+#: Scores are added up as whole numbers of this unit, so that equal ways are exactly equal.
+UNIT = 1e-6
 
 #: Fixed values of the piece format.
 SPACE = "▁"
@@ -71,11 +73,11 @@ class Codec:
 
     def __init__(self, pieces: list[tuple[int, str, float]], byte_ids: list[int]):
         self.ids = {piece: i for i, piece, _ in pieces}
-        self.scores = {piece: s for _, piece, s in pieces}
+        self.scores = {piece: round(s / UNIT) for _, piece, s in pieces}
         self.prefixes = {p[:n] for p in self.ids for n in range(1, len(p))} | self.ids.keys()
         self.longest = max(map(len, self.ids), default=1)
         self.byte_ids = byte_ids
-        self.byte_score = min(self.scores.values(), default=0.0) - BYTE_PENALTY
+        self.byte_score = min(self.scores.values(), default=0) - round(BYTE_PENALTY / UNIT)
         self.size = max([*byte_ids, *(i for i, _, _ in pieces)]) + 1
         self.bytes = [b""] * self.size
         for i, piece, _ in pieces:
@@ -89,7 +91,7 @@ class Codec:
         self.words: dict = {}
         self.ways: dict = {}
 
-    def _edges(self, unit: str) -> Iterator[tuple[int, int, float]]:
+    def _edges(self, unit: str) -> Iterator[tuple[int, int, int]]:
         """(start, end, score) of the lattice by start; a unit that is one literal mark has its
         bytes only."""
         if unit == SPACE:
@@ -114,10 +116,10 @@ class Codec:
         known = self.ids.get(piece.replace(" ", SPACE)) if unit != SPACE else None
         return [known] if known is not None else [self.byte_ids[b] for b in piece.encode()]
 
-    def forward(self, unit: str) -> tuple[list[float], list[float], list[int]]:
+    def forward(self, unit: str) -> tuple[list, list, list[int]]:
         """Best and second-best score up to each place, and where the best path comes from."""
         n = len(unit)
-        best, second, back = [0.0] + [-math.inf] * n, [-math.inf] * (n + 1), [0] * (n + 1)
+        best, second, back = [0] + [-math.inf] * n, [-math.inf] * (n + 1), [0] * (n + 1)
         for i, j, score in self._edges(unit):
             found = best[i] + score
             if found > best[j]:
@@ -127,7 +129,7 @@ class Codec:
                 second[j] = found
         return best, second, back
 
-    def word(self, unit: str) -> tuple[bytes, float, float]:
+    def word(self, unit: str) -> tuple[bytes, int, float]:
         """The best ids (as 32-bit numbers), their score, and what the second-best way costs."""
         best, second, back = self.forward(unit)
         cuts = [len(unit)]
@@ -138,29 +140,30 @@ class Codec:
             ids += self._edge_ids(unit, start, end)
         return array("i", ids).tobytes(), best[-1], best[-1] - second[-1]
 
-    def search(self, unit: str, count: int) -> list[tuple[float, bytes]]:
+    def search(self, unit: str, count: int) -> list[tuple[int, bytes]]:
         """The `count` best ways of a unit, as (cost against the best, ids).
 
         Backward A-star: a hypothesis is a path from some place to the end, and its priority is
-        its own score plus the best score up to that place, which is exact. Ties: first found.
+        its own score plus the best score up to that place, which is exact. Among equal ones
+        the one nearest to the beginning goes on, so ties are not spread out.
         """
         best = self.forward(unit)[0]
-        into: list[list[tuple[int, float]]] = [[] for _ in range(len(unit) + 1)]
+        into: list[list[tuple[int, int]]] = [[] for _ in range(len(unit) + 1)]
         for i, j, score in self._edges(unit):
             into[j].append((i, score))
-        heap = [(-best[-1], 0, len(unit), 0.0, None)]
+        heap = [(-best[-1], len(unit), 0, 0, None)]
         made, found = 1, []
         while heap and len(found) < count:
-            priority, _, place, score, path = heapq.heappop(heap)
+            _, place, _, score, path = heapq.heappop(heap)
             if not place:
                 ids: list[int] = []
                 while path:
                     start, end, path = path
                     ids += self._edge_ids(unit, start, end)
-                found.append((best[-1] + priority, array("i", ids).tobytes()))
+                found.append((best[-1] - score, array("i", ids).tobytes()))
             for start, edge in into[place]:
                 total = score + edge
-                step = (-(total + best[start]), made, start, total, (start, place, path))
+                step = (-(total + best[start]), start, made, total, (start, place, path))
                 heapq.heappush(heap, step)
                 made += 1
         return found
@@ -176,11 +179,11 @@ class Codec:
                 known[unit] = self.word(unit)
         records = [known[unit] for unit in units]
         parts = [r[0] for r in records]
-        score = math.fsum([r[1] for r in records])
+        score = sum([r[1] for r in records])
         # A way that differs in any other word costs at least as much as `count` others.
         gaps = [r[2] for r in records]
         places = heapq.nsmallest(count - 1, range(len(gaps)), key=gaps.__getitem__) if count > 1 else []
-        ways: list[tuple[float, tuple]] = [(0.0, ())]
+        ways: list[tuple[int, tuple]] = [(0, ())]
         for place in places:
             if gaps[place] == math.inf:
                 continue
@@ -203,7 +206,7 @@ class Codec:
                 own = parts.copy()
                 for place, ids in changes:
                     own[place] = ids
-            found.append((score - cost, b"".join(own)))
+            found.append(((score - cost) * UNIT, b"".join(own)))
         return found
 
     def decode(self, ids: list[int]) -> str:
