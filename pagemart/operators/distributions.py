@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,10 +18,13 @@ def histogram(frame: DataFrame, column: str, bins: int) -> DataFrame:
     """Rows per equal-width bin between the lowest and the highest value, empty bins too.
 
     The two limits are read first, then the bins are counted in a second scan of the column.
-    A column with a single value has one bin, an empty column none.
+    A column with a single value has one bin, an empty column none. A column with NaN or an
+    infinite value has no finite range and is an error.
     """
     values = frame.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
     low, high = values.agg(F.min("v"), F.max("v")).first()
+    if low is not None and not (math.isfinite(low) and math.isfinite(high)):
+        raise ValueError(f"{column} has no finite range")
     if low is None:
         places = []
     else:
@@ -73,29 +78,34 @@ def box_by(frame: DataFrame, value: str, key: str, **sizes) -> DataFrame:
 def correlation_matrix(frame: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson r per column pair over the rows where both are set, as (x, y, r).
 
-    Each row turns into one row per pair, which the partial aggregate takes back at once, so
-    the shuffle carries one row per pair and task. A constant column has no r. Columns without values
-    are left out, and with fewer than two columns left there is no row.
+    One aggregate over the rows as they are: the numbers of all pairs side by side. A constant
+    column has no r. Columns without values are left out, and with fewer than two columns left
+    there is no row.
     """
     columns = [c for c in columns if c in frame.columns]
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
-    values = frame.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("v"))
-    first, second = F.get("v", F.col("i")), F.get("v", F.col("j"))
-    a, b = F.when(F.col("b").isNotNull(), F.col("a")), F.when(F.col("a").isNotNull(), F.col("b"))
-    spread = F.nullif(F.stddev_samp(a) * F.stddev_samp(b), F.lit(0.0))
-    names = F.array(*[F.lit(c) for c in columns])
-    cells = (
-        values.select("v", F.inline(places))
-        .select("i", "j", first.alias("a"), second.alias("b"))
-        .groupBy("i", "j")
-        .agg(
-            F.count("a").alias("n_x"),
-            F.count("b").alias("n_y"),
-            (F.covar_samp("a", "b") / spread).alias("r"),
+    if not columns:
+        return frame.sparkSession.createDataFrame([], "x string, y string, r double")
+    pairs = [(x, y) for i, x in enumerate(columns) for y in columns[i:]]
+    numbers = {c: F.col(c).cast("double") for c in columns}
+    counts = [F.count(c).alias(f"n_{i}") for i, c in enumerate(columns)]
+    found = []
+    for place, (x, y) in enumerate(pairs):
+        a = F.when(numbers[y].isNotNull(), numbers[x])
+        b = F.when(numbers[x].isNotNull(), numbers[y])
+        spread = F.nullif(F.stddev_samp(a) * F.stddev_samp(b), F.lit(0.0))
+        found.append((F.covar_samp(a, b) / spread).alias(f"r_{place}"))
+    whole = frame.agg(*counts, *found)
+    cells = [
+        F.struct(
+            F.lit(x).alias("x"),
+            F.lit(y).alias("y"),
+            F.col(f"n_{columns.index(x)}").alias("n_x"),
+            F.col(f"n_{columns.index(y)}").alias("n_y"),
+            F.col(f"r_{place}").alias("r"),
         )
-        .select(F.get(names, "i").alias("x"), F.get(names, "j").alias("y"), "n_x", "n_y", "r")
-    )
+        for place, (x, y) in enumerate(pairs)
+    ]
+    cells = whole.select(F.inline(F.array(*cells)))
     # From here on one row per column pair.
     usable = F.count_if((F.col("x") == F.col("y")) & (F.col("n_x") > 0))
     cells = cells.withColumn("usable", usable.over(Window.partitionBy())).where(

@@ -7,6 +7,7 @@ the JVM.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -64,34 +65,66 @@ CATEGORY_SPEC = PageSpec(
 _PAIRS = pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))
 # A class written with character references may hide a marker.
 _CODED_ATTRIBUTE = r"(?i)(class|id)\s*=[^>]*&"
+#: Pages whose records are handed on together.
+_CHUNK = 64
 
 
-def raw_records(pages: DataFrame, spec: PageSpec) -> DataFrame:
-    """(page_id, url, pos, page_error, texts ...) for every record of every page."""
-    has_marker = F.col("html").rlike(_CODED_ATTRIBUTE)
-    for marker in reversed(spec.markers):
-        has_marker = F.col("html").contains(marker) | has_marker
+def parse_pages(pages: DataFrame, specs: dict[str, PageSpec]) -> DataFrame:
+    """(kind, page_id, url, pos, page_error, texts ...) of every record of every page, for all
+    specs in one pass over the HTML; `kind` is the name of the spec.
+
+    A page without a marker of any spec never leaves the JVM. A spec without markers reads
+    every page.
+    """
+    names = list(dict.fromkeys(n for spec in specs.values() for n in spec.fields))
+    with_pairs = any(spec.pairs for spec in specs.values())
     layout = pa.schema(
         [
+            ("kind", pa.string()),
             ("page_id", pa.int64()),
             ("url", pa.string()),
             ("pos", pa.int32()),
             ("page_error", pa.string()),
-            *[(name, pa.string()) for name in spec.fields],
-            *([("pairs", _PAIRS)] if spec.pairs else []),
+            *[(name, pa.string()) for name in names],
+            *([("pairs", _PAIRS)] if with_pairs else []),
         ]
     )
+    coded = re.compile(_CODED_ATTRIBUTE)
+
+    def wanted(html: str, spec: PageSpec) -> bool:
+        return not spec.markers or any(m in html for m in spec.markers) or bool(coded.search(html))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for page in batch.to_pylist():
-                place = {"page_id": page["page_id"], "url": page["url"]}
-                rows += [place | record for record in page_records(page["html"], spec)]
-            yield pa.RecordBatch.from_pylist(rows, schema=layout)
+            for start in range(0, batch.num_rows, _CHUNK):
+                rows = []
+                for page in batch.slice(start, _CHUNK).to_pylist():
+                    for kind, spec in specs.items():
+                        if wanted(page["html"] or "", spec):
+                            place = {"kind": kind, "page_id": page["page_id"], "url": page["url"]}
+                            rows += [place | record for record in page_records(page["html"], spec)]
+                yield pa.RecordBatch.from_pylist(rows, schema=layout)
+
+    if all(spec.markers for spec in specs.values()):
+        has_marker = F.col("html").rlike(_CODED_ATTRIBUTE)
+        for marker in dict.fromkeys(m for spec in specs.values() for m in spec.markers):
+            has_marker = F.col("html").contains(marker) | has_marker
+        pages = pages.where(has_marker)
+    return pages.select("page_id", "url", "html").mapInArrow(read, _spark_schema(layout))
 
-    wanted = pages.where(has_marker).select("page_id", "url", "html")
-    return wanted.mapInArrow(read, _spark_schema(layout))
+
+def raw_records(pages: DataFrame, spec: PageSpec) -> DataFrame:
+    """(page_id, url, pos, page_error, texts ...) for every record of every page."""
+    return parse_pages(pages, {"page": spec}).drop("kind")
+
+
+def _with_texts(raw: DataFrame, spec: PageSpec) -> DataFrame:
+    """The raw records with a null for every text of `spec` that another spec left out."""
+    missing = {n: F.lit(None).cast("string") for n in spec.fields if n not in raw.columns}
+    if spec.pairs and "pairs" not in raw.columns:
+        kind = "array<struct<key:string,value:string>>"
+        missing["pairs"] = F.lit(None).cast(kind)
+    return raw.withColumns(missing) if missing else raw
 
 
 def _spark_schema(layout: pa.Schema) -> T.StructType:
@@ -123,22 +156,27 @@ def extract_listing(
     category: Column | None = None,
     thousands: bool = False,
     spec: PageSpec = LISTING_SPEC,
+    raw: DataFrame | None = None,
 ) -> DataFrame:
     """Listing rows plus page_id, page_url, pos and error (null for a good row).
 
     With `category` the pages are category pages: rows carry that category and links follow
-    the category rule.
+    the category rule. `raw` are records that were read already. A spec may leave out any
+    text; without the count of links a record needs a link.
     """
     in_category = category is not None
     link = (X.resolve_url_in_category if in_category else X.resolve_url)(F.col("href"), base_url)
     # No link inside the heading, or no heading at all: the item cannot be read.
+    raw = raw_records(pages, spec) if raw is None else raw
     no_link = F.coalesce(F.col("links").cast("int"), F.lit(0)) == 0
+    if "links" not in spec.fields:
+        no_link = F.col("href").isNull()
+    raw = _with_texts(raw, LISTING_SPEC)
     error = (
         F.when(F.col("page_error").isNotNull(), F.concat(F.lit("page: "), "page_error"))
         .when(no_link, F.lit("no title link"))
         .when(X.price_is_malformed(F.col("price_text"), thousands), F.lit("malformed price"))
     )
-    raw = raw_records(pages, spec)
     return raw.select(
         "page_id",
         F.col("url").alias("page_url"),
@@ -176,9 +214,14 @@ def extract_detail(
     thousands: bool = False,
     with_availability: bool = False,
     spec: PageSpec = DETAIL_SPEC,
+    raw: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per page that holds any detail, with page_id and error (null when good)."""
-    raw = raw_records(pages, spec).withColumn(
+    """One row per page that holds any detail, with page_id and error (null when good).
+
+    `raw` are records that were read already. A spec may leave out any text and the pairs.
+    """
+    raw = raw_records(pages, spec) if raw is None else raw
+    raw = _with_texts(raw, DETAIL_SPEC).withColumn(
         "pairs",
         F.transform(
             "pairs",
@@ -228,7 +271,7 @@ def extract_detail(
 
 def product_table(pages: DataFrame, spec: PageSpec = DETAIL_SPEC) -> DataFrame:
     """The product table in long form: one row per page and table line."""
-    raw = raw_records(pages, spec)
+    raw = _with_texts(raw_records(pages, spec), DETAIL_SPEC)
     return raw.select("page_id", F.posexplode("pairs").alias("line", "pair")).select(
         "page_id",
         "line",
@@ -251,9 +294,11 @@ def pivot_product(lines: DataFrame) -> DataFrame:
     return wide.withColumns({**typed, "number_of_reviews": reviews})
 
 
-def extract_categories(pages: DataFrame, base_url: str) -> DataFrame:
+def extract_categories(
+    pages: DataFrame, base_url: str, raw: DataFrame | None = None
+) -> DataFrame:
     """Sidebar categories (page_id, pos, name, url); the first link of a page is left out."""
-    links = raw_records(pages, CATEGORY_SPEC)
+    links = raw_records(pages, CATEGORY_SPEC) if raw is None else raw
     return (
         links.where((F.col("pos") >= 1) & (F.coalesce("href", F.lit("")) != ""))
         .select(

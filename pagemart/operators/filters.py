@@ -65,16 +65,19 @@ def explore(
 ) -> DataFrame:
     """Filtered rows with the chosen columns; 'All' and None do not filter.
 
-    `limit` keeps the first rows in column order, `cut_at` shortens every text column.
+    `limit` keeps the newest rows (by created_at, if the frame has it, then in column order),
+    `cut_at` shortens every text column.
     """
     columns = list(columns or EXPLORER_DEFAULT)
     allowed = frame.columns if any_column else [c for c in EXPLORER_COLUMNS if c in frame.columns]
     unknown = [c for c in columns if c not in allowed]
     if unknown:
         raise ValueError(f"columns not available: {', '.join(unknown)}")
-    shown = frame.where(_explorer_filter(category, rating, min_price, max_price)).select(columns)
+    shown = frame.where(_explorer_filter(category, rating, min_price, max_price))
     if limit is not None:
-        shown = shown.orderBy(*[F.col(c).asc_nulls_first() for c in columns]).limit(limit)
+        newest = [F.col("created_at").desc_nulls_first()] if "created_at" in frame.columns else []
+        shown = shown.orderBy(*newest, *[F.col(c).asc_nulls_first() for c in columns]).limit(limit)
+    shown = shown.select(columns)
     if cut_at is not None:
         texts = [name for name, kind in shown.dtypes if kind == "string"]
         shown = shown.withColumns({c: cut(F.col(c), cut_at, "") for c in texts})

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemart.plans.lookup import first_per_key
+from pagemart.plans.lookup import first_per_key, held_if_small
 from pagemart.schema import MAX_LENGTH, RECORD
 
 
@@ -74,9 +74,14 @@ def plan_load(
     batch: DataFrame,
     target: DataFrame,
     order: list[str] | None = None,
+    cut_target: bool = False,
 ) -> LoadPlan:
     """Decide a load of `batch` into `target`, which needs only a upc column.
 
+    With `cut_target` the keys of the batch are counted first; if they are few, they are
+    broadcast and the target is cut down to them where it is read, so that a small batch does
+    not shuffle the keys of a large table. Give it a batch that is written out.
+
     `order` names batch columns that give the order of the records; they may be outside the
     record schema and are dropped. Further ties are broken by the record itself.
     """
@@ -91,6 +96,10 @@ def plan_load(
     with_key = valid.where(F.col("upc").isNotNull())
     first = first_per_key(with_key, "upc", [F.col(c) for c in places])
     known = target.select("upc").where(F.col("upc").isNotNull())
+    if cut_target:
+        keys = held_if_small(with_key.select("upc").distinct())
+        if keys is not None:
+            known = known.join(F.broadcast(keys), "upc", "left_semi").distinct()
     new = first.join(known, "upc", "left_anti").select(valid.columns)
     return LoadPlan(
         accepted=new.unionByName(without_key),

@@ -54,7 +54,16 @@ def best_value(frame: DataFrame, n: int = 15, suffix: str = "...") -> DataFrame:
 
 
 def sample_books(frame: DataFrame, n: int = 500, seed: int = 0) -> DataFrame:
-    """n rows picked by a seeded hash of the whole row, all rows when there are fewer."""
-    texts = [F.col(c).cast("string") for c in frame.columns]
+    """n rows picked by a seeded hash of the row and its number among equal rows; all rows when
+    there are fewer.
+
+    Equal rows are counted, which the partial aggregate does before the shuffle, and drawn one
+    by one, so each row has the same chance however often it is repeated.
+    """
+    columns = frame.columns
+    counted = frame.groupBy(*columns).agg(F.count("*").alias("_copies"))
+    each = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    texts = [F.col(c).cast("string") for c in [*columns, "_copy"]]
     draw = F.md5(F.concat_ws("|", F.lit(str(seed)), *texts))
-    return frame.orderBy(draw, *[F.col(c).asc_nulls_first() for c in frame.columns]).limit(n)
+    ties = [F.col(c).asc_nulls_first() for c in columns]
+    return each.orderBy(draw, *ties, "_copy").limit(n).select(columns)

@@ -416,7 +416,8 @@ rating NULLS FIRST, category NULLS FIRST, url NULLS FIRST LIMIT 50"""),
     "explore": _f(f"SELECT title, price, rating, category, availability FROM frame WHERE {_EXPLORE}"),
     "explore_capped": _f("""
 SELECT left(title, 8) AS title, id, stock_quantity FROM frame
-ORDER BY frame.title NULLS FIRST, id NULLS FIRST, stock_quantity NULLS FIRST LIMIT 1000"""),
+ORDER BY created_at DESC NULLS FIRST, frame.title NULLS FIRST, id NULLS FIRST,
+         stock_quantity NULLS FIRST LIMIT 1000"""),
     "explore_counts": _f(
         f"SELECT count(*) FILTER ({_EXPLORE}) AS shown, count(*) AS total FROM frame"
     ),
@@ -533,9 +534,11 @@ FROM (SELECT title, price, rating, category, rating / nullif(price + 1, 0) AS va
       ORDER BY value_score DESC NULLS LAST, title NULLS FIRST, price NULLS FIRST,
                rating NULLS FIRST, category NULLS FIRST LIMIT 15)"""),
     "sample_books": _f("""
-SELECT id, title, price, rating FROM frame
-ORDER BY md5(concat_ws('|', '0', id, title, price, rating)), id NULLS FIRST, title NULLS FIRST,
-         price NULLS FIRST, rating NULLS FIRST LIMIT 500"""),
+SELECT id, title, price, rating FROM (
+  SELECT id, title, price, rating,
+         row_number() OVER (PARTITION BY id, title, price, rating) AS copy FROM frame)
+ORDER BY md5(concat_ws('|', '0', id, title, price, rating, copy)), id NULLS FIRST,
+         title NULLS FIRST, price NULLS FIRST, rating NULLS FIRST LIMIT 500"""),
     "daily_counts": _f("""
 SELECT CAST(scraped_at AS DATE) AS scrape_date, count(*) AS n FROM frame
 WHERE scraped_at IS NOT NULL GROUP BY 1"""),

@@ -24,9 +24,28 @@ def local_rows(spark: SparkSession, **columns: list) -> DataFrame:
 
 
 def small_rows(df: DataFrame, max_rows: int = SMALL_ROWS) -> pa.Table | None:
-    """The rows if they are within the bound, else None."""
-    rows = df.limit(max_rows + 1).toArrow()
-    return None if rows.num_rows > max_rows or rows.nbytes > SMALL_BYTES else rows
+    """The rows if they are within the bounds, else None.
+
+    Rows and bytes are counted on the executors before any row comes to the driver.
+    """
+    return df.toArrow() if is_small(df, max_rows) else None
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: its texts, and eight for every other column."""
+    size = F.lit(8 * len(df.columns)).cast("long")
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            size = size + F.octet_length(F.to_json(F.struct(F.col(f"`{name}`"))))
+    return size
+
+
+def is_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
+    """Whether the frame is within the bounds of a broadcast."""
+    count, size = df.limit(max_rows + 1).agg(F.count("*"), F.sum(_row_bytes(df))).first()
+    return count <= max_rows and (size or 0) <= SMALL_BYTES
 
 
 def held_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame | None:
@@ -75,13 +94,15 @@ def lookup_join(
 ) -> DataFrame:
     """Join with `right`, which has at most one row per key.
 
-    `how` is inner, left, left_semi or left_anti. Measuring runs `right` once, and with hot
-    keys `left` is read once for them and once for the rest: write expensive sides out first.
-    `max_rows` 0 skips the measuring for a side known to be large.
+    `how` is inner, left, left_semi or left_anti. `right` is written to the shared folder and
+    measured there, so it is computed once whatever its size. With hot keys `left` is read
+    once for them and once for the rest: write an expensive one out first. `max_rows` 0 skips
+    the writing and measuring, for a side known to be large.
     """
-    small = held_if_small(right, max_rows) if max_rows else None
-    if small is not None:
-        return left.join(F.broadcast(small), key, how)
+    if max_rows:
+        right = checkpointed(right)
+        if is_small(right, max_rows):
+            return left.join(F.broadcast(right), key, how)
     found = hot_keys(left, key, fraction=sample)
     if not found:
         return left.join(right, key, how)

@@ -4,7 +4,12 @@ Groups within a measured size use the built-in exact percentile, which keeps eve
 value of a group in one task. Larger groups are narrowed by histograms: count the values per
 equal-width bin between the lowest and the highest value, keep the bin that holds the wanted
 rank, use its own lowest and highest value as the new limits, repeat. Each round is one scan
-of the key and value columns with a fixed number of counters per group.
+of the key and value columns with a fixed number of counters per group, and each interval ends
+a round with fewer distinct values than it had, so the rounds end.
+
+Infinite values and NaN have no place in equal-width bins. They are counted per group, and
+ranks among them are answered from the counts: negative infinity comes first, then the finite
+values, then infinity, then NaN, as in the built-in percentile.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemart.plans.lookup import checkpointed, small_rows
@@ -36,24 +41,45 @@ def exact_percentiles(
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     for key in keys:
         rows = rows.where(F.col(key).isNotNull())
+    infinite = F.col("_v").isin(float("inf"), float("-inf"))
+    finite = ~F.isnan("_v") & ~infinite
     extent = rows.groupBy(*keys).agg(
-        F.count("*").alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+        F.count("*").alias("_m"),
+        F.count_if(F.col("_v") == float("-inf")).alias("_first"),
+        F.count_if(finite).alias("_finite"),
+        F.count_if(F.col("_v") == float("inf")).alias("_last"),
+        F.min(F.when(finite, F.col("_v"))).alias("_lo"),
+        F.max(F.when(finite, F.col("_v"))).alias("_hi"),
     )
     wanted = F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))
     place = (F.col("_m") - 1) * F.col("_p")
     # A target: ranks _k and _k + 1 lie between _lo and _hi, with _below rows under _lo; the
     # percentile is the _part between their values.
     targets = extent.where(F.col("_m") > 0).withColumn("_p", wanted)
+
+    def beyond(rank: Column) -> Column:
+        """The value of a rank that is not among the finite values, else null."""
+        after = rank - F.col("_first") - F.col("_finite")
+        return (
+            F.when(rank < F.col("_first"), float("-inf"))
+            .when(after >= F.col("_last"), float("nan"))
+            .when(after >= 0, float("inf"))
+        )
+
+    rank = F.floor(place)
     targets = targets.select(
         *keys,
         "_m",
         "_p",
-        F.floor(place).alias("_k"),
-        (place - F.floor(place)).alias("_part"),
+        F.greatest(rank - F.col("_first"), F.lit(0)).alias("_k"),
+        (place - rank).alias("_part"),
         F.lit(0).cast("bigint").alias("_below"),
         "_lo",
         "_hi",
-        (F.col("_lo") < F.col("_hi")).alias("_open"),
+        beyond(rank).alias("_low_beyond"),
+        beyond(F.least(rank + 1, F.col("_m") - 1)).alias("_high_beyond"),
+        # A rank beyond the finite values is answered already.
+        (F.coalesce(F.col("_lo") < F.col("_hi"), F.lit(False)) & beyond(rank).isNull()).alias("_open"),
     )
     state = _State(targets)
     if state.largest() <= small_group:
@@ -61,12 +87,22 @@ def exact_percentiles(
         picked = rows.groupBy(*keys).agg(percentile.alias("_p"))
         return picked.select(*keys, *[F.col("_p")[i].alias(n) for i, n in enumerate(names)])
     done = []
+    finite_rows = rows.where(finite)
     while True:
-        value_at = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")
+        low = F.coalesce("_low_beyond", "_lo")
+        high = F.coalesce("_high_beyond", F.when(F.col("_low_beyond").isNull(), F.col("_hi")), "_lo")
+        mixed = low * (1 - F.col("_part")) + high * F.col("_part")
+        is_beyond = F.coalesce("_low_beyond", "_high_beyond").isNotNull()
+        between = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")
+        value_at = (
+            F.when((F.col("_part") == 0) | low.eqNullSafe(high), low)
+            .when(is_beyond, mixed)
+            .otherwise(between)
+        )
         done.append(state.frame.where("NOT _open").select(*keys, "_p", value_at.alias("_value")))
         if not state.any_open():
             break
-        state = _State(_narrowed(rows, state, keys, bins))
+        state = _State(_narrowed(finite_rows, state, keys, bins))
     found = reduce(DataFrame.unionByName, done)
     return found.groupBy(*keys).agg(
         *[
@@ -114,7 +150,9 @@ def _narrowed(rows: DataFrame, state: _State, keys: list[str], bins: int) -> Dat
     """Histogram the open intervals and put each target into the bin of its rank."""
     # Halving first keeps the width finite for the widest doubles.
     width = F.col("_hi") / 2 - F.col("_lo") / 2
-    spot = F.floor((F.col("_v") / 2 - F.col("_lo") / 2) / width * bins)
+    spot = F.floor((F.col("_v") / 2 - F.col("_lo") / 2) / F.nullif(width, F.lit(0.0)) * bins)
+    # Neighbouring numbers may have no width between them: the lowest value against the rest.
+    spot = F.coalesce(spot, F.when(F.col("_v") > F.col("_lo"), bins - 1).otherwise(0))
     histogram = (
         _inside(rows, state, keys)
         .withColumn("_bin", F.least(spot, F.lit(bins - 1)).cast("int"))
@@ -150,5 +188,7 @@ def _narrowed(rows: DataFrame, state: _State, keys: list[str], bins: int) -> Dat
         (F.col("_below") + F.col("_upto") - F.col("_n")).alias("_below"),
         low.alias("_lo"),
         high.alias("_hi"),
+        "_low_beyond",
+        "_high_beyond",
         (~split & (low < high)).alias("_open"),
     )

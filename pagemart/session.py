@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,18 +19,25 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="pagemart-"))
         .getOrCreate()
     )
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder: spark.checkpoint.dir, or a new local one if unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared folder: spark.checkpoint.dir.
+
+    A session that runs on one machine only may do without: it gets a temporary folder. On a
+    cluster an unset folder is an error, as executors write to their own disks otherwise.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        known = spark.sparkContext.getCheckpointDir()
-        folder = known or tempfile.mkdtemp(prefix="pagemart-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
+        folder = tempfile.mkdtemp(prefix="pagemart-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder
 
 

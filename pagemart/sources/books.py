@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemart.operators.load import plan_load
 from pagemart.plans.serial_ids import with_serial_ids
 from pagemart.schema import BOOKS, PAGES, RECORD
+from pagemart.sources.files import Scratch
 
 
 @dataclass(frozen=True)
@@ -30,9 +31,18 @@ def read_books(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BOOKS).parquet(path)
 
 
-def page_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
-    """Page files of a folder as a stream."""
+def utc_now() -> Column:
+    """The time now on a UTC clock, in any session zone."""
+    return F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).cast("timestamp_ntz")
+
+
+def page_stream(
+    spark: SparkSession, folder: str, pattern: str = "*.parquet", max_files: int | None = None
+) -> DataFrame:
+    """Page files of a folder as a stream, at most `max_files` to a batch if that is given."""
     reader = spark.readStream.schema(PAGES).option("pathGlobFilter", pattern)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.parquet(folder)
 
 
@@ -73,16 +83,22 @@ class BooksTable:
     def load(self, batch: DataFrame, order: list[str] | None = None) -> LoadResult:
         """Append what the load rules accept; ids follow `order` if it is given.
 
-        Running the same load again is safe for records with a UPC; records without one are
-        added each time.
+        The batch is computed once and written to the shared folder, which is cleared again at
+        the end. Running the same load again is safe for records with a UPC; records without
+        one are added each time. There must be one writer at a time: ids and UPCs are only
+        checked against what the table holds when the load begins.
         """
+        with Scratch(self.spark, "load") as scratch:
+            return self._load(scratch.table(batch), order, scratch)
+
+    def _load(self, batch: DataFrame, order: list[str] | None, scratch: Scratch) -> LoadResult:
         target = self.read()
-        plan = plan_load(batch, target, order)
+        plan = plan_load(batch, target, order, cut_target=True)
         start = target.agg(F.max("id").alias("m")).first()["m"] or 0
         ties = RECORD.fieldNames() if plan.places else []
         by = [F.col(c).asc_nulls_first() for c in plan.places + ties]
-        numbered, inserted = with_serial_ids(plan.accepted, start, by)
-        now = F.current_timestamp().cast("timestamp_ntz")
+        numbered, inserted = with_serial_ids(plan.accepted, start, by, scratch)
+        now = utc_now()
         rows = numbered.withColumns(
             {
                 "number_of_reviews": F.coalesce("number_of_reviews", F.lit(0)),

@@ -6,31 +6,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from pagemart.sources.files import delete_folder, numbered_folders
+
+_VERSION = "version="
+_SCHEMA = "scrape_date date, n bigint"
+
 
 def stream_daily_counts(
-    books: DataFrame, out: str, checkpoint: str, delay: str = "30 days"
+    books: DataFrame, out: str, checkpoint: str, delay: str | None = None
 ) -> StreamingQuery:
-    """Count books per scrape date into `out`; days older than the watermark are closed.
+    """Count books per scrape date into `out`, whatever order they arrive in.
 
-    Every batch writes the days it changed into its own folder, so a batch that is run again
-    replaces its own output.
+    The state is one row per day, so no day is ever closed unless `delay` asks for it: then
+    rows of days older than the newest by more than that are left out, and `late_rows` tells
+    how many. Every batch writes the counts of all days as a new version and removes those
+    before the last; a batch that is run again replaces its own version.
     """
     # Days of the session's calendar, as in the batch report; time windows would be UTC days.
     day = F.date_trunc("day", F.col("scraped_at").cast("timestamp"))
-    days = (
-        books.where(F.col("scraped_at").isNotNull())
-        .select(day.alias("day"))
-        .withWatermark("day", delay)
-        .groupBy("day")
-        .agg(F.count("*").alias("n"))
-        .select(F.to_date("day").alias("scrape_date"), "n")
-    )
+    days = books.where(F.col("scraped_at").isNotNull()).select(day.alias("day"))
+    if delay is not None:
+        days = days.withWatermark("day", delay)
+    counts = days.groupBy("day").agg(F.count("*").alias("n"))
+    counts = counts.select(F.to_date("day").alias("scrape_date"), "n")
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        spark = batch.sparkSession
+        versions = [v for v in numbered_folders(spark, out, _VERSION) if v < batch_id]
+        if versions:
+            known = spark.read.schema(_SCHEMA).parquet(f"{out}/{_VERSION}{versions[-1]}")
+            # One row per day on both sides.
+            batch = batch.unionByName(known.join(batch, "scrape_date", "left_anti"))
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{out}/{_VERSION}{batch_id}")
+        for old in versions[:-1]:
+            delete_folder(spark, f"{out}/{_VERSION}{old}")
 
     return (
-        days.writeStream.foreachBatch(save)
+        counts.writeStream.foreachBatch(save)
         .outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -38,8 +50,19 @@ def stream_daily_counts(
     )
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Groups of rows that the watermark of a run left out, as its progress reports them."""
+    return sum(
+        operator["numRowsDroppedByWatermark"]
+        for progress in query.recentProgress
+        for operator in progress["stateOperators"]
+    )
+
+
 def read_daily_counts(spark: SparkSession, out: str) -> DataFrame:
     """The latest count of every day."""
-    saved = spark.read.schema("scrape_date date, n bigint, batch bigint").parquet(out)
-    latest = saved.groupBy("scrape_date").agg(F.max_by("n", "batch").alias("n"))
+    versions = numbered_folders(spark, out, _VERSION)
+    if not versions:
+        return spark.createDataFrame([], _SCHEMA)
+    latest = spark.read.schema(_SCHEMA).parquet(f"{out}/{_VERSION}{versions[-1]}")
     return latest.orderBy("scrape_date")

@@ -1,44 +1,233 @@
-"""Load catalogue pages as they arrive."""
+"""Catalogue pages to records, in one go or as they arrive."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from pagemart.operators import extract
 from pagemart.operators.combine import enrich_listing
-from pagemart.operators.extract import extract_detail, extract_listing, good_rows
-from pagemart.plans.lookup import checkpointed
-from pagemart.sources.books import BooksTable
+from pagemart.operators.crawl import catalogue_plan, contiguous_pages, start_address
+from pagemart.plans.lookup import first_per_key, lookup_join
+from pagemart.schema import LISTING
+from pagemart.sources.books import BooksTable, LoadResult
+from pagemart.sources.files import Scratch, delete_folder, numbered_folders
+
+_SPECS = {
+    "listing": extract.LISTING_SPEC,
+    "detail": extract.DETAIL_SPEC,
+    "category": extract.CATEGORY_SPEC,
+}
+_PLACED = T.StructType(
+    [T.StructField("page_id", T.LongType()), T.StructField("pos", T.IntegerType()), *LISTING]
+)
+
+
+@dataclass(frozen=True)
+class Crawl:
+    """What the pages give: records with their place, and what could not be read."""
+
+    records: DataFrame
+    rejects: DataFrame
+
+
+def _parsed(pages: DataFrame, scratch: Scratch) -> dict[str, DataFrame]:
+    """Raw records by kind; every page is parsed once."""
+    parsed = scratch.table(extract.parse_pages(pages, _SPECS))
+    return {kind: parsed.where(F.col("kind") == kind).drop("kind") for kind in _SPECS}
+
+
+def _details(raw: DataFrame, pages: DataFrame, base_url: str) -> tuple[DataFrame, DataFrame]:
+    """Good details, and rejects of detail pages."""
+    found = extract.extract_detail(pages, base_url, raw=raw)
+    bad = found.where("error IS NOT NULL")
+    return (
+        found.where("error IS NULL").drop("error"),
+        bad.select("page_id", F.lit(0).alias("pos"), "error"),
+    )
 
 
-def records_of_pages(pages: DataFrame, base_url: str) -> DataFrame:
+def _page_number(url: Column) -> Column:
+    number = F.regexp_extract(url, r"page-([0-9]+)\.html", 1)
+    return F.coalesce(number.try_cast("int"), F.lit(1))
+
+
+def _in_categories(
+    found: DataFrame, categories: DataFrame, first_page_only: bool, scratch: Scratch
+) -> DataFrame:
+    """Listing rows of category pages, up to the first empty page of their category."""
+    names = categories.select(F.col("url").alias("_start"), F.col("name").alias("_name"))
+    names = first_per_key(names, "_start")
+    placed = found.withColumns(
+        {"_start": start_address(F.col("page_url")), "page": _page_number(F.col("page_url"))}
+    )
+    placed = scratch.table(lookup_join(placed, names, "_start", "inner"))
+    good = placed.where(F.col("error").isNull())
+    sizes = good.groupBy(F.col("_start").alias("category"), "page").agg(F.count("*").alias("n_books"))
+    kept = contiguous_pages(scratch.table(sizes)).select(F.col("category").alias("_start"), "page")
+    if first_page_only:
+        kept = kept.where("page = 1")
+    rows = placed.join(kept, ["_start", "page"], "left_semi")
+    return rows.withColumn("category", F.col("_name")).select(found.columns)
+
+
+def crawl_records(
+    pages: DataFrame,
+    base_url: str,
+    scratch: Scratch,
+    by_category: bool = False,
+    include_details: bool = True,
+    max_pages: int | None = None,
+) -> Crawl:
     """Records of the listing pages, completed from the detail pages among the same pages.
 
-    Both extractions are checkpointed: the HTML is parsed once for each, however often the
-    join reads its sides.
+    By category, only pages of the categories in the sidebars count, each category up to its
+    first empty page, and rows carry the category of their page until a detail names another.
+    `max_pages` limits a crawl of the catalogue to its first pages, and one by category to the
+    first page of each. The frames are good as long as `scratch` is.
     """
-    listing = checkpointed(good_rows(extract_listing(pages, base_url)))
-    detail = extract_detail(pages, base_url).where("error IS NULL")
-    detail = checkpointed(detail.drop("error"))
-    return enrich_listing(listing, detail, [F.col("page_id")])
+    raw = _parsed(pages, scratch)
+    category = F.lit(extract.UNKNOWN) if by_category else None
+    found = extract.extract_listing(pages, base_url, category, raw=raw["listing"])
+    if by_category:
+        categories = extract.extract_categories(pages, base_url, raw=raw["category"])
+        names = categories.select("name", "url").distinct()
+        found = _in_categories(found, names, max_pages is not None, scratch)
+    elif max_pages is not None:
+        plan = catalogue_plan(pages.sparkSession, base_url, max_pages)
+        planned = plan.select(F.col("url").alias("page_url"))
+        found = found.join(F.broadcast(planned), "page_url", "left_semi").select(found.columns)
+    listing, rejects = extract.good_rows(found), extract.rejects(found)
+    if include_details:
+        detail, bad = _details(raw["detail"], pages, base_url)
+        rejects = rejects.unionByName(bad)
+        listing = enrich_listing(listing, detail, [F.col("page_id")])
+    return Crawl(listing, rejects)
 
 
-def stream_ingest(
-    pages: DataFrame, table: BooksTable, base_url: str, checkpoint: str
-) -> StreamingQuery:
-    """Load all pages that are there, then stop; the next run takes up what is new.
+def records_of_pages(pages: DataFrame, base_url: str, scratch: Scratch | None = None) -> DataFrame:
+    """Records of a crawl of the catalogue; without `scratch` its tables stay in the shared
+    folder until the cluster clears it."""
+    return crawl_records(pages, base_url, scratch or Scratch(pages.sparkSession, "crawl")).records
+
+
+def load_pages(
+    pages: DataFrame, table: BooksTable, base_url: str, **options
+) -> tuple[LoadResult, list[tuple]]:
+    """Crawl and load in one go: what the load did, and the first hundred rejects."""
+    with Scratch(pages.sparkSession, "crawl") as scratch:
+        crawl = crawl_records(pages, base_url, scratch, **options)
+        result = table.load(crawl.records, order=["page_id", "pos"])
+        rejects = crawl.rejects.orderBy("page_id", "pos").limit(100).collect()
+    return result, [tuple(row) for row in rejects]
 
-    A batch that is run again after a failure adds nothing for records with a UPC.
+
+class PageIngest:
+    """The load of arriving pages, whatever files a listing and its detail come in.
+
+    Details are kept by url and listings wait for theirs, in tables below `state` in the
+    shared storage; each batch loads the listings whose detail is there. When a crawl is
+    complete, `load_waiting` loads what still waits, without detail, so that runs and that
+    together load what one batch over all pages would. A batch that is run again after a
+    failure replaces its own state and adds nothing for records with a UPC.
+
+    Details of one url: the smallest page_id among those that are there when the listing loads.
     """
 
-    def load(batch: DataFrame, _batch_id: int) -> None:
-        records = records_of_pages(batch, base_url)
-        table.load(records, order=["page_id", "pos"])
+    def __init__(self, table: BooksTable, base_url: str, state: str):
+        self.table, self.base_url, self.state = table, base_url, state.rstrip("/")
+        self.spark: SparkSession = table.spark
 
-    return (
-        pages.writeStream.foreachBatch(load)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    def run(self, pages: DataFrame) -> StreamingQuery:
+        """Load all pages that are there, then stop; the next run takes up what is new."""
+        return (
+            pages.writeStream.foreachBatch(self._batch)
+            .option("checkpointLocation", f"{self.state}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+
+    def load_waiting(self) -> LoadResult:
+        """Load the listings that still wait for a detail, and wait for nothing more."""
+        version = self._versions()
+        number = version[-1] + 1 if version else 0
+        result = self._load(self._waiting(number), number)
+        self._keep(self._empty(_PLACED), number)
+        return result
+
+    def rejects(self) -> DataFrame:
+        """(page_id, pos, error) of everything that could not be read so far."""
+        schema = "page_id bigint, pos int, error string"
+        return self._read("rejects", T.StructType.fromDDL(schema))
+
+    def results(self) -> DataFrame:
+        """(inserted, skipped, rejected) of every batch that loaded records."""
+        return self._read("results", T.StructType.fromDDL("inserted bigint, skipped bigint, rejected bigint"))
+
+    def _empty(self, schema: T.StructType) -> DataFrame:
+        return self.spark.createDataFrame([], schema)
+
+    def _read(self, name: str, schema: T.StructType) -> DataFrame:
+        if not numbered_folders(self.spark, f"{self.state}/{name}", "batch="):
+            return self._empty(schema)
+        return self.spark.read.schema(schema).parquet(f"{self.state}/{name}").drop("batch")
+
+    def _versions(self) -> list[int]:
+        return numbered_folders(self.spark, f"{self.state}/waiting", "version=")
+
+    def _waiting(self, before: int) -> DataFrame:
+        versions = [v for v in self._versions() if v < before]
+        if not versions:
+            return self._empty(_PLACED)
+        path = f"{self.state}/waiting/version={versions[-1]}"
+        return self.spark.read.schema(_PLACED).parquet(path)
+
+    def _keep(self, waiting: DataFrame, number: int) -> None:
+        before = [v for v in self._versions() if v < number]
+        waiting.write.mode("overwrite").parquet(f"{self.state}/waiting/version={number}")
+        for old in before[:-1]:
+            delete_folder(self.spark, f"{self.state}/waiting/version={old}")
+
+    def _save(self, rows: DataFrame, name: str, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.state}/{name}/batch={number}")
+
+    def _load(self, records: DataFrame, number: int) -> LoadResult:
+        result = self.table.load(records, order=["page_id", "pos"])
+        counts = [(result.inserted, result.skipped, result.rejected)]
+        rows = self.spark.createDataFrame(counts, "inserted bigint, skipped bigint, rejected bigint")
+        self._save(rows, "results", number)
+        return result
+
+    def _batch(self, pages: DataFrame, batch_id: int) -> None:
+        # load_waiting may have used a number as well: go on from the last.
+        versions = self._versions()
+        marked = numbered_folders(self.spark, f"{self.state}/batches", f"{batch_id}-of-")
+        number = marked[0] if marked else (versions[-1] + 1 if versions else 0)
+        with Scratch(self.spark, "ingest") as scratch:
+            raw = _parsed(pages, scratch)
+            listing = extract.extract_listing(pages, self.base_url, raw=raw["listing"])
+            detail, bad = _details(raw["detail"], pages, self.base_url)
+            self._save(extract.rejects(listing).unionByName(bad), "rejects", number)
+            self._save(detail, "details", number)
+            details = self._read("details", detail.schema)
+            open_rows = extract.good_rows(listing).unionByName(self._waiting(number))
+            open_rows = scratch.table(open_rows.select(_PLACED.fieldNames()))
+            here = scratch.table(details.join(open_rows.select("url").distinct(), "url", "left_semi"))
+            known = here.select("url").distinct()
+            complete = open_rows.join(known, "url", "left_semi")
+            if not complete.isEmpty():
+                self._load(enrich_listing(complete, here, [F.col("page_id")]), number)
+            self._keep(open_rows.join(known, "url", "left_anti"), number)
+            one = self.spark.range(1)
+            one.write.mode("overwrite").parquet(f"{self.state}/batches/{batch_id}-of-{number}")
+
+
+def stream_ingest(
+    pages: DataFrame, table: BooksTable, base_url: str, checkpoint: str
+) -> StreamingQuery:
+    """One run of `PageIngest` with its state in `checkpoint`."""
+    return PageIngest(table, base_url, checkpoint).run(pages)

@@ -1,12 +1,15 @@
 import random
 import statistics
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from pagemart import session
 from pagemart.plans import lookup
 from pagemart.plans.order_statistics import exact_percentiles
 from pagemart.plans.serial_ids import with_serial_ids
+from pagemart.sources.files import Scratch, numbered_folders
 
 
 def interpolated(values, p):
@@ -40,6 +43,31 @@ def test_narrowed_percentiles_are_exact(spark, bins):
     assert {r["k"]: list(r)[1:] for r in built_in.collect()}["spread"] == pytest.approx(found["spread"])
 
 
+def test_percentiles_beyond_the_finite_values(spark):
+    """Infinite values and NaN: both ways agree, and the rounds end."""
+    inf, nan = float("inf"), float("nan")
+    finite = [i / 4 for i in range(50)]
+    data = {
+        "high": [*finite, inf],
+        "nan": [*finite, nan],
+        "all": [-inf, -inf, *finite, inf, nan, nan],
+        "half": [-inf] * 50 + finite,
+        "none": [-inf, inf, nan],
+        "only nan": [nan, nan],
+        "tiny": [5e-324, 1e-323, 1.5e-323, 2e-323],
+    }
+    rows = [(k, v) for k, vs in data.items() for v in vs]
+    frame = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    probabilities = [0.0, 0.3, 0.5, 0.51, 0.99, 1.0]
+    for bins in (2, 4096):
+        got = exact_percentiles(frame, "v", probabilities, ["k"], small_group=0, bins=bins)
+        want = exact_percentiles(frame, "v", probabilities, ["k"])
+        got, want = ({r["k"]: list(r)[1:] for r in f.collect()} for f in (got, want))
+        assert got.keys() == want.keys() == data.keys()
+        for key in data:
+            assert got[key] == pytest.approx(want[key], nan_ok=True), key
+
+
 def test_percentiles_without_groups(spark):
     frame = spark.range(1, 1001).select(F.col("id").cast("double").alias("v"))
     got = exact_percentiles(frame, "v", [0.5, 0.1], small_group=0, names=["m", "t"]).first()
@@ -91,7 +119,43 @@ def test_first_per_key_reduces_before_the_shuffle(spark):
 
 def test_serial_ids_follow_the_order(spark):
     frame = spark.range(500).select((F.lit(1000) - F.col("id")).alias("n")).repartition(7)
-    numbered, total = with_serial_ids(frame, 40, [F.col("n")])
-    rows = [tuple(r) for r in numbered.orderBy("id").select("id", "n").collect()]
+    with Scratch(spark) as scratch:
+        numbered, total = with_serial_ids(frame, 40, [F.col("n")], scratch)
+        rows = [tuple(r) for r in numbered.orderBy("id").select("id", "n").collect()]
     assert total == 500
     assert rows == [(41 + i, 501 + i) for i in range(500)]
+
+
+def test_scratch_is_cleared(spark, tmp_path):
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.glob("once-*"))
+    with Scratch(spark, "once") as scratch:
+        assert scratch.table(spark.range(5)).count() == 5
+        assert set(shared.glob("once-*")) - before
+    assert set(shared.glob("once-*")) == before
+    for number in (3, 11):
+        spark.range(1).write.parquet(f"{tmp_path}/v={number}")
+    (tmp_path / "v=12").mkdir()
+    assert numbered_folders(spark, str(tmp_path), "v=") == [3, 11]
+    assert numbered_folders(spark, f"{tmp_path}/missing", "v=") == []
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Cluster:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(Cluster)
+
+
+def test_measured_sides_count_bytes(spark, monkeypatch):
+    frame = spark.range(10).select(F.repeat(F.lit("x"), 1000).alias("t"))
+    assert lookup.is_small(frame) and lookup.held_if_small(frame).count() == 10
+    monkeypatch.setattr(lookup, "SMALL_BYTES", 5000)
+    assert not lookup.is_small(frame) and lookup.held_if_small(frame) is None
+    assert not lookup.is_small(frame.limit(1), 0)

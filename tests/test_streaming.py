@@ -1,38 +1,134 @@
+from pathlib import Path
+
+import pytest
 from pyspark.sql import functions as F
 
 from pagemart.operators.timeline import daily_counts
 from pagemart.schema import PAGES
 from pagemart.sources.books import BooksTable, page_stream
-from pagemart.streaming.daily import read_daily_counts, stream_daily_counts
-from pagemart.streaming.ingest import records_of_pages, stream_ingest
+from pagemart.streaming.daily import late_rows, read_daily_counts, stream_daily_counts
+from pagemart.streaming.ingest import PageIngest, load_pages, records_of_pages
 from tests.test_extract import BASE, DETAIL, LISTING
 
 
-def test_pages_are_loaded_as_they_arrive(spark, tmp_path):
-    folder, state = str(tmp_path / "pages"), str(tmp_path / "state")
-    table = BooksTable(spark, "books_streamed", str(tmp_path / "books"))
-    table.create()
-    detail_url = BASE + "catalogue/a_1/index.html"
-
-    def arrive(*rows):
-        spark.createDataFrame(rows, PAGES).coalesce(1).write.mode("append").parquet(folder)
-        stream_ingest(page_stream(spark, folder), table, BASE, state).awaitTermination()
-
-    arrive((1, BASE, LISTING), (2, detail_url, DETAIL))
-    (row,) = table.read().collect()
-    assert (row["title"], row["category"], row["upc"]) == ("A long title", "Poetry", "u1")
-
-    # The same book again is skipped; a listing without detail has no UPC and is added.
-    arrive((3, BASE, LISTING), (4, detail_url, DETAIL), (5, BASE, LISTING.replace("a_1", "b_2")))
-    assert sorted(r["url"] for r in table.read().collect()) == [
-        detail_url,
-        BASE + "catalogue/b_2/index.html",
-    ]
-    pages = spark.read.schema(PAGES).parquet(folder)
+URL_A, URL_B = BASE + "catalogue/a_1/index.html", BASE + "catalogue/b_2/index.html"
+LISTING_B = LISTING.replace("a_1", "b_2").replace("A long title", "B")
+DETAIL_B = DETAIL.replace("u1", "u2")
+
+
+class Arrivals:
+    """Page files that arrive one by one, and the table they are loaded into."""
+
+    def __init__(self, spark, folder, name):
+        self.spark, self.folder = spark, str(folder / "pages")
+        self.table = BooksTable(spark, name, str(folder / "books"))
+        self.table.create()
+        self.ingest = PageIngest(self.table, BASE, str(folder / "state"))
+
+    def file(self, *rows):
+        frame = self.spark.createDataFrame(rows, PAGES).coalesce(1)
+        frame.write.mode("append").parquet(self.folder)
+
+    def run(self, **options):
+        stream = page_stream(self.spark, self.folder, **options)
+        self.ingest.run(stream).awaitTermination()
+
+    def rows(self):
+        found = self.table.read().collect()
+        return sorted((r["title"], r["category"], r["upc"] or "", r["url"]) for r in found)
+
+
+BATCH = [("A long title", "Poetry", "u1", URL_A), ("B", "Poetry", "u2", URL_B)]
+
+
+@pytest.mark.parametrize("order", ["before", "after", "with", "apart"])
+def test_details_complete_listings_whenever_they_arrive(spark, tmp_path, order):
+    pages = {
+        "a": (1, BASE, LISTING),
+        "b": (2, BASE, LISTING_B),
+        "da": (3, URL_A, DETAIL),
+        "db": (4, URL_B, DETAIL_B),
+    }
+    files = {
+        "before": [("da", "db"), ("a", "b")],
+        "after": [("a", "b"), ("da",), ("db",)],
+        "with": [("a", "b", "da", "db")],
+        "apart": [("a",), ("db",), ("b",), ("da",)],
+    }[order]
+    arrivals = Arrivals(spark, tmp_path, f"books_{order}")
+    for names in files:
+        arrivals.file(*[pages[n] for n in names])
+    arrivals.run(max_files=1)
+    arrivals.run(max_files=1)
+    assert arrivals.rows() == BATCH
+    assert arrivals.ingest.load_waiting().inserted == 0
+    assert sum(r["inserted"] for r in arrivals.ingest.results().collect()) == 2
+    # The second item of each listing has no heading.
+    assert arrivals.ingest.rejects().count() == 2
+    arrivals.table.drop(confirm=True)
+
+
+def test_listings_wait_until_told_otherwise(spark, tmp_path):
+    arrivals = Arrivals(spark, tmp_path, "books_waiting")
+    arrivals.file((1, BASE, LISTING))
+    arrivals.run()
+    assert arrivals.rows() == []
+    arrivals.file((2, URL_A, DETAIL), (3, BASE, LISTING_B))
+    arrivals.run()
+    assert arrivals.rows() == BATCH[:1]
+    assert arrivals.ingest.load_waiting().inserted == 1
+    assert arrivals.rows() == [BATCH[0], ("B", "Unknown", "", URL_B)]
+    assert arrivals.ingest.load_waiting().inserted == 0
+    # The same book again is skipped.
+    arrivals.file((5, BASE, LISTING), (6, URL_A, DETAIL))
+    arrivals.run()
+    assert len(arrivals.rows()) == 2
+    pages = spark.read.schema(PAGES).parquet(arrivals.folder)
     assert records_of_pages(pages, BASE).count() == 3
+    arrivals.table.drop(confirm=True)
+
+
+def test_load_leaves_no_intermediate_tables(spark, tmp_path):
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    table = BooksTable(spark, "books_clean", str(tmp_path / "books"))
+    table.create()
+    pages = spark.createDataFrame([(1, BASE, LISTING), (2, URL_A, DETAIL)], PAGES)
+    before = {p.name for pattern in ("load-*", "crawl-*") for p in shared.glob(pattern)}
+    result, rejects = load_pages(pages, table, BASE)
+    assert (result.inserted, result.rejected) == (1, 0)
+    assert rejects == [(1, 1, "no title link")]
+    assert {p.name for pattern in ("load-*", "crawl-*") for p in shared.glob(pattern)} == before
     table.drop(confirm=True)
 
 
+def test_days_in_any_order_are_all_counted(spark, tmp_path):
+    folder = str(tmp_path / "books")
+    days = ["2024-05-09", "2021-01-01", "2024-05-09", "2019-12-31", "2024-05-10", "2021-01-01"]
+    for day in days:
+        frame = spark.range(7).select(F.lit(day).cast("timestamp_ntz").alias("scraped_at"))
+        frame.coalesce(1).write.mode("append").parquet(folder)
+    reader = spark.readStream.schema("scraped_at timestamp_ntz").option("maxFilesPerTrigger", 1)
+    out = str(tmp_path / "out")
+    stream_daily_counts(reader.parquet(folder), out, str(tmp_path / "state")).awaitTermination()
+    found = read_daily_counts(spark, out).collect()
+    assert found == daily_counts(spark.read.parquet(folder)).collect()
+    assert sum(r["n"] for r in found) == 42
+    # One version for the next batch and one for its repetition.
+    assert len(list(Path(out).glob("version=*"))) == 2
+
+
+def test_late_rows_are_counted_when_a_delay_is_given(spark, tmp_path):
+    folder, out = str(tmp_path / "books"), str(tmp_path / "out")
+    for day in ("2024-05-09", "2024-05-10", "2019-12-31"):
+        frame = spark.range(7).select(F.lit(day).cast("timestamp_ntz").alias("scraped_at"))
+        frame.coalesce(1).write.mode("append").parquet(folder)
+        reader = spark.readStream.schema("scraped_at timestamp_ntz").parquet(folder)
+        query = stream_daily_counts(reader, out, str(tmp_path / "state"), delay="30 days")
+        query.awaitTermination()
+    assert late_rows(query) > 0
+    assert [r["n"] for r in read_daily_counts(spark, out).collect()] == [7, 7]
+
+
 def test_streamed_days_equal_batch_days(spark, tmp_path):
     folder = str(tmp_path / "books")
     hours = F.make_dt_interval(hours=F.col("id").cast("int"))
