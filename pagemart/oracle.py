@@ -304,6 +304,13 @@ def _json() -> str:
     return _b("SELECT concat('{', " + ", ',', ".join(parts) + ", '}') AS json FROM books")
 
 
+_SAMPLE = """
+SELECT id, title, price, rating FROM (
+  SELECT id, title, price, rating,
+         row_number() OVER (PARTITION BY id, title, price, rating) AS copy FROM frame)
+ORDER BY md5(concat_ws('|', '0', id, title, price, rating, copy)), id NULLS FIRST,
+         title NULLS FIRST, price NULLS FIRST, rating NULLS FIRST LIMIT 500"""
+
 ORACLES: dict[str, str] = {
     "scan_pages": "SELECT page_id, url, html FROM pages",
     "scan_books": _b("SELECT * FROM books"),
@@ -533,12 +540,7 @@ SELECT concat(left(title, 60), '...') AS title, price, rating, category,
 FROM (SELECT title, price, rating, category, rating / nullif(price + 1, 0) AS value_score FROM frame
       ORDER BY value_score DESC NULLS LAST, title NULLS FIRST, price NULLS FIRST,
                rating NULLS FIRST, category NULLS FIRST LIMIT 15)"""),
-    "sample_books": _f("""
-SELECT id, title, price, rating FROM (
-  SELECT id, title, price, rating,
-         row_number() OVER (PARTITION BY id, title, price, rating) AS copy FROM frame)
-ORDER BY md5(concat_ws('|', '0', id, title, price, rating, copy)), id NULLS FIRST,
-         title NULLS FIRST, price NULLS FIRST, rating NULLS FIRST LIMIT 500"""),
+    "sample_books": _f(_SAMPLE),
     "daily_counts": _f("""
 SELECT CAST(scraped_at AS DATE) AS scrape_date, count(*) AS n FROM frame
 WHERE scraped_at IS NOT NULL GROUP BY 1"""),
@@ -548,3 +550,47 @@ FROM (SELECT CAST(scraped_at AS DATE) AS scrape_date, count(*) AS n FROM frame
       WHERE scraped_at IS NOT NULL GROUP BY 1)"""),
 }
 ORACLES["stream_daily_counts"] = ORACLES["daily_counts"]
+ORACLES["tag_category_shuffled"] = ORACLES["tag_category"]
+ORACLES["enrich_listing_shuffled"] = ORACLES["enrich_listing"]
+ORACLES["price_rating_ols_sample"] = _f(f"""
+SELECT round(regr_slope(price, rating), 6) AS slope, round(regr_intercept(price, rating), 6) AS intercept,
+       round(CASE WHEN var_pop(rating) = 0 THEN NULL WHEN var_pop(price) = 0 THEN 1.0
+                  ELSE regr_r2(price, rating) END, 6) AS r2,
+       count(*) AS n
+FROM ({_SAMPLE}) WHERE price IS NOT NULL AND rating IS NOT NULL""")
+ORACLES["catalogue_plan"] = """
+SELECT CAST(i AS INT) AS page,
+       CASE WHEN i = 1 THEN 'https://shop.example/'
+            ELSE concat('https://shop.example/catalogue/page-', i, '.html') END AS url
+FROM (SELECT unnest(range(1, (SELECT count(*) FROM pages) + 1)) AS i)"""
+ORACLES["stream_ingest"] = f"""
+SELECT title, price, availability, rating, url,
+       CASE WHEN pos = 3 THEN 'Tea' ELSE category END AS category,
+       CASE WHEN pos = 3 THEN concat('u', page_id) END AS upc
+FROM ({_pods(_LISTING_URL, "Unknown", "1.0")})"""
+ORACLES["load_round_trip"] = f"""
+WITH {_BATCH.replace("SELECT DISTINCT upc FROM books", "SELECT upc FROM batch")
+            .replace("WHERE scraped_at < TIMESTAMP '1999-01-01' AND upc IS NOT NULL", "WHERE false")}
+SELECT row_number() OVER (ORDER BY price NULLS FIRST, tax NULLS FIRST, title NULLS FIRST,
+         availability NULLS FIRST, rating NULLS FIRST, category NULLS FIRST, url NULLS FIRST,
+         upc NULLS FIRST, price_incl_tax NULLS FIRST, scraped_at NULLS FIRST) AS id,
+       upc, title, price, rating, category, tax, scraped_at
+FROM accepted"""
+ORACLES["crawl_by_category"] = f"""
+WITH pods AS (
+  SELECT *, CAST(p_size % 6 + 1 AS INT) AS page FROM part
+  WHERE p_size % 6 + 1 <> length(p_brand) % 5 + 4
+),
+ends AS (
+  SELECT p_brand, min(page) AS last
+  FROM (SELECT p_brand, page FROM pods UNION SELECT p_brand, 0 FROM pods) x
+  WHERE NOT EXISTS (SELECT 1 FROM pods y WHERE y.p_brand = x.p_brand AND y.page = x.page + 1)
+  GROUP BY p_brand
+),
+detail AS ({_DETAIL})
+SELECT p_name AS title, p_retailprice AS price, 'In stock' AS availability,
+       3::INT AS rating, concat('https://shop.example/catalogue/', p_partkey, '/index.html') AS url,
+       coalesce(detail.category, p_brand) AS category, detail.upc, detail.description
+FROM pods JOIN ends USING (p_brand)
+LEFT JOIN detail ON detail.page_id = p_partkey AND detail.error IS NULL
+WHERE page <= last"""

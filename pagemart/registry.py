@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,11 @@ from pagemart.plans.order_statistics import exact_percentiles
 from pagemart.schema import BOOKS, NUMERIC_COLUMNS
 from pagemart.session import new_folder
 from pagemart.sources import derived
+from pagemart.sources.books import BooksTable, page_stream
+from pagemart.sources.files import Scratch
 from pagemart.sources.sinks import to_json_rows
 from pagemart.streaming.daily import read_daily_counts, stream_daily_counts
+from pagemart.streaming.ingest import PageIngest, crawl_records
 
 Query = Callable[[SparkSession, str], DataFrame]
 BASE = derived.BASE_URL
@@ -145,16 +149,17 @@ def _contiguous_pages(spark, sf_dir):
     return crawl.contiguous_pages(derived.page_counts(spark, sf_dir))
 
 
-def _tag_category(spark, sf_dir):
-    return crawl.tag_category(derived.crawled_rows(spark, sf_dir), derived.category_index(spark, sf_dir))
+def _tag_category(spark, sf_dir, **sizes):
+    rows = derived.crawled_rows(spark, sf_dir)
+    return crawl.tag_category(rows, derived.category_index(spark, sf_dir), **sizes)
 
 
-def _enrich_listing(spark, sf_dir):
+def _enrich_listing(spark, sf_dir, **sizes):
     listing = enriched(derived.books(spark, sf_dir)).select(
         "id", "title", "price", "availability", "rating", "url", "category"
     )
     details = derived.details(spark, sf_dir)
-    return enrich_listing(listing, details, [F.col("description")])
+    return enrich_listing(listing, details, [F.col("description")], **sizes)
 
 
 def _union_listings(spark, sf_dir):
@@ -216,11 +221,10 @@ def _price_quantiles(spark, sf_dir):
 
 
 def _stream_daily(spark, sf_dir):
-    lines = (
-        spark.readStream.schema(derived.table(spark, sf_dir, "lineitem").schema)
-        .option("pathGlobFilter", "lineitem*.parquet")
-        .parquet(sf_dir)
-    )
+    lines = derived.table(spark, sf_dir, "lineitem")
+    folder = derived.in_files(lines, new_folder(spark, "daily-files"))
+    reader = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1)
+    lines = reader.parquet(folder)
     out = new_folder(spark, "daily")
     books = derived.books(spark, sf_dir, lines)
     query = stream_daily_counts(books, out, new_folder(spark, "daily-state"))
@@ -228,6 +232,48 @@ def _stream_daily(spark, sf_dir):
     return read_daily_counts(spark, out)
 
 
+def _stream_ingest(spark, sf_dir):
+    pages = _scan_pages(spark, sf_dir)
+    folder = derived.in_files(pages, new_folder(spark, "page-files"))
+    stream = page_stream(spark, folder, max_files=1)
+    name = f"books_{uuid.uuid4().hex}"
+    table = BooksTable(spark, name, new_folder(spark, "books"))
+    table.create()
+    ingest = PageIngest(table, BASE, new_folder(spark, "ingest-state"))
+    ingest.run(derived.arriving_pages(spark, sf_dir, stream)).awaitTermination()
+    ingest.load_waiting()
+    return table.read().select("title", "price", "availability", "rating", "url", "category", "upc")
+
+
+def _load_round_trip(spark, sf_dir):
+    table = BooksTable(spark, f"books_{uuid.uuid4().hex}", new_folder(spark, "books"))
+    table.create()
+    table.load(derived.load_batch(spark, sf_dir), order=["price", "tax", "title", "availability"])
+    return table.read().select("id", "upc", "title", "price", "rating", "category", "tax", "scraped_at")
+
+
+def _crawl_by_category(spark, sf_dir):
+    pages = derived.category_crawl(spark, sf_dir)
+    scratch = Scratch(spark, "crawl")
+    records = crawl_records(pages, BASE, scratch, by_category=True).records
+    return records.select(
+        "title", "price", "availability", "rating", "url", "category", "upc", "description"
+    )
+
+
+def _catalogue_plan(spark, sf_dir):
+    pages = derived.table(spark, sf_dir, "pages").count()
+    return crawl.catalogue_plan(spark, BASE, pages)
+
+
+def _enrich_listing_shuffled(spark, sf_dir):
+    return _enrich_listing(spark, sf_dir, max_rows=0)
+
+
+def _tag_category_shuffled(spark, sf_dir):
+    return _tag_category(spark, sf_dir, max_rows=0)
+
+
 _EXPLORE = {"category": "Brand#13", "rating": 4, "min_price": 20.0, "max_price": 60.0}
 
 QUERIES: dict[str, Query] = {
@@ -253,12 +299,17 @@ QUERIES: dict[str, Query] = {
     "page_plan_first": _page_plan_first,
     "contiguous_pages": _contiguous_pages,
     "tag_category": _tag_category,
+    "tag_category_shuffled": _tag_category_shuffled,
     "enrich_listing": _enrich_listing,
+    "enrich_listing_shuffled": _enrich_listing_shuffled,
+    "catalogue_plan": _catalogue_plan,
+    "crawl_by_category": _crawl_by_category,
     "union_listings": _union_listings,
     # Load
     "load_books": _load("accepted"),
     "load_rejects": _load("rejected"),
     "load_summary": _load("summary"),
+    "load_round_trip": _load_round_trip,
     # Filters
     "enriched_books": _on_frame(
         lambda f: f.select("id", "category", "stock_quantity", "in_stock", "price_range", "price")
@@ -329,6 +380,12 @@ QUERIES: dict[str, Query] = {
     "price_rating_ols": _on_frame(
         distributions.price_rating_ols, "slope", "intercept", "r2"
     ),
+    "price_rating_ols_sample": _on_frame(
+        lambda f: distributions.price_rating_ols(f.select("id", "title", "price", "rating"), on="sample"),
+        "slope",
+        "intercept",
+        "r2",
+    ),
     # Rankings and time
     "latest_books": _on_books(
         lambda b: ranking.latest_books(b, 100, ["id", "title", "price", "created_at"])
@@ -347,4 +404,5 @@ QUERIES: dict[str, Query] = {
     "cumulative_counts": _on_frame(timeline.cumulative_counts),
     # Streaming
     "stream_daily_counts": _stream_daily,
+    "stream_ingest": _stream_ingest,
 }

@@ -81,10 +81,11 @@ def _texts(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def listing_pages(spark: SparkSession, sf_dir: str, pages: DataFrame | None = None) -> DataFrame:
     """The crawled pages with one product pod per navigation link put in after the navigation,
     followed by one pod without a heading."""
-    pages = spread(spark.read.schema(PAGES).parquet(f"{sf_dir}/pages.parquet"))
+    if pages is None:
+        pages = spread(spark.read.schema(PAGES).parquet(f"{sf_dir}/pages.parquet"))
     links = F.regexp_extract_all("html", F.lit('<a href="([^"]*)">'), F.lit(1))
 
     def pod(_link: Column, place: Column) -> Column:
@@ -150,6 +151,60 @@ def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(F.col("p_partkey").alias("page_id"), url.alias("url"), html.alias("html"))
 
 
+def arriving_pages(spark: SparkSession, sf_dir: str, pages: DataFrame) -> DataFrame:
+    """The listing pages, and after each the product page of its fourth item."""
+    url = _texts(BASE_URL + "catalogue/", F.col("page_id"), "-3/index.html")
+    html = _texts(
+        '<ul class="breadcrumb"><li><a href="/">Home</a></li><li><a href="/b">Books</a></li>',
+        '<li><a href="/t">Tea</a></li></ul><table class="table table-striped"><tr><th>UPC</th><td>u',
+        F.col("page_id"), "</td></tr></table>",
+    )
+    products = pages.select((-F.col("page_id") - 1).alias("page_id"), url.alias("url"), html.alias("html"))
+    return listing_pages(spark, sf_dir, pages).unionByName(products)
+
+
+def in_files(df: DataFrame, folder: str, files: int = 4) -> str:
+    """The frame in several files, for streams that take them one by one."""
+    df.repartition(files).write.parquet(folder)
+    return folder
+
+
+def category_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category pages with a pod per part, a page with the sidebar, and the product pages.
+
+    A category's pages end where one is missing.
+    """
+    part = table(spark, sf_dir, "part")
+    slug = F.lower(F.replace("p_brand", F.lit("#"), F.lit("_")))
+    start = _texts(BASE_URL + "catalogue/category/", slug, "/")
+    page = (F.col("p_size") % 6 + 1).cast("int")
+    pod = _texts(
+        '<article class="product_pod"><p class="star-rating Three"></p><h3><a href="../../../',
+        F.col("p_partkey"), '/index.html" title="', F.col("p_name"), '">..</a></h3><p class="price_color">£',
+        F.col("p_retailprice"), '</p><p class="instock availability">In stock</p></article>',
+    )
+    pods = part.select("p_partkey", "p_brand", start.alias("start"), page.alias("page"), pod.alias("pod"))
+    pods = pods.where(F.col("page") != F.length("p_brand") % 5 + 4)
+    name = F.when(F.col("page") == 1, "index.html").otherwise(_texts("page-", F.col("page"), ".html"))
+    pages = pods.groupBy("start", "page").agg(
+        F.min("p_partkey").alias("page_id"),
+        F.array_sort(F.collect_list(F.struct("p_partkey", "pod"))).alias("pods"),
+    )
+    pages = pages.select(
+        (F.col("page_id") + 10**9).alias("page_id"),
+        F.concat("start", name).alias("url"),
+        F.array_join(F.transform("pods", lambda p: p["pod"]), "").alias("html"),
+    )
+    link = _texts('<a href="', F.col("url"), '">', F.col("name"), "</a>")
+    links = category_index(spark, sf_dir).agg(F.array_join(F.array_sort(F.collect_list(link)), "").alias("links"))
+    sidebar = links.select(
+        F.lit(0).cast("long").alias("page_id"),
+        F.lit(BASE_URL).alias("url"),
+        _texts('<div class="side_categories"><a href="/all">All</a>', F.col("links"), "</div>").alias("html"),
+    )
+    return pages.unionByName(sidebar).unionByName(detail_pages(spark, sf_dir))
+
+
 def sidebar_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The crawled pages with their navigation inside a category sidebar."""
     pages = spread(spark.read.schema(PAGES).parquet(f"{sf_dir}/pages.parquet"))
