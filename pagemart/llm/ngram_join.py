@@ -15,10 +15,10 @@ partner in the next band has keys there as well.
 
 Equal sets are one class from the start. Candidates are pairs of classes with an equal key,
 filtered by size and by the Hamming distance of 512-bit parity sketches (a lower bound of the
-number of differing elements), and verified on whole sets. In a group of classes with one key,
-first each class is paired with one hub only; what the links found so far leave unconnected is
-then paired within the group. A group of n near copies so costs about n pairs, and no link
-between groups is lost.
+number of differing elements), and verified on whole sets. First each
+class is paired with one hub only, the smallest class it shares a key with; what the links
+found so far leave unconnected is then paired within each group of classes with one key. A
+group of n near copies so costs about n pairs, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -213,28 +213,23 @@ def _candidates(docs: DataFrame, frequent: np.ndarray, shards: int, width: int)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        keys: list[np.ndarray] = []
-        classes: list[np.ndarray] = []
-        held = 0
+        own = Slice(shards)
         for batch in batches:
             for shingles in shingle_sets(batch["text"], width):
                 cls = set_class(shingles) if len(shingles) >= SMALLEST else None
                 if cls is None or cls in seen:
                     continue
                 seen.add(cls)
-                for band in bands(len(shingles)):
-                    keys.append(part_keys(shingles, band, shared.value))
-                    classes.append(np.full(len(keys[-1]), cls, np.int64))
-                held += len(shingles)
-                if held > SLICE_WORDS:
-                    yield from _dealt(keys, classes, shards)
-                    keys, classes, held = [], [], 0
-        if keys:
-            yield from _dealt(keys, classes, shards)
+                keys = [part_keys(shingles, band, shared.value) for band in bands(len(shingles))]
+                own.add(cls, np.concatenate(keys), len(shingles))
+                if own.is_full():
+                    yield own.dealt()
+                    own = Slice(shards)
+        if own.classes:
+            yield own.dealt()
 
     def match(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(k, np.uint64) for k in table["keys"].to_pylist()])
-        classes = np.concatenate([np.frombuffer(c, np.int64) for c in table["classes"].to_pylist()])
+        keys, classes = gathered(table.to_pylist())
         order = np.lexsort((classes, keys))
         keys, classes = keys[order], classes[order]
         new = np.ones(len(keys), bool)
@@ -248,32 +243,75 @@ def _candidates(docs: DataFrame, frequent: np.ndarray, shards: int, width: int)
         lists = [np.frombuffer(g, np.int64) for g in groups]
         return pa.table({"members": pa.array(lists, pa.list_(pa.int64()))})
 
-    dealt = docs.select("text").mapInArrow(deal, "shard int, keys binary, classes binary")
+    schema = "shard int, high binary, low binary, owners binary, classes binary"
+    dealt = docs.select("text").mapInArrow(deal, schema)
     return dealt.groupBy("shard").applyInArrow(match, "members array<long>")
 
 
-def _dealt(keys: list[np.ndarray], classes: list[np.ndarray], shards: int) -> Iterator[pa.RecordBatch]:
-    key, cls = np.concatenate(keys), np.concatenate(classes)
-    order = np.argsort(key)
-    key, cls = key[order], cls[order]
-    cuts = [0, *np.searchsorted(key, [np.uint64((i << 64) // shards) for i in range(1, shards)]), len(key)]
-    rows = [
-        (shard, key[a:b].tobytes(), cls[a:b].tobytes())
-        for shard, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))
-        if a < b
-    ]
-    shard, parts, owners = zip(*rows, strict=True)
-    yield pa.record_batch(
-        [pa.array(shard, pa.int32()), pa.array(parts, pa.binary()), pa.array(owners, pa.binary())],
-        ["shard", "keys", "classes"],
-    )
+class Slice:
+    """Keys of some documents, dealt out to shards by the upper bits of the key.
 
+    A shard gets the 48 bits below those that chose it, and the place of the owner in the list
+    of classes: half of what keys and classes are. With so many keys to a shard, equal bits of
+    different keys are rare, and cost a candidate when they happen.
+    """
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are linked.
+    def __init__(self, shards: int):
+        self.shards = shards
+        self.keys: list[np.ndarray] = []
+        self.owners: list[np.ndarray] = []
+        self.classes: list[int] = []
+        self.held = 0
+
+    def add(self, cls: int, keys: np.ndarray, size: int) -> None:
+        self.keys.append(keys)
+        self.owners.append(np.full(len(keys), len(self.classes), np.uint16))
+        self.classes.append(cls)
+        self.held += size
+
+    def is_full(self) -> bool:
+        return self.held > SLICE_WORDS or len(self.classes) == 1 << 16
+
+    def dealt(self) -> pa.RecordBatch:
+        keys, owners = np.concatenate(self.keys), np.concatenate(self.owners)
+        # The shard is the whole part of key * shards / 2**64, the rest its 48 upper bits.
+        upper = (keys >> np.uint64(32)) * np.uint64(self.shards)
+        whole = upper + (((keys & np.uint64(0xFFFFFFFF)) * np.uint64(self.shards)) >> np.uint64(32))
+        shard = (whole >> np.uint64(32)).astype(np.int64)
+        rest = ((keys * np.uint64(self.shards)) >> np.uint64(16)).astype(np.uint64)
+        order = np.lexsort((rest, shard))
+        shard, rest, owners = shard[order], rest[order], owners[order]
+        cuts = np.searchsorted(shard, np.arange(self.shards + 1))
+        classes = np.array(self.classes, np.int64).tobytes()
+        rows = [
+            (
+                number,
+                (rest[a:b] >> np.uint64(16)).astype(np.uint32).tobytes(),
+                (rest[a:b] & np.uint64(0xFFFF)).astype(np.uint16).tobytes(),
+                owners[a:b].tobytes(),
+                classes,
+            )
+            for number, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))
+            if a < b
+        ]
+        columns = list(zip(*rows, strict=True))
+        arrays = [pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]]
+        return pa.record_batch(arrays, ["shard", "high", "low", "owners", "classes"])
 
-    Sizes and sketches decide first; whole sets are read only for what they leave open.
-    """
+
+def gathered(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """The keys (48 bits) and classes of the dealt rows of one shard."""
+    keys, classes = [], []
+    for row in rows:
+        high = np.frombuffer(row["high"], np.uint32).astype(np.uint64)
+        keys.append((high << np.uint64(16)) | np.frombuffer(row["low"], np.uint16))
+        owned = np.frombuffer(row["classes"], np.int64)
+        classes.append(owned[np.frombuffer(row["owners"], np.uint16)])
+    return np.concatenate(keys), np.concatenate(classes)
+
+
+def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that sizes and sketches leave open, with their sizes."""
     for side in "ab":
         own = classes.select(
             F.col("cls").alias(side), F.col("n").alias(f"n_{side}"), F.col("numbers").alias(f"bits_{side}")
@@ -283,16 +321,15 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int)
     distance = F.aggregate(flips, F.lit(0), lambda total, n: total + n)
     most = F.floor((F.col("n_a") + F.col("n_b")) * (100 - PERCENT) / (100 + PERCENT))
     sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
-    near = written(pairs.where(sizes & (distance <= most)).select("a", "b", "n_a", "n_b"), "near-pairs")
-    if near.isEmpty():
-        return near.select("a", "b")
+    return pairs.where(sizes & (distance <= most)).select("a", "b", "n_a", "n_b")
 
-    # One row of each class: the text of that row is the set.
-    needed = near.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    needed = needed.join(classes.select("cls", "row"), "cls").select("row.*").toDF("_id", "_key")
+
+def _whole_sets(needed: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(cls, shingles) of the needed classes, from one row of each: its text is the set."""
+    rows = needed.join(classes.select("cls", "row"), "cls").select("row.*").toDF("_id", "_key")
     texts = docs.withColumn("_text_key", F.xxhash64("text"))
     same = texts["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
-    chosen = texts.join(needed, same, "left_semi")
+    chosen = texts.join(rows, same, "left_semi")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,34 +340,48 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int)
             )
 
     sets = chosen.select("text").mapInArrow(read, "cls long, shingles array<long>")
-    sets = written(sets.dropDuplicates(["cls"]), "shingles")
-    of_a = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("set_a"))
-    of_b = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("set_b"))
-    both = near.join(of_a, "a").join(of_b, "b")
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    both = both.withColumn("shared", shared)
+    return sets.dropDuplicates(["cls"])
+
+
+def _links(
+    pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, known: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame | None]:
+    """The linked ones among the pairs of classes, and the sets read so far.
+
+    Texts are read again only for classes whose set is not known yet.
+    """
+    near = written(_near(pairs, classes), "near-pairs")
+    needed = near.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    if known is not None:
+        needed = needed.join(known.select("cls"), "cls", "left_anti")
+    needed = written(needed, "needed-classes")
+    sets = known
+    if not needed.isEmpty():
+        found = written(_whole_sets(needed, classes, docs, width), "shingles")
+        sets = found if known is None else known.unionByName(found)
+    if sets is None:
+        return near.select("a", "b"), None
+    both = near.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+    both = both.withColumn("shared", F.size(F.array_intersect("set_a", "set_b")))
     union = F.col("n_a") + F.col("n_b") - F.col("shared")
-    return both.where(F.col("shared") * 100 >= union * PERCENT).select("a", "b")
+    return both.where(F.col("shared") * 100 >= union * PERCENT).select("a", "b"), sets
 
 
 def _cross_pairs(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs within groups of three or more that no hub pair or link connects."""
-    many = groups.where(F.size("members") > 2).withColumn("group", F.xxhash64("members"))
+    """Pairs within groups that the links found so far do not connect."""
+    many = groups.withColumn("group", F.xxhash64("members"))
     each = many.select("group", F.explode("members").alias("cls")).distinct()
     each = each.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left")
     each = each.withColumn("label", F.coalesce("label", "cls"))
-    several = each.groupBy("group").agg(
-        F.min("label").alias("x"), F.max("label").alias("y"), F.min("cls").alias("hub")
-    )
-    each = each.join(several.where("x < y").select("group", "hub"), "group")
+    several = each.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y"))
+    each = written(each.join(several.where("x < y").select("group"), "group"), "open-groups")
     # Labels are paired first, so rows of one component are never held against each other.
     parts = each.select("group", "label").distinct()
     other = parts.select("group", F.col("label").alias("l_b"))
     parts = parts.withColumnRenamed("label", "l_a").join(other, "group").where("l_a < l_b")
-    left = each.select("group", F.col("label").alias("l_a"), F.col("cls").alias("a"), "hub")
+    left = each.select("group", F.col("label").alias("l_a"), F.col("cls").alias("a"))
     right = each.select("group", F.col("label").alias("l_b"), F.col("cls").alias("b"))
     found = parts.join(left, ["group", "l_a"]).join(right, ["group", "l_b"])
-    found = found.where("a <> hub and b <> hub")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -353,11 +404,14 @@ def linked(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     words = classes.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-int(words * 0.5) // KEYS_PER_SHARD))
     groups = written(_candidates(docs, _frequent(sets), shards, width), "groups").distinct()
+    # Each class with one hub, the smallest class of all its groups; then what that leaves.
     hubs = groups.select(F.col("members")[0].alias("a"), F.explode("members").alias("b"))
-    hubs = hubs.where("a <> b").distinct()
-    links = written(_verified(hubs, classes, docs, width), "hub-links")
+    hubs = hubs.where("a <> b").groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links, known = _links(hubs, classes, docs, width)
+    links = written(links, "hub-links")
     labels = components(links)
-    more = written(_verified(_cross_pairs(groups, labels), classes, docs, width), "cross-links")
+    more, _ = _links(_cross_pairs(groups, labels), classes, docs, width, known)
+    more = written(more, "cross-links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 

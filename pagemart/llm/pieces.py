@@ -15,6 +15,7 @@ The vocabulary is read once by the driver and broadcast; its size does not depen
 
 from __future__ import annotations
 
+import gc
 import heapq
 import math
 import re
@@ -32,7 +33,7 @@ from pagemart.llm.common import documents
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
 #: Words a worker remembers; beyond that it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 #: Texts are answered in slices of about so many characters.
 SLICE_CHARS = 1 << 21
 #: A byte piece scores so much less than the rarest piece.
@@ -68,19 +69,36 @@ def read_vocabulary(path: str) -> tuple[list[tuple[int, str, float]], list[int]]
     return pieces, [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
 
 
+class Words(dict):
+    """Words and their segmentation; an unknown one is segmented when it is asked for."""
+
+    def __init__(self, codec: Codec):
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, unit: str) -> tuple[bytes, int, float]:
+        found = self[unit] = self.codec.word(unit)
+        return found
+
+
 class Codec:
-    """The vocabulary as tables, and the words segmented so far."""
+    """The vocabulary as a tree of characters, and the words segmented so far."""
 
     def __init__(self, pieces: list[tuple[int, str, float]], byte_ids: list[int]):
-        self.ids = {piece: i for i, piece, _ in pieces}
+        self.pieces, self.byte_ids = pieces, byte_ids
         self.scores = {piece: round(s / UNIT) for _, piece, s in pieces}
-        self.prefixes = {p[:n] for p in self.ids for n in range(1, len(p))} | self.ids.keys()
+        self.ids = {piece: i for i, piece, _ in pieces}
         self.longest = max(map(len, self.ids), default=1)
-        self.byte_ids = byte_ids
         self.byte_score = min(self.scores.values(), default=0) - round(BYTE_PENALTY / UNIT)
-        self.size = max([*byte_ids, *(i for i, _, _ in pieces)]) + 1
-        self.bytes = [b""] * self.size
-        for i, piece, _ in pieces:
+        # A node: the score and id of the piece that ends here, or None, and what follows.
+        self.root: dict = {}
+        for piece, score in self.scores.items():
+            node: list = [None, 0, self.root]
+            for c in piece:
+                node = node[2].setdefault(c, [None, 0, {}])
+            node[:2] = [score, self.ids[piece]]
+        self.bytes = [b""] * (max([*byte_ids, *self.ids.values()]) + 1)
+        for piece, i in self.ids.items():
             self.bytes[i] = piece.replace(SPACE, " ").encode()
         for b, i in enumerate(byte_ids):
             self.bytes[i] = bytes([b])
@@ -88,58 +106,86 @@ class Codec:
         joined = set("".join(p for p in self.ids if len(p) > 1))
         alone = re.escape("".join(c for c in WHITE if c not in joined and c != " ") + SPACE)
         self.units = re.compile(f" *[^ {alone}]+|[{alone}]| +")
-        self.words: dict = {}
+        self.words = Words(self)
         self.ways: dict = {}
 
+    def __reduce__(self):
+        return Codec, (self.pieces, self.byte_ids)
+
+    def forward(self, unit: str) -> tuple[list, list, list[int], list[int]]:
+        """Best and second-best score up to each place, where the best path comes from, and
+        the id of its last piece (-1 for bytes)."""
+        n, root = len(unit), self.root
+        chars = unit.replace(" ", SPACE)
+        best, second = [0] + [-math.inf] * n, [-math.inf] * (n + 1)
+        back, last = [0] * (n + 1), [-1] * (n + 1)
+        if unit == SPACE:
+            # A literal mark must not become a space: its bytes only.
+            return [0, 3 * self.byte_score], second, back, last
+        for i in range(n):
+            here, behind = best[i], second[i]
+            following, j, single = root, i, False
+            for c in chars[i : i + self.longest]:
+                node = following.get(c)
+                if node is None:
+                    break
+                score, piece, following = node
+                j += 1
+                if score is not None:
+                    single = single or j == i + 1
+                    found = here + score
+                    if found > best[j]:
+                        other = behind + score
+                        second[j] = best[j] if best[j] > other else other
+                        best[j], back[j], last[j] = found, i, piece
+                    elif found > second[j]:
+                        second[j] = found
+            if not single:
+                score = self.byte_score * len(unit[i].encode())
+                found, j = here + score, i + 1
+                if found > best[j]:
+                    other = behind + score
+                    second[j] = best[j] if best[j] > other else other
+                    best[j], back[j], last[j] = found, i, -1
+                elif found > second[j]:
+                    second[j] = found
+        return best, second, back, last
+
+    def word(self, unit: str) -> tuple[bytes, int, float]:
+        """The best ids (as 32-bit numbers), their score, and what the second-best way costs."""
+        best, second, back, last = self.forward(unit)
+        end, ids = len(unit), []
+        while end:
+            start = back[end]
+            if last[end] >= 0:
+                ids.append(last[end])
+            else:
+                ids += [self.byte_ids[b] for b in reversed(unit[start:end].encode())]
+            end = start
+        ids.reverse()
+        return array("i", ids).tobytes(), best[-1], best[-1] - second[-1]
+
     def _edges(self, unit: str) -> Iterator[tuple[int, int, int]]:
-        """(start, end, score) of the lattice by start; a unit that is one literal mark has its
-        bytes only."""
+        """(start, end, score) of the whole lattice of a unit, by start."""
         if unit == SPACE:
-            yield 0, 1, self.byte_score * len(SPACE.encode())
+            yield 0, 1, 3 * self.byte_score
             return
         chars = unit.replace(" ", SPACE)
-        n, scores, prefixes, longest = len(chars), self.scores, self.prefixes, self.longest
-        for i in range(n):
-            for j in range(i + 1, min(i + longest, n) + 1):
-                piece = chars[i:j]
-                if piece in scores:
-                    yield i, j, scores[piece]
-                elif j == i + 1:
-                    # A space without a piece of its own stays a space.
-                    size = 1 if piece == SPACE else len(piece.encode())
-                    yield i, j, self.byte_score * size
-                if piece not in prefixes:
-                    break
+        for i in range(len(unit)):
+            single = False
+            for j in range(i + 1, min(i + self.longest, len(unit)) + 1):
+                score = self.scores.get(chars[i:j])
+                if score is not None:
+                    single = single or j == i + 1
+                    yield i, j, score
+            if not single:
+                yield i, i + 1, self.byte_score * len(unit[i].encode())
 
     def _edge_ids(self, unit: str, start: int, end: int) -> list[int]:
         piece = unit[start:end]
         known = self.ids.get(piece.replace(" ", SPACE)) if unit != SPACE else None
         return [known] if known is not None else [self.byte_ids[b] for b in piece.encode()]
 
-    def forward(self, unit: str) -> tuple[list, list, list[int]]:
-        """Best and second-best score up to each place, and where the best path comes from."""
-        n = len(unit)
-        best, second, back = [0] + [-math.inf] * n, [-math.inf] * (n + 1), [0] * (n + 1)
-        for i, j, score in self._edges(unit):
-            found = best[i] + score
-            if found > best[j]:
-                second[j] = max(best[j], second[i] + score)
-                best[j], back[j] = found, i
-            elif found > second[j]:
-                second[j] = found
-        return best, second, back
-
-    def word(self, unit: str) -> tuple[bytes, int, float]:
-        """The best ids (as 32-bit numbers), their score, and what the second-best way costs."""
-        best, second, back = self.forward(unit)
-        cuts = [len(unit)]
-        while cuts[-1]:
-            cuts.append(back[cuts[-1]])
-        ids: list[int] = []
-        for end, start in zip(cuts[-2::-1], cuts[:0:-1], strict=True):
-            ids += self._edge_ids(unit, start, end)
-        return array("i", ids).tobytes(), best[-1], best[-1] - second[-1]
-
     def search(self, unit: str, count: int) -> list[tuple[int, bytes]]:
         """The `count` best ways of a unit, as (cost against the best, ids).
 
@@ -171,13 +217,9 @@ class Codec:
     def encode(self, text: str, count: int) -> list[tuple[float, bytes]]:
         """The `count` best ways of a text, as (score, ids); a leading space is added."""
         units = self.units.findall(f" {text}")
-        known = self.words
-        if len(known) > REMEMBERED:
-            known.clear()
-        for unit in units:
-            if unit not in known:
-                known[unit] = self.word(unit)
-        records = [known[unit] for unit in units]
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+        records = list(map(self.words.__getitem__, units))
         parts = [r[0] for r in records]
         score = sum([r[1] for r in records])
         # A way that differs in any other word costs at least as much as `count` others.
@@ -188,7 +230,7 @@ class Codec:
             if gaps[place] == math.inf:
                 continue
             unit = units[place]
-            if len(self.ways) > REMEMBERED // 10:
+            if len(self.ways) > REMEMBERED // 20:
                 self.ways.clear()
             if (unit, count) not in self.ways:
                 self.ways[unit, count] = self.search(unit, count)
@@ -249,6 +291,8 @@ def encode(docs: DataFrame, path: str = VOCABULARY, n_best: int = N_BEST) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+        # Many small records that stay: the search for cycles would go over them again and again.
+        gc.set_threshold(200_000)
         for batch in batches:
             texts = batch["text"].to_pylist()
             for start, end in slices(texts):
