@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from pagemart.operators import extract as E
 from pagemart.operators.combine import enrich_listing
+from pagemart.operators.html_fields import PageSpec, Rule, Step
 from pagemart.schema import PAGES
 
 BASE = "https://shop.example/"
@@ -165,3 +166,47 @@ def test_listing_takes_over_detail(pages, spark):
         assert got[BASE + "catalogue/a_1/index.html"] == ("Poetry", "u1", "A long title")
         assert got["elsewhere"] == ("Unknown", None, "A long title")
     assert E.union_listings(listing, listing, listing).count() == 3
+
+
+FOREIGN = """<ul class="goods"><li data-n="1"><b>Tea pot</b><a href="/x/1">see</a><i>12.50 EUR</i></li>
+<li><b>Cup</b><i>3 EUR</i></li></ul>"""
+
+
+def test_a_spec_without_markers_reads_every_page(spark):
+    """Another site: other elements, no markers, no pairs, and only some of the texts."""
+    spec = PageSpec(
+        records=(Step("ul", css="goods"), Step("li")),
+        fields={
+            "title": Rule((Step("b"),)),
+            "href": Rule((Step("a"),), "href"),
+            "price_text": Rule((Step("i"),)),
+        },
+    )
+    pages = spark.createDataFrame([(1, BASE, FOREIGN), (2, BASE, FOREIGN), (3, BASE, "<p>none</p>")], PAGES)
+    raw = E.raw_records(pages, spec)
+    assert raw.count() == 4
+    rows = E.extract_listing(pages, BASE, spec=spec).orderBy("page_id", "pos").collect()
+    assert [(r["title"], r["price"], r["error"]) for r in rows] == [
+        ("Tea pot", 12.5, None),
+        ("Cup", 3.0, "no title link"),
+    ] * 2
+    assert {r["availability"] for r in rows} == {"Unknown"} and {r["rating"] for r in rows} == {0}
+
+
+def test_a_detail_spec_may_have_no_pairs(spark):
+    spec = PageSpec(fields={"description": Rule((Step("p"),))})
+    pages = spark.createDataFrame([(1, BASE, "<p> Some text. </p>"), (2, BASE, "<div></div>")], PAGES)
+    (row,) = E.extract_detail(pages, BASE, spec=spec).collect()
+    assert (row["page_id"], row["description"], row["upc"], row["error"]) == (1, "Some text.", None, None)
+
+
+def test_all_specs_are_read_in_one_pass(spark):
+    specs = {"listing": E.LISTING_SPEC, "detail": E.DETAIL_SPEC, "category": E.CATEGORY_SPEC}
+    pages = spark.createDataFrame([(1, BASE, LISTING), (2, BASE + "d", DETAIL)], PAGES)
+    parsed = E.parse_pages(pages, specs)
+    plan = parsed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    for kind, spec in specs.items():
+        alone = E.raw_records(pages, spec)
+        together = parsed.where(parsed["kind"] == kind).select(alone.columns)
+        assert sorted(map(repr, together.collect())) == sorted(map(repr, alone.collect()))

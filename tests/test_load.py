@@ -1,4 +1,5 @@
 import json
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,3 +137,28 @@ def test_exports(spark, table, tmp_path):
     (line,) = spark.read.text(str(tmp_path / "json")).collect()
     assert json.loads(line["value"]) == record
     assert set(RECORD.fieldNames()) < set(record)
+
+
+def test_times_are_utc_in_any_session_zone(spark, table):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        before = datetime.now(timezone.utc).replace(tzinfo=None)
+        table.load(batch_of(spark, ("u1", "one", 1.0)), ["place"])
+        after = datetime.now(timezone.utc).replace(tzinfo=None)
+        (row,) = table.read().collect()
+        for name in ("scraped_at", "created_at", "updated_at"):
+            assert before - timedelta(seconds=1) <= row[name] <= after + timedelta(seconds=1)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_a_small_batch_does_not_shuffle_the_target(spark):
+    target = spark.range(5000).select(F.concat(F.lit("t"), "id").alias("upc"))
+    batch = batch_of(spark, ("t7", "there", 1.0), ("n1", "new", 2.0))
+    plan = plan_load(batch, target, ["place"], cut_target=True)
+    assert [r["upc"] for r in plan.accepted.collect()] == ["n1"]
+    text = plan.accepted._jdf.queryExecution().optimizedPlan().toString()
+    cut = text.index("LeftSemi")
+    assert "rightHint=(strategy=broadcast)" in text[cut:]
+    whole = plan_load(batch, target, ["place"])
+    assert sorted(map(repr, whole.accepted.collect())) == sorted(map(repr, plan.accepted.collect()))

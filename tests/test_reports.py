@@ -223,3 +223,46 @@ def test_report_frame_is_cached_until_cleared(small):
     reports.clear()
     assert not first.storageLevel.useMemory and reports.frame.storageLevel.useDisk
     reports.clear()
+
+
+@pytest.mark.parametrize("value", [float("inf"), float("-inf"), float("nan")])
+def test_a_histogram_needs_a_finite_range(spark, value):
+    frame = spark.createDataFrame([(1.0,), (value,), (3.0,)], "price double")
+    with pytest.raises(ValueError, match="finite"):
+        D.histogram(frame, "price", 5)
+
+
+def test_a_sample_is_fair_to_repeated_rows(spark):
+    equal = spark.range(1000).select(F.lit(-1).cast("long").alias("id"), F.lit("same").alias("title"))
+    other = spark.range(1000).select("id", F.lit("other").alias("title"))
+    frame = equal.unionByName(other)
+    for seed in range(4):
+        drawn = ranking.sample_books(frame, n=500, seed=seed)
+        assert drawn.count() == 500
+        assert 190 < drawn.where("id = -1").count() < 310
+    assert ranking.sample_books(frame, n=5000).count() == 2000
+
+
+def test_a_capped_table_shows_the_newest_rows(spark):
+    frame = spark.range(20).select(
+        F.concat(F.lit("t"), F.col("id")).alias("title"),
+        F.make_timestamp_ntz(F.lit(2020), F.lit(1), F.col("id").cast("int") + 1, F.lit(0), F.lit(0), F.lit(0)).alias(
+            "created_at"
+        ),
+        F.lit("c").alias("category"),
+        F.lit(3).alias("rating"),
+        F.lit(1.0).alias("price"),
+    )
+    shown = filters.explore(frame, columns=["title"], limit=3).collect()
+    assert [r["title"] for r in shown] == ["t19", "t18", "t17"]
+
+
+def test_correlation_reads_rows_as_they_are(spark):
+    frame = spark.range(9).select(F.col("id").alias("a"), (F.col("id") * 2).alias("b"))
+    found = D.correlation_matrix(frame, ["a", "b"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # The only expansion is above the aggregate, of its one row.
+    assert plan.count("Generate") <= 2 and plan.rindex("Generate") < plan.index("Aggregate")
+    assert {(r["x"], r["y"]): round(r["r"], 9) for r in found.collect()} == {
+        (x, y): 1.0 for x in "ab" for y in "ab"
+    }
