@@ -19,9 +19,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a table in the shared folder: lineage ends here, on files all nodes see."""
+    """The frame as a table in the shared folder: lineage ends here, on files all nodes see.
+
+    Spark removes the shuffle files of a finished job when the driver collects its plan. Jobs
+    of many tables would pile them up until then, so the driver is asked to do that here.
+    """
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

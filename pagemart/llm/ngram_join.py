@@ -14,15 +14,17 @@ them. Sets are joined within bands of sizes (powers of two); a set that may have
 partner in the next band has keys there as well.
 
 Equal sets are one class from the start. Candidates are pairs of classes with an equal key,
-filtered by size and by the Hamming distance of 512-bit parity sketches (a lower bound of the
-number of differing elements), and verified on whole sets. First each
-class is paired with one hub only, the smallest class it shares a key with; what the links
-found so far leave unconnected is then paired within each group of classes with one key. A
-group of n near copies so costs about n pairs, and no link between components is lost.
+filtered by size and by the Hamming distance of parity sketches (a lower bound of the number of
+differing elements) of two to four bits per element, and verified on whole sets. In each
+group of classes with one key, only as many candidates are verified as would connect the
+group; what they leave unconnected is tried again without the pairs that were refuted, until
+no candidate is open between two components. A group of n near copies so costs about n pairs,
+and the components are those of all links.
 """
 
 from __future__ import annotations
 
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,11 +44,14 @@ PERCENT = 75
 #: Shingle counts are kept in so many counters, by hash.
 COUNTERS = 16_384
 COUNTER_SLICES = 16
+#: Sketches have a power of two of 64-bit words, so many at least.
 SKETCH_WORDS = 8
 #: Sets of one or two elements can only be linked to equal ones.
 SMALLEST = 3
 #: About so many keys meet in one task.
 KEYS_PER_SHARD = 1_500_000
+#: About so many members of groups meet in one task.
+MEMBERS_PER_TASK = 300_000
 #: Texts whose keys are dealt out together.
 SLICE_WORDS = 1_000_000
 
@@ -84,10 +89,21 @@ def set_class(shingles: np.ndarray) -> int:
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """The parity sketch: each element flips one of 64 * SKETCH_WORDS bits."""
-    bits = mixed(shingles, 19) % np.uint64(64 * SKETCH_WORDS)
-    odd = np.bincount(bits.astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    """The parity sketch: each element flips one bit of two to four times as many bits.
+
+    A sketch of half the length is the XOR of its halves, so sketches of any length compare.
+    """
+    bits = max(64 * SKETCH_WORDS, 4 << (len(shingles).bit_length() - 1)) if len(shingles) else 64 * SKETCH_WORDS
+    place = mixed(shingles, 19) & np.uint64(bits - 1)
+    odd = np.bincount(place.astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    while len(sketch) > words:
+        half = len(sketch) // 2
+        sketch = sketch[:half] ^ sketch[half:]
+    return sketch
 
 
 def counter(shingles: np.ndarray) -> np.ndarray:
@@ -310,18 +326,129 @@ def gathered(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(classes)
 
 
-def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that sizes and sketches leave open, with their sizes."""
-    for side in "ab":
-        own = classes.select(
-            F.col("cls").alias(side), F.col("n").alias(f"n_{side}"), F.col("numbers").alias(f"bits_{side}")
-        )
-        pairs = pairs.join(own, side)
-    flips = F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    distance = F.aggregate(flips, F.lit(0), lambda total, n: total + n)
-    most = F.floor((F.col("n_a") + F.col("n_b")) * (100 - PERCENT) / (100 + PERCENT))
-    sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
-    return pairs.where(sizes & (distance <= most)).select("a", "b", "n_a", "n_b")
+class Sketches:
+    """The sketches of one group, folded to each of the lengths that occur."""
+
+    def __init__(self, sketches: list[np.ndarray]):
+        self.words = np.array([len(s) for s in sketches])
+        self.at = {
+            words: np.array([folded(s, words) if len(s) >= words else np.zeros(words, np.int64) for s in sketches])
+            for words in set(self.words.tolist())
+        }
+
+    def flips(self, own: int, others: np.ndarray) -> np.ndarray:
+        """The Hamming distance of one sketch and others, each at the shorter of both lengths."""
+        words = np.minimum(self.words[own], self.words[others])
+        found = np.zeros(len(others), np.int64)
+        for length in set(words.tolist()):
+            here = words == length
+            differing = self.at[length][others[here]] ^ self.at[length][own]
+            found[here] = np.bitwise_count(differing.view(np.uint64)).sum(axis=1, dtype=np.int64)
+        return found
+
+
+def near_pairs(
+    classes: np.ndarray,
+    labels: np.ndarray,
+    sizes: np.ndarray,
+    sketches: Sketches,
+    refuted: set[tuple[int, int]],
+    tries: int = 1,
+) -> list[tuple[int, int]]:
+    """Pairs that could be links and would connect the labels of one group as far as possible.
+
+    `classes` is sorted. From the first label outwards, what has been reached is held against
+    what has not: a pair counts if sizes and sketches leave it open and it is not refuted. Each
+    label is reached by `tries` pairs at most, so there are fewer pairs than that per label.
+    """
+    found = []
+    waiting = np.arange(len(classes))
+    while len(waiting):
+        first = labels[waiting[0]]
+        front = deque(waiting[labels[waiting] == first])
+        waiting = waiting[labels[waiting] != first]
+        count: Counter = Counter()
+        while front and len(waiting):
+            own = front.popleft()
+            both = sizes[own] + sizes[waiting]
+            small = np.minimum(sizes[own], sizes[waiting]) * 100
+            fits = small >= np.maximum(sizes[own], sizes[waiting]) * PERCENT
+            fits &= sketches.flips(own, waiting) <= both * (100 - PERCENT) // (100 + PERCENT)
+            done = []
+            for other in waiting[fits]:
+                label = labels[other]
+                pair = (int(min(classes[own], classes[other])), int(max(classes[own], classes[other])))
+                if count[label] >= tries or label == labels[own] or pair in refuted:
+                    continue
+                found.append(pair)
+                count[label] += 1
+                if count[label] == 1:
+                    front += waiting[labels[waiting] == label].tolist()
+                if count[label] == tries:
+                    done.append(label)
+            if done:
+                waiting = waiting[~np.isin(labels[waiting], done)]
+        waiting = waiting[~np.isin(labels[waiting], list(count))]
+    return found
+
+
+def _members(groups: DataFrame) -> DataFrame:
+    """(group, cls) of every member of every group."""
+    each = groups.select(F.xxhash64("members").alias("group"), F.explode("members").alias("cls"))
+    return each.distinct()
+
+
+def _open_pairs(
+    members: DataFrame, classes: DataFrame, labels: DataFrame | None, refuted: DataFrame | None, tries: int
+) -> DataFrame:
+    """(group, a, b, n_a, n_b): pairs to verify next, from groups with several labels."""
+    each = members
+    if labels is None:
+        each = each.withColumn("label", F.col("cls"))
+    else:
+        each = each.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left")
+        each = each.withColumn("label", F.coalesce("label", "cls"))
+        several = each.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y"))
+        each = each.join(several.where("x < y").select("group"), "group", "left_semi")
+    shards = max(1, -(-members.count() // MEMBERS_PER_TASK))
+    shard = F.pmod("group", F.lit(shards)).cast("int")
+    dealt = written(each.withColumn("shard", shard), "open-members")
+    # Sketches and refuted partners go to a shard once, however many groups a class is in.
+    known = dealt.select("shard", "cls").distinct().join(classes.select("cls", "n", "numbers"), "cls")
+    if refuted is not None:
+        partners = refuted.groupBy(F.col("a").alias("cls")).agg(F.collect_list("b").alias("bad"))
+        known = known.join(partners, "cls", "left")
+    else:
+        known = known.withColumn("bad", F.lit(None).cast("array<bigint>"))
+
+    known = known.select(
+        F.col("shard").alias("of"), F.col("cls").alias("own"), "n", "numbers", "bad"
+    )
+
+    def connect(groups: pa.Table, known: pa.Table) -> pa.Table:
+        groups = groups.sort_by([("group", "ascending"), ("cls", "ascending")])
+        known = known.sort_by("own")
+        every = known["own"].to_numpy()
+        size = known["n"].to_numpy()
+        numbers = known["numbers"].combine_chunks()
+        cuts, flat = numbers.offsets.to_numpy(), numbers.values.to_numpy()
+        bad = known["bad"].to_pylist()
+        group, cls, label = (groups[c].to_numpy() for c in ("group", "cls", "label"))
+        place = np.searchsorted(every, cls)
+        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        pairs: list[tuple[int, int, int, int, int]] = []
+        for start, end in zip(starts, [*starts[1:], len(group)], strict=True):
+            at = place[start:end]
+            sketches = Sketches([flat[cuts[i] : cuts[i + 1]] for i in at])
+            no = {(int(every[i]), b) for i in at for b in bad[i] or ()}
+            near = near_pairs(cls[start:end], label[start:end], size[at], sketches, no, tries)
+            own = dict(zip(cls[start:end].tolist(), size[at].tolist(), strict=True))
+            pairs += [(int(group[start]), a, b, own[a], own[b]) for a, b in near]
+        columns = [pa.array([p[i] for p in pairs], pa.int64()) for i in range(5)]
+        return pa.table(columns, ["group", "a", "b", "n_a", "n_b"])
+
+    schema = "group long, a long, b long, n_a long, n_b long"
+    return dealt.groupBy("shard").cogroup(known.groupBy("of")).applyInArrow(connect, schema)
 
 
 def _whole_sets(needed: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -343,46 +470,54 @@ def _whole_sets(needed: DataFrame, classes: DataFrame, docs: DataFrame, width: i
     return sets.dropDuplicates(["cls"])
 
 
-def _links(
-    pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, known: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame | None]:
-    """The linked ones among the pairs of classes, and the sets read so far.
+def _linked_pairs(
+    near: DataFrame, classes: DataFrame, docs: DataFrame, width: int, known: DataFrame | None
+) -> tuple[DataFrame, DataFrame]:
+    """(a, b, linked) for every pair, and the sets read so far.
 
     Texts are read again only for classes whose set is not known yet.
     """
-    near = written(_near(pairs, classes), "near-pairs")
     needed = near.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     if known is not None:
         needed = needed.join(known.select("cls"), "cls", "left_anti")
     needed = written(needed, "needed-classes")
     sets = known
-    if not needed.isEmpty():
+    if known is None or not needed.isEmpty():
         found = written(_whole_sets(needed, classes, docs, width), "shingles")
         sets = found if known is None else known.unionByName(found)
-    if sets is None:
-        return near.select("a", "b"), None
     both = near.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     both = both.withColumn("shared", F.size(F.array_intersect("set_a", "set_b")))
     union = F.col("n_a") + F.col("n_b") - F.col("shared")
-    return both.where(F.col("shared") * 100 >= union * PERCENT).select("a", "b"), sets
-
-
-def _cross_pairs(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs within groups that the links found so far do not connect."""
-    many = groups.withColumn("group", F.xxhash64("members"))
-    each = many.select("group", F.explode("members").alias("cls")).distinct()
-    each = each.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left")
-    each = each.withColumn("label", F.coalesce("label", "cls"))
-    several = each.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-    each = written(each.join(several.where("x < y").select("group"), "group"), "open-groups")
-    # Labels are paired first, so rows of one component are never held against each other.
-    parts = each.select("group", "label").distinct()
-    other = parts.select("group", F.col("label").alias("l_b"))
-    parts = parts.withColumnRenamed("label", "l_a").join(other, "group").where("l_a < l_b")
-    left = each.select("group", F.col("label").alias("l_a"), F.col("cls").alias("a"))
-    right = each.select("group", F.col("label").alias("l_b"), F.col("cls").alias("b"))
-    found = parts.join(left, ["group", "l_a"]).join(right, ["group", "l_b"])
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    linked = F.col("shared") * 100 >= union * PERCENT
+    return both.select("a", "b", linked.alias("linked")), sets
+
+
+def _components(groups: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(node, label) of all classes in links.
+
+    Rounds of pairs that would connect the groups, each verified, until no group has an open
+    pair between two labels. A group without one never has one again and is left behind; in
+    what remains, each round tries eight times as many pairs per label.
+    """
+    members = written(_members(groups), "group-members")
+    nothing = docs.sparkSession.createDataFrame([], "node long, label long")
+    labels = refuted = sets = links = None
+    tries = 1
+    while True:
+        found = written(_open_pairs(members, classes, labels, refuted, tries), "open-pairs")
+        near = written(found.drop("group").distinct(), "near-pairs")
+        if near.isEmpty():
+            return nothing if labels is None else labels
+        verdicts, sets = _linked_pairs(near, classes, docs, width, sets)
+        verdicts = written(verdicts, "verdicts")
+        new, bad = verdicts.where("linked").select("a", "b"), verdicts.where("NOT linked").select("a", "b")
+        refuted = bad if refuted is None else refuted.unionByName(bad)
+        if not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            labels = components(links)
+        open_groups = found.select("group").distinct()
+        members = written(members.join(open_groups, "group", "left_semi"), "group-members")
+        tries *= 8
 
 
 def linked(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -404,17 +539,7 @@ def linked(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     words = classes.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-int(words * 0.5) // KEYS_PER_SHARD))
     groups = written(_candidates(docs, _frequent(sets), shards, width), "groups").distinct()
-    # Each class with one hub, the smallest class of all its groups; then what that leaves.
-    hubs = groups.select(F.col("members")[0].alias("a"), F.explode("members").alias("b"))
-    hubs = hubs.where("a <> b").groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links, known = _links(hubs, classes, docs, width)
-    links = written(links, "hub-links")
-    labels = components(links)
-    more, _ = _links(_cross_pairs(groups, labels), classes, docs, width, known)
-    more = written(more, "cross-links")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
-
+    labels = _components(groups, classes, docs, width)
     labelled = classes.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left")
     labelled = labelled.select("cls", "doc_id", F.coalesce("label", "cls").alias("label"))
     smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
