@@ -8,6 +8,7 @@ from pagemart.llm import (
     line_dedup,
     mixing,
     ngram_join,
+    oracle,
     pieces,
     pii,
     quality,
@@ -28,4 +29,7 @@ QUERIES = {
     "op10_sentencepiece": pieces.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_ngram_join": oracle.NGRAM_JOIN,
+    "op4_line_dedup": oracle.LINE_DEDUP,
+}
