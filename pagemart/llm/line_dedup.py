@@ -100,29 +100,21 @@ def _position() -> Column:
     return F.struct("doc_id", "tie", "no")
 
 
-def matching_classes(docs: DataFrame, lines: DataFrame, levels: list[int]) -> DataFrame:
-    """(cls, earliest): the place of the first line that matches a class, its own included."""
-    classes = lines.groupBy("cls").agg(
-        F.min(_position()).alias("first"),
-        F.first("size").alias("size"),
-        F.first("bits").alias("bits"),
-        F.first("prefix").alias("prefix"),
-    )
-    classes = written(classes, "line-classes")
-    each = classes.select("cls", "size", "bits", F.posexplode("prefix").alias("at", "word"))
-    one = each.toDF("a", "size_a", "bits_a", "at_a", "word")
-    two = each.toDF("b", "size_b", "bits_b", "at_b", "word")
+def _could_match(words_too: bool) -> Column:
+    """Whether sizes, parity bits and the places of the shared word leave a pair (a, b) open."""
     needed = _ceil_share(F.col("size_a") + F.col("size_b"), PERCENT, 100 + PERCENT)
-    possible = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
     lengths = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * PERCENT
     differing = F.col("size_a") + F.col("size_b") - 2 * needed
     near = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= differing
-    filters = (F.col("a") < F.col("b")) & lengths & (possible >= needed) & near
-    pairs = one.join(two, "word").where(filters)
-    pairs = written(pairs.select("a", "b").distinct(), "line-pairs")
+    if not words_too:
+        return lengths & near
+    possible = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
+    return lengths & near & (possible >= needed)
+
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    places = wanted.join(classes.select("cls", "first.*"), "cls")
+def _code_sets(needed: DataFrame, classes: DataFrame, docs: DataFrame, levels: list[int]) -> DataFrame:
+    """(cls, codes) of the needed classes, from the first line of each."""
+    places = needed.join(classes.select("cls", "first.*"), "cls")
     places = places.groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).agg(
         F.collect_list("no").alias("numbers")
     )
@@ -131,14 +123,72 @@ def matching_classes(docs: DataFrame, lines: DataFrame, levels: list[int]) -> Da
     chosen = texts.join(places, same).select(F.split("text", "\n").alias("lines"), "numbers")
     chosen = chosen.select(F.explode(F.transform("numbers", lambda i: F.get("lines", i))).alias("line"))
     sets = chosen.select(token_codes(F.col("line"), levels).alias("codes"))
-    sets = sets.select(F.xxhash64("codes").alias("cls"), "codes").dropDuplicates(["cls"])
-    sets = written(sets, "line-codes")
+    return sets.select(F.xxhash64("codes").alias("cls"), "codes").dropDuplicates(["cls"])
 
+
+def _matches(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets match."""
     both = pairs.join(sets.toDF("a", "codes_a"), "a").join(sets.toDF("b", "codes_b"), "b")
     both = both.withColumn("shared", F.size(F.array_intersect("codes_a", "codes_b")))
     union = F.size("codes_a") + F.size("codes_b") - F.col("shared")
-    links = both.where(F.col("shared") * 100 >= union * PERCENT).select("a", "b")
-    links = written(links, "line-links")
+    return both.where(F.col("shared") * 100 >= union * PERCENT).select("a", "b")
+
+
+def matching_classes(docs: DataFrame, lines: DataFrame, levels: list[int]) -> DataFrame:
+    """(cls, earliest): the place of a line that matches a class and comes before its lines, or
+    else of its own first line.
+
+    First each class is held against the earliest class that shares one of its two rarest
+    words. What matches goes, whatever else it matches, so it is closed: of two closed classes
+    nothing more need be known. Only then all pairs with a shared prefix word are looked at in
+    which the later class is open. A family of n near copies so costs about n pairs.
+    """
+    classes = lines.groupBy("cls").agg(
+        F.min(_position()).alias("first"),
+        F.first("size").alias("size"),
+        F.first("bits").alias("bits"),
+        F.first("prefix").alias("prefix"),
+    )
+    classes = written(classes, "line-classes")
+    heads = classes.select("cls", "first", "size", "bits", F.explode(F.slice("prefix", 1, 2)).alias("word"))
+    hubs = heads.groupBy("word").agg(F.min(F.struct("first", "cls", "size", "bits")).alias("hub"))
+    hubs = hubs.select(
+        "word",
+        F.col("hub.cls").alias("a"),
+        F.col("hub.size").alias("size_a"),
+        F.col("hub.bits").alias("bits_a"),
+    )
+    members = heads.select("word", F.col("cls").alias("b"), F.col("size").alias("size_b"), F.col("bits").alias("bits_b"))
+    with_hub = hubs.join(members, "word").where((F.col("a") != F.col("b")) & _could_match(False))
+    with_hub = written(with_hub.select("a", "b").distinct(), "line-hubs")
+    needed = with_hub.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    sets = written(_code_sets(needed, classes, docs, levels), "line-codes")
+    found = written(_matches(with_hub, sets), "hub-matches")
+
+    closed = found.select(F.col("b").alias("cls")).distinct().withColumn("closed", F.lit(True))
+    each = classes.join(closed, "cls", "left").select(
+        "cls",
+        "size",
+        "bits",
+        F.col("closed").isNull().alias("open"),
+        F.posexplode("prefix").alias("at", "word"),
+    )
+    one = each.toDF("a", "size_a", "bits_a", "open_a", "at_a", "word")
+    two = each.toDF("b", "size_b", "bits_b", "open_b", "at_b", "word")
+    wanted = (F.col("a") < F.col("b")) & (F.col("open_a") | F.col("open_b"))
+    pairs = one.join(two, "word").where(wanted & _could_match(True))
+    pairs = pairs.select("a", "b").distinct()
+    # A pair tells something only if its later class is open.
+    known = classes.join(closed, "cls", "left").select("cls", "first", "closed")
+    for side in "ab":
+        pairs = pairs.join(known.toDF(side, f"first_{side}", f"closed_{side}"), side)
+    later = F.when(F.col("first_a") < F.col("first_b"), F.col("closed_b")).otherwise(F.col("closed_a"))
+    pairs = written(pairs.where(later.isNull()).select("a", "b"), "line-pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    needed = needed.join(sets.select("cls"), "cls", "left_anti")
+    more = written(_code_sets(needed, classes, docs, levels), "line-codes")
+    links = written(_matches(pairs, sets.unionByName(more)), "line-matches").unionByName(found)
+
     links = links.union(links.select("b", "a")).toDF("cls", "other")
     firsts = classes.select(F.col("cls").alias("other"), "first")
     near = links.join(firsts, "other").groupBy("cls").agg(F.min("first").alias("near"))
