@@ -91,13 +91,29 @@ def _counted(values: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.n
 
 def _shard_borders(shards: int) -> np.ndarray:
     """The first hash of each shard but the first."""
-    return np.array([(i << 64) // shards for i in range(1, shards)], np.uint64)
+    return np.array([-(-(i << 64) // shards) for i in range(1, shards)], np.uint64)
 
 
 def _cut(keys: np.ndarray, shards: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, _shard_borders(shards)), [len(keys)]])
 
 
+def _packed(keys: np.ndarray, shards: int) -> bytes:
+    """Sorted keys of one shard as six bytes each: the 48 bits below those that chose the shard.
+
+    A shard has some million keys, so equal bits of different keys are as good as unheard of.
+    """
+    rest = (keys * np.uint64(shards)) >> np.uint64(16)
+    high, low = (rest >> np.uint64(16)).astype(np.uint32), (rest & np.uint64(0xFFFF)).astype(np.uint16)
+    return high.tobytes() + low.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    count = len(data) // 6
+    high = np.frombuffer(data, np.uint32, count).astype(np.uint64)
+    return (high << np.uint64(16)) | np.frombuffer(data, np.uint16, count, 4 * count)
+
+
 class Block:
     """The n-grams of one block of texts."""
 
@@ -183,7 +199,7 @@ def score_documents(
             parts = [slice(c[shard], c[shard + 1]) for c in cuts]
             columns["block"].append(key[0].as_py())
             columns["shard"].append(shard)
-            columns["keys"].append([k[p].tobytes() for (k, _), p in zip(asked, parts, strict=True)])
+            columns["keys"].append([_packed(k[p], blocks) for (k, _), p in zip(asked, parts, strict=True)])
             columns["counts"].append([c[p].tobytes() for (_, c), p in zip(asked, parts, strict=True)])
         return pa.table(columns, schema=REQUEST)
 
@@ -192,13 +208,13 @@ def score_documents(
         levels = []
         for level in range(order):
             parts = [
-                (np.frombuffer(r["keys"][level], np.uint64), np.frombuffer(r["counts"][level], np.uint32))
+                (_unpacked(r["keys"][level]), np.frombuffer(r["counts"][level], np.uint32))
                 for r in rows
             ]
             levels.append(_total(parts))
         answers = []
         for r in rows:
-            asked = [np.frombuffer(k, np.uint64) for k in r["keys"]]
+            asked = [_unpacked(k) for k in r["keys"]]
             totals = [
                 t[np.searchsorted(k, a)].tobytes()
                 for (k, t), a in zip(levels, asked, strict=True)
