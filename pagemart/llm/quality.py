@@ -26,6 +26,10 @@ MIN_REFERENCE_WORDS = 2000
 #: Shorter documents are not held against the references.
 MIN_CHARS, MIN_WORDS = 200, 50
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.33, 0.5
+#: A text without any of the common words lies at a distance that depends on how much they
+#: cover in its language. The word limit is at most this share of that distance, for texts
+#: in which so many common words are expected that their lack cannot be chance.
+MAX_WORD_SHARE, MIN_EXPECTED = 0.95, 10
 
 #: Fixed values of the base rules.
 SYMBOLS = r"[#*$%&|<>]"
@@ -146,6 +150,12 @@ def jensen_shannon(counts: Column, reference: Column) -> Column:
     return let(both, distance)
 
 
+def without_common(bins: Column) -> tuple[Column, Column]:
+    """(distance of a text without common words from a reference, share of common words in it)."""
+    none = F.transform(bins, lambda _, i: F.when(i == 0, 1).otherwise(0).cast("long"))
+    return jensen_shannon(none, bins), 1 - F.get(_shares(bins), F.lit(0))
+
+
 def _split(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     split = docs.select("doc_id", "lang", text.alias("text"), words(F.col("text")).alias("words"))
@@ -234,6 +244,8 @@ def quality(
 ) -> DataFrame:
     """Counts, base verdict and verdict of every document.
 
+    `max_word_distance` holds where a text without common words lies beyond it; elsewhere the
+    limit is a share of that text's distance.
     A null or empty text has no words and fails the base rules. A null or rare `lang` is held
     against the pooled reference. Repeated rows each get their own equal row; a null doc_id is
     allowed, further columns are ignored, an empty table gives no rows.
@@ -249,8 +261,12 @@ def quality(
     class_refs = sums.select(
         F.col("ref_lang").alias("class_lang"), F.array(*[f"c{i}" for i in range(7)]).alias("classes")
     )
+    empty_distance, coverage = without_common(F.col("bins"))
     word_refs = common.select(
-        F.when(~F.col("pooled"), F.col("ref_lang")).alias("word_lang"), "bins"
+        F.when(~F.col("pooled"), F.col("ref_lang")).alias("word_lang"),
+        "bins",
+        F.least(F.lit(float(max_word_distance)), MAX_WORD_SHARE * empty_distance).alias("word_limit"),
+        coverage.alias("coverage"),
     )
     found = found.join(F.broadcast(class_refs), F.col("ref_lang").eqNullSafe(F.col("class_lang")), "left")
     found = found.join(F.broadcast(word_refs), F.col("ref_lang").eqNullSafe(F.col("word_lang")), "left")
@@ -270,8 +286,11 @@ def quality(
             ),
         }
     )
+    word_limit = F.when(
+        F.col("n_words") * F.col("coverage") >= MIN_EXPECTED, F.col("word_limit")
+    ).otherwise(max_word_distance)
     near = F.coalesce(F.col("class_distance") <= max_class_distance, F.lit(True)) & F.coalesce(
-        F.col("word_distance") <= max_word_distance, F.lit(True)
+        F.col("word_distance") <= word_limit, F.lit(True)
     )
     return measured.select(
         "doc_id",

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -76,6 +77,27 @@ def test_odd_documents_lie_far(spark):
     assert by_id[99]["word_distance"] > 0.5 > by_id[0]["word_distance"]
 
 
+def test_nonsense_at_natural_coverage(spark):
+    draw = random.Random(5)
+
+    def nonsense(count):
+        return ["".join(draw.choices("abcdefghijklmnopqrst", k=6)) for _ in range(count)]
+
+    common = nonsense(32)
+
+    def natural(count):
+        return " ".join(draw.choice(common) if draw.random() < 0.25 else w for w in nonsense(count))
+
+    rows = [(i, natural(150), "en") for i in range(100)]
+    rows += [(200 + i, " ".join(nonsense(n)), "en") for i, n in enumerate((50, 100, 400, 1000))]
+    # Without words that recur, lacking them says nothing.
+    rows += [(300 + i, " ".join(nonsense(150)), "xx") for i in range(30)]
+    found = quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    for r in found.collect():
+        assert not r["base_failed"] and r["class_distance"] < 0.33 and r["word_distance"] < 0.5
+        assert r["kept"] == (not 200 <= r["doc_id"] < 300), r
+
+
 def test_other_columns_and_empty(clashing, documents, no_documents):
     assert rows_of(quality.quality(clashing)) == rows_of(quality.quality(documents))
     assert quality.quality(no_documents).count() == 0
