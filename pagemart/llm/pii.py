@@ -31,7 +31,17 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 URL = re.compile(r"(?:www\.)?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?::[0-9]{1,5})?(?:[/?#][^\s<>\"']*)?")
 IBAN = re.compile(r"[\s:.]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
-VALUE = re.compile(r"[\s:=#\"']{1,6}([A-Za-z0-9_-]{12,64})(?![A-Za-z0-9_-])")
+
+#: What may stand between a cue and its value, and the values of each cue. Cues
+#: without an entry have the last one only, which the others fall back to.
+FILLER = r"(?:[\s:=#\"'_-]{0,6}(?i:number|num|no|nr|id|is|was|key|code)\b\.?){0,3}[\s:=#\"']{1,6}"
+DATE = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}")
+SSN = re.compile(FILLER + r"(([0-9]{3})([\x20-]?)([0-9]{2})\3([0-9]{4}))(?![A-Za-z0-9_]|-[A-Za-z0-9])")
+PASSPORT = re.compile(FILLER + r"([A-Za-z0-9]{6,9})(?![A-Za-z0-9_]|-[A-Za-z0-9])")
+ACCOUNT = re.compile(
+    FILLER + r"([0-9]{4}(?:\x20[0-9]{4})+(?:\x20[0-9]{1,4})?|[A-Za-z0-9_-]{6,64})(?![A-Za-z0-9_-])"
+)
+VALUE = re.compile(FILLER + r"([A-Za-z0-9_-]{12,64})(?![A-Za-z0-9_-])")
 
 #: Cues, each in small letters, capitals and with a capital first.
 SCHEMES = ("http://", "https://", "ftp://", "www.")
@@ -71,6 +81,25 @@ def iban_valid(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
+def _digits(text: str) -> int:
+    return sum("0" <= c <= "9" for c in text)
+
+
+def cue_value(cue: str, text: str, at: int) -> re.Match | None:
+    """The match whose first group is the value of a cue that ends at `at`, if there is one."""
+    cue = cue.lower()
+    if cue == "ssn" and (m := SSN.match(text, at)):
+        if m[2] not in ("000", "666") and m[4] != "00" and m[5] != "0000":
+            return m
+    if cue == "passport" and (m := PASSPORT.match(text, at)) and _digits(m[1]) >= 4:
+        return m
+    if cue == "account" and (m := ACCOUNT.match(text, at)):
+        if _digits(m[1]) >= 6 and not DATE.fullmatch(m[1]):
+            return m
+    m = VALUE.match(text, at)
+    return m if m and _digits(m[1]) >= 4 else None
+
+
 def find_spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every span, by start and then kind; code points, end exclusive."""
     spans = []
@@ -116,10 +145,9 @@ def find_spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int
             if (m := IBAN.match(text, last + 1)) and iban_valid(m[1]):
                 after["iban"] = m.end()
                 spans.append((*m.span(1), "iban"))
-        elif m := VALUE.match(text, last + 1):
-            if sum(c.isdigit() for c in m[1]) >= 4:
-                after["account"] = m.end()
-                spans.append((*m.span(1), "account"))
+        elif m := cue_value(text[start : last + 1], text, last + 1):
+            after["account"] = m.end()
+            spans.append((*m.span(1), "account"))
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

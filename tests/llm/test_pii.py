@@ -88,6 +88,36 @@ def test_added_kinds():
     ]
 
 
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ("ssn: 123-45-6789", "123-45-6789"),
+        ("SSN 123456789.", "123456789"),
+        ("His ssn is 123 45 6789, he said", "123 45 6789"),
+        ('"ssn": "123-45-6789"', "123-45-6789"),
+        ("passport: X1234567", "X1234567"),
+        ("Passport No. 912345678", "912345678"),
+        ("account: 12345678", "12345678"),
+        ("account number: 4012888812345", "4012888812345"),
+        ("account no. 123456789012", "123456789012"),
+        ("account_number=1234 5678 9012 34", "1234 5678 9012 34"),
+        ("secret key is 04dbebab91ab85687d33", "04dbebab91ab85687d33"),
+        ("ssn: 04dbebab91ab85687d33eeaa", "04dbebab91ab85687d33eeaa"),
+        ("ssn: 000-12-3456", None),
+        ("ssn: 123-45-678", None),
+        ("ssn 12345678", None),
+        ("passport renewed in 2019", None),
+        ("passport 12345", None),
+        ("account 2024-01-15 closed", None),
+        ("account 12345", None),
+        ("password: 12345678", None),
+    ],
+)
+def test_value_of_each_cue(text, value):
+    found = [text[a:b] for a, b, k in pii.find_spans(text, pii.automaton()) if k == "account"]
+    assert found == ([value] if value else [])
+
+
 def test_query_columns(documents, clashing, awkward, no_documents):
     found = pii.span_digest(pii.find_personal_data(documents)).collect()
     assert len(found) == len(awkward)
