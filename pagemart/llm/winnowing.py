@@ -5,8 +5,9 @@ costs no more than a pair (k is a power of two). Of every window of w successive
 smallest hash is kept, the rightmost of equals, with its place. Two texts that share a run of
 w + k - 1 tokens therefore share a mark; runs shorter than k tokens never match.
 
-Tokens are words, cut into pieces of MAX_TOKEN characters where they are longer, so texts
-without spaces have marks as well. Everything is an array expression within one row.
+Tokens are words. Of a longer run without spaces every MAX_TOKEN successive characters are a
+token, from each character on, so texts without spaces share marks at any offset. Everything
+is an array expression within one row.
 
 The edited text of a document ends with the beginning of the next document's. Documents come
 to their neighbours by one sort in ranges of doc_id: a range takes in a copy of the first row
@@ -24,8 +25,10 @@ from pagemart.llm.common import documents, let, tail, written
 
 GRAM = 4
 WINDOW = 8
+#: Characters of a token at most; a power of two.
 MAX_TOKEN = 16
 TOKEN = rf"[^\x20\x09-\x0D]{{1,{MAX_TOKEN}}}"
+LONG_RUN = rf"[^\x20\x09-\x0D]{{{MAX_TOKEN + 1}}}"
 #: Ranges of doc_id at most; the driver gets their borders and no more.
 MAX_RANGES = 100_000
 ROWS_PER_RANGE = 2000
@@ -47,10 +50,35 @@ def _composed(values: Column, length: int, step) -> Column:
     return values
 
 
-def gram_hashes(text: Column, gram: int = GRAM) -> Column:
-    """A 64-bit hash of every run of `gram` tokens; of all tokens if there are fewer."""
-    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+def _every_piece(run: Column) -> Column:
+    """A hash of every MAX_TOKEN successive characters of a run that has so many."""
+    chars = F.transform(F.split(run, ""), lambda c: F.xxhash64(c))
+    pieces = _composed(chars, MAX_TOKEN, lambda a, b: F.xxhash64(a, b))
+    return let(pieces, lambda p: F.slice(p, 1, F.size(p) - (MAX_TOKEN - 1)))
+
+
+def token_hashes(text: Column, slide: bool = False) -> Column:
+    """A 64-bit hash of every token.
+
+    With `slide` a longer run has a token from each character on, so its tokens do not depend
+    on where it begins; without, it is cut into pieces from its start.
+    """
+    text = F.coalesce(text, F.lit(""))
+    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
     hashes = F.transform(tokens, lambda t: F.xxhash64(t))
+    if not slide:
+        return hashes
+    runs = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    each = F.transform(
+        runs,
+        lambda r: F.when(F.length(r) > MAX_TOKEN, _every_piece(r)).otherwise(F.array(F.xxhash64(r))),
+    )
+    return F.when(text.rlike(LONG_RUN), F.flatten(each)).otherwise(hashes)
+
+
+def gram_hashes(text: Column, gram: int = GRAM, slide: bool = False) -> Column:
+    """A 64-bit hash of every run of `gram` tokens; of all tokens if there are fewer."""
+    hashes = token_hashes(text, slide)
     grams = _composed(hashes, gram, lambda a, b: F.xxhash64(a, b))
 
     def whole(found: Column) -> Column:
@@ -90,9 +118,9 @@ def marks(grams: Column, window: int = WINDOW) -> Column:
     return let(grams, of)
 
 
-def winnow(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
+def winnow(text: Column, gram: int = GRAM, window: int = WINDOW, slide: bool = False) -> Column:
     """The marks of a text: array<struct<hash, place>>; empty for a null or empty text."""
-    return marks(gram_hashes(text, gram), window)
+    return marks(gram_hashes(text, gram, slide), window)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -192,10 +220,10 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
             F.substring(F.col("text"), F.lit(1), length - quarter),
             F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), quarter),
         ).alias("edited"),
-        winnow(F.col("text"), gram, window).alias("found"),
+        winnow(F.col("text"), gram, window, slide=True).alias("found"),
     )
     rows = rows.withColumn("next_found", F.lead("found").over(place)).where("_guest = 0")
-    rows = rows.withColumn("edited_found", winnow(F.col("edited"), gram, window))
+    rows = rows.withColumn("edited_found", winnow(F.col("edited"), gram, window, slide=True))
     return rows.select(
         "doc_id",
         "n_chars",

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -46,6 +47,21 @@ def test_shared_run_leaves_a_mark(spark):
     assert one & two
 
 
+def test_shared_passage_without_spaces_at_two_offsets(spark):
+    draw = random.Random(7)
+    passage = "".join(chr(0x4E00 + draw.randrange(5000)) for _ in range(400)) + "😀" * 3
+    other = "".join(chr(0x4E00 + draw.randrange(5000)) for _ in range(101))
+    texts = [passage, "字" + passage, other + passage, other + passage[100:126] + other[::-1], passage[:16]]
+    rows = [(i, text) for i, text in enumerate(texts)]
+    found = winnowing.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    marks = {r["doc_id"]: {m["hash"] for m in r["found"]} for r in found}
+    # All windows of the passage are in the longer texts too.
+    assert marks[0] <= marks[1] and marks[0] <= marks[2]
+    # WINDOW + GRAM - 1 tokens of MAX_TOKEN characters, 26 characters, are enough.
+    assert marks[0] & marks[3]
+    assert len(marks[4]) == 1
+
+
 def test_edited_texts_and_neighbours(documents, awkward, monkeypatch):
     found = winnowing.fingerprints(documents).collect()
     check(found, awkward)
