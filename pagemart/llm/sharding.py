@@ -6,7 +6,8 @@ the largest spread, the fullest shard of one with the emptiest of the other.
 
 A heap is sequential, so it must not see one entry per group of the corpus. Groups of at
 least 1/HEAVY of all bytes (HEAVY of them at most) enter it on their own; all others are first
-gathered into BUNDLES unions of whole groups by a hash. The heap so has HEAVY + BUNDLES
+gathered into BUNDLES unions of whole groups by a hash. With no more than HEAVY + BUNDLES
+groups every group enters it on its own. The heap so has HEAVY + BUNDLES
 entries at most, whatever the size of the corpus, and the bundles are small enough to level
 out the heavy groups.
 """
@@ -65,9 +66,10 @@ def assign_shards(rows: DataFrame, key: str, size: str, shards: int = 8) -> Data
     Reads `rows` three times; give it a written table. Rows with a null key form one group.
     """
     groups = rows.groupBy(key).agg(F.sum(size).alias("_bytes"))
-    total = rows.agg(F.sum(size).alias("_total"))
-    # One row joined to all, then HEAVY rows at most: both broadcasts are bounded.
-    heavy = groups.join(F.broadcast(total)).where(F.col("_bytes") * HEAVY >= F.col("_total"))
+    total = groups.agg(F.sum("_bytes").alias("_total"), F.count("*").alias("_groups"))
+    # One row joined to all, then HEAVY + BUNDLES rows at most: both broadcasts are bounded.
+    few = F.col("_groups") <= HEAVY + BUNDLES
+    heavy = groups.join(F.broadcast(total)).where(few | (F.col("_bytes") * HEAVY >= F.col("_total")))
     heavy = heavy.select(F.col(key).alias("_heavy"), F.lit(True).alias("_alone"))
     alone = F.coalesce(F.col("_alone"), F.lit(False))
     node = F.when(alone, F.xxhash64(F.col(key))).otherwise(
@@ -75,7 +77,7 @@ def assign_shards(rows: DataFrame, key: str, size: str, shards: int = 8) -> Data
     )
     placed = rows.join(F.broadcast(heavy), F.col(key).eqNullSafe(F.col("_heavy")), "left")
     placed = placed.withColumns({"_alone": alone, "_node": node}).drop("_heavy")
-    nodes = placed.groupBy("_alone", "_node").agg(F.sum(size).alias("_bytes"))
+    nodes = placed.groupBy("_alone", "_node").agg(F.coalesce(F.sum(size), F.lit(0)).alias("_bytes"))
 
     def solve(table: pa.Table) -> pa.Table:
         table = table.sort_by([("_bytes", "descending"), ("_alone", "ascending"), ("_node", "ascending")])

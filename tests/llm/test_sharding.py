@@ -1,5 +1,6 @@
 import random
 
+from pagemart.llm import sharding
 from pagemart.llm.sharding import differencing, shard_documents
 
 from .conftest import rows_of
@@ -41,3 +42,11 @@ def test_shards_and_slots(documents, awkward):
 def test_other_columns_and_empty(clashing, documents, no_documents):
     assert rows_of(shard_documents(clashing)) == rows_of(shard_documents(documents))
     assert shard_documents(no_documents).count() == 0
+
+
+def test_few_groups_are_not_bundled(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUNDLES", 1)
+    sizes = [10_000_000] * 2 + [1000] * 300 + [None]
+    rows = spark.createDataFrame(list(enumerate(sizes)), "key long, size long")
+    found = sharding.assign_shards(rows, "key", "size", 2).groupBy("shard").sum("size").collect()
+    assert [r[1] for r in found] == [10_150_000] * 2
