@@ -74,3 +74,40 @@ FROM documents LEFT JOIN (
          coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT goes), '') AS kept
   FROM marked GROUP BY doc_id
 ) USING (doc_id)"""
+
+
+_TERMS = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+
+LEXICAL_SEARCH = f"""
+WITH docs AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '{_TERMS}') AS w
+  FROM documents
+),
+sizes AS (
+  SELECT count(*) FILTER (len(w) > 0) AS docs_with, sum(len(w))::BIGINT AS all_terms FROM docs
+),
+tf AS (
+  SELECT r, doc_id, n, t, count(*) AS tf
+  FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS t FROM docs) GROUP BY ALL
+),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+items AS (
+  SELECT DISTINCT item_id, text,
+         unnest(regexp_extract_all(translate(text, {_LETTERS}), '{_TERMS}')) AS t
+  FROM benchmark
+),
+scores AS (
+  SELECT item_id, text, doc_id, r,
+         sum(floor(1000 * ln((2 * docs_with + 2) / (2 * df + 1)))::BIGINT
+             * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs_with) // all_terms)))
+         )::BIGINT AS score
+  FROM items JOIN tf USING (t) JOIN df USING (t) CROSS JOIN sizes
+  GROUP BY ALL
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id, text
+                               ORDER BY score DESC, doc_id NULLS FIRST) AS place
+  FROM scores WHERE score > 0
+)
+SELECT item_id, place::INTEGER AS rank, doc_id, score FROM ranked WHERE place <= 10"""

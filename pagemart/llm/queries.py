@@ -5,6 +5,7 @@ from __future__ import annotations
 from pagemart.llm import (
     backoff,
     language,
+    lexical,
     line_dedup,
     mixing,
     ngram_join,
@@ -27,9 +28,11 @@ QUERIES = {
     "op8_pii": pii.query,
     "op9_sharding": sharding.query,
     "op10_sentencepiece": pieces.query,
+    "op13_lexical_search": lexical.query,
 }
 
 ORACLES: dict[str, str] = {
     "op3_ngram_join": oracle.NGRAM_JOIN,
     "op4_line_dedup": oracle.LINE_DEDUP,
+    "op13_lexical_search": oracle.LEXICAL_SEARCH,
 }
