@@ -111,3 +111,31 @@ ranked AS (
   FROM scores WHERE score > 0
 )
 SELECT item_id, place::INTEGER AS rank, doc_id, score FROM ranked WHERE place <= 10"""
+
+SUBSTRING_DEDUP = """
+WITH docs AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+),
+windows AS (
+  SELECT r, doc_id, i, array_to_string(w[i:i + 49], ' ') AS x
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM docs)
+),
+firsts AS (SELECT x, min(doc_id) AS least FROM windows GROUP BY x HAVING min(doc_id) < max(doc_id)),
+gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 50)) AS i
+  FROM windows JOIN firsts USING (x) WHERE least < doc_id
+),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM docs),
+kept AS (
+  SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text
+  FROM words ANTI JOIN gone USING (r, i) GROUP BY r
+),
+runs AS (
+  SELECT r, count(*) AS n FROM gone a
+  WHERE NOT EXISTS (SELECT 1 FROM gone b WHERE b.r = a.r AND b.i = a.i - 1) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(kept.n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256, coalesce(runs.n, 0) AS n_repeats
+FROM docs LEFT JOIN kept USING (r) LEFT JOIN runs USING (r)"""

@@ -14,6 +14,7 @@ from pagemart.llm import (
     pii,
     quality,
     sharding,
+    substrings,
     winnowing,
 )
 
@@ -28,11 +29,13 @@ QUERIES = {
     "op8_pii": pii.query,
     "op9_sharding": sharding.query,
     "op10_sentencepiece": pieces.query,
+    "op12_substring_dedup": substrings.query,
     "op13_lexical_search": lexical.query,
 }
 
 ORACLES: dict[str, str] = {
     "op3_ngram_join": oracle.NGRAM_JOIN,
     "op4_line_dedup": oracle.LINE_DEDUP,
+    "op12_substring_dedup": oracle.SUBSTRING_DEDUP,
     "op13_lexical_search": oracle.LEXICAL_SEARCH,
 }

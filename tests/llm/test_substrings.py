@@ -1,0 +1,136 @@
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pagemart.llm import substrings
+from pagemart.llm.hashing import RangeHashes
+from tests.llm.conftest import prose
+
+SMALL = {"window": 8, "gram": 4}
+
+
+def brute_force(rows, window):
+    """(id, words, removed, kept) by a look at every window."""
+    texts = [(float("-inf") if i is None else i, (t or "").encode().split()) for i, t in rows]
+    least = {}
+    for i, words in texts:
+        for s in range(len(words) - window + 1):
+            key = tuple(words[s : s + window])
+            least[key] = min(least.get(key, i), i)
+    found = []
+    for (i, words), (doc, _) in zip(texts, rows, strict=True):
+        goes = [False] * len(words)
+        for s in range(len(words) - window + 1):
+            if least[tuple(words[s : s + window])] < i:
+                goes[s : s + window] = [True] * window
+        kept = [w for w, g in zip(words, goes, strict=True) if not g]
+        found.append((doc, len(words), sum(goes), b" ".join(kept).decode()))
+    return sorted(map(repr, found))
+
+
+def removed(spark, rows, **options):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substrings.without_repeats(docs, **options)
+    return sorted(repr(tuple(r)) for r in found.select("doc_id", "n_words", "n_removed", "kept").collect())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_equals_brute_force_on_mixed_passages(spark, seed):
+    draw = random.Random(seed)
+    words = ["a", "b", "c"] if seed == 3 else [f"w{i}" for i in range(60)]
+    passages = [draw.choices(words, k=draw.randrange(4, 30)) for _ in range(8)]
+    rows = []
+    for _ in range(70):
+        text = []
+        for _ in range(draw.randrange(5)):
+            text += draw.choice(passages) if draw.random() < 0.7 else draw.choices(words, k=6)
+            if text and draw.random() < 0.3:
+                text[draw.randrange(len(text))] = "edit"
+        rows.append((draw.randrange(50), " ".join(text)))
+    rows += rows[:5]
+    assert removed(spark, rows, **SMALL) == brute_force(rows, 8)
+
+
+def test_family_of_near_copies(spark):
+    draw = random.Random(5)
+    base = prose(3, 400).split()
+    rows = []
+    for i in range(80):
+        text = list(base)
+        for _ in range(6):
+            text[draw.randrange(len(text))] = f"e{draw.randrange(40)}"
+        rows.append((i, " ".join(text)))
+    assert removed(spark, rows) == brute_force(rows, 50)
+
+
+def test_window_that_only_two_later_copies_share(spark):
+    """The hub lacks the edited words, but an earlier copy has them."""
+    base = [f"w{i}" for i in range(120)]
+    edited = [*base[:60], "new", *base[61:]]
+    rows = [(1, " ".join(base)), (2, " ".join(edited)), (3, " ".join(edited)), (4, " ".join(edited[30:100]))]
+    assert removed(spark, rows) == brute_force(rows, 50)
+
+
+def test_passage_twice_in_the_first_document(spark):
+    """The anchor stands twice in the hub's document, between different words."""
+    shared = [f"s{i}" for i in range(30)]
+    one, two = [f"a{i}" for i in range(40)], [f"b{i}" for i in range(40)]
+    rows = [(1, " ".join(one + shared + two + shared + one)), (2, " ".join(two[-25:] + shared + one[:25]))]
+    assert removed(spark, rows) == brute_force(rows, 50)
+
+
+@pytest.mark.parametrize("shared", [49, 50, 51])
+def test_repeats_shorter_than_the_window_stay(spark, shared):
+    common = [f"c{i}" for i in range(shared)]
+    rows = [(1, " ".join(["x", *common, "y"])), (2, " ".join([*common, "z"]))]
+    found = removed(spark, rows)
+    assert found == brute_force(rows, 50)
+    assert ("'z'" in "".join(found)) == (shared >= 50)
+
+
+def test_awkward_rows(spark, awkward):
+    rows = [(r[0], r[1]) for r in awkward]
+    rows += [(None, rows[0][1]), (40, "  ".join(rows[0][1].split())), (41, rows[6][1].upper())]
+    assert removed(spark, rows) == brute_force(rows, 50)
+    assert removed(spark, rows, **SMALL) == brute_force(rows, 8)
+
+
+def test_kept_columns_and_clashing_names(spark, documents, clashing):
+    names = ("doc", "tie", "row", "spans", "anchor", "block", "hub", "first", "end", "kept", "removed")
+    more = clashing.withColumns({n: F.lit(n) for n in names})
+    found = substrings.without_repeats(more)
+    plain = substrings.without_repeats(documents)
+    assert found.columns == [
+        c for c in more.columns if c not in ("kept", "removed")
+    ] + ["n_words", "n_removed", "kept", "removed"]
+    assert sorted(map(repr, found.select(plain.columns).collect())) == sorted(map(repr, plain.collect()))
+    assert {r["hub"] for r in found.collect()} == {"hub"}
+
+
+def test_empty_table(spark, no_documents):
+    assert substrings.without_repeats(no_documents).collect() == []
+
+
+def test_removed_stretches_are_maximal(spark):
+    text = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(text)), (2, " ".join(["x", *text[10:200], "y", *text[250:]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substrings.without_repeats(docs).where("doc_id = 2").first()
+    assert [tuple(s) for s in found["removed"]] == [(1, 191), (192, 242)]
+
+
+def test_least_places_takes_the_rightmost():
+    values = np.array([3, 1, 1, 5, 1, 0, 0, 2])
+    for width in range(1, 8):
+        expected = [
+            max(range(i, i + width), key=lambda j: (-values[j], j)) for i in range(len(values) - width + 1)
+        ]
+        assert substrings.least_places(values, width).tolist() == expected
+
+
+def test_range_hashes_do_not_depend_on_the_place():
+    words = np.array([5, 6, 7, 5, 6, 7, 9], np.uint64)
+    found = RangeHashes(words).of(np.array([0, 3, 1]), np.array([3, 6, 4]))
+    assert found[0] == found[1] != found[2]
