@@ -15,6 +15,7 @@ from pagemart.llm import (
     quality,
     sharding,
     substrings,
+    whitening,
     winnowing,
 )
 
@@ -29,6 +30,7 @@ QUERIES = {
     "op8_pii": pii.query,
     "op9_sharding": sharding.query,
     "op10_sentencepiece": pieces.query,
+    "op11_whitening": whitening.query,
     "op12_substring_dedup": substrings.query,
     "op13_lexical_search": lexical.query,
 }

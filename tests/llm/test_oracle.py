@@ -20,6 +20,7 @@ COLUMNS = {
     "op6_language_id": "doc_id held_out lang_pred score",
     "op8_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
     "op9_sharding": "doc_id size text_crc32 law shard slot grown_shard",
+    "op11_whitening": "vec_id component n deviation whitened explained identity_error",
     "op12_substring_dedup": "doc_id n_words n_removed kept_sha256",
     "op13_lexical_search": "item_id rank doc_id score",
 }
