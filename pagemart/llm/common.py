@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemart.session import new_folder
+from pagemart.sources.files import Scratch
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: White space of the word rule: space, tab, line feed, vertical tab, form feed, return.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -18,18 +22,40 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a table in the shared folder: lineage ends here, on files all nodes see.
+@contextmanager
+def shuffle_files_freed(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark removes the shuffle files of a query when the query ends.
 
-    Spark removes the shuffle files of a finished job when the driver collects its plan. Jobs
-    of many tables would pile them up until then, so the driver is asked to do that here.
+    Otherwise they stay until the driver happens to collect its plan, and jobs of many tables
+    pile them up.
     """
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a table in the shared folder: lineage ends here, on files all nodes see."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()
+    with shuffle_files_freed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Tables(Scratch):
+    """Scratch tables whose shuffle files go with the query that writes them."""
+
+    def table(self, df: DataFrame) -> DataFrame:
+        with shuffle_files_freed(self.spark):
+            return super().table(df)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body(value)` with the value computed once, however often the body mentions it.
 

@@ -11,6 +11,14 @@ Hamming distance is at most the number of words in which two sets differ, rule o
 of what is left; what remains is verified on whole sets. Equal sets are one class from the start, so
 copies, however many, are never paired.
 
+A class goes as a whole if an earlier class matches it, so one match is all that need be known.
+Candidates are sought in rounds. First each class is held against the earliest class that shares
+one of its two rarest words; most members of a family of near copies are settled by that. Only
+classes without such a candidate are then held against all classes that share a prefix word, in
+ROUNDS parts by that word, each without the classes that have a candidate by then. All candidates
+are verified together. Classes whose candidates were all refuted are sought again against all, so
+no match is lost.
+
 Everything is a column expression. Rarity comes from word counts over the whole corpus, kept
 in COUNTERS counters by hash. They decide only the order, which is the same for all lines, so
 their size costs time but no match.
@@ -18,15 +26,32 @@ their size costs time but no match.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemart.llm.common import documents, let, words, written
+from pagemart.llm.common import SPACES, WORD, Tables, documents, let, written
 
 PERCENT = 80
 COUNTERS = 1 << 16
 #: Steps of rarity to each doubling of a count.
 STEPS = 2
+#: Parts of the prefix words that are joined one after the other, to bound the shuffle.
+ROUNDS = 2
+
+
+def line_words(line: Column) -> Column:
+    """The words of a line and, where spaces meet or end it, empty ones."""
+    # Most lines have only blanks; to split at a blank is cheaper than by a pattern.
+    other = reduce(Column.__or__, [line.contains(c) for c in "\t\r\x0b\x0c"])
+    return F.when(other, F.split(line, SPACES)).otherwise(F.split(line, " "))
+
+
+def word_hashes(line: Column) -> Column:
+    """A 64-bit hash of each distinct word of a line."""
+    hashes = F.array_distinct(F.transform(line_words(line), lambda w: F.xxhash64(w)))
+    return F.array_remove(hashes, F.xxhash64(F.lit("")))
 
 
 def rarity_levels(docs: DataFrame) -> list[int]:
@@ -34,7 +59,8 @@ def rarity_levels(docs: DataFrame) -> list[int]:
 
     The driver receives COUNTERS counts, whatever the size of the corpus.
     """
-    each = docs.select(F.explode(words(F.col("text"))).alias("word"))
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line"))
+    each = lines.select(F.explode(line_words(F.col("line"))).alias("word"))
     slot = F.xxhash64("word").bitwiseAND(F.lit(COUNTERS - 1)).cast("int")
     counts = each.groupBy(slot.alias("slot")).agg(F.count("*").alias("n"))
     level = F.floor(F.log2("n") * STEPS).cast("int")
@@ -47,14 +73,13 @@ def rarity_levels(docs: DataFrame) -> list[int]:
 def token_codes(line: Column, levels: list[int]) -> Column:
     """The distinct words of a line as numbers, the rarest first: level, then hash."""
     # Constant folding makes this one array in the plan.
-    table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
+    table = F.split(F.lit(",".join(str(level << 56) for level in levels)), ",").cast("array<bigint>")
 
     def code(hash: Column) -> Column:
         level = F.get(table, hash.bitwiseAND(F.lit(COUNTERS - 1)).cast("int"))
-        return F.shiftleft(level, 56).bitwiseOR(hash.bitwiseAND(F.lit((1 << 56) - 1)))
+        return level.bitwiseOR(F.shiftrightunsigned(hash, 8))
 
-    hashes = F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w)))
-    return F.sort_array(F.transform(hashes, code))
+    return F.sort_array(F.transform(word_hashes(line), code))
 
 
 def parity(codes: Column) -> Column:
@@ -72,177 +97,187 @@ def _ceil_share(total: Column, numerator: int, denominator: int) -> Column:
 
 
 def line_sets(docs: DataFrame, levels: list[int]) -> DataFrame:
-    """(doc_id, tie, no, size, cls, bits, prefix) of every line with a word.
+    """(doc_id, tie, no, size, cls, bits, prefix) of every line.
 
     `tie` tells rows with equal doc_ids apart, `cls` is the same for equal sets, `prefix` has
-    the words, as short numbers, of which matching sets share at least one.
+    the words, as short numbers, of which matching sets share at least one. Lines without words
+    have the size 0.
     """
     lines = docs.select(
         "doc_id",
         F.xxhash64("text").alias("tie"),
         F.posexplode(F.split("text", "\n")).alias("no", "line"),
     )
-    sets = lines.withColumn("codes", token_codes(F.col("line"), levels)).withColumn("size", F.size("codes"))
-    sets = sets.where("size > 0")
-    length = F.col("size") - _ceil_share(F.col("size"), PERCENT, 100) + 1
+    sets = lines.select("doc_id", "tie", "no", token_codes(F.col("line"), levels).alias("codes"))
+    size = F.size("codes")
     return sets.select(
         "doc_id",
         "tie",
         "no",
-        "size",
+        size.alias("size"),
         F.xxhash64("codes").alias("cls"),
         parity(F.col("codes")).alias("bits"),
-        F.transform(F.slice("codes", 1, length), lambda c: F.hash(c)).alias("prefix"),
+        F.transform(F.slice("codes", 1, size - _ceil_share(size, PERCENT, 100) + 1), lambda c: F.hash(c)).alias(
+            "prefix"
+        ),
     )
 
 
-def _position() -> Column:
-    return F.struct("doc_id", "tie", "no")
+def line_classes(lines: DataFrame) -> DataFrame:
+    """(cls, first, n, size, bits, prefix): each set once, with the place of its first line."""
+    return lines.groupBy("cls").agg(
+        F.min(F.struct("doc_id", "tie", "no")).alias("first"),
+        F.count("*").alias("n"),
+        F.first("size").alias("size"),
+        F.first("bits").alias("bits"),
+        F.first("prefix").alias("prefix"),
+    )
 
 
-def _could_match(words_too: bool) -> Column:
+def _could_match(places_too: bool) -> Column:
     """Whether sizes, parity bits and the places of the shared word leave a pair (a, b) open."""
     needed = _ceil_share(F.col("size_a") + F.col("size_b"), PERCENT, 100 + PERCENT)
     lengths = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * PERCENT
     differing = F.col("size_a") + F.col("size_b") - 2 * needed
     near = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= differing
-    if not words_too:
+    if not places_too:
         return lengths & near
     possible = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
     return lengths & near & (possible >= needed)
 
 
-def _code_sets(needed: DataFrame, classes: DataFrame, docs: DataFrame, levels: list[int]) -> DataFrame:
-    """(cls, codes) of the needed classes, from the first line of each."""
-    places = needed.join(classes.select("cls", "first.*"), "cls")
-    places = places.groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).agg(
-        F.collect_list("no").alias("numbers")
-    )
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
-    same = texts["doc_id"].eqNullSafe(F.col("_id")) & (texts["tie"] == F.col("_tie"))
-    chosen = texts.join(places, same).select(F.split("text", "\n").alias("lines"), "numbers")
-    chosen = chosen.select(F.explode(F.transform("numbers", lambda i: F.get("lines", i))).alias("line"))
-    sets = chosen.select(token_codes(F.col("line"), levels).alias("codes"))
-    return sets.select(F.xxhash64("codes").alias("cls"), "codes").dropDuplicates(["cls"])
-
-
-def _matches(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets match."""
-    both = pairs.join(sets.toDF("a", "codes_a"), "a").join(sets.toDF("b", "codes_b"), "b")
-    both = both.withColumn("shared", F.size(F.array_intersect("codes_a", "codes_b")))
-    union = F.size("codes_a") + F.size("codes_b") - F.col("shared")
-    return both.where(F.col("shared") * 100 >= union * PERCENT).select("a", "b")
-
-
-def matching_classes(docs: DataFrame, lines: DataFrame, levels: list[int]) -> DataFrame:
-    """(cls, earliest): the place of a line that matches a class and comes before its lines, or
-    else of its own first line.
-
-    First each class is held against the earliest class that shares one of its two rarest
-    words. What matches goes, whatever else it matches, so it is closed: of two closed classes
-    nothing more need be known. Only then all pairs with a shared prefix word are looked at in
-    which the later class is open. A family of n near copies so costs about n pairs.
-    """
-    classes = lines.groupBy("cls").agg(
-        F.min(_position()).alias("first"),
-        F.first("size").alias("size"),
-        F.first("bits").alias("bits"),
-        F.first("prefix").alias("prefix"),
-    )
-    classes = written(classes, "line-classes")
+def _hub_candidates(classes: DataFrame) -> DataFrame:
+    """(a, b): b may match a, the earliest class that shares one of b's two rarest words."""
     heads = classes.select("cls", "first", "size", "bits", F.explode(F.slice("prefix", 1, 2)).alias("word"))
-    hubs = heads.groupBy("word").agg(F.min(F.struct("first", "cls", "size", "bits")).alias("hub"))
-    hubs = hubs.select(
+    hubs = heads.groupBy("word").agg(F.min(F.struct("first", "cls", "size", "bits")).alias("hub"), F.count("*").alias("k"))
+    hubs = hubs.where("k > 1").select(
         "word",
         F.col("hub.cls").alias("a"),
         F.col("hub.size").alias("size_a"),
         F.col("hub.bits").alias("bits_a"),
     )
     members = heads.select("word", F.col("cls").alias("b"), F.col("size").alias("size_b"), F.col("bits").alias("bits_b"))
-    with_hub = hubs.join(members, "word").where((F.col("a") != F.col("b")) & _could_match(False))
-    with_hub = written(with_hub.select("a", "b").distinct(), "line-hubs")
-    needed = with_hub.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    sets = written(_code_sets(needed, classes, docs, levels), "line-codes")
-    found = written(_matches(with_hub, sets), "hub-matches")
-
-    closed = found.select(F.col("b").alias("cls")).distinct().withColumn("closed", F.lit(True))
-    each = classes.join(closed, "cls", "left").select(
-        "cls",
-        "size",
-        "bits",
-        F.col("closed").isNull().alias("open"),
-        F.posexplode("prefix").alias("at", "word"),
-    )
-    one = each.toDF("a", "size_a", "bits_a", "open_a", "at_a", "word")
-    two = each.toDF("b", "size_b", "bits_b", "open_b", "at_b", "word")
-    wanted = (F.col("a") < F.col("b")) & (F.col("open_a") | F.col("open_b"))
-    pairs = one.join(two, "word").where(wanted & _could_match(True))
-    pairs = pairs.select("a", "b").distinct()
-    # A pair tells something only if its later class is open.
-    known = classes.join(closed, "cls", "left").select("cls", "first", "closed")
+    found = members.join(hubs, "word").where((F.col("a") != F.col("b")) & _could_match(False))
+    return found.select("a", "b").distinct()
+
+
+def _prefix_candidates(open_classes: DataFrame, classes: DataFrame, part: Column) -> DataFrame:
+    """(a, b): b is open, and a is an earlier class that b may match by a prefix word for which
+    `part` holds."""
+
+    def each(rows: DataFrame, side: str) -> DataFrame:
+        rows = rows.select("cls", "size", "bits", F.posexplode("prefix").alias("at", "word")).where(part)
+        return rows.select(
+            F.col("cls").alias(side),
+            F.col("size").alias(f"size_{side}"),
+            F.col("bits").alias(f"bits_{side}"),
+            F.col("at").alias(f"at_{side}"),
+            "word",
+        )
+
+    both = each(open_classes, "b").join(each(classes, "a"), "word")
+    pairs = both.where((F.col("a") != F.col("b")) & _could_match(True)).select("a", "b").distinct()
     for side in "ab":
-        pairs = pairs.join(known.toDF(side, f"first_{side}", f"closed_{side}"), side)
-    later = F.when(F.col("first_a") < F.col("first_b"), F.col("closed_b")).otherwise(F.col("closed_a"))
-    pairs = written(pairs.where(later.isNull()).select("a", "b"), "line-pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    needed = needed.join(sets.select("cls"), "cls", "left_anti")
-    more = written(_code_sets(needed, classes, docs, levels), "line-codes")
-    links = written(_matches(pairs, sets.unionByName(more)), "line-matches").unionByName(found)
+        pairs = pairs.join(classes.select(F.col("cls").alias(side), F.col("first").alias(f"first_{side}")), side)
+    return pairs.where(F.col("first_a") < F.col("first_b")).select("a", "b")
 
-    links = links.union(links.select("b", "a")).toDF("cls", "other")
-    firsts = classes.select(F.col("cls").alias("other"), "first")
-    near = links.join(firsts, "other").groupBy("cls").agg(F.min("first").alias("near"))
-    earliest = F.least("first", F.coalesce("near", "first"))
-    return classes.join(near, "cls", "left").select("cls", earliest.alias("earliest"))
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, tables: Tables) -> DataFrame:
+    """(cls) that match an earlier class in one of the pairs (a, b).
+
+    The sets come from the texts of the first lines; texts without such lines are not split.
+    """
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    places = needed.join(classes.select("cls", "first.*"), "cls")
+    places = places.groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).agg(
+        F.collect_list(F.struct("cls", "no")).alias("wanted")
+    )
+    texts = docs.groupBy("doc_id", F.xxhash64("text").alias("tie")).agg(F.first("text").alias("text"))
+    same = texts["doc_id"].eqNullSafe(F.col("_id")) & (texts["tie"] == F.col("_tie"))
+    found = texts.join(places, same).select(F.split("text", "\n").alias("lines"), "wanted")
+    found = found.select(
+        F.explode(
+            F.transform("wanted", lambda w: F.struct(w["cls"].alias("cls"), F.get("lines", w["no"]).alias("line")))
+        ).alias("of")
+    )
+    sets = tables.table(found.select("of.cls", word_hashes(F.col("of.line")).alias("words")))
+    both = pairs.join(sets.toDF("a", "words_a"), "a").join(sets.toDF("b", "words_b"), "b")
+    shared = F.size(F.array_intersect("words_a", "words_b"))
+    total = F.size("words_a") + F.size("words_b")
+    match = let(shared, lambda k: k * 100 >= (total - k) * PERCENT)
+    return both.where(match).select(F.col("b").alias("cls")).distinct()
+
+
+def repeated_classes(classes: DataFrame, docs: DataFrame, tables: Tables) -> DataFrame:
+    """(cls) of the classes that match an earlier one; see above for the rounds."""
+    found = [tables.table(_hub_candidates(classes))]
+    for number in range(ROUNDS):
+        settled = reduce(DataFrame.unionByName, found).select(F.col("b").alias("cls")).distinct()
+        open_classes = classes.join(settled, "cls", "left_anti")
+        part = F.pmod("word", F.lit(ROUNDS)) == number
+        found.append(tables.table(_prefix_candidates(open_classes, classes, part)))
+    pairs = reduce(DataFrame.unionByName, found)
+    repeated = tables.table(_verified(pairs, classes, docs, tables))
+
+    # A refuted candidate may have kept a class from being held against all others.
+    refuted = pairs.select(F.col("b").alias("cls")).distinct().join(repeated, "cls", "left_anti")
+    refuted = tables.table(refuted.join(classes, "cls"))
+    if refuted.isEmpty():
+        return repeated
+    again = _prefix_candidates(refuted, classes, F.lit(True))
+    again = tables.table(again.join(pairs, ["a", "b"], "left_anti"))
+    return repeated.unionByName(_verified(again, classes, docs, tables))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, tie, n_token_lines, removed): per document the numbers (from 0) of lines to go.
+    """(doc_id, tie, removed): per document that loses any, the numbers (from 0) of its lines to go.
 
     Documents are ordered by (doc_id, hash of the text), null ids first; rows that are equal
-    in both are one document and get one row here. Lines without words always stay. A document
-    without lines with words has no row. Further columns are ignored.
+    in both are one document and get one row here. Lines without words always stay. Further
+    columns are ignored. The tables it takes are removed; the result is a table of its own.
     """
     docs = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    levels = rarity_levels(docs)
-    lines = written(line_sets(docs, levels), "line-sets")
-    earliest = matching_classes(docs, lines, levels)
-    each = lines.select("doc_id", "tie", "no", "cls").join(earliest, "cls")
-    goes = F.when(F.col("earliest") < _position(), F.col("no"))
-    found = each.groupBy("doc_id", "tie").agg(
-        F.collect_list("no").alias("numbers"), F.collect_list(goes).alias("removed")
-    )
-    return found.select(
-        "doc_id",
-        "tie",
-        F.size(F.array_distinct("numbers")).alias("n_token_lines"),
-        F.sort_array(F.array_distinct("removed")).alias("removed"),
-    )
+    with Tables(docs.sparkSession, "lines") as tables:
+        lines = tables.table(line_sets(docs, rarity_levels(docs))).where("size > 0")
+        classes = tables.table(line_classes(lines))
+        repeated = tables.table(repeated_classes(classes, docs, tables))
+        # All lines of a repeated class go, and all but the first of any other.
+        whole = repeated.withColumn("whole", F.lit(True))
+        touched = classes.select("cls", "first", "n").join(whole, "cls", "left").where("n > 1 OR whole")
+        each = lines.select("doc_id", "tie", "no", "cls").join(touched, "cls")
+        each = each.where(F.col("whole") | (F.struct("doc_id", "tie", "no") > F.col("first")))
+        gone = each.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set("no")).alias("removed"))
+        return written(gone, "repeated-lines")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """`docs` without repeated lines, plus `n_token_lines` and `n_removed`.
 
-    A text that loses nothing stays as it is, a null one too. Equal rows stay equal rows.
-    Columns of `docs` with the new names are replaced.
+    A text that loses nothing stays as it is, a null one too. Equal rows stay equal rows. Long
+    texts and lines are read whole. An empty table gives no rows. Columns of `docs` with the new
+    names are replaced; all others stay as they are, whatever their names.
     """
     docs = docs.drop("n_token_lines", "n_removed")
-    found = repeated_lines(docs).select(
-        F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "n_token_lines", "removed"
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col("doc_id").alias("_id"),
+        F.xxhash64("text").alias("_tie"),
     )
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_tie"))
-    both = docs.join(found, same, "left")
-    lines = F.split("text", "\n")
+    found = repeated_lines(docs)
+    same = rows["_id"].eqNullSafe(found["doc_id"]) & (rows["_tie"] == found["tie"])
+    both = rows.join(found, same, "left")
+    lines = F.split("row.text", "\n")
 
     def without(all_lines: Column) -> Column:
         numbers = F.sequence(F.lit(0), F.size(all_lines) - 1)
         stay = F.array_except(numbers, F.col("removed"))
         return F.array_join(F.transform(stay, lambda i: F.get(all_lines, i)), "\n")
 
-    text = F.when(F.size("removed") > 0, let(lines, without)).otherwise(F.col("text"))
+    text = F.when(F.size("removed") > 0, let(lines, without)).otherwise(F.col("row.text"))
+    counted = F.size(F.filter(lines, lambda line: line.rlike(WORD)))
     return both.select(
-        *[text.alias(c) if c == "text" else F.col(c) for c in docs.columns],
-        F.coalesce("n_token_lines", F.lit(0)).cast("long").alias("n_token_lines"),
+        *[text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns],
+        F.coalesce(counted, F.lit(0)).cast("long").alias("n_token_lines"),
         F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
