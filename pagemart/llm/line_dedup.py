@@ -6,18 +6,18 @@ are ordered by document and then by place.
 
 Words are ordered by rarity, so that the first few words of a set, which two matching sets
 must share, are ones that few lines have (prefix filter). The sizes of the sets (length
-filter), the places of a shared word in both (positional filter) and 64 parity bits, whose
+filter), the places of a shared word in both (positional filter) and 128 parity bits, whose
 Hamming distance is at most the number of words in which two sets differ, rule out nearly all
 of what is left; what remains is verified on whole sets. Equal sets are one class from the start, so
 copies, however many, are never paired.
 
 A class goes as a whole if an earlier class matches it, so one match is all that need be known.
-Candidates are sought in rounds. First each class is held against the earliest class that shares
-one of its two rarest words; most members of a family of near copies are settled by that. Only
-classes without such a candidate are then held against all classes that share a prefix word, in
-ROUNDS parts by that word, each without the classes that have a candidate by then. All candidates
-are verified together. Classes whose candidates were all refuted are sought again against all, so
-no match is lost.
+First each class is held against an early class of each prefix word that more than HEAVY classes
+have; members of a family of near copies are settled by that. Only the others are held against all
+classes that share a prefix word, in ROUNDS parts by that word. Two matching sets share not one
+but many words of their prefixes, the more the closer their sizes (see `_least_shared`), so the
+shared ones are counted over all parts. All candidates are verified together. Settled classes
+whose candidates were all refuted are sought again against all, so no match is lost.
 
 Everything is a column expression. Rarity comes from word counts over the whole corpus, kept
 in COUNTERS counters by hash. They decide only the order, which is the same for all lines, so
@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemart.llm.common import SPACES, WORD, Tables, documents, let, written
+from pagemart.plans.lookup import is_small
 
 PERCENT = 80
 COUNTERS = 1 << 16
@@ -39,6 +40,9 @@ COUNTERS = 1 << 16
 STEPS = 2
 #: Parts of the prefix words that are joined one after the other, to bound the shuffle.
 ROUNDS = 2
+#: A word is heavy if more classes have it in their prefix.
+HEAVY = 32
+_SET = ("cls", "size", "odd", "folded")
 
 
 def line_words(line: Column) -> Column:
@@ -83,13 +87,20 @@ def token_codes(line: Column, levels: list[int]) -> Column:
 
 
 def parity(codes: Column) -> Column:
-    """64 bits, one of which each code flips."""
+    """128 parity bits, one of which each code flips: (odd half, both halves folded into one)."""
 
-    def flipped(bits: Column, code: Column) -> Column:
-        place = code.bitwiseAND(F.lit(63)).cast("int")
-        return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), place))
+    def place(code: Column) -> Column:
+        return code.bitwiseAND(F.lit(63)).cast("int")
 
-    return F.aggregate(codes, F.lit(0).cast("long"), flipped)
+    def fold(bits: Column, code: Column) -> Column:
+        return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), place(code)))
+
+    def odd(bits: Column, code: Column) -> Column:
+        is_odd = F.shiftright(code, 6).bitwiseAND(F.lit(1).cast("long"))
+        return bits.bitwiseXOR(F.call_function("shiftleft", is_odd, place(code)))
+
+    none = F.lit(0).cast("long")
+    return F.struct(F.aggregate(codes, none, odd).alias("odd"), F.aggregate(codes, none, fold).alias("folded"))
 
 
 def _ceil_share(total: Column, numerator: int, denominator: int) -> Column:
@@ -97,7 +108,7 @@ def _ceil_share(total: Column, numerator: int, denominator: int) -> Column:
 
 
 def line_sets(docs: DataFrame, levels: list[int]) -> DataFrame:
-    """(doc_id, tie, no, size, cls, bits, prefix) of every line.
+    """(doc_id, tie, no, size, cls, odd, folded, prefix) of every line.
 
     `tie` tells rows with equal doc_ids apart, `cls` is the same for equal sets, `prefix` has
     the words, as short numbers, of which matching sets share at least one. Lines without words
@@ -110,7 +121,7 @@ def line_sets(docs: DataFrame, levels: list[int]) -> DataFrame:
     )
     sets = lines.select("doc_id", "tie", "no", token_codes(F.col("line"), levels).alias("codes"))
     size = F.size("codes")
-    return sets.select(
+    found = sets.select(
         "doc_id",
         "tie",
         "no",
@@ -121,65 +132,99 @@ def line_sets(docs: DataFrame, levels: list[int]) -> DataFrame:
             "prefix"
         ),
     )
+    return found.select("doc_id", "tie", "no", "size", "cls", "bits.odd", "bits.folded", "prefix")
 
 
 def line_classes(lines: DataFrame) -> DataFrame:
-    """(cls, first, n, size, bits, prefix): each set once, with the place of its first line."""
+    """(cls, first, n, size, odd, folded, prefix): each set once, with the place of its first line."""
     return lines.groupBy("cls").agg(
         F.min(F.struct("doc_id", "tie", "no")).alias("first"),
         F.count("*").alias("n"),
         F.first("size").alias("size"),
-        F.first("bits").alias("bits"),
+        F.first("odd").alias("odd"),
+        F.first("folded").alias("folded"),
         F.first("prefix").alias("prefix"),
     )
 
 
+def _needed() -> Column:
+    """How many words two sets of size_a and size_b words share at least if they match."""
+    return _ceil_share(F.col("size_a") + F.col("size_b"), PERCENT, 100 + PERCENT)
+
+
+def _least_shared() -> Column:
+    """How many words of their prefixes two matching sets share at least.
+
+    Of two prefixes, let x be the one whose last word comes first in the order. Words of x's
+    prefix that the other prefix lacks, the other set lacks. So the sets share at most the
+    shared prefix words and the rest of x, which is one word less than PERCENT of it.
+    """
+    rest = F.greatest(*[_ceil_share(F.col(s), PERCENT, 100) for s in ("size_a", "size_b")]) - 1
+    return F.greatest(_needed() - rest, F.lit(1))
+
+
 def _could_match(places_too: bool) -> Column:
     """Whether sizes, parity bits and the places of the shared word leave a pair (a, b) open."""
-    needed = _ceil_share(F.col("size_a") + F.col("size_b"), PERCENT, 100 + PERCENT)
+    needed = _needed()
     lengths = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * PERCENT
     differing = F.col("size_a") + F.col("size_b") - 2 * needed
-    near = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= differing
+    odd, both = (F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")) for c in ("odd", "folded"))
+    near = F.bit_count(odd) + F.bit_count(odd.bitwiseXOR(both)) <= differing
     if not places_too:
         return lengths & near
-    possible = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
-    return lengths & near & (possible >= needed)
-
-
-def _hub_candidates(classes: DataFrame) -> DataFrame:
-    """(a, b): b may match a, the earliest class that shares one of b's two rarest words."""
-    heads = classes.select("cls", "first", "size", "bits", F.explode(F.slice("prefix", 1, 2)).alias("word"))
-    hubs = heads.groupBy("word").agg(F.min(F.struct("first", "cls", "size", "bits")).alias("hub"), F.count("*").alias("k"))
-    hubs = hubs.where("k > 1").select(
-        "word",
-        F.col("hub.cls").alias("a"),
-        F.col("hub.size").alias("size_a"),
-        F.col("hub.bits").alias("bits_a"),
-    )
-    members = heads.select("word", F.col("cls").alias("b"), F.col("size").alias("size_b"), F.col("bits").alias("bits_b"))
-    found = members.join(hubs, "word").where((F.col("a") != F.col("b")) & _could_match(False))
-    return found.select("a", "b").distinct()
-
-
-def _prefix_candidates(open_classes: DataFrame, classes: DataFrame, part: Column) -> DataFrame:
-    """(a, b): b is open, and a is an earlier class that b may match by a prefix word for which
-    `part` holds."""
-
-    def each(rows: DataFrame, side: str) -> DataFrame:
-        rows = rows.select("cls", "size", "bits", F.posexplode("prefix").alias("at", "word")).where(part)
-        return rows.select(
-            F.col("cls").alias(side),
-            F.col("size").alias(f"size_{side}"),
-            F.col("bits").alias(f"bits_{side}"),
-            F.col("at").alias(f"at_{side}"),
-            "word",
-        )
+    # Words before the shared one and words from it on. All words that a match shares hold to
+    # this, so none is missing when they are counted.
+    before = F.least("at_a", "at_b")
+    after = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
+    return lengths & near & (before + after >= needed)
+
 
-    both = each(open_classes, "b").join(each(classes, "a"), "word")
-    pairs = both.where((F.col("a") != F.col("b")) & _could_match(True)).select("a", "b").distinct()
+def _hub_candidates(classes: DataFrame, tables: Tables) -> DataFrame:
+    """(a, b): b may match a, an early class that shares a prefix word with many others.
+
+    Only words of more than HEAVY classes count: pairs by other words are few.
+    """
+    words = classes.select(F.explode("prefix").alias("word"))
+    heavy = tables.table(words.groupBy("word").agg(F.count("*").alias("k")).where(F.col("k") > HEAVY))
+    doc_id = F.coalesce(F.col("first.doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id")
+    members = classes.select(*_SET, doc_id, F.explode("prefix").alias("word"))
+    members = members.join(heavy.select("word"), "word")
+    # Aggregates of plain numbers, which need no sort.
+    hubs = members.groupBy("word").agg(*[F.min_by(c, "doc_id").alias(f"{c}_a") for c in _SET])
+    members = members.select("word", *[F.col(c).alias(f"{c}_b") for c in _SET])
+    found = members.join(hubs, "word")
+    found = found.where((F.col("cls_a") != F.col("cls_b")) & _could_match(False))
+    found = found.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
+    return _in_order(found, classes).select("a", "b")
+
+
+def _in_order(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of which a is the earlier, with the sizes of both."""
     for side in "ab":
-        pairs = pairs.join(classes.select(F.col("cls").alias(side), F.col("first").alias(f"first_{side}")), side)
-    return pairs.where(F.col("first_a") < F.col("first_b")).select("a", "b")
+        of = classes.select(
+            F.col("cls").alias(side), F.col("first").alias(f"first_{side}"), F.col("size").alias(f"size_{side}")
+        )
+        pairs = pairs.join(of, side)
+    return pairs.where(F.col("first_a") < F.col("first_b")).drop("first_a", "first_b")
+
+
+def _prefix_words(classes: DataFrame, side: str) -> DataFrame:
+    """A row per class and prefix word."""
+    rows = classes.select(*_SET, F.posexplode("prefix").alias("at", "word"))
+    return rows.select("word", *[F.col(c).alias(f"{c}_{side}") for c in (*_SET, "at")])
+
+
+def _shared_words(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b, shared) of pairs that may match: how many prefix words they were joined by."""
+    both = left.join(right, "word").where((F.col("cls_a") != F.col("cls_b")) & _could_match(True))
+    return both.groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(F.count("*").alias("shared"))
+
+
+def _prefix_candidates(counted: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): b may match the earlier class a, by all the prefix words they share."""
+    pairs = counted.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    pairs = _in_order(pairs, classes).where(F.col("shared") >= _least_shared())
+    return pairs.select("a", "b")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, tables: Tables) -> DataFrame:
@@ -189,12 +234,12 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, tables: Tab
     """
     needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     places = needed.join(classes.select("cls", "first.*"), "cls")
-    places = places.groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).agg(
-        F.collect_list(F.struct("cls", "no")).alias("wanted")
-    )
-    texts = docs.groupBy("doc_id", F.xxhash64("text").alias("tie")).agg(F.first("text").alias("text"))
-    same = texts["doc_id"].eqNullSafe(F.col("_id")) & (texts["tie"] == F.col("_tie"))
-    found = texts.join(places, same).select(F.split("text", "\n").alias("lines"), "wanted")
+    places = places.select(F.struct("doc_id", "tie").alias("key"), "cls", "no")
+    places = places.groupBy("key").agg(F.collect_list(F.struct("cls", "no")).alias("wanted"))
+    # The join takes the texts as the aggregate has dealt them out.
+    texts = docs.select(F.struct("doc_id", F.xxhash64("text").alias("tie")).alias("key"), "text")
+    texts = texts.groupBy("key").agg(F.first("text").alias("text"))
+    found = texts.join(places, "key").select(F.split("text", "\n").alias("lines"), "wanted")
     found = found.select(
         F.explode(
             F.transform("wanted", lambda w: F.struct(w["cls"].alias("cls"), F.get("lines", w["no"]).alias("line")))
@@ -209,23 +254,28 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, tables: Tab
 
 
 def repeated_classes(classes: DataFrame, docs: DataFrame, tables: Tables) -> DataFrame:
-    """(cls) of the classes that match an earlier one; see above for the rounds."""
-    found = [tables.table(_hub_candidates(classes))]
+    """(cls) of the classes that match an earlier one; see above for the steps."""
+    by_hub = tables.table(_hub_candidates(classes, tables))
+    settled = by_hub.select(F.col("b").alias("cls")).distinct()
+    open_classes = classes.join(settled, "cls", "left_anti")
+    counted = []
     for number in range(ROUNDS):
-        settled = reduce(DataFrame.unionByName, found).select(F.col("b").alias("cls")).distinct()
-        open_classes = classes.join(settled, "cls", "left_anti")
         part = F.pmod("word", F.lit(ROUNDS)) == number
-        found.append(tables.table(_prefix_candidates(open_classes, classes, part)))
-    pairs = reduce(DataFrame.unionByName, found)
+        left, right = _prefix_words(open_classes, "b").where(part), _prefix_words(classes, "a").where(part)
+        counted.append(tables.table(_shared_words(left, right)))
+    # Of two open classes both orders were joined; the later one may be settled as well.
+    pairs = tables.table(_prefix_candidates(reduce(DataFrame.unionByName, counted), classes)).unionByName(by_hub)
     repeated = tables.table(_verified(pairs, classes, docs, tables))
 
-    # A refuted candidate may have kept a class from being held against all others.
-    refuted = pairs.select(F.col("b").alias("cls")).distinct().join(repeated, "cls", "left_anti")
-    refuted = tables.table(refuted.join(classes, "cls"))
-    if refuted.isEmpty():
-        return repeated
-    again = _prefix_candidates(refuted, classes, F.lit(True))
-    again = tables.table(again.join(pairs, ["a", "b"], "left_anti"))
+    # A refuted hub may have kept a class from being held against all others.
+    refuted = tables.table(settled.join(repeated, "cls", "left_anti").join(classes, "cls"))
+    words = _prefix_words(refuted, "b")
+    if is_small(words):
+        if refuted.isEmpty():
+            return repeated
+        words = F.broadcast(words)
+    counted = _shared_words(words, _prefix_words(classes, "a"))
+    again = tables.table(_prefix_candidates(counted, classes).join(pairs, ["a", "b"], "left_anti"))
     return repeated.unionByName(_verified(again, classes, docs, tables))
 
 
