@@ -34,6 +34,8 @@ from pagemart.llm.language import remainder
 ORDER = 2
 MASS = 100.0
 TRUST = 0.4
+#: Tokens that are read in one go; a longer text is read in several lanes.
+LANE = 1024
 #: About so many bytes of text in a block; a block is one task's work and so bounds its memory.
 BLOCK_BYTES = 12 << 20
 
@@ -143,31 +145,136 @@ def _at(keys: np.ndarray, totals: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[place] == wanted, totals[place], 0)
 
 
+def _place(keys: np.ndarray, totals: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The place of each wanted key that has a count, -1 for the others."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where((keys[place] == wanted) & (totals[place] > 0), place, -1)
+
+
+class Automaton:
+    """The part of the automaton that the texts of a block can visit.
+
+    `states[l]` has a state for each n-gram of l + 1 words of the block, by its sorted hashes;
+    those without a count in training are never entered. A state's arc for a word leads to the
+    n-gram of both, so arcs are found by that n-gram's hash. The empty state has an arc for
+    every word.
+    """
+
+    def __init__(self, block: Block, known: list[tuple[np.ndarray, np.ndarray]], n: int, v: int, mass: float):
+        self.block, self.known, self.order = block, known, len(known)
+        counts = _at(*known[0], block.found)
+        self.counts = counts
+        self.base = np.log10(counts + 0.5) - np.log10(n + 0.5 * (v + 1))
+        #: Per n-gram: weight of the arc that ends in it; of its state, the failure arc's weight
+        #: and the place of the shorter state it leads to, -1 for the empty one.
+        self.arcs: list[np.ndarray] = [np.zeros(0)]
+        self.failures: list[np.ndarray] = []
+        self.shorter: list[np.ndarray] = []
+        before = contexts(block.levels, block.begins)
+        probability = None
+        for level, (keys, totals) in enumerate(known):
+            # A place of each n-gram in the texts tells its context, last word and shorter form.
+            where = np.flatnonzero(block.levels[level] != 0)
+            at = np.empty(len(keys), np.int64)
+            at[np.searchsorted(keys, block.levels[level][where])] = where
+            if level == 0:
+                probability = 10.0 ** self.base[at]
+            else:
+                lower = np.searchsorted(known[level - 1][0], block.levels[level - 1][at])
+                of_context = _at(*known[level - 1], before[level - 1][at])
+                trust = _trust(of_context, mass)
+                seen = trust * totals / np.maximum(of_context, 1)
+                probability = seen + (1 - trust) * probability[lower]
+                self.arcs.append(np.log10(probability))
+            self.failures.append(np.log10(1 - _trust(totals, mass)))
+            shorter = np.full(len(keys), -1)
+            if level:
+                shorter = _place(*known[level - 1], block.levels[level - 1][at])
+            self.shorter.append(shorter)
+
+    def starts(self, places: np.ndarray, is_begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states (length and place) before the tokens: the longest known contexts."""
+        length, state = np.zeros(len(places), np.int64), np.full(len(places), -1)
+        for level in range(self.order - 1):
+            if level == 0:
+                hashes = np.where(is_begin, END, self.block.found[places - 1])
+            else:
+                hashes = np.where(is_begin, 0, self.block.levels[level][places - 1])
+            found = _place(*self.known[level], hashes.astype(np.uint64))
+            length, state = np.where(found >= 0, level + 1, length), np.where(found >= 0, found, state)
+        return length, state
+
+    def step(self, tokens: np.ndarray, length: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """Read one token in each lane; the states change in place. Returns the log-probabilities.
+
+        A lane follows failure arcs until a state has an arc for its token.
+        """
+        read = np.zeros(len(tokens))
+        words = self.block.found[tokens]
+        moved = np.zeros(len(tokens), bool)
+        for level in range(self.order - 1, 0, -1):
+            lanes = np.flatnonzero((length == level) & ~moved)
+            if not len(lanes):
+                continue
+            own = state[lanes]
+            grams = mixed(self.known[level - 1][0][own] * np.uint64(0xA0761D6478BD642F) + words[lanes], level + 1)
+            grams[grams == 0] = 1
+            arc = _place(*self.known[level], grams)
+            has = arc >= 0
+            read[lanes] += np.where(has, self.arcs[level][arc], self.failures[level - 1][own])
+            moved[lanes] = has
+            if level + 1 < self.order:
+                to, longer = arc, level + 1
+            else:
+                to, longer = self.shorter[level][arc], level
+            fallen = self.shorter[level - 1][own]
+            state[lanes] = np.where(has, to, fallen)
+            length[lanes] = np.where(has, longer, level - 1)
+        lanes = np.flatnonzero(~moved)
+        read[lanes] += self.base[tokens[lanes]]
+        if self.order > 1:
+            found = _place(*self.known[0], words[lanes])
+            state[lanes], length[lanes] = found, (found >= 0).astype(np.int64)
+        return read
+
+
+def _trust(counts: np.ndarray, mass: float) -> np.ndarray:
+    return np.minimum(counts / (counts + mass), TRUST)
+
+
 def traverse(
     block: Block, known: list[tuple[np.ndarray, np.ndarray]], n: int, v: int, mass: float
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(base score, score, known tokens) of each text of the block.
 
-    `known` has the sorted n-grams of each length with their totals. The state before a token
-    is the longest context with a count; all tokens take their arcs at once, since states
-    depend on the words before only.
+    `known` has the sorted n-grams of each length with their totals. Every text is read from left
+    to right and its state carried from word to word. Texts are read side by side, a token of
+    each in a step; a long one in lanes of LANE tokens, of which each starts in the state that the
+    words before it lead to.
     """
-    counts = _at(*known[0], block.found)
-    base = np.log10(counts + 0.5) - np.log10(n + 0.5 * (v + 1))
-    probability, score = 10.0**base, base
-    for level, context in enumerate(contexts(block.levels, block.begins), start=2):
-        of_context = np.where(context == 0, 0, _at(*known[level - 2], context))
-        of_gram = np.where(block.levels[level - 1] == 0, 0, _at(*known[level - 1], block.levels[level - 1]))
-        trust = np.minimum(of_context / (of_context + mass), TRUST)
-        failure = np.log10(1 - trust)
-        arc = np.log10(trust * of_gram / np.maximum(of_context, 1) + (1 - trust) * probability)
-        score = np.where(of_gram > 0, arc, failure + score)
-        probability = 10.0**score
+    automaton = Automaton(block, known, n, v, mass)
+    sizes = np.diff(block.begins)
+    lanes = -(-sizes // LANE)
+    text = np.repeat(np.arange(len(sizes)), lanes)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+    first = block.begins[:-1][text] + nth * LANE
+    length = np.minimum(block.begins[1:][text] - first, LANE)
+    # The longest lanes first, so the lanes that still read are always the first ones.
+    order = np.argsort(-length, kind="stable")
+    text, first, length, nth = text[order], first[order], length[order], nth[order]
+    depth, state = automaton.starts(first, nth == 0)
+    scores = np.zeros(len(first))
+    reading = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), "left")
+    for step, count in enumerate(reading):
+        own = slice(0, count)
+        scores[own] += automaton.step(first[own] + step, depth[own], state[own])
     starts = block.begins[:-1]
     return (
-        np.add.reduceat(base, starts),
-        np.add.reduceat(score, starts),
-        np.add.reduceat((counts > 0).astype(np.int64), starts),
+        np.add.reduceat(automaton.base, starts),
+        np.bincount(text, scores, len(sizes)),
+        np.add.reduceat((automaton.counts > 0).astype(np.int64), starts),
     )
 
 
