@@ -4,8 +4,8 @@ A text becomes a vector of hashed byte trigrams (small letters; marks and digits
 spaces), each weighted log(1 + count) times the inverse document frequency, of length 1.
 Document frequencies cover all learning documents. Each language is described by a few
 centroids, found by spherical k-means on a bounded sample of its learning documents. A text
-gets the language of the centroid with the largest cosine; it is rejected if it lies further
-from that centroid than the texts the centroid was learned from.
+gets the language of the centroid with the largest cosine; it is rejected if it lies far
+beyond nearly all texts the centroid was learned from.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ DIMENSIONS = 4096
 SAMPLE = 400
 CENTROIDS = 4
 ROUNDS = 12
-#: A text is rejected below this share of the lowest cosine among the centroid's own texts.
-REJECT_SHARE = 0.5
+#: Clusters with a smaller share of a language's vectors get no centroid of their own.
+MIN_SHARE = 0.05
+#: A text is rejected below this share of a low quantile of the cosines of the centroid's texts.
+REJECT_SHARE, LOW_QUANTILE = 0.5, 0.02
 #: Texts with fewer trigrams say too little to be rejected.
 MIN_TRIGRAMS = 200
 #: Texts of one block share a count matrix; a longer text has a block of its own.
@@ -68,15 +70,33 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def spherical_kmeans(vectors: np.ndarray, k: int) -> np.ndarray:
-    """At most k centroids of length 1; starts from far-apart vectors, so it is repeatable."""
-    chosen = [int(np.argmax(vectors @ vectors.sum(axis=0)))]
+    """At most k centroids of length 1, none for clusters under MIN_SHARE of the vectors.
+
+    Starts are drawn one after the other, far vectors more likely, from a fixed seed, so the
+    same vectors give the same centroids and a single odd vector is an unlikely start. Vectors
+    of a cluster that is too small join the nearest of the others.
+    """
+    draw = np.random.Generator(np.random.PCG64(20240603))
+    chosen = [int(draw.integers(len(vectors)))]
     nearest = vectors @ vectors[chosen[0]]
     while len(chosen) < min(k, len(vectors)):
-        chosen.append(int(np.argmin(nearest)))
+        far = np.maximum(1 - nearest.astype(float), 0) ** 2
+        far[chosen] = 0
+        if not far.any():
+            break
+        chosen.append(int(draw.choice(len(vectors), p=far / far.sum())))
         nearest = np.maximum(nearest, vectors @ vectors[chosen[-1]])
     centroids = vectors[chosen]
-    for _ in range(ROUNDS):
+    for step in range(2 * ROUNDS):
         own = np.argmax(vectors @ centroids.T, axis=1)
+        sizes = np.bincount(own, minlength=len(centroids))
+        if step >= ROUNDS:
+            large = sizes >= max(1, MIN_SHARE * len(vectors))
+            if large.all():
+                break
+            large[np.argmax(sizes)] = True
+            centroids = centroids[large]
+            own = np.argmax(vectors @ centroids.T, axis=1)
         sums = np.stack([vectors[own == c].sum(axis=0) for c in range(len(centroids))])
         norms = np.linalg.norm(sums, axis=1, keepdims=True)
         centroids = np.where(norms > 0, sums / np.maximum(norms, 1e-12), centroids)
@@ -163,7 +183,7 @@ def fit(docs: DataFrame) -> Model:
             {
                 "lang": table["lang"][0].as_py(),
                 "centroid": c.astype(np.float32).tobytes(),
-                "lowest": float(cosines[own == i, i].min(initial=1.0)),
+                "lowest": float(np.quantile(cosines[own == i, i], LOW_QUANTILE)) if (own == i).any() else 1.0,
             }
             for i, c in enumerate(centroids)
         ]
