@@ -2,8 +2,11 @@
 
 A source with share q of all tokens gets weight q**x / sum(q**x). The exponent x is bisected:
 the largest in [0, 1] whose weights reach a target entropy, raised where some source would be
-repeated more often than allowed. The budget of tokens times the weight is what a source must
-deliver: whole passes over its documents and part of one more.
+repeated more often than allowed. The target is a share of the way from the entropy of the
+sources as they are to that of an even mix, unless it is given as a share of the latter. The
+budget of tokens times the weight is what a source must deliver: whole passes over its documents
+and part of one more. With `keep_all` the budget is the least that passes every source once, so
+no document is left out and the smaller sources are repeated.
 
 A pass is a permutation of blocks, and of the documents within each block, both by seeded
 hashes. Where a document starts in the pass is the tokens of the blocks before it plus those
@@ -23,8 +26,8 @@ from pyspark.sql import functions as F
 
 from pagemart.llm.common import WORD, documents, let, written
 
-#: Share of the largest possible entropy (all sources alike) that the weights reach.
-TARGET_ENTROPY = 0.97
+#: How far the weights go from the entropy of the natural shares to that of an even mix.
+ENTROPY_GAP = 0.5
 #: No document is taken more often than this, rounded up.
 MAX_PASSES = 4.0
 BLOCK_TOKENS = 1 << 18
@@ -60,6 +63,15 @@ def most_passes(logs: Column, x: Column, passes: Column) -> Column:
     return let(_powers(logs, x), of)
 
 
+def pass_ratio(logs: Column, x: Column) -> Column:
+    """How much more often the most repeated source is passed than the least repeated."""
+
+    def of(ratios: Column) -> Column:
+        return F.array_max(ratios) / F.array_min(ratios)
+
+    return let(F.transform(logs, lambda l: F.exp(l * (x - 1))), of)
+
+
 def bisect(above: Callable[[Column], Column]) -> Column:
     """The interval in [0, 1], halved STEPS times, that holds the answer, as [low, high].
 
@@ -78,12 +90,16 @@ def bisect(above: Callable[[Column], Column]) -> Column:
 
 def source_weights(
     sources: DataFrame,
-    target_entropy: float = TARGET_ENTROPY,
+    target_entropy: float | None = None,
     max_passes: float = MAX_PASSES,
     budget: int | None = None,
+    keep_all: bool = False,
 ) -> DataFrame:
     """(source, tokens, exponent, weight, target): what each source must deliver.
 
+    `target_entropy` is a share of the largest possible entropy; without it the target lies
+    ENTROPY_GAP of the way to that.
+
     `sources` has (source, tokens). The budget is the tokens of the corpus unless given, and at
     most `max_passes` times them. A source without tokens has no row; a null source is a source.
     """
@@ -96,20 +112,30 @@ def source_weights(
     most = F.col("total") * max_passes
     wanted = F.least(F.lit(budget).cast("double"), most) if budget is not None else F.least("total", most)
     whole = whole.select("total", "sources", logs.alias("logs"), wanted.cast("double").alias("budget"))
-    goal = target_entropy * F.ln(F.size("sources").cast("double"))
-    passes = F.col("budget") / F.col("total")
+    even, natural = F.ln(F.size("sources").cast("double")), entropy(F.col("logs"), F.lit(1.0))
+    goal = natural + ENTROPY_GAP * (even - natural) if target_entropy is None else target_entropy * even
+    whole = whole.withColumn("goal", goal)
+    goal, passes = F.col("goal"), F.col("budget") / F.col("total")
+
+    def too_often(x: Column) -> Column:
+        often = pass_ratio(F.col("logs"), x) if keep_all else most_passes(F.col("logs"), x, passes)
+        return often > max_passes
+
     flat = bisect(lambda x: entropy(F.col("logs"), x) >= goal)
-    steep = bisect(lambda x: most_passes(F.col("logs"), x, passes) > max_passes)
+    steep = bisect(too_often)
     whole = whole.withColumns(
         {
             "flat": F.when(entropy(F.col("logs"), F.lit(1.0)) >= goal, 1.0).otherwise(flat[0]),
-            "steep": F.when(
-                most_passes(F.col("logs"), F.lit(0.0), passes) <= max_passes, 0.0
-            ).otherwise(steep[1]),
+            "steep": F.when(~too_often(F.lit(0.0)), 0.0).otherwise(steep[1]),
         }
     ).withColumn("exponent", F.greatest("flat", "steep"))
     powers = whole.withColumn("powers", _powers(F.col("logs"), F.col("exponent")))
-    each = powers.withColumn("z", _sum(F.col("powers"))).select(
+    powers = powers.withColumn("z", _sum(F.col("powers")))
+    if keep_all:
+        # Of the largest ratio of tokens to weight; rounded up a little, so a pass is whole.
+        ratios = F.zip_with("sources", "powers", lambda s, p: s["tokens"] * F.col("z") / p)
+        powers = powers.withColumn("budget", F.array_max(ratios) * (1 + 1e-12))
+    each = powers.select(
         "exponent", "budget", "z", F.explode(F.arrays_zip("sources", "powers")).alias("one")
     )
     return each.select(
@@ -127,10 +153,11 @@ def _row_key(docs: DataFrame) -> Column:
 
 def mix(
     docs: DataFrame,
-    target_entropy: float = TARGET_ENTROPY,
+    target_entropy: float | None = None,
     max_passes: float = MAX_PASSES,
     budget: int | None = None,
     seed: int = 7,
+    keep_all: bool = False,
 ) -> DataFrame:
     """One row per document taken: (doc_id, source, n_words, weight, pass, position, key, nth).
 
@@ -147,7 +174,7 @@ def mix(
     nth = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))
     rows = written(rows.withColumn("nth", nth), "mix-sizes")
     sources = rows.groupBy("source").agg(F.sum("n_words").alias("tokens"))
-    weights = written(source_weights(sources, target_entropy, max_passes, budget), "mix-weights")
+    weights = written(source_weights(sources, target_entropy, max_passes, budget, keep_all), "mix-weights")
 
     # Salted: each row of the small side once per salt, so a source is spread over SALTS tasks.
     salted = weights.withColumns(
@@ -196,13 +223,14 @@ def mix(
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The columns of `docs`, one row per document taken by `mix`."""
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))
-    keyed = docs.withColumn("_key", _row_key(docs)).withColumn("_nth", nth)
-    taken = mix(docs, **options).select(F.col("key").alias("_key"), F.col("nth").alias("_nth"))
-    return keyed.join(taken, ["_key", "_nth"]).drop("_key", "_nth")
+    """The columns of `docs`, one row per document taken by `mix`, whatever their names."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))
+    keyed = docs.select(row, _row_key(docs).alias("key")).withColumn("nth", nth)
+    taken = mix(docs, **options).select("key", "nth")
+    return keyed.join(taken, ["key", "nth"]).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mix(documents(spark, sf_dir))
+    found = mix(documents(spark, sf_dir), keep_all=True)
     return found.withColumn("source_share", F.round("weight", 9)).drop("key", "nth", "weight")
