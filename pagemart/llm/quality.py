@@ -16,11 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemart.llm.common import documents, let, tail, words, written
+from pagemart.plans.lookup import is_small
 
 #: Commonest words of a language that get a bin of their own; all others share one.
 COMMON_WORDS = 32
-#: Languages with a reference of their own, the largest first; others use the pooled one.
-MAX_LANGUAGES = 500
 #: A language needs so many words for a reference of its own.
 MIN_REFERENCE_WORDS = 2000
 #: Shorter documents are not held against the references.
@@ -166,8 +165,7 @@ def common_words(docs: DataFrame) -> DataFrame:
     """Per language, and pooled with `pooled` true: (ref_lang, pooled, common, bins).
 
     `common` holds the hashes of the commonest words (ties by hash), `bins` the counts of all
-    others and of each of them. Languages with few words have no row. At most
-    MAX_LANGUAGES + 1 rows.
+    others and of each of them. Languages with few words have no row.
     """
     per_word = (
         _split(docs)
@@ -195,7 +193,6 @@ def common_words(docs: DataFrame) -> DataFrame:
 
     own = commonest(per_word.where(F.col("lang").isNotNull()))
     own = own.where(F.col("total") >= MIN_REFERENCE_WORDS)
-    own = own.orderBy(F.desc("total"), "ref_lang").limit(MAX_LANGUAGES)
     pooled = per_word.groupBy("word").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(""))
     both = own.withColumn("pooled", F.lit(False)).unionByName(
         commonest(pooled).withColumn("pooled", F.lit(True))
@@ -210,10 +207,12 @@ def features(docs: DataFrame, common: DataFrame) -> DataFrame:
     """
     own = common.where(~F.col("pooled")).select("ref_lang", "common")
     pooled = common.where("pooled").select(F.col("common").alias("pooled_common"))
-    # At most MAX_LANGUAGES rows and one row, each of some hundred bytes.
+    # A row of some hundred bytes per language. Beyond the bounds of a broadcast it is a join by
+    # language, of which Spark splits the frequent ones.
+    own = F.broadcast(own) if is_small(own) else own
     found = (
         _split(docs)
-        .join(F.broadcast(own), F.col("lang") == F.col("ref_lang"), "left")
+        .join(own, F.col("lang") == F.col("ref_lang"), "left")
         .join(F.broadcast(pooled), F.lit(True), "left")
         .withColumns(
             {
