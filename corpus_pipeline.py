@@ -13,7 +13,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents in a known language; a null lang becomes the language found.
 
     Learns from the labelled documents themselves. Texts that are null, have no letter or lie
-    too far from every centroid go.
+    too far from every centroid go. Equal rows are judged alike; an empty table stays empty.
     """
     found = language.predict(docs, language.fit(docs))
     lang = F.coalesce("lang", "lang_pred").alias("lang")
@@ -21,7 +21,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that match earlier ones; those that lose every line go."""
+    """Documents without lines that match earlier ones; those that lose every line go.
+
+    Null and empty texts lose nothing and stay. Equal rows are one document and stay equal rows.
+    """
     found = line_dedup.deduplicated(docs)
     left = (F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_token_lines"))
     size = F.length("text").cast("long").alias("n_chars")
@@ -29,17 +32,29 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that n-gram links connect."""
+    """One document of each group that n-gram links connect.
+
+    Documents without words, nulls among them, are linked with nothing and stay; of equal rows
+    one stays. An empty table stays empty.
+    """
     return ngram_join.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the weight of their source asks; a repeated one is a row again."""
-    return mixing.mixed_documents(docs)
+    """Every document, those of small sources as often as the weight of the source asks.
+
+    A repeated document is a row again, equal rows each by itself. A null source is a source.
+    Documents without words belong to no pass and go. An empty table stays empty.
+    """
+    return mixing.mixed_documents(docs, keep_all=True)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_pieces, ids, scores, round_trip) of every document."""
+    """(doc_id, lang, source, n_pieces, ids, scores, round_trip) of every document.
+
+    A null or empty text has no pieces; repeated rows are encoded each. Of equally good ways the
+    first by ids leads. An empty table stays empty.
+    """
     encoded = pieces.encode(docs.select("doc_id", "lang", "source", "text"))
     ids = F.col("ways")[0]["ids"]
     return encoded.select(
