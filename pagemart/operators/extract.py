@@ -64,7 +64,7 @@ CATEGORY_SPEC = PageSpec(
 
 _PAIRS = pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))
 # A class written with character references may hide a marker.
-_CODED_ATTRIBUTE = r"(?i)(class|id)\s*=[^>]*&"
+CODED_ATTRIBUTE = r"(?i)(class|id)\s*=[^>]*&"
 #: Pages whose records are handed on together.
 _CHUNK = 64
 
@@ -89,7 +89,7 @@ def parse_pages(pages: DataFrame, specs: dict[str, PageSpec]) -> DataFrame:
             *([("pairs", _PAIRS)] if with_pairs else []),
         ]
     )
-    coded = re.compile(_CODED_ATTRIBUTE)
+    coded = re.compile(CODED_ATTRIBUTE)
 
     def wanted(html: str, spec: PageSpec) -> bool:
         return not spec.markers or any(m in html for m in spec.markers) or bool(coded.search(html))
@@ -106,7 +106,7 @@ def parse_pages(pages: DataFrame, specs: dict[str, PageSpec]) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema=layout)
 
     if all(spec.markers for spec in specs.values()):
-        has_marker = F.col("html").rlike(_CODED_ATTRIBUTE)
+        has_marker = F.col("html").rlike(CODED_ATTRIBUTE)
         for marker in dict.fromkeys(m for spec in specs.values() for m in spec.markers):
             has_marker = F.col("html").contains(marker) | has_marker
         pages = pages.where(has_marker)
@@ -164,31 +164,41 @@ def extract_listing(
     the category rule. `raw` are records that were read already. A spec may leave out any
     text; without the count of links a record needs a link.
     """
+    raw = raw_records(pages, spec) if raw is None else raw
+    columns = listing_columns(base_url, category, thousands, spec)
+    return _with_texts(raw, LISTING_SPEC).select(*[c.alias(n) for n, c in columns.items()])
+
+
+def listing_columns(
+    base_url: str,
+    category: Column | None = None,
+    thousands: bool = False,
+    spec: PageSpec = LISTING_SPEC,
+) -> dict[str, Column]:
+    """The columns of `extract_listing` over raw records."""
     in_category = category is not None
     link = (X.resolve_url_in_category if in_category else X.resolve_url)(F.col("href"), base_url)
     # No link inside the heading, or no heading at all: the item cannot be read.
-    raw = raw_records(pages, spec) if raw is None else raw
     no_link = F.coalesce(F.col("links").cast("int"), F.lit(0)) == 0
     if "links" not in spec.fields:
         no_link = F.col("href").isNull()
-    raw = _with_texts(raw, LISTING_SPEC)
     error = (
         F.when(F.col("page_error").isNotNull(), F.concat(F.lit("page: "), "page_error"))
         .when(no_link, F.lit("no title link"))
         .when(X.price_is_malformed(F.col("price_text"), thousands), F.lit("malformed price"))
     )
-    return raw.select(
-        "page_id",
-        F.col("url").alias("page_url"),
-        "pos",
-        F.coalesce("title", F.lit("")).alias("title"),
-        X.parse_price(F.col("price_text"), thousands).alias("price"),
-        F.coalesce(X.strip(F.col("availability")), F.lit("Unknown")).alias("availability"),
-        F.coalesce(X.parse_rating(F.col("rating_class")), F.lit(0)).alias("rating"),
-        link.alias("url"),
-        (category if in_category else F.lit(UNKNOWN)).alias("category"),
-        error.alias("error"),
-    )
+    return {
+        "page_id": F.col("page_id"),
+        "page_url": F.col("url"),
+        "pos": F.col("pos"),
+        "title": F.coalesce("title", F.lit("")),
+        "price": X.parse_price(F.col("price_text"), thousands),
+        "availability": F.coalesce(X.strip(F.col("availability")), F.lit("Unknown")),
+        "rating": F.coalesce(X.parse_rating(F.col("rating_class")), F.lit(0)),
+        "url": link,
+        "category": category if in_category else F.lit(UNKNOWN),
+        "error": error,
+    }
 
 
 def good_rows(extracted: DataFrame) -> DataFrame:
@@ -221,6 +231,14 @@ def extract_detail(
     `raw` are records that were read already. A spec may leave out any text and the pairs.
     """
     raw = raw_records(pages, spec) if raw is None else raw
+    texts = with_detail_texts(raw)
+    found = holds_detail(with_availability)
+    columns = detail_columns(base_url, thousands, with_availability)
+    return texts.where(found).select("page_id", "url", *[c.alias(n) for n, c in columns.items()])
+
+
+def with_detail_texts(raw: DataFrame) -> DataFrame:
+    """Raw records with normalized keys and the last value of each key, in `_key`."""
     raw = _with_texts(raw, DETAIL_SPEC).withColumn(
         "pairs",
         F.transform(
@@ -228,18 +246,26 @@ def extract_detail(
             lambda p: F.struct(X.normalize_key(p["key"]).alias("key"), p["value"].alias("value")),
         ),
     )
+    return raw.withColumns({f"_{k}": _last_value(k) for k in PRODUCT_KEYS})
+
+
+def holds_detail(with_availability: bool = False) -> Column:
+    """Whether a page holds any detail, asked of its raw texts."""
     known = PRODUCT_KEYS + (["availability"] if with_availability else [])
     has_src = F.coalesce(F.col("image_src"), F.lit("")) != ""
-    # Asked of the raw texts, so that the typed columns are computed once.
-    found = (
+    return (
         F.coalesce("page_error", "crumbs", "description").isNotNull()
         | has_src
         | F.coalesce(F.exists("pairs", lambda p: p["key"].isin(known)), F.lit(False))
     )
+
+
+def detail_columns(
+    base_url: str, thousands: bool = False, with_availability: bool = False
+) -> dict[str, Column]:
+    """The columns of `extract_detail` after page_id and url, over `with_detail_texts`."""
+    has_src = F.coalesce(F.col("image_src"), F.lit("")) != ""
     prices = ["price_excl_tax", "price_incl_tax", "tax"]
-    texts = raw.where(found).withColumns(
-        {f"_{k}": _last_value(k) for k in ["upc", "product_type", "number_of_reviews", *prices]}
-    )
     columns = {
         "category": F.when(F.col("crumbs").cast("int") >= 3, X.strip(F.col("category"))).when(
             F.col("crumbs").isNotNull(), F.lit(UNKNOWN)
@@ -261,12 +287,10 @@ def extract_detail(
     malformed = F.lit(False)
     for p in prices:
         malformed = malformed | X.price_is_malformed(F.col(f"_{p}"), thousands)
-    error = F.when(F.col("page_error").isNotNull(), F.concat(F.lit("page: "), "page_error")).when(
-        malformed, F.lit("malformed price")
-    )
-    return texts.select(
-        "page_id", "url", *[c.alias(n) for n, c in columns.items()], error.alias("error")
-    )
+    columns["error"] = F.when(
+        F.col("page_error").isNotNull(), F.concat(F.lit("page: "), "page_error")
+    ).when(malformed, F.lit("malformed price"))
+    return columns
 
 
 def product_table(pages: DataFrame, spec: PageSpec = DETAIL_SPEC) -> DataFrame:

@@ -7,6 +7,7 @@ batch the first record of a UPC wins; records without a UPC are always added; th
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -37,19 +38,21 @@ class LoadPlan:
         )
 
 
-def _rules(unknown: list[str]) -> list[tuple[Column, str]]:
+def _rules(
+    unknown: list[str], column: Callable[[str], Column] = F.col
+) -> list[tuple[Column, str]]:
     """(condition that a valid record meets, text if it does not), in order."""
-    rules = [(F.col(c).isNotNull(), f"{c} is missing") for c in ("title", "price")]
+    rules = [(column(c).isNotNull(), f"{c} is missing") for c in ("title", "price")]
     rules += [
-        (F.coalesce(F.length(c) <= longest, F.lit(True)), f"{c} is longer than {longest}")
+        (F.coalesce(F.length(column(c)) <= longest, F.lit(True)), f"{c} is longer than {longest}")
         for c, longest in MAX_LENGTH.items()
     ]
     return rules + [(F.col(c).isNull(), f"unknown field {c}") for c in unknown]
 
 
-def is_valid(unknown: list[str]) -> Column:
+def is_valid(unknown: list[str], column: Callable[[str], Column] = F.col) -> Column:
     """All rules as one conjunction of plain conditions, which the scan can take over."""
-    return reduce(Column.__and__, [met for met, _ in _rules(unknown)])
+    return reduce(Column.__and__, [met for met, _ in _rules(unknown, column)])
 
 
 def reject_reason(unknown: list[str]) -> Column:
@@ -70,6 +73,21 @@ def as_records(batch: DataFrame) -> DataFrame:
     return batch.select(*known, *extra)
 
 
+def record_counts(batch: DataFrame, order: list[str]) -> list[Column]:
+    """Aggregates over a batch as it comes: `records` and `rejected`, as a plan would count them."""
+    known = {f.name: f for f in RECORD}
+
+    def typed(name: str) -> Column:
+        value = F.col(name) if name in batch.columns else F.lit(None)
+        return value.cast(known[name].dataType)
+
+    unknown = [c for c in batch.columns if c not in known and c not in order]
+    return [
+        F.count("*").alias("records"),
+        F.count_if(~is_valid(unknown, typed)).alias("rejected"),
+    ]
+
+
 def plan_load(
     batch: DataFrame,
     target: DataFrame,

@@ -34,6 +34,15 @@ def numbered_folders(spark: SparkSession, folder: str, prefix: str) -> list[int]
     return sorted(found)
 
 
+def file_numbers(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers that are names of files of a folder."""
+    system, path = _path(spark, folder)
+    if not system.exists(path):
+        return []
+    names = [s.getPath().getName() for s in system.listStatus(path)]
+    return sorted(int(n) for n in names if n.isdigit())
+
+
 class Scratch:
     """Tables that live as long as the `with` block, in the shared folder."""
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from pagemart.sources.files import delete_folder, numbered_folders
 
@@ -27,6 +29,7 @@ def stream_daily_counts(
     days = books.where(F.col("scraped_at").isNotNull()).select(day.alias("day"))
     if delay is not None:
         days = days.withWatermark("day", delay)
+        _listener(books.sparkSession)
     counts = days.groupBy("day").agg(F.count("*").alias("n"))
     counts = counts.select(F.to_date("day").alias("scrape_date"), "n")
 
@@ -50,13 +53,57 @@ def stream_daily_counts(
     )
 
 
+class LateRows(StreamingQueryListener):
+    """Adds up what the watermarks of runs leave out, batch by batch, however many there are."""
+
+    def __init__(self) -> None:
+        self.totals: dict[str, int] = {}
+        self.ended: dict[str, threading.Event] = {}
+        self.lock = threading.Lock()
+
+    def _end(self, run: str) -> threading.Event:
+        with self.lock:
+            return self.ended.setdefault(run, threading.Event())
+
+    def onQueryStarted(self, event) -> None:
+        self._end(str(event.runId))
+
+    def onQueryProgress(self, event) -> None:
+        run = str(event.progress.runId)
+        late = sum(o.numRowsDroppedByWatermark for o in event.progress.stateOperators)
+        with self.lock:
+            self.totals[run] = self.totals.get(run, 0) + late
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._end(str(event.runId)).set()
+
+    def total(self, run: str, ended: bool, patience: float = 60.0) -> int:
+        """The total of a run; of one that has ended, after its last batch was reported."""
+        if ended and not self._end(run).wait(patience):
+            raise TimeoutError(f"the end of run {run} was not reported")
+        with self.lock:
+            return self.totals.get(run, 0)
+
+
+_LISTENERS: dict[str, LateRows] = {}
+
+
+def _listener(spark: SparkSession) -> LateRows:
+    """The listener of the application, added once."""
+    application = spark.sparkContext.applicationId
+    if application not in _LISTENERS:
+        _LISTENERS[application] = LateRows()
+        spark.streams.addListener(_LISTENERS[application])
+    return _LISTENERS[application]
+
+
 def late_rows(query: StreamingQuery) -> int:
-    """Groups of rows that the watermark of a run left out, as its progress reports them."""
-    return sum(
-        operator["numRowsDroppedByWatermark"]
-        for progress in query.recentProgress
-        for operator in progress["stateOperators"]
-    )
+    """Groups of rows that the watermark of a run of `stream_daily_counts` left out, in all batches."""
+    found = _LISTENERS[SparkSession.active().sparkContext.applicationId]
+    return found.total(str(query.runId), not query.isActive)
 
 
 def read_daily_counts(spark: SparkSession, out: str) -> DataFrame:

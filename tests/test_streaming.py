@@ -94,13 +94,101 @@ def test_load_leaves_no_intermediate_tables(spark, tmp_path):
     table.create()
     pages = spark.createDataFrame([(1, BASE, LISTING), (2, URL_A, DETAIL)], PAGES)
     before = {p.name for pattern in ("load-*", "crawl-*") for p in shared.glob(pattern)}
-    result, rejects = load_pages(pages, table, BASE)
-    assert (result.inserted, result.rejected) == (1, 0)
-    assert rejects == [(1, 1, "no title link")]
+    result = load_pages(pages, table, BASE, str(tmp_path / "rejects"))
+    assert (result.inserted, result.rejected) == (1, 1)
+    rejects = spark.read.parquet(str(tmp_path / "rejects")).collect()
+    assert [tuple(r) for r in rejects] == [(1, 1, "no title link")]
     assert {p.name for pattern in ("load-*", "crawl-*") for p in shared.glob(pattern)} == before
     table.drop(confirm=True)
 
 
+def test_all_rejects_are_kept_and_counted(spark, tmp_path):
+    table = BooksTable(spark, "books_rejects", str(tmp_path / "books"))
+    table.create()
+    pages = spark.createDataFrame([(i, BASE, LISTING) for i in range(150)], PAGES)
+    result = load_pages(pages, table, BASE, str(tmp_path / "rejects"))
+    assert (result.inserted, result.rejected) == (150, 150)
+    assert spark.read.parquet(str(tmp_path / "rejects")).select("page_id").distinct().count() == 150
+    table.drop(confirm=True)
+
+
+@pytest.mark.parametrize("broken", ["rows", "append", "done"])
+def test_a_load_that_failed_is_taken_up_and_adds_nothing_twice(spark, tmp_path, monkeypatch, broken):
+    """Records without a UPC as well: the detail has none."""
+    arrivals = Arrivals(spark, tmp_path, f"books_again_{broken}")
+    bare = DETAIL.replace("<th>UPC</th>", "<th>Other</th>")
+    assert bare != DETAIL
+    arrivals.file((1, BASE, LISTING), (2, URL_A, bare), (3, BASE, LISTING_B), (4, URL_B, DETAIL_B))
+    kept = BooksTable.append
+
+    def failing(table, rows):
+        if broken == "append":
+            raise RuntimeError("lost")
+        if broken == "done":
+            kept(table, rows)
+            raise RuntimeError("lost")
+
+    monkeypatch.setattr(BooksTable, "append", failing)
+    if broken == "rows":
+        monkeypatch.setattr("pagemart.streaming.ingest.stamped", lambda rows: 1 / 0)
+    with pytest.raises(Exception):
+        arrivals.run()
+    monkeypatch.undo()
+    arrivals.run()
+    assert [r[0] for r in arrivals.rows()] == ["A long title", "B"]
+    assert sorted(r["id"] for r in arrivals.table.read().collect()) == [1, 2]
+    assert [tuple(r) for r in arrivals.ingest.results().collect()] == [(2, 0, 0)]
+    arrivals.table.drop(confirm=True)
+
+
+def test_known_upcs_of_the_table_are_skipped(spark, tmp_path):
+    arrivals = Arrivals(spark, tmp_path, "books_known")
+    arrivals.table.insert({"title": "Here before", "price": 1.0, "upc": "u1"})
+    arrivals.file((1, BASE, LISTING), (2, URL_A, DETAIL), (3, BASE, LISTING_B), (4, URL_B, DETAIL_B))
+    arrivals.run()
+    assert [(r[0], r[2]) for r in arrivals.rows()] == [("B", "u2"), ("Here before", "u1")]
+    assert [tuple(r) for r in arrivals.ingest.results().collect()] == [(1, 1, 0)]
+    arrivals.table.drop(confirm=True)
+
+
+def test_rows_leave_without_detail_when_patience_ends(spark, tmp_path):
+    arrivals = Arrivals(spark, tmp_path, "books_patience")
+    arrivals.ingest.patience = 1
+    arrivals.file((1, BASE, LISTING))
+    arrivals.run()
+    arrivals.file((2, URL_B, DETAIL_B))
+    arrivals.run()
+    assert arrivals.rows() == [("A long title", "Unknown", "", URL_A)]
+    arrivals.table.drop(confirm=True)
+
+
+def test_batches_cost_the_same_however_many_there_were(spark, tmp_path, monkeypatch):
+    """Files of the table and of the state that a batch reads do not grow with the batches."""
+    arrivals = Arrivals(spark, tmp_path, "books_cost")
+    for i in range(12):
+        url = f"{BASE}catalogue/x_{i}/index.html"
+        listing = LISTING.replace("a_1", f"x_{i}").replace("A long title", f"X{i}")
+        arrivals.file((2 * i, BASE, listing), (2 * i + 1, url, DETAIL.replace("u1", f"x{i}")))
+    reads = []
+    read, scan = PageIngest._batch, BooksTable.read
+
+    def batch(ingest, rows, number):
+        before = len(reads)
+        read(ingest, rows, number)
+        scans[number] = len(reads) - before
+
+    scans = {}
+    monkeypatch.setattr(PageIngest, "_batch", batch)
+    monkeypatch.setattr(BooksTable, "read", lambda table: reads.append(1) or scan(table))
+    arrivals.run(max_files=1)
+    assert len(arrivals.rows()) == 12
+    # Only the first batch looks at the table, for its last id.
+    assert scans[0] == 1 and not any(scans[n] for n in scans if n)
+    ledger = Path(arrivals.ingest.state) / "ledger"
+    assert len(list(ledger.glob("*"))) <= 6
+    arrivals.table.drop(confirm=True)
+
+
 def test_days_in_any_order_are_all_counted(spark, tmp_path):
     folder = str(tmp_path / "books")
     days = ["2024-05-09", "2021-01-01", "2024-05-09", "2019-12-31", "2024-05-10", "2021-01-01"]
@@ -129,6 +217,25 @@ def test_late_rows_are_counted_when_a_delay_is_given(spark, tmp_path):
     assert [r["n"] for r in read_daily_counts(spark, out).collect()] == [7, 7]
 
 
+def test_late_rows_of_more_batches_than_progress_keeps(spark, tmp_path):
+    """Twelve batches each leave out a day; Spark is told to keep the progress of five."""
+    folder, out = str(tmp_path / "books"), str(tmp_path / "out")
+    before = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "5")
+    try:
+        for day in ("2024-05-09", "2024-05-10", *(f"2019-{m:02}-01" for m in range(1, 13))):
+            frame = spark.range(3).select(F.lit(day).cast("timestamp_ntz").alias("scraped_at"))
+            frame.coalesce(1).write.mode("append").parquet(folder)
+        reader = spark.readStream.schema("scraped_at timestamp_ntz").option("maxFilesPerTrigger", 1)
+        query = stream_daily_counts(reader.parquet(folder), out, str(tmp_path / "state"), delay="1 day")
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", before)
+    # Every late batch leaves out as much as the last one.
+    (each,) = (o["numRowsDroppedByWatermark"] for o in query.recentProgress[-1]["stateOperators"])
+    assert each and len(query.recentProgress) < 12 and late_rows(query) == 12 * each
+
+
 def test_streamed_days_equal_batch_days(spark, tmp_path):
     folder = str(tmp_path / "books")
     hours = F.make_dt_interval(hours=F.col("id").cast("int"))
