@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemart.functions.numbers import bin_index
 from pagemart.operators.ranking import sample_books
+from pagemart.plans import moments
 from pagemart.plans.lookup import held_if_small, local_rows
 from pagemart.plans.order_statistics import exact_percentiles
 
@@ -78,45 +79,24 @@ def box_by(frame: DataFrame, value: str, key: str, **sizes) -> DataFrame:
 def correlation_matrix(frame: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson r per column pair over the rows where both are set, as (x, y, r).
 
-    One aggregate over the rows as they are: the numbers of all pairs side by side. A constant
-    column has no r. Columns without values are left out, and with fewer than two columns left
-    there is no row.
+    One scan for the means and one for the sums around them, a row for each combination of
+    columns with values. A constant column has no r. Columns without values are left out, and
+    with fewer than two columns left there is no row.
     """
     columns = [c for c in columns if c in frame.columns]
+    schema = "x string, y string, r double"
     if not columns:
-        return frame.sparkSession.createDataFrame([], "x string, y string, r double")
-    pairs = [(x, y) for i, x in enumerate(columns) for y in columns[i:]]
-    numbers = {c: F.col(c).cast("double") for c in columns}
-    counts = [F.count(c).alias(f"n_{i}") for i, c in enumerate(columns)]
-    found = []
-    for place, (x, y) in enumerate(pairs):
-        a = F.when(numbers[y].isNotNull(), numbers[x])
-        b = F.when(numbers[x].isNotNull(), numbers[y])
-        spread = F.nullif(F.stddev_samp(a) * F.stddev_samp(b), F.lit(0.0))
-        found.append((F.covar_samp(a, b) / spread).alias(f"r_{place}"))
-    whole = frame.agg(*counts, *found)
-    cells = [
-        F.struct(
-            F.lit(x).alias("x"),
-            F.lit(y).alias("y"),
-            F.col(f"n_{columns.index(x)}").alias("n_x"),
-            F.col(f"n_{columns.index(y)}").alias("n_y"),
-            F.col(f"r_{place}").alias("r"),
-        )
-        for place, (x, y) in enumerate(pairs)
-    ]
-    cells = whole.select(F.inline(F.array(*cells)))
-    # From here on one row per column pair.
-    usable = F.count_if((F.col("x") == F.col("y")) & (F.col("n_x") > 0))
-    cells = cells.withColumn("usable", usable.over(Window.partitionBy())).where(
-        "usable >= 2 AND n_x > 0 AND n_y > 0"
-    )
-    both_ways = F.array(
-        F.struct("x", "y", "r"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"), "r")
-    )
-    return cells.select(
-        F.inline(F.when(F.col("x") == F.col("y"), F.slice(both_ways, 1, 1)).otherwise(both_ways))
-    )
+        return frame.sparkSession.createDataFrame([], schema)
+    shifts = moments.shifts_of(frame, columns)
+    sums = moments.pattern_sums(frame, columns, shifts).collect()
+    used = [i for i in range(len(columns)) if any(r["pattern"] >> i & 1 for r in sums)]
+    cells = []
+    if len(used) >= 2:
+        for i in used:
+            for j in used:
+                r = moments.pair_moments(sums, shifts, min(i, j), max(i, j)).r
+                cells.append((columns[i], columns[j], r))
+    return frame.sparkSession.createDataFrame(cells, schema)
 
 
 def price_rating_ols(frame: DataFrame, on: str = "all", seed: int = 0) -> DataFrame:
