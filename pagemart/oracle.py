@@ -594,3 +594,29 @@ SELECT p_name AS title, p_retailprice AS price, 'In stock' AS availability,
 FROM pods JOIN ends USING (p_brand)
 LEFT JOIN detail ON detail.page_id = p_partkey AND detail.error IS NULL
 WHERE page <= last"""
+ORACLES["load_books_bucketed"] = ORACLES["load_books"]
+ORACLES["books_by_price_clustered"] = ORACLES["books_by_price"]
+ORACLES["books_of_a_year_clustered"] = _b("""
+SELECT id, title, category, created_at FROM books
+WHERE category = 'Brand#13'
+  AND created_at BETWEEN TIMESTAMP '1995-01-01 00:00:00' AND TIMESTAMP '1995-12-31 23:59:59'""")
+ORACLES["upc_lookup"] = _b("""
+SELECT id, upc, title, price FROM books WHERE upc IN ('11', '21', '323', '6401', '59991', 'x')""")
+ORACLES["extract_listing_sql"] = ORACLES["extract_listing"]
+ORACLES["product_attributes"] = f"""
+SELECT page_id, max(value) FILTER (key = 'upc') AS upc,
+       max(value) FILTER (key = 'availability') AS availability,
+       TRY_CAST(max(value) FILTER (key = 'number_of_reviews') AS INT) AS number_of_reviews
+FROM ({_PRODUCT_KV}) GROUP BY page_id"""
+ORACLES["attribute_counts"] = f"SELECT key, count(*) AS n FROM ({_PRODUCT_KV}) GROUP BY key"
+ORACLES["kept_statistics"] = ORACLES["statistics"]
+ORACLES["kept_category_stats"] = ORACLES["category_stats"]
+ORACLES["kept_cumulative_counts"] = ORACLES["cumulative_counts"]
+ORACLES["kept_sketches"] = _f("""
+SELECT category, true AS median_is_near, true AS distinct_is_near FROM frame GROUP BY category""")
+ORACLES["table_reset"] = _b("""
+SELECT count(*) AS loaded, count(*) AS before_reset, 0::BIGINT AS after_reset
+FROM books WHERE upc IS NULL""")
+ORACLES["csv_round_trip"] = _b("SELECT id, title, price, rating FROM books")
+ORACLES["load_unknown_fields"] = _b("""
+SELECT upc, title, price, 'unknown field weight' AS reason FROM books WHERE rating = 5""")

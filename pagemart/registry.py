@@ -9,17 +9,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemart.functions import text as X
-from pagemart.operators import crawl, distributions, extract, filters, ranking, summaries, timeline
+from pagemart.operators import (
+    attributes,
+    crawl,
+    distributions,
+    extract,
+    filters,
+    ranking,
+    summaries,
+    timeline,
+)
 from pagemart.operators.combine import enrich_listing
 from pagemart.operators.enrich import enriched, lenient_types
+from pagemart.operators.extract_function import register_extract
+from pagemart.operators.kept import KeptAggregates
 from pagemart.operators.load import plan_load
 from pagemart.plans.order_statistics import exact_percentiles
 from pagemart.schema import BOOKS, NUMERIC_COLUMNS
 from pagemart.session import new_folder
 from pagemart.sources import derived
 from pagemart.sources.books import BooksTable, page_stream
+from pagemart.sources.clustered import read_clustered, write_clustered
 from pagemart.sources.files import Scratch
-from pagemart.sources.sinks import to_json_rows
+from pagemart.sources.sinks import export_csv, to_json_rows
 from pagemart.streaming.daily import read_daily_counts, stream_daily_counts
 from pagemart.streaming.ingest import PageIngest, crawl_records
 
@@ -274,6 +286,118 @@ def _tag_category_shuffled(spark, sf_dir):
     return _tag_category(spark, sf_dir, max_rows=0)
 
 
+def _load_books_bucketed(spark, sf_dir):
+    """As load_books, into a table that is bucketed by UPC."""
+    table = BooksTable(spark, f"books_{uuid.uuid4().hex}", new_folder(spark, "books"), buckets=8)
+    table.create()
+    there = derived.load_target(spark, sf_dir)
+    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in BOOKS if f.name not in ("upc", "id", "title", "price")]
+    rows = there.select("upc", F.lit(0).cast("long").alias("id"), F.lit("").alias("title"), F.lit(0.0).alias("price"), *missing)
+    table.append(rows)
+    order = ["price", "tax", "title", "availability"]
+    plan = plan_load(derived.load_batch(spark, sf_dir), table.read(), order)
+    return plan.accepted.select(
+        "upc", "title", "price", "availability", "rating", "category", "tax", "scraped_at"
+    )
+
+
+def _clustered_books(spark, sf_dir, **within):
+    books = derived.books(spark, sf_dir)
+    path = new_folder(spark, "clustered-books")
+    write_clustered(books, path, ["price", "category", "created_at"], ["upc"], files=8)
+    return read_clustered(spark, path, books.schema, within)
+
+
+def _books_by_price_clustered(spark, sf_dir):
+    found = _clustered_books(spark, sf_dir, price=(20.0, 40.0))
+    return found.select("id", "title", "price", "category")
+
+
+def _books_of_a_year_clustered(spark, sf_dir):
+    year = ("1995-01-01 00:00:00", "1995-12-31 23:59:59")
+    found = _clustered_books(spark, sf_dir, created_at=year, category=("Brand#13", "Brand#13"))
+    return found.select("id", "title", "category", "created_at")
+
+
+def _upc_lookup(spark, sf_dir):
+    found = _clustered_books(spark, sf_dir).where(F.col("upc").isin("11", "21", "323", "6401", "59991", "x"))
+    return found.select("id", "upc", "title", "price")
+
+
+def _product_attributes(spark, sf_dir):
+    pages = attributes.product_attributes(_product_kv(spark, sf_dir))
+    return pages.select(
+        "page_id",
+        attributes.attribute("upc").alias("upc"),
+        attributes.attribute("availability").alias("availability"),
+        attributes.attribute("number_of_reviews", "int").alias("number_of_reviews"),
+    )
+
+
+def _attribute_counts(spark, sf_dir):
+    return attributes.attribute_keys(attributes.product_attributes(_product_kv(spark, sf_dir)))
+
+
+def _extract_listing_sql(spark, sf_dir):
+    register_extract(spark)
+    pages = derived.listing_pages(spark, sf_dir)
+    raw = spark.sql("SELECT * FROM extract_records(TABLE({pages}), 'listing')", pages=pages)
+    return extract.good_rows(extract.extract_listing(pages, BASE, raw=raw))
+
+
+def _kept(report):
+    """A report from the aggregates of three loads, of which one is run again."""
+
+    def query(spark, sf_dir):
+        frame = enriched(derived.books(spark, sf_dir))
+        kept = KeptAggregates(spark, new_folder(spark, "kept"))
+        year = F.coalesce(F.year("scraped_at"), F.lit(0))
+        loads = {"old": year < 1994, "middle": year.between(1994, 1996), "new": year > 1996}
+        for name in ("old", "middle", "new", "middle"):
+            kept.add(name, frame.where(loads[name]))
+        return report(kept, frame)
+
+    return query
+
+
+def _sketch_check(kept, frame):
+    """Per category whether the sketches are within their errors of the exact answers."""
+    exact = frame.groupBy("category").agg(
+        F.percentile("price", [0.48, 0.52]).alias("around"), F.count_distinct("upc").alias("upcs")
+    )
+    found = kept.sketched("category").withColumnRenamed("category", "_category")
+    both = exact.join(found, F.col("category").eqNullSafe(F.col("_category")))
+    near = F.col("median_price").between(F.col("around")[0], F.col("around")[1])
+    close = F.abs(F.col("distinct_upcs") - F.col("upcs")) <= F.greatest(F.col("upcs") * 0.06, F.lit(1))
+    return both.select("category", near.alias("median_is_near"), close.alias("distinct_is_near"))
+
+
+def _table_reset(spark, sf_dir):
+    """Records in a table before and after it is reset: all books without a UPC are loaded."""
+    table = BooksTable(spark, f"books_{uuid.uuid4().hex}", new_folder(spark, "books"))
+    table.create()
+    books = derived.books(spark, sf_dir).drop("id", "created_at")
+    loaded = table.load(books.where(F.col("upc").isNull())).inserted
+    before = table.read().agg(F.count("*").alias("n")).first()["n"]
+    table.reset(confirm=True)
+    after = table.read().agg(F.count("*").alias("after_reset"))
+    return after.select(F.lit(loaded).alias("loaded"), F.lit(before).alias("before_reset"), "after_reset")
+
+
+def _csv_round_trip(spark, sf_dir):
+    columns = ["id", "title", "price", "rating"]
+    books = derived.books(spark, sf_dir).select(columns)
+    path = export_csv(books, new_folder(spark, "csv"), columns)
+    return spark.read.schema(books.schema).option("header", True).option("escape", '"').csv(path)
+
+
+def _unknown_fields(spark, sf_dir):
+    batch = derived.books(spark, sf_dir).drop("id", "created_at")
+    batch = batch.withColumn("weight", F.when(F.col("rating") == 5, F.col("price")))
+    plan = plan_load(batch, derived.load_target(spark, sf_dir))
+    return plan.rejected.select("upc", "title", "price", "reason")
+
+
 _EXPLORE = {"category": "Brand#13", "rating": 4, "min_price": 20.0, "max_price": 60.0}
 
 QUERIES: dict[str, Query] = {
@@ -305,11 +429,18 @@ QUERIES: dict[str, Query] = {
     "catalogue_plan": _catalogue_plan,
     "crawl_by_category": _crawl_by_category,
     "union_listings": _union_listings,
+    "product_attributes": _product_attributes,
+    "attribute_counts": _attribute_counts,
+    "extract_listing_sql": _extract_listing_sql,
     # Load
     "load_books": _load("accepted"),
     "load_rejects": _load("rejected"),
     "load_summary": _load("summary"),
     "load_round_trip": _load_round_trip,
+    "load_books_bucketed": _load_books_bucketed,
+    "load_unknown_fields": _unknown_fields,
+    "table_reset": _table_reset,
+    "csv_round_trip": _csv_round_trip,
     # Filters
     "enriched_books": _on_frame(
         lambda f: f.select("id", "category", "stock_quantity", "in_stock", "price_range", "price")
@@ -317,6 +448,9 @@ QUERIES: dict[str, Query] = {
     "books_by_price": _on_books(
         lambda b: filters.books_by_price(b, 20.0, 40.0).select("id", "title", "price", "category")
     ),
+    "books_by_price_clustered": _books_by_price_clustered,
+    "books_of_a_year_clustered": _books_of_a_year_clustered,
+    "upc_lookup": _upc_lookup,
     "api_books": _on_books(filters.api_books),
     "api_books_range": _on_books(lambda b: filters.api_books(b, 100, 20.0, 40.0)),
     "api_books_strict": _on_books(lambda b: filters.api_books(b, 50, 90.0, strict=True)),
@@ -364,6 +498,11 @@ QUERIES: dict[str, Query] = {
     "category_stock": _on_frame(summaries.category_stock),
     "avg_price_by_rating": _on_frame(summaries.avg_price_by_rating, "avg_price"),
     "price_center": _on_frame(summaries.price_center, "mean_price", "median_price", digits=8),
+    # From aggregates kept per load
+    "kept_statistics": _kept(lambda kept, _: _rounded(kept.statistics(), "avg_price")),
+    "kept_category_stats": _kept(lambda kept, _: kept.category_stats()),
+    "kept_cumulative_counts": _kept(lambda kept, _: kept.cumulative_counts()),
+    "kept_sketches": _kept(_sketch_check),
     # Distributions
     "price_histogram": _on_frame(lambda f: distributions.histogram(f, "price", 50)),
     "price_histogram_30": _on_frame(lambda f: distributions.histogram(f, "price", 30)),
