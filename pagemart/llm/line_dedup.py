@@ -42,6 +42,8 @@ STEPS = 2
 ROUNDS = 2
 #: A word is heavy if more classes have it in their prefix.
 HEAVY = 32
+#: So many heavy words, of four bytes each, may be broadcast; more are joined by a shuffle.
+HEAVY_WORDS = 1_000_000
 _SET = ("cls", "size", "odd", "folded")
 
 
@@ -179,16 +181,20 @@ def _could_match(places_too: bool) -> Column:
     return lengths & near & (before + after >= needed)
 
 
-def _hub_candidates(classes: DataFrame, tables: Tables) -> DataFrame:
+def _hub_candidates(classes: DataFrame, part: Column, tables: Tables) -> DataFrame:
     """(a, b): b may match a, an early class that shares a prefix word with many others.
 
-    Only words of more than HEAVY classes count: pairs by other words are few.
+    Only words of more than HEAVY classes count, and of these the ones for which `part` holds:
+    pairs by other words are few.
     """
-    words = classes.select(F.explode("prefix").alias("word"))
-    heavy = tables.table(words.groupBy("word").agg(F.count("*").alias("k")).where(F.col("k") > HEAVY))
+    words = classes.select(F.explode("prefix").alias("word")).where(part)
+    heavy = words.groupBy("word").agg(F.count("*").alias("k")).where(F.col("k") > HEAVY)
+    heavy = tables.table(heavy.select("word"))
+    if is_small(heavy, HEAVY_WORDS):
+        heavy = F.broadcast(heavy)
     doc_id = F.coalesce(F.col("first.doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id")
-    members = classes.select(*_SET, doc_id, F.explode("prefix").alias("word"))
-    members = members.join(heavy.select("word"), "word")
+    members = classes.select(*_SET, doc_id, F.explode("prefix").alias("word")).where(part)
+    members = members.join(heavy, "word")
     # Aggregates of plain numbers, which need no sort.
     hubs = members.groupBy("word").agg(*[F.min_by(c, "doc_id").alias(f"{c}_a") for c in _SET])
     members = members.select("word", *[F.col(c).alias(f"{c}_b") for c in _SET])
@@ -255,12 +261,13 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, tables: Tab
 
 def repeated_classes(classes: DataFrame, docs: DataFrame, tables: Tables) -> DataFrame:
     """(cls) of the classes that match an earlier one; see above for the steps."""
-    by_hub = tables.table(_hub_candidates(classes, tables))
+    parts = [F.pmod("word", F.lit(ROUNDS)) == number for number in range(ROUNDS)]
+    by_hub = [tables.table(_hub_candidates(classes, part, tables)) for part in parts]
+    by_hub = reduce(DataFrame.unionByName, by_hub)
     settled = by_hub.select(F.col("b").alias("cls")).distinct()
     open_classes = classes.join(settled, "cls", "left_anti")
     counted = []
-    for number in range(ROUNDS):
-        part = F.pmod("word", F.lit(ROUNDS)) == number
+    for part in parts:
         left, right = _prefix_words(open_classes, "b").where(part), _prefix_words(classes, "a").where(part)
         counted.append(tables.table(_shared_words(left, right)))
     # Of two open classes both orders were joined; the later one may be settled as well.
