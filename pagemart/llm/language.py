@@ -63,6 +63,13 @@ def blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Vectors of length 1, or 0 for a text without trigrams."""
     vectors = np.log1p(counts).astype(np.float32) * idf
@@ -117,7 +124,7 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, texts = np.zeros(DIMENSIONS, np.int64), 0
-        for batch in batches:
+        for batch in pieces(batches):
             column = batch["text"].to_pylist()
             for start, end in blocks(column):
                 total += (trigram_counts(column[start:end]) > 0).sum(axis=0)
@@ -215,7 +222,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layout = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
-        for batch in batches:
+        for batch in pieces(batches):
             found = pa.RecordBatch.from_pylist(shared.value.predict(batch["text"].to_pylist()), schema=layout)
             yield pa.record_batch([*batch.columns, *found.columns], [*batch.schema.names, *fields])
 
