@@ -37,7 +37,7 @@ TRUST = 0.4
 #: Tokens that are read in one go; a longer text is read in several lanes.
 LANE = 1024
 #: About so many bytes of text in a block; a block is one task's work and so bounds its memory.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +188,9 @@ class Automaton:
                 seen = trust * totals / np.maximum(of_context, 1)
                 probability = seen + (1 - trust) * probability[lower]
                 self.arcs.append(np.log10(probability))
-            self.failures.append(np.log10(1 - _trust(totals, mass)))
+            # The longest n-grams are no states: no failure arc leaves them.
+            is_state = level + 1 < self.order
+            self.failures.append(np.log10(1 - _trust(totals, mass)) if is_state else np.zeros(0))
             shorter = np.full(len(keys), -1)
             if level:
                 shorter = _place(*known[level - 1], block.levels[level - 1][at])
