@@ -268,7 +268,7 @@ class Slice:
     """Keys of some documents, dealt out to shards by the upper bits of the key.
 
     A shard gets the 48 bits below those that chose it, and the place of the owner in the list
-    of classes: half of what keys and classes are. With so many keys to a shard, equal bits of
+    of the classes that have a key there: at most eight bytes a key, however many shards. With so many keys to a shard, equal bits of
     different keys are rare, and cost a candidate when they happen.
     """
 
@@ -298,18 +298,21 @@ class Slice:
         order = np.lexsort((rest, shard))
         shard, rest, owners = shard[order], rest[order], owners[order]
         cuts = np.searchsorted(shard, np.arange(self.shards + 1))
-        classes = np.array(self.classes, np.int64).tobytes()
-        rows = [
-            (
-                number,
-                (rest[a:b] >> np.uint64(16)).astype(np.uint32).tobytes(),
-                (rest[a:b] & np.uint64(0xFFFF)).astype(np.uint16).tobytes(),
-                owners[a:b].tobytes(),
-                classes,
-            )
-            for number, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))
-            if a < b
-        ]
+        classes = np.array(self.classes, np.int64)
+        rows = []
+        for number, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if a < b:
+                # Only the classes that own one of these keys.
+                present, owner = np.unique(owners[a:b], return_inverse=True)
+                rows.append(
+                    (
+                        number,
+                        (rest[a:b] >> np.uint64(16)).astype(np.uint32).tobytes(),
+                        (rest[a:b] & np.uint64(0xFFFF)).astype(np.uint16).tobytes(),
+                        owner.astype(np.uint16).tobytes(),
+                        classes[present].tobytes(),
+                    )
+                )
         columns = list(zip(*rows, strict=True))
         arrays = [pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]]
         return pa.record_batch(arrays, ["shard", "high", "low", "owners", "classes"])
@@ -564,19 +567,22 @@ def link_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """`docs` with one row of each group of linked rows: the first by (doc_id, text hash).
 
-    Rows without words are linked with nothing and all stay.
+    Rows without words, null texts among them, are linked with nothing and all stay. Of equal
+    rows one stays; texts are read whole. Further columns stay as they are, whatever their
+    names. An empty table gives no rows.
     """
     found = linked(docs, width).where("n > 0")
     first = found.groupBy("label").agg(F.min(F.struct("doc_id", "text_key")).alias("row"))
-    first = written(first.select("row.*").toDF("_id", "_key"), "survivors")
+    first = written(first.select("row.*").toDF("first_id", "first_key"), "survivors")
     wordless = ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    keyed = docs.where(~wordless).withColumn("_text_key", F.xxhash64("text"))
-    same = keyed["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.where(~wordless).select(row, F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"))
+    same = keyed["id"].eqNullSafe(F.col("first_id")) & (keyed["key"] == F.col("first_key"))
     kept = keyed.join(first, same, "left_semi")
     # A row may be repeated as a whole: its copies have equal keys.
-    again = Window.partitionBy("doc_id", "_text_key").orderBy(F.lit(0))
-    kept = kept.withColumn("_again", F.row_number().over(again)).where("_again = 1")
-    return kept.select(docs.columns).unionByName(docs.where(wordless))
+    again = Window.partitionBy("id", "key").orderBy(F.lit(0))
+    kept = kept.withColumn("nth", F.row_number().over(again)).where("nth = 1")
+    return kept.select("row.*").unionByName(docs.where(wordless))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

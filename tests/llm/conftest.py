@@ -3,7 +3,10 @@ import random
 import pytest
 
 #: Columns that documents may carry and that operators use as names of their own.
-CLASHES = ("words", "key", "n", "cls", "label", "part", "block", "shard", "slot", "size", "nth", "place")
+CLASHES = (
+    *("words", "key", "n", "cls", "label", "part", "block", "shard", "slot", "size", "nth", "place"),
+    *("removed", "row", "id", "tie", "_id", "_tie", "_key", "_nth", "_again", "_text_key", "first_id"),
+)
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 

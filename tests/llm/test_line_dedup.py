@@ -93,3 +93,52 @@ def test_other_columns_and_empty(clashing, documents, no_documents):
 def test_plan_has_no_python(documents):
     plan = line_dedup.deduplicated(documents)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_large_families_and_refuted_hubs(spark, monkeypatch):
+    """Families with heavy words, members of which match an earlier one but not the hub."""
+    import random
+
+    monkeypatch.setattr(line_dedup, "HEAVY", 2)
+    draw = random.Random(7)
+    rows = []
+    for family in range(4):
+        base = [f"f{family}w{i}" for i in range(30)]
+        for member in range(25):
+            tokens = list(base)
+            for _ in range(draw.randint(0, 9)):
+                tokens[draw.randrange(len(tokens))] = f"e{draw.randint(0, 40)}"
+            rows.append((family * 100 + member, " ".join(tokens), "en", "a", None))
+    draw.shuffle(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    check(spark, rows, frame)
+
+
+def test_least_shared_prefix_words_never_exceed_what_matches_share():
+    """Prefixes of random matching sets share at least the bound."""
+    import math
+    import random
+
+    draw = random.Random(3)
+    seen = 0
+    for _ in range(3000):
+        a = set(draw.sample(range(200), draw.randint(3, 60)))
+        b = set(a)
+        for _ in range(draw.randint(0, 8)):
+            b.discard(draw.choice(sorted(b))) if draw.random() < 0.5 and len(b) > 1 else b.add(draw.randrange(200))
+        if 100 * len(a & b) < 80 * len(a | b):
+            continue
+        seen += 1
+        length = {len(s): len(s) - math.ceil(0.8 * len(s) - 1e-9) + 1 for s in (a, b)}
+        shared = len(set(sorted(a)[: length[len(a)]]) & set(sorted(b)[: length[len(b)]]))
+        needed = math.ceil((len(a) + len(b)) * 80 / 180 - 1e-9)
+        rest = max(math.ceil(0.8 * len(s) - 1e-9) for s in (a, b)) - 1
+        assert shared >= max(1, needed - rest)
+    assert seen > 500
+
+
+def test_spaces_of_every_kind_part_words(spark):
+    lines = ["a b  c", " a\tb c ", "a\x0bb\x0cc\r", "c b a", "\t \r"]
+    frame = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    found = line_dedup.deduplicated(frame).first()
+    assert (found["n_token_lines"], found["n_removed"], found["text"]) == (4, 3, "a b  c\n\t \r")
