@@ -36,8 +36,9 @@ MASS = 100.0
 TRUST = 0.4
 #: Tokens that are read in one go; a longer text is read in several lanes.
 LANE = 1024
+_STEP = 1 << 18
 #: About so many bytes of text in a block; a block is one task's work and so bounds its memory.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -164,37 +165,40 @@ class Automaton:
 
     def __init__(self, block: Block, known: list[tuple[np.ndarray, np.ndarray]], n: int, v: int, mass: float):
         self.block, self.known, self.order = block, known, len(known)
-        counts = _at(*known[0], block.found)
+        keys, counts = known[0]
+        #: The place of each token among the single words, and the weight and count of those.
+        self.words = np.searchsorted(keys, block.found).astype(np.int32)
         self.counts = counts
         self.base = np.log10(counts + 0.5) - np.log10(n + 0.5 * (v + 1))
         #: Per n-gram: weight of the arc that ends in it; of its state, the failure arc's weight
         #: and the place of the shorter state it leads to, -1 for the empty one.
         self.arcs: list[np.ndarray] = [np.zeros(0)]
-        self.failures: list[np.ndarray] = []
-        self.shorter: list[np.ndarray] = []
+        self.failures = [np.log10(1 - _trust(counts, mass))]
+        self.shorter = [np.full(len(keys), -1, np.int32)]
         before = contexts(block.levels, block.begins)
-        probability = None
-        for level, (keys, totals) in enumerate(known):
+        probability = 10.0**self.base
+        for level in range(1, self.order):
+            keys, totals = known[level]
             # A place of each n-gram in the texts tells its context, last word and shorter form.
-            where = np.flatnonzero(block.levels[level] != 0)
-            at = np.empty(len(keys), np.int64)
-            at[np.searchsorted(keys, block.levels[level][where])] = where
-            if level == 0:
-                probability = 10.0 ** self.base[at]
-            else:
-                lower = np.searchsorted(known[level - 1][0], block.levels[level - 1][at])
-                of_context = _at(*known[level - 1], before[level - 1][at])
-                trust = _trust(of_context, mass)
-                seen = trust * totals / np.maximum(of_context, 1)
-                probability = seen + (1 - trust) * probability[lower]
-                self.arcs.append(np.log10(probability))
+            at = np.zeros(len(keys), np.int32)
+            for start in range(0, len(block.found), _STEP):
+                grams = block.levels[level][start : start + _STEP]
+                where = np.flatnonzero(grams)
+                at[np.searchsorted(keys, grams[where])] = where + start
+            last = block.levels[level - 1][at]
+            trust = _at(*known[level - 1], before[level - 1][at]).astype(float)
+            seen = totals / np.maximum(trust, 1)
+            trust = _trust(trust, mass)
+            seen *= trust
+            probability = probability[np.searchsorted(known[level - 1][0], last)]
+            probability *= 1 - trust
+            probability += seen
+            del seen, trust, at
+            self.arcs.append(np.log10(probability))
+            self.shorter.append(_place(*known[level - 1], last).astype(np.int32))
             # The longest n-grams are no states: no failure arc leaves them.
             is_state = level + 1 < self.order
             self.failures.append(np.log10(1 - _trust(totals, mass)) if is_state else np.zeros(0))
-            shorter = np.full(len(keys), -1)
-            if level:
-                shorter = _place(*known[level - 1], block.levels[level - 1][at])
-            self.shorter.append(shorter)
 
     def starts(self, places: np.ndarray, is_begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The states (length and place) before the tokens: the longest known contexts."""
@@ -235,9 +239,10 @@ class Automaton:
             state[lanes] = np.where(has, to, fallen)
             length[lanes] = np.where(has, longer, level - 1)
         lanes = np.flatnonzero(~moved)
-        read[lanes] += self.base[tokens[lanes]]
+        own = self.words[tokens[lanes]]
+        read[lanes] += self.base[own]
         if self.order > 1:
-            found = _place(*self.known[0], words[lanes])
+            found = np.where(self.counts[own] > 0, own, -1)
             state[lanes], length[lanes] = found, (found >= 0).astype(np.int64)
         return read
 
@@ -274,9 +279,9 @@ def traverse(
         scores[own] += automaton.step(first[own] + step, depth[own], state[own])
     starts = block.begins[:-1]
     return (
-        np.add.reduceat(automaton.base, starts),
+        np.add.reduceat(automaton.base[automaton.words], starts),
         np.bincount(text, scores, len(sizes)),
-        np.add.reduceat((automaton.counts > 0).astype(np.int64), starts),
+        np.add.reduceat((automaton.counts > 0)[automaton.words].astype(np.int64), starts),
     )
 
 
