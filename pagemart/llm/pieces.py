@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +34,7 @@ from pagemart.llm.common import documents
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
 #: Words a worker remembers; beyond that it starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 600_000
 #: Texts are answered in slices of about so many characters.
 SLICE_CHARS = 1 << 21
 #: A byte piece scores so much less than the rarest piece.
@@ -257,14 +258,20 @@ class Codec:
 
 
 def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about SLICE_CHARS characters."""
+    return ranges([None if t is None else len(t) for t in texts])
+
+
+def ranges(lengths: list[int | None]) -> Iterator[tuple[int, int]]:
+    """The same by the lengths of the texts."""
     start, size = 0, 0
-    for i, text in enumerate(texts):
-        if i > start and size + len(text or "") > SLICE_CHARS:
+    for i, length in enumerate(lengths):
+        if i > start and size + (length or 0) > SLICE_CHARS:
             yield start, i
             start, size = i, 0
-        size += len(text or "")
-    if start < len(texts):
-        yield start, len(texts)
+        size += length or 0
+    if start < len(lengths):
+        yield start, len(lengths)
 
 
 def _lists(parts: list[bytes]) -> pa.Array:
@@ -294,12 +301,13 @@ def encode(docs: DataFrame, path: str = VOCABULARY, n_best: int = N_BEST) -> Dat
         # Many small records that stay: the search for cycles would go over them again and again.
         gc.set_threshold(200_000)
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            for start, end in slices(texts):
-                found = [None if t is None else own.encode(t, n_best) for t in texts[start:end]]
+            for start, end in ranges(pc.utf8_length(batch["text"]).to_pylist()):
+                # Only the texts of a slice are Python objects at a time.
+                texts = batch["text"].slice(start, end - start).to_pylist()
+                found = [None if t is None else own.encode(t, n_best) for t in texts]
                 trips = [
                     None if ways is None else own.decode(np.frombuffer(ways[0][1], np.int32).tolist()) == text
-                    for text, ways in zip(texts[start:end], found, strict=True)
+                    for text, ways in zip(texts, found, strict=True)
                 ]
                 flat = [way for ways in found for way in ways or ()]
                 each = pa.StructArray.from_arrays(
