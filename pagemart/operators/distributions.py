@@ -84,19 +84,24 @@ def correlation_matrix(frame: DataFrame, columns: list[str]) -> DataFrame:
     with fewer than two columns left there is no row.
     """
     columns = [c for c in columns if c in frame.columns]
-    schema = "x string, y string, r double"
     if not columns:
-        return frame.sparkSession.createDataFrame([], schema)
-    shifts = moments.shifts_of(frame, columns)
-    sums = moments.pattern_sums(frame, columns, shifts).collect()
-    used = [i for i in range(len(columns)) if any(r["pattern"] >> i & 1 for r in sums)]
-    cells = []
-    if len(used) >= 2:
-        for i in used:
-            for j in used:
-                r = moments.pair_moments(sums, shifts, min(i, j), max(i, j)).r
-                cells.append((columns[i], columns[j], r))
-    return frame.sparkSession.createDataFrame(cells, schema)
+        return frame.sparkSession.createDataFrame([], "x string, y string, r double")
+    sums = moments.pattern_sums(frame, columns, moments.shifts_of(frame, columns))
+    # One row per combination of columns with values, then one row in all.
+    whole = sums.agg(F.collect_list(F.struct("*")).alias("patterns"))
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    found = whole.select(*[moments.pair_columns(F.col("patterns"), i, j).alias(f"of_{i}_{j}") for i, j in pairs])
+    has_values = [F.col(f"of_{i}_{i}.n") > 0 for i in range(len(columns))]
+    usable = sum((v.cast("int") for v in has_values[1:]), has_values[0].cast("int"))
+    cells = [
+        F.when(
+            has_values[i] & has_values[j] & (usable >= 2),
+            F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"of_{i}_{j}.r").alias("r")),
+        )
+        for i, j in pairs
+        for x, y in dict.fromkeys([(columns[i], columns[j]), (columns[j], columns[i])])
+    ]
+    return found.select(F.inline(F.filter(F.array(*cells), lambda c: c.isNotNull())))
 
 
 def price_rating_ols(frame: DataFrame, on: str = "all", seed: int = 0) -> DataFrame:

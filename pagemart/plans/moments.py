@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -84,6 +84,40 @@ def pair_moments(sums: list, shifts: list[float], i: int, j: int) -> PairMoments
     )
 
 
+def pair_columns(patterns: Column, i: int, j: int) -> Column:
+    """The same as columns (n, r) over an array of all rows of `pattern_sums`."""
+    both = (1 << i) | (1 << j)
+    sums = {"s_x": f"s_{i}", "s_y": f"s_{j}", "p_x": f"p_{i}_{i}", "p_y": f"p_{j}_{j}", "p": f"p_{i}_{j}"}
+    limits = {"low_x": f"low_{i}", "high_x": f"high_{i}", "low_y": f"low_{j}", "high_y": f"high_{j}"}
+    none = F.lit(None).cast("double")
+    start = F.struct(
+        F.lit(0).cast("long").alias("n"),
+        *[F.lit(0.0).alias(k) for k in sums],
+        *[none.alias(k) for k in limits],
+    )
+
+    def add(total: Column, row: Column) -> Column:
+        more = F.struct(
+            (total["n"] + row["n"]).alias("n"),
+            *[(total[k] + row[v]).alias(k) for k, v in sums.items()],
+            *[
+                (F.least if k.startswith("low") else F.greatest)(total[k], row[v]).alias(k)
+                for k, v in limits.items()
+            ],
+        )
+        return F.when(row["pattern"].bitwiseAND(F.lit(both)) == both, more).otherwise(total)
+
+    def finish(t: Column) -> Column:
+        spread_x = F.greatest(t["p_x"] - t["s_x"] * t["s_x"] / t["n"], F.lit(0.0))
+        spread_y = F.greatest(t["p_y"] - t["s_y"] * t["s_y"] / t["n"], F.lit(0.0))
+        varied = (t["n"] > 1) & (t["low_x"] < t["high_x"]) & (t["low_y"] < t["high_y"])
+        spread = F.nullif(F.sqrt(spread_x) * F.sqrt(spread_y), F.lit(0.0))
+        r = F.when(varied, (t["p"] - t["s_x"] * t["s_y"] / t["n"]) / spread)
+        return F.struct(t["n"].alias("n"), r.alias("r"))
+
+    return F.aggregate(patterns, start, add, finish)
+
+
 def shifts_of(frame: DataFrame, columns: list[str]) -> list[float]:
     """The mean of each column, which sums of products are taken around; 0 without values."""
     means = frame.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns]).first()
