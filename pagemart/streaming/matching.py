@@ -55,14 +55,16 @@ class MatchDetails(StatefulProcessor):
         frame = pd.DataFrame(rows, columns=["kind", "page_id", "pos", "listing", "detail", "since"])
         return frame.astype({"page_id": "Int64", "pos": "Int32", "since": "Int64"})
 
-    def _leaving(self, detail: str | None) -> list[tuple]:
-        rows = [
+    def _waited(self, detail: str | None) -> list[tuple]:
+        """The rows that have waited, which wait no more."""
+        waiting = list(self.waiting.get())
+        if waiting:
+            self.waiting.clear()
+        return [
             ("record", page_id, pos, payload, detail, since)
-            for page_id, pos, payload, since in self.waiting.get()
+            for page_id, pos, payload, since in waiting
             if since > self.released
         ]
-        self.waiting.clear()
-        return rows
 
     def handleInputRows(
         self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues
@@ -78,24 +80,28 @@ class MatchDetails(StatefulProcessor):
                     details.append((_place(page_id), row.payload, page_id))
                 else:
                     found.append(("reject", page_id, pos, None, row.payload, batch))
+        # Each use of the state is a message: rows that need not wait are not put there.
+        known = self.detail.get() if details or listings else None
         if details:
-            if self.detail.exists():
-                page_id, payload = self.detail.get()
-                details.append((_place(page_id), payload, page_id))
-            _, payload, page_id = min(details)
-            self.detail.update((page_id, payload))
-        for row in listings:
-            self.waiting.appendValue(row)
-        if (details or listings) and self.detail.exists():
-            found += self._leaving(self.detail.get()[1])
-        elif listings and self.patience is not None:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience)
+            candidates = [*details, (_place(known[0]), known[1], known[0])] if known else details
+            _, payload, page_id = min(candidates, key=lambda d: d[:2])
+            if not known or (page_id, payload) != tuple(known):
+                self.detail.update((page_id, payload))
+            if not known:
+                found += self._waited(payload)
+            known = (page_id, payload)
+        if known:
+            found += [("record", page_id, pos, payload, known[1], since) for page_id, pos, payload, since in listings]
+        elif listings:
+            self.waiting.appendList(listings)
+            if self.patience is not None:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience)
         yield self._frame(found)
 
     def handleExpiredTimer(
         self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo
     ) -> Iterator[pd.DataFrame]:
-        yield self._frame(self._leaving(None) if self.waiting.exists() else [])
+        yield self._frame(self._waited(None))
 
     def close(self) -> None:
         pass
