@@ -114,10 +114,13 @@ def plan_load(
     with_key = valid.where(F.col("upc").isNotNull())
     first = first_per_key(with_key, "upc", [F.col(c) for c in places])
     known = target.select("upc").where(F.col("upc").isNotNull())
-    if cut_target:
-        keys = held_if_small(with_key.select("upc").distinct())
-        if keys is not None:
-            known = known.join(F.broadcast(keys), "upc", "left_semi").distinct()
+    keys = held_if_small(with_key.select("upc").distinct()) if cut_target else None
+    if keys is not None:
+        known = known.join(F.broadcast(keys), "upc", "left_semi").distinct()
+    else:
+        # Never broadcast: the size of one column of a table is an estimate by types, which is
+        # far too low where the other columns are mostly null.
+        known = known.hint("merge")
     new = first.join(known, "upc", "left_anti").select(valid.columns)
     return LoadPlan(
         accepted=new.unionByName(without_key),

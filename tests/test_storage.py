@@ -148,3 +148,17 @@ def test_a_load_does_not_shuffle_a_bucketed_table(spark, tmp_path):
     assert exchange_over_scan(plans[table]) == 0
     table.drop(confirm=True)
     plain.drop(confirm=True)
+
+
+def test_keys_of_a_table_are_not_broadcast_by_its_estimated_size(spark, tmp_path):
+    """One column of a table whose other columns are null is estimated far below its size."""
+    for buckets in (None, 4):
+        table = BooksTable(spark, f"books_estimated_{buckets}", str(tmp_path / f"b{buckets}"), buckets=buckets)
+        table.create()
+        record = [F.concat(F.lit("t"), "id").alias("title"), F.lit(1.0).alias("price")]
+        table.load(spark.range(500).select(F.concat(F.lit("u"), "id").alias("upc"), *record))
+        batch = spark.range(400, 900).select(F.concat(F.lit("u"), "id").alias("upc"), *record)
+        accepted = plan_load(batch, table.read()).accepted
+        assert accepted.count() == 400
+        assert "BroadcastHashJoin" not in final_plan(accepted)
+        table.drop(confirm=True)
