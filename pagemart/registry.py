@@ -235,7 +235,8 @@ def _price_quantiles(spark, sf_dir):
 def _stream_daily(spark, sf_dir):
     lines = derived.table(spark, sf_dir, "lineitem")
     folder = derived.in_files(lines, new_folder(spark, "daily-files"))
-    reader = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1)
+    reader = spark.readStream.schema(lines.schema)
+    reader = reader.option("maxFilesPerTrigger", derived.files_per_batch(spark, folder))
     lines = reader.parquet(folder)
     out = new_folder(spark, "daily")
     books = derived.books(spark, sf_dir, lines)
@@ -247,7 +248,7 @@ def _stream_daily(spark, sf_dir):
 def _stream_ingest(spark, sf_dir):
     pages = _scan_pages(spark, sf_dir)
     folder = derived.in_files(pages, new_folder(spark, "page-files"))
-    stream = page_stream(spark, folder, max_files=1)
+    stream = page_stream(spark, folder, max_files=derived.files_per_batch(spark, folder))
     name = f"books_{uuid.uuid4().hex}"
     table = BooksTable(spark, name, new_folder(spark, "books"))
     table.create()

@@ -164,11 +164,22 @@ def arriving_pages(spark: SparkSession, sf_dir: str, pages: DataFrame) -> DataFr
 
 
 def in_files(df: DataFrame, folder: str, files: int = 4) -> str:
-    """The frame in several files, for streams that take them one by one."""
-    df.repartition(files).write.parquet(folder)
+    """The frame in so many files or more, for streams that take some at a time.
+
+    A scan with as many tasks is written as it is read. Rows of a smaller one are dealt by their
+    place: no task sorts its rows for that, as a plain repartition would.
+    """
+    if df.rdd.getNumPartitions() < files:
+        df = df.repartition(files, F.monotonically_increasing_id())
+    df.write.parquet(folder)
     return folder
 
 
+def files_per_batch(spark: SparkSession, folder: str, batches: int = 4) -> int:
+    """How many files a stream takes at a time to read a folder in about so many batches."""
+    return max(1, -(-len(spark.read.parquet(folder).inputFiles()) // batches))
+
+
 def category_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Category pages with a pod per part, a page with the sidebar, and the product pages.
 

@@ -40,7 +40,8 @@ def stream_daily_counts(
             known = spark.read.schema(_SCHEMA).parquet(f"{out}/{_VERSION}{versions[-1]}")
             # One row per day on both sides.
             batch = batch.unionByName(known.join(batch, "scrape_date", "left_anti"))
-        batch.coalesce(1).write.mode("overwrite").parquet(f"{out}/{_VERSION}{batch_id}")
+        # One row per day goes to one file; coalesce would run the tasks of the state as one.
+        batch.repartition(1).write.mode("overwrite").parquet(f"{out}/{_VERSION}{batch_id}")
         for old in versions[:-1]:
             delete_folder(spark, f"{out}/{_VERSION}{old}")
 

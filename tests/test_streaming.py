@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pagemart.operators.timeline import daily_counts
 from pagemart.schema import PAGES
+from pagemart.sources import derived
 from pagemart.sources.books import BooksTable, page_stream
 from pagemart.streaming.daily import late_rows, read_daily_counts, stream_daily_counts
 from pagemart.streaming.ingest import PageIngest, load_pages, records_of_pages
@@ -265,3 +266,34 @@ def test_streamed_days_do_not_depend_on_the_time_zone(spark, tmp_path):
         assert got == daily_counts(frame).collect() and [r["n"] for r in got] == [2, 1]
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_tasks_of_the_daily_state_stay_apart(spark, tmp_path, monkeypatch):
+    """A coalesced batch runs all partitions of the state in one task, with the memory of all."""
+    folder = str(tmp_path / "books")
+    spark.range(40).select(
+        F.timestamp_seconds(F.col("id") * 86_400).cast("timestamp_ntz").alias("scraped_at")
+    ).write.parquet(folder)
+
+    def coalesce(frame, number):
+        raise AssertionError("coalesced")
+
+    stream = spark.readStream.schema("scraped_at timestamp_ntz").parquet(folder)
+    out = str(tmp_path / "out")
+    monkeypatch.setattr(type(stream), "coalesce", coalesce)
+    stream_daily_counts(stream, out, str(tmp_path / "state")).awaitTermination()
+    monkeypatch.undo()
+    assert [r["n"] for r in read_daily_counts(spark, out).collect()] == [1] * 40
+    assert len(list(Path(out).glob("version=*/*.parquet"))) == 1
+
+
+def test_files_of_a_stream_grow_with_the_scan(spark, tmp_path):
+    """A scan of many tasks is not shuffled into four files; a small one is dealt evenly."""
+    for parts, files, taken in ((9, 9, 3), (1, 4, 1)):
+        folder = str(tmp_path / f"files{parts}")
+        # Equal rows, too, are spread.
+        rows = spark.range(2000).select((F.col("id") * 0).alias("id")).repartition(parts)
+        derived.in_files(rows, folder)
+        counts = [r["count"] for r in spark.read.parquet(folder).groupBy(F.input_file_name()).count().collect()]
+        assert len(counts) == files and sum(counts) == 2000 and max(counts) < 800
+        assert derived.files_per_batch(spark, folder) == taken
