@@ -249,9 +249,9 @@ class PageIngest:
         )
         # A detail without an address completes nothing; rejects only pass through.
         rows = rows.where((F.col("kind") != "detail") | F.col("url").isNotNull())
-        alone = F.concat_ws(":", F.lit("#"), "page_id", "pos")
-        rows = rows.withColumn("key", F.when(F.col("kind") == "reject", alone).otherwise(F.col("url")))
-        matched = rows.drop("url").groupBy("key").transformWithStateInPandas(
+        key = F.when(F.col("kind") == "reject", _bundle("#")).otherwise(F.col("url"))
+        rows = rows.withColumn("key", key)
+        matched = rows.drop("url").groupBy("key").transformWithState(
             matching.MatchDetails(self._released(), self.patience),
             T.StructType.fromDDL(matching.MATCH_OUT),
             "Append",
@@ -264,7 +264,7 @@ class PageIngest:
         return (
             _checked(matched.drop("since"))
             .groupBy("key")
-            .transformWithStateInPandas(
+            .transformWithState(
                 matching.FirstOfKey(),
                 T.StructType.fromDDL(matching.FIRST_OUT),
                 "Append",
@@ -337,6 +337,8 @@ class PageIngest:
 _ENTRY = "key string, first_id bigint, last_id bigint, inserted bigint, skipped bigint, rejected bigint"
 #: Number of the stateful operator that matches details; they are counted from the output.
 _MATCH = 1
+#: Keys that the rows of a batch without state share.
+_BUNDLES = 256
 
 
 @contextmanager
@@ -360,6 +362,11 @@ def _state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
+def _bundle(mark: str) -> Column:
+    """A key for rows that use no state: each key costs time, so they share some."""
+    return F.concat(F.lit(mark), F.pmod(F.xxhash64("page_id", "pos"), F.lit(_BUNDLES)).cast("string"))
+
+
 def _checked(matched: DataFrame) -> DataFrame:
     """(key, page_id, pos, payload, status) of matched rows: whole records as JSON, and whether
     they are valid, have a UPC (`keyed`) or none (`open`)."""
@@ -388,8 +395,7 @@ def _checked(matched: DataFrame) -> DataFrame:
         F.to_json(F.struct(*RECORD.fieldNames()))
     )
     rows = records.select("page_id", "pos", payload.alias("payload"), status.alias("status"), "upc")
-    alone = F.concat_ws(":", F.lit("p"), "page_id", "pos")
-    key = F.when(F.col("status") == "keyed", F.concat(F.lit("u"), "upc")).otherwise(alone)
+    key = F.when(F.col("status") == "keyed", F.concat(F.lit("u"), "upc")).otherwise(_bundle("p"))
     return rows.select(key.alias("key"), "page_id", "pos", "payload", "status")
 
 

@@ -2,7 +2,8 @@
 
 One state per url: the detail of the book, and the listing rows that wait for it. One state
 per UPC: that it was loaded. A batch reads and writes the state of its own keys only, so its
-cost does not grow with what was loaded before.
+cost does not grow with what was loaded before. Rows come and go as rows: most keys have one,
+and a pandas frame for each of them takes far longer than its state.
 """
 
 from __future__ import annotations
@@ -10,8 +11,8 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark import TaskContext, cloudpickle
+from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
@@ -29,9 +30,13 @@ def _batch_id() -> int:
     return int(TaskContext.get().getLocalProperty("streaming.sql.batchId") or 0)
 
 
-def _place(value: object) -> tuple[bool, int]:
+def _place(value: int | None) -> tuple[bool, int]:
     """Nulls first."""
-    return (False, 0) if pd.isna(value) else (True, int(value))
+    return (False, 0) if value is None else (True, value)
+
+
+_MATCHED = Row("kind", "page_id", "pos", "listing", "detail", "since")
+_FIRST = Row("page_id", "pos", "payload", "status")
 
 
 class MatchDetails(StatefulProcessor):
@@ -51,35 +56,29 @@ class MatchDetails(StatefulProcessor):
         self.detail = handle.getValueState("detail", "page_id long, payload string")
         self.waiting = handle.getListState("waiting", "page_id long, pos int, payload string, since long")
 
-    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=["kind", "page_id", "pos", "listing", "detail", "since"])
-        return frame.astype({"page_id": "Int64", "pos": "Int32", "since": "Int64"})
-
-    def _waited(self, detail: str | None) -> list[tuple]:
+    def _waited(self, detail: str | None) -> list[Row]:
         """The rows that have waited, which wait no more."""
         waiting = list(self.waiting.get())
         if waiting:
             self.waiting.clear()
         return [
-            ("record", page_id, pos, payload, detail, since)
+            _MATCHED("record", page_id, pos, payload, detail, since)
             for page_id, pos, payload, since in waiting
             if since > self.released
         ]
 
     def handleInputRows(
-        self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues
-    ) -> Iterator[pd.DataFrame]:
-        found, listings, details = [], [], []
+        self, key: tuple, rows: Iterator[Row], timerValues: TimerValues
+    ) -> Iterator[Row]:
+        listings, details = [], []
         batch = _batch_id()
-        for frame in rows:
-            for row in frame.itertuples(index=False):
-                page_id, pos = (None if pd.isna(v) else int(v) for v in (row.page_id, row.pos))
-                if row.kind == "listing":
-                    listings.append((page_id, pos, row.payload, batch))
-                elif row.kind == "detail":
-                    details.append((_place(page_id), row.payload, page_id))
-                else:
-                    found.append(("reject", page_id, pos, None, row.payload, batch))
+        for row in rows:
+            if row.kind == "listing":
+                listings.append((row.page_id, row.pos, row.payload, batch))
+            elif row.kind == "detail":
+                details.append((_place(row.page_id), row.payload, row.page_id))
+            else:
+                yield _MATCHED("reject", row.page_id, row.pos, None, row.payload, batch)
         # Each use of the state is a message: rows that need not wait are not put there.
         known = self.detail.get() if details or listings else None
         if details:
@@ -88,20 +87,20 @@ class MatchDetails(StatefulProcessor):
             if not known or (page_id, payload) != tuple(known):
                 self.detail.update((page_id, payload))
             if not known:
-                found += self._waited(payload)
+                yield from self._waited(payload)
             known = (page_id, payload)
         if known:
-            found += [("record", page_id, pos, payload, known[1], since) for page_id, pos, payload, since in listings]
+            for page_id, pos, payload, since in listings:
+                yield _MATCHED("record", page_id, pos, payload, known[1], since)
         elif listings:
             self.waiting.appendList(listings)
             if self.patience is not None:
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience)
-        yield self._frame(found)
 
     def handleExpiredTimer(
         self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo
-    ) -> Iterator[pd.DataFrame]:
-        yield self._frame(self._waited(None))
+    ) -> Iterator[Row]:
+        yield from self._waited(None)
 
     def close(self) -> None:
         pass
@@ -115,25 +114,24 @@ class FirstOfKey(StatefulProcessor):
         self.seen = handle.getValueState("seen", "seen boolean")
 
     def handleInputRows(
-        self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues
-    ) -> Iterator[pd.DataFrame]:
-        found, keyed = [], []
-        for frame in rows:
-            for row in frame.itertuples(index=False):
-                values = (None if pd.isna(v) else int(v) for v in (row.page_id, row.pos))
-                record = (*values, row.payload, row.status)
-                (keyed if row.status == "keyed" else found).append(record)
+        self, key: tuple, rows: Iterator[Row], timerValues: TimerValues
+    ) -> Iterator[Row]:
+        keyed = []
+        for row in rows:
+            if row.status == "keyed":
+                keyed.append((row.page_id, row.pos, row.payload))
+            else:
+                yield _FIRST(row.page_id, row.pos, row.payload, row.status)
         if keyed:
             keyed.sort(key=lambda r: (_place(r[0]), _place(r[1]), r[2]))
             new = not self.seen.exists()
             if new:
                 self.seen.update((True,))
-            found += [(*r[:3], "new" if new and i == 0 else "skipped") for i, r in enumerate(keyed)]
-        frame = pd.DataFrame(found, columns=["page_id", "pos", "payload", "status"])
-        yield frame.astype({"page_id": "Int64", "pos": "Int32"})
+            for i, record in enumerate(keyed):
+                yield _FIRST(*record, "new" if new and i == 0 else "skipped")
 
     def handleInitialState(
-        self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues
+        self, key: tuple, initialState: Row, timerValues: TimerValues
     ) -> None:
         self.seen.update((True,))
 

@@ -1,6 +1,7 @@
 from pathlib import Path
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from pagemart.operators.timeline import daily_counts
@@ -8,6 +9,7 @@ from pagemart.schema import PAGES
 from pagemart.sources import derived
 from pagemart.sources.books import BooksTable, page_stream
 from pagemart.streaming.daily import late_rows, read_daily_counts, stream_daily_counts
+from pagemart.streaming import matching
 from pagemart.streaming.ingest import PageIngest, load_pages, records_of_pages
 from tests.test_extract import BASE, DETAIL, LISTING
 
@@ -297,3 +299,56 @@ def test_files_of_a_stream_grow_with_the_scan(spark, tmp_path):
         counts = [r["count"] for r in spark.read.parquet(folder).groupBy(F.input_file_name()).count().collect()]
         assert len(counts) == files and sum(counts) == 2000 and max(counts) < 800
         assert derived.files_per_batch(spark, folder) == taken
+
+
+class Held:
+    """A state of one key, and the uses of it."""
+
+    def __init__(self):
+        self.value, self.rows, self.uses = None, [], 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def getListState(self, name, schema):
+        return Held()
+
+    def get(self):
+        self.uses += 1
+        return self.value
+
+    def exists(self):
+        return self.get() is not None
+
+    def update(self, value):
+        self.uses, self.value = self.uses + 1, value
+
+    def appendList(self, rows):
+        self.rows += rows
+
+
+def test_rows_pass_the_state_as_rows_and_use_it_only_where_they_need_it(monkeypatch):
+    monkeypatch.setattr(matching, "_batch_id", lambda: 3)
+    made = Row("key", "kind", "page_id", "pos", "payload")
+    match, state = matching.MatchDetails(-1, None), Held()
+    match.init(state)
+    rejects = [made("#", "reject", i, None, "bad") for i in range(5)]
+    found = list(match.handleInputRows(("#",), iter(rejects), None))
+    assert [tuple(r) for r in found] == [("reject", i, None, None, "bad", 3) for i in range(5)]
+    assert state.uses == 0
+    # A listing that waits gives no row at all.
+    assert list(match.handleInputRows(("u",), iter([made("u", "listing", None, 1, "{}")]), None)) == []
+    assert match.waiting.rows == [(None, 1, "{}", 3)] and state.uses == 1
+    state.value = (7, "{d}")
+    found = list(match.handleInputRows(("u",), iter([made("u", "listing", 1, 1, "{}")]), None))
+    assert [tuple(r) for r in found] == [("record", 1, 1, "{}", "{d}", 3)]
+
+    made = Row("key", "page_id", "pos", "payload", "status")
+    first, state = matching.FirstOfKey(), Held()
+    first.init(state)
+    rows = [made("p", 1, 1, "{}", "open"), made("p", None, 1, "{}", "invalid")]
+    assert [r["status"] for r in first.handleInputRows(("p",), iter(rows), None)] == ["open", "invalid"]
+    assert state.uses == 0
+    rows = [made("u", 1, 1, "{}", "keyed"), made("u", None, 1, "{}", "keyed")]
+    found = [tuple(r) for r in first.handleInputRows(("u",), iter(rows), None)]
+    assert found == [(None, 1, "{}", "new"), (1, 1, "{}", "skipped")]
