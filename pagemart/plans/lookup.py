@@ -31,7 +31,7 @@ def small_rows(df: DataFrame, max_rows: int = SMALL_ROWS) -> pa.Table | None:
     return df.toArrow() if is_small(df, max_rows) else None
 
 
-def _row_bytes(df: DataFrame) -> Column:
+def row_bytes(df: DataFrame) -> Column:
     """About the bytes of a row: its texts, and eight for every other column."""
     size = F.lit(8 * len(df.columns)).cast("long")
     for name, kind in df.dtypes:
@@ -44,7 +44,7 @@ def _row_bytes(df: DataFrame) -> Column:
 
 def is_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
     """Whether the frame is within the bounds of a broadcast."""
-    count, size = df.limit(max_rows + 1).agg(F.count("*"), F.sum(_row_bytes(df))).first()
+    count, size = df.limit(max_rows + 1).agg(F.count("*"), F.sum(row_bytes(df))).first()
     return count <= max_rows and (size or 0) <= SMALL_BYTES
 
 

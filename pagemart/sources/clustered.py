@@ -14,9 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagemart.plans.lookup import row_bytes
+
 #: Bits of the place of a value in its column; the columns together have one key of 64 bits.
 BITS = 5
 ROW_GROUP_BYTES = 16 << 20
+#: Bytes of values that one file, and the task that writes it, should have at most.
+FILE_BYTES = 128 << 20
 
 
 def as_number(value: Column, kind: T.DataType) -> Column:
@@ -29,16 +33,21 @@ def as_number(value: Column, kind: T.DataType) -> Column:
     return value.cast("double")
 
 
-def place_borders(df: DataFrame, columns: list[str], bits: int = BITS) -> dict[str, list[float]]:
-    """Numbers that part the rows into 2**bits about equal places, for each column, in one scan."""
+def place_borders(
+    df: DataFrame, columns: list[str], bits: int = BITS
+) -> tuple[dict[str, list[float]], int]:
+    """Numbers that part the rows into 2**bits about equal places, for each column, and about the
+    bytes of all rows, in one scan."""
     shares = [i / (1 << bits) for i in range(1, 1 << bits)]
     found = df.agg(
         *[
             F.percentile_approx(as_number(F.col(c), df.schema[c].dataType), shares, 10_000).alias(c)
             for c in columns
-        ]
+        ],
+        F.sum(row_bytes(df)),
     ).first()
-    return {c: sorted({b for b in found[c] or [] if math.isfinite(b)}) for c in columns}
+    borders = {c: sorted({b for b in found[c] or [] if math.isfinite(b)}) for c in columns}
+    return borders, found[-1] or 0
 
 
 def _place(number: Column, borders: list[float]) -> Column:
@@ -70,13 +79,16 @@ def write_clustered(
     keys: list[str],
     files: int,
     row_group_bytes: int = ROW_GROUP_BYTES,
+    file_bytes: int = FILE_BYTES,
 ) -> None:
-    """Write `df` clustered by `columns`, with Bloom filters on `keys`, in about so many files.
+    """Write `df` clustered by `columns`, with Bloom filters on `keys`, in about so many files, or
+    more where a file would have over `file_bytes` of values.
 
     Nulls stand with the smallest values. Rows with one place in all columns are spread over
     files by a hash, so a value that a third of the rows have makes no large file.
     """
-    borders = place_borders(df, columns)
+    borders, size = place_borders(df, columns)
+    files = max(files, math.ceil(size / file_bytes))
     key = interleaved([_place(as_number(F.col(c), df.schema[c].dataType), borders[c]) for c in columns])
     rows = df.select("*", key.alias("_key"), F.xxhash64(*keys).alias("_spread"))
     rows = rows.repartitionByRange(files, "_key", "_spread").sortWithinPartitions("_key", *columns)

@@ -162,3 +162,14 @@ def test_keys_of_a_table_are_not_broadcast_by_its_estimated_size(spark, tmp_path
         assert accepted.count() == 400
         assert "BroadcastHashJoin" not in final_plan(accepted)
         table.drop(confirm=True)
+
+
+def test_files_of_a_copy_grow_in_number_and_not_in_size(spark, books, tmp_path):
+    path = str(tmp_path / "many")
+    clustered.write_clustered(books, path, ["price", "category"], ["upc"], 2, file_bytes=200_000)
+    files = spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()
+    # About 50 bytes a row: 10 files; ranges are drawn from a sample.
+    assert 8 <= len(files) <= 16 and max(r["count"] for r in files) < 9_000
+    assert sorted(map(repr, clustered.read_clustered(spark, path, books.schema).collect())) == sorted(
+        map(repr, books.collect())
+    )
