@@ -4,20 +4,21 @@ A line's set is its distinct words. Two lines match if the Jaccard index of thei
 least 4/5. A line goes if an earlier line of the corpus matches it, kept or not, where lines
 are ordered by document and then by place.
 
-Words are ordered by rarity, so that the first few words of a set, which two matching sets
-must share, are ones that few lines have (prefix filter). The sizes of the sets (length
-filter), the places of a shared word in both (positional filter) and 128 parity bits, whose
-Hamming distance is at most the number of words in which two sets differ, rule out nearly all
-of what is left; what remains is verified on whole sets. Equal sets are one class from the start, so
-copies, however many, are never paired.
-
-A class goes as a whole if an earlier class matches it, so one match is all that need be known.
-First each class is held against an early class of each prefix word that more than HEAVY classes
-have; members of a family of near copies are settled by that. Only the others are held against all
-classes that share a prefix word, in ROUNDS parts by that word. Two matching sets share not one
-but many words of their prefixes, the more the closer their sizes (see `_least_shared`), so the
-shared ones are counted over all parts. All candidates are verified together. Settled classes
-whose candidates were all refuted are sought again against all, so no match is lost.
+Words are ordered by rarity. A word that one of two sets lacks parts at most two pairs of words
+that follow each other in the order, one word put in parts one. So two matching sets share a
+pair among the first few pairs of each (see `n_pairs`). Pairs of rare words are far more telling
+than words: their groups hardly grow with the corpus. The sizes of the sets (length filter) and
+64 parity bits, whose Hamming distance is at most the number of words in which two sets differ,
+rule out most of what is left; what remains is verified on whole sets. Equal sets are one class
+from the start, so copies, however many, are never paired.
+
+Pairs are counted in ROUNDS parts, and only those of two classes or more go on. Where there are
+just two, the count itself tells which. A class goes as a whole if an earlier class matches it, so
+one match is all that need be known. Of larger groups, first each class is held against an early
+class of each pair that more than HEAVY classes have; members of a family of near copies are
+settled by that. Only the others are held against all classes that share a pair. All candidates
+are verified together. Settled classes whose candidates were all refuted are sought again against
+all, so no match is lost.
 
 Everything is a column expression. Rarity comes from word counts over the whole corpus, kept
 in COUNTERS counters by hash. They decide only the order, which is the same for all lines, so
@@ -38,13 +39,13 @@ PERCENT = 80
 COUNTERS = 1 << 16
 #: Steps of rarity to each doubling of a count.
 STEPS = 2
-#: Parts of the prefix words that are joined one after the other, to bound the shuffle.
-ROUNDS = 2
-#: A word is heavy if more classes have it in their prefix.
+#: Parts of the word pairs that are counted one after the other, to bound the shuffle.
+ROUNDS = 3
+#: A word pair is heavy if more classes have it.
 HEAVY = 32
-#: So many heavy words, of four bytes each, may be broadcast; more are joined by a shuffle.
-HEAVY_WORDS = 1_000_000
-_SET = ("cls", "size", "odd", "folded")
+#: So many word pairs, or texts to read again, may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+_SET = ("cls", "size", "odd")
 
 
 def line_words(line: Column) -> Column:
@@ -82,27 +83,35 @@ def token_codes(line: Column, levels: list[int]) -> Column:
     table = F.split(F.lit(",".join(str(level << 56) for level in levels)), ",").cast("array<bigint>")
 
     def code(hash: Column) -> Column:
-        level = F.get(table, hash.bitwiseAND(F.lit(COUNTERS - 1)).cast("int"))
+        # Never null, which the type tells only this way; arrays without nulls are sorted faster.
+        level = F.coalesce(F.get(table, hash.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")), F.lit(0).cast("long"))
         return level.bitwiseOR(F.shiftrightunsigned(hash, 8))
 
     return F.sort_array(F.transform(word_hashes(line), code))
 
 
 def parity(codes: Column) -> Column:
-    """128 parity bits, one of which each code flips: (odd half, both halves folded into one)."""
+    """64 parity bits, one of which each code flips."""
+
+    def flip(bits: Column, code: Column) -> Column:
+        # Of the number of places, shiftleft takes the last six bits.
+        return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), place(code)))
 
     def place(code: Column) -> Column:
         return code.bitwiseAND(F.lit(63)).cast("int")
 
-    def fold(bits: Column, code: Column) -> Column:
-        return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), place(code)))
+    return F.aggregate(codes, F.lit(0).cast("long"), flip)
 
-    def odd(bits: Column, code: Column) -> Column:
-        is_odd = F.shiftright(code, 6).bitwiseAND(F.lit(1).cast("long"))
-        return bits.bitwiseXOR(F.call_function("shiftleft", is_odd, place(code)))
 
-    none = F.lit(0).cast("long")
-    return F.struct(F.aggregate(codes, none, odd).alias("odd"), F.aggregate(codes, none, fold).alias("folded"))
+def n_pairs(size: Column) -> Column:
+    """How many of its first pairs a set of so many words is found by; 0 if only equal sets match it.
+
+    For PERCENT = 80. Let a matching set lack k of the words, at most size / 5, and have m further
+    ones. The union is at most 5/4 of what is shared, so m <= (size - 5 * k) / 4. Pairs lost are 2 * k + m at
+    most, and that grows with k. The first pair left is the first one left in the other set too.
+    """
+    lost = F.floor((size + 3 * F.floor(size / 5)) / 4).cast("int")
+    return F.when(size < 4, 0).otherwise(lost + 1)
 
 
 def _ceil_share(total: Column, numerator: int, denominator: int) -> Column:
@@ -110,10 +119,10 @@ def _ceil_share(total: Column, numerator: int, denominator: int) -> Column:
 
 
 def line_sets(docs: DataFrame, levels: list[int]) -> DataFrame:
-    """(doc_id, tie, no, size, cls, odd, folded, prefix) of every line.
+    """(doc_id, tie, no, size, cls, odd, prefix) of every line.
 
     `tie` tells rows with equal doc_ids apart, `cls` is the same for equal sets, `prefix` has
-    the words, as short numbers, of which matching sets share at least one. Lines without words
+    the words, as short numbers, whose pairs of neighbours a set is found by. Lines without words
     have the size 0.
     """
     lines = docs.select(
@@ -129,22 +138,19 @@ def line_sets(docs: DataFrame, levels: list[int]) -> DataFrame:
         "no",
         size.alias("size"),
         F.xxhash64("codes").alias("cls"),
-        parity(F.col("codes")).alias("bits"),
-        F.transform(F.slice("codes", 1, size - _ceil_share(size, PERCENT, 100) + 1), lambda c: F.hash(c)).alias(
-            "prefix"
-        ),
+        parity(F.col("codes")).alias("odd"),
+        F.transform(F.slice("codes", 1, n_pairs(size) + 1), lambda c: F.hash(c)).alias("prefix"),
     )
-    return found.select("doc_id", "tie", "no", "size", "cls", "bits.odd", "bits.folded", "prefix")
+    return found
 
 
 def line_classes(lines: DataFrame) -> DataFrame:
-    """(cls, first, n, size, odd, folded, prefix): each set once, with the place of its first line."""
+    """(cls, first, n, size, odd, prefix): each set once, with the place of its first line."""
     return lines.groupBy("cls").agg(
         F.min(F.struct("doc_id", "tie", "no")).alias("first"),
         F.count("*").alias("n"),
         F.first("size").alias("size"),
         F.first("odd").alias("odd"),
-        F.first("folded").alias("folded"),
         F.first("prefix").alias("prefix"),
     )
 
@@ -154,135 +160,137 @@ def _needed() -> Column:
     return _ceil_share(F.col("size_a") + F.col("size_b"), PERCENT, 100 + PERCENT)
 
 
-def _least_shared() -> Column:
-    """How many words of their prefixes two matching sets share at least.
+def _could_match() -> Column:
+    """Whether sizes and parity bits leave a pair (a, b) open."""
+    lengths = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * PERCENT
+    differing = F.col("size_a") + F.col("size_b") - 2 * _needed()
+    near = F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd_b"))) <= differing
+    return (F.col("cls_a") != F.col("cls_b")) & lengths & near
+
+
+def _pair_rows(classes: DataFrame, part: int) -> DataFrame:
+    """A row per class and pair of neighbours in its prefix, for one part of the pairs.
 
-    Of two prefixes, let x be the one whose last word comes first in the order. Words of x's
-    prefix that the other prefix lacks, the other set lacks. So the sets share at most the
-    shared prefix words and the rest of x, which is one word less than PERCENT of it.
+    `pair` is both words as one number, `at` the document of the class's first line.
     """
-    rest = F.greatest(*[_ceil_share(F.col(s), PERCENT, 100) for s in ("size_a", "size_b")]) - 1
-    return F.greatest(_needed() - rest, F.lit(1))
+    others = F.size("prefix") - 1
+    neighbours = F.arrays_zip(F.slice("prefix", 1, others).alias("one"), F.slice("prefix", 2, others).alias("next"))
+    at = F.coalesce(F.col("first.doc_id").cast("long"), F.lit(-(1 << 63))).alias("at")
+    rows = classes.where(n_pairs(F.col("size")) > 0).select(*_SET, at, F.inline(neighbours).alias("one", "next"))
+    upper = F.call_function("shiftleft", F.col("one").cast("long"), F.lit(32))
+    pair = upper.bitwiseOR(F.col("next").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    return rows.where(F.pmod("next", F.lit(ROUNDS)) == part).select(pair.alias("pair"), *_SET, "at")
 
 
-def _could_match(places_too: bool) -> Column:
-    """Whether sizes, parity bits and the places of the shared word leave a pair (a, b) open."""
-    needed = _needed()
-    lengths = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * PERCENT
-    differing = F.col("size_a") + F.col("size_b") - 2 * needed
-    odd, both = (F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")) for c in ("odd", "folded"))
-    near = F.bit_count(odd) + F.bit_count(odd.bitwiseXOR(both)) <= differing
-    if not places_too:
-        return lengths & near
-    # Words before the shared one and words from it on. All words that a match shares hold to
-    # this, so none is missing when they are counted.
-    before = F.least("at_a", "at_b")
-    after = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
-    return lengths & near & (before + after >= needed)
-
-
-def _hub_candidates(classes: DataFrame, part: Column, tables: Tables) -> DataFrame:
-    """(a, b): b may match a, an early class that shares a prefix word with many others.
-
-    Only words of more than HEAVY classes count, and of these the ones for which `part` holds:
-    pairs by other words are few.
+def shared_pairs(classes: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """Where two classes share a word pair alone, and where more do.
+
+    The first is (a, b), one row per such pair; the second (pair, n, cls, size, odd, at), a row
+    per class and pair that n > 2 rows have.
     """
-    words = classes.select(F.explode("prefix").alias("word")).where(part)
-    heavy = words.groupBy("word").agg(F.count("*").alias("k")).where(F.col("k") > HEAVY)
-    heavy = tables.table(heavy.select("word"))
-    if is_small(heavy, HEAVY_WORDS):
-        heavy = F.broadcast(heavy)
-    doc_id = F.coalesce(F.col("first.doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id")
-    members = classes.select(*_SET, doc_id, F.explode("prefix").alias("word")).where(part)
-    members = members.join(heavy, "word")
+    twos, members = [], []
+    for part in range(ROUNDS):
+        # Aggregates of plain numbers; a pair of one class goes no further.
+        ends = (F.count("*").alias("n"), F.min("cls").alias("a"), F.max("cls").alias("b"))
+        shared = tables.table(_pair_rows(classes, part).groupBy("pair").agg(*ends).where("a <> b"))
+        twos.append(shared.where("n = 2").select("a", "b"))
+        more = shared.where("n > 2").select("pair", "n")
+        if is_small(more, BROADCAST_ROWS):
+            more = F.broadcast(more)
+        members.append(tables.table(_pair_rows(classes, part).join(more, "pair").select("pair", "n", *_SET, "at")))
+    return reduce(DataFrame.unionByName, twos), reduce(DataFrame.unionByName, members)
+
+
+def _hub_candidates(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): b may match a, an early class of a word pair that more than HEAVY classes have."""
+    heavy = members.where(F.col("n") > HEAVY)
     # Aggregates of plain numbers, which need no sort.
-    hubs = members.groupBy("word").agg(*[F.min_by(c, "doc_id").alias(f"{c}_a") for c in _SET])
-    members = members.select("word", *[F.col(c).alias(f"{c}_b") for c in _SET])
-    found = members.join(hubs, "word")
-    found = found.where((F.col("cls_a") != F.col("cls_b")) & _could_match(False))
+    hubs = heavy.groupBy("pair").agg(*[F.min_by(c, "at").alias(f"{c}_a") for c in _SET])
+    found = _side(heavy, "b").join(hubs, "pair").where(_could_match())
     found = found.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
-    return _in_order(found, classes).select("a", "b")
+    return _in_order(found, classes)
 
 
 def _in_order(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of which a is the earlier, with the sizes of both."""
+    """The pairs (a, b) of which a is the earlier."""
     for side in "ab":
-        of = classes.select(
-            F.col("cls").alias(side), F.col("first").alias(f"first_{side}"), F.col("size").alias(f"size_{side}")
-        )
+        of = classes.select(F.col("cls").alias(side), F.col("first").alias(f"first_{side}"))
         pairs = pairs.join(of, side)
-    return pairs.where(F.col("first_a") < F.col("first_b")).drop("first_a", "first_b")
+    return pairs.where(F.col("first_a") < F.col("first_b")).select("a", "b")
 
 
-def _prefix_words(classes: DataFrame, side: str) -> DataFrame:
-    """A row per class and prefix word."""
-    rows = classes.select(*_SET, F.posexplode("prefix").alias("at", "word"))
-    return rows.select("word", *[F.col(c).alias(f"{c}_{side}") for c in (*_SET, "at")])
+def _open(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and parity bits leave open."""
+    for side in "ab":
+        of = classes.select(F.col("cls").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in _SET])
+        pairs = pairs.join(of, side)
+    return pairs.where(_could_match()).select("a", "b")
 
 
-def _shared_words(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b, shared) of pairs that may match: how many prefix words they were joined by."""
-    both = left.join(right, "word").where((F.col("cls_a") != F.col("cls_b")) & _could_match(True))
-    return both.groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(F.count("*").alias("shared"))
+def _side(members: DataFrame, side: str) -> DataFrame:
+    return members.select("pair", *[F.col(c).alias(f"{c}_{side}") for c in _SET])
 
 
-def _prefix_candidates(counted: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b): b may match the earlier class a, by all the prefix words they share."""
-    pairs = counted.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    pairs = _in_order(pairs, classes).where(F.col("shared") >= _least_shared())
-    return pairs.select("a", "b")
+def _candidates(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b), a < b: classes of both sides that share a word pair and may match, each two once."""
+    both = left.join(right, "pair").where(_could_match())
+    return both.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, tables: Tables) -> DataFrame:
-    """(cls) that match an earlier class in one of the pairs (a, b).
+    """(cls) that match an earlier class in one of the pairs (a, b), whichever of them is earlier.
 
-    The sets come from the texts of the first lines; texts without such lines are not split.
+    The sets come from the texts of the first lines; texts without such lines are not split, and
+    not shuffled either where the places of the lines can be broadcast.
     """
     needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     places = needed.join(classes.select("cls", "first.*"), "cls")
     places = places.select(F.struct("doc_id", "tie").alias("key"), "cls", "no")
-    places = places.groupBy("key").agg(F.collect_list(F.struct("cls", "no")).alias("wanted"))
-    # The join takes the texts as the aggregate has dealt them out.
+    places = tables.table(places.groupBy("key").agg(F.collect_list(F.struct("cls", "no")).alias("wanted")))
+    if is_small(places, BROADCAST_ROWS):
+        places = F.broadcast(places)
     texts = docs.select(F.struct("doc_id", F.xxhash64("text").alias("tie")).alias("key"), "text")
-    texts = texts.groupBy("key").agg(F.first("text").alias("text"))
-    found = texts.join(places, "key").select(F.split("text", "\n").alias("lines"), "wanted")
+    found = texts.join(places, "key").select("key", F.split("text", "\n").alias("lines"), "wanted")
     found = found.select(
+        "key",
         F.explode(
-            F.transform("wanted", lambda w: F.struct(w["cls"].alias("cls"), F.get("lines", w["no"]).alias("line")))
-        ).alias("of")
+            F.transform(
+                "wanted",
+                lambda w: F.struct(w["cls"].alias("cls"), w["no"].alias("no"), F.get("lines", w["no"]).alias("line")),
+            )
+        ).alias("of"),
     )
-    sets = tables.table(found.select("of.cls", word_hashes(F.col("of.line")).alias("words")))
-    both = pairs.join(sets.toDF("a", "words_a"), "a").join(sets.toDF("b", "words_b"), "b")
+    first = F.struct("key.doc_id", "key.tie", "of.no").alias("first")
+    sets = found.select("of.cls", first, word_hashes(F.col("of.line")).alias("words"))
+    # Rows that are equal give their lines once each.
+    sets = sets.groupBy("cls").agg(F.first("first").alias("first"), F.first("words").alias("words"))
+    sets = tables.table(sets)
+    both = pairs.join(sets.toDF("a", "first_a", "words_a"), "a").join(sets.toDF("b", "first_b", "words_b"), "b")
     shared = F.size(F.array_intersect("words_a", "words_b"))
     total = F.size("words_a") + F.size("words_b")
     match = let(shared, lambda k: k * 100 >= (total - k) * PERCENT)
-    return both.where(match).select(F.col("b").alias("cls")).distinct()
+    later = F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a"))
+    return both.where(match).select(later.alias("cls")).distinct()
 
 
 def repeated_classes(classes: DataFrame, docs: DataFrame, tables: Tables) -> DataFrame:
     """(cls) of the classes that match an earlier one; see above for the steps."""
-    parts = [F.pmod("word", F.lit(ROUNDS)) == number for number in range(ROUNDS)]
-    by_hub = [tables.table(_hub_candidates(classes, part, tables)) for part in parts]
-    by_hub = reduce(DataFrame.unionByName, by_hub)
+    twos, members = shared_pairs(classes, tables)
+    by_hub = tables.table(_hub_candidates(members, classes))
     settled = by_hub.select(F.col("b").alias("cls")).distinct()
-    open_classes = classes.join(settled, "cls", "left_anti")
-    counted = []
-    for part in parts:
-        left, right = _prefix_words(open_classes, "b").where(part), _prefix_words(classes, "a").where(part)
-        counted.append(tables.table(_shared_words(left, right)))
-    # Of two open classes both orders were joined; the later one may be settled as well.
-    pairs = tables.table(_prefix_candidates(reduce(DataFrame.unionByName, counted), classes)).unionByName(by_hub)
+    everyone = _side(members, "a")
+    open_ones = _side(members.join(settled, "cls", "left_anti"), "b")
+    ordered = by_hub.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = _open(twos.distinct(), classes).unionByName(_candidates(open_ones, everyone)).unionByName(ordered)
+    pairs = tables.table(found.distinct())
     repeated = tables.table(_verified(pairs, classes, docs, tables))
 
     # A refuted hub may have kept a class from being held against all others.
-    refuted = tables.table(settled.join(repeated, "cls", "left_anti").join(classes, "cls"))
-    words = _prefix_words(refuted, "b")
-    if is_small(words):
-        if refuted.isEmpty():
-            return repeated
-        words = F.broadcast(words)
-    counted = _shared_words(words, _prefix_words(classes, "a"))
-    again = tables.table(_prefix_candidates(counted, classes).join(pairs, ["a", "b"], "left_anti"))
+    refuted = tables.table(settled.join(repeated, "cls", "left_anti"))
+    if refuted.isEmpty():
+        return repeated
+    again = _candidates(_side(members.join(refuted, "cls"), "b"), everyone)
+    again = tables.table(again.join(pairs, ["a", "b"], "left_anti"))
     return repeated.unionByName(_verified(again, classes, docs, tables))
 
 
@@ -295,8 +303,10 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text").where(F.col("text").isNotNull())
     with Tables(docs.sparkSession, "lines") as tables:
-        lines = tables.table(line_sets(docs, rarity_levels(docs))).where("size > 0")
-        classes = tables.table(line_classes(lines))
+        with Tables(docs.sparkSession, "line-sets") as wide:
+            sets = wide.table(line_sets(docs, rarity_levels(docs))).where("size > 0")
+            classes = tables.table(line_classes(sets))
+            lines = tables.table(sets.select("doc_id", "tie", "no", "cls"))
         repeated = tables.table(repeated_classes(classes, docs, tables))
         # All lines of a repeated class go, and all but the first of any other.
         whole = repeated.withColumn("whole", F.lit(True))

@@ -142,3 +142,48 @@ def test_spaces_of_every_kind_part_words(spark):
     frame = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
     found = line_dedup.deduplicated(frame).first()
     assert (found["n_token_lines"], found["n_removed"], found["text"]) == (4, 3, "a b  c\n\t \r")
+
+
+def test_matching_sets_share_one_of_their_first_pairs(spark):
+    """Sets of every size and all ways to match; the sizes at which a pair is lost most included."""
+    import random
+
+    sizes = spark.range(200).select(line_dedup.n_pairs(F.col("id")).alias("n")).collect()
+    first = [row["n"] for row in sizes]
+    draw = random.Random(5)
+
+    def pairs(words):
+        words = sorted(words)
+        return set(list(zip(words, words[1:]))[: first[len(words)]])
+
+    seen = 0
+    for size in range(1, 120):
+        for lost in range(size // 5 + 1):
+            for more in range(size // 4 + 1):
+                if 5 * (size - lost) < 4 * (size + more):
+                    continue
+                for _ in range(3):
+                    a = set(draw.sample(range(1000), size))
+                    # Words lost and put in among the first of the set part the most pairs.
+                    early = sorted(a)[: 3 * lost + 1]
+                    b = a - set(draw.sample(early if len(early) >= lost else sorted(a), lost))
+                    b |= set(draw.sample(sorted(set(range(-500, 1000)) - a), more))
+                    seen += a != b
+                    assert a == b or pairs(a) & pairs(b)
+    assert seen > 1000
+
+
+def test_a_frequent_rare_word_brings_no_candidates(spark):
+    """One word that all lines have, and that leads in all, pairs none of them."""
+    from pagemart.llm.common import Tables
+
+    rows = [(i, "shared " + " ".join(f"l{i}w{j}" for j in range(20))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    levels = [1] * line_dedup.COUNTERS
+    shared = spark.sql("SELECT xxhash64('shared') AS h").first()["h"]
+    levels[shared & (line_dedup.COUNTERS - 1)] = 0
+    with Tables(spark, "test") as tables:
+        classes = tables.table(line_dedup.line_classes(line_dedup.line_sets(docs, levels)))
+        twos, members = line_dedup.shared_pairs(classes, tables)
+        assert classes.count() == 200
+        assert (twos.count(), members.count()) == (0, 0)
