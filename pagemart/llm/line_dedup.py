@@ -107,8 +107,9 @@ def n_pairs(size: Column) -> Column:
     """How many of its first pairs a set of so many words is found by; 0 if only equal sets match it.
 
     For PERCENT = 80. Let a matching set lack k of the words, at most size / 5, and have m further
-    ones. The union is at most 5/4 of what is shared, so m <= (size - 5 * k) / 4. Pairs lost are 2 * k + m at
-    most, and that grows with k. The first pair left is the first one left in the other set too.
+    ones. The union is at most 5/4 of what is shared, so m <= (size - 5 * k) / 4. Pairs lost are
+    2 * k + m at most, and that grows with k. The first pair left is the first one left in the
+    other set too.
     """
     lost = F.floor((size + 3 * F.floor(size / 5)) / 4).cast("int")
     return F.when(size < 4, 0).otherwise(lost + 1)
