@@ -33,15 +33,21 @@ from pagemart.llm.common import documents
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
-#: Words a worker remembers; beyond that it starts anew.
-REMEMBERED = 700_000
+#: Words a worker remembers, about 180 bytes each; beyond that it keeps those used again.
+REMEMBERED = 250_000
 #: Texts are answered in slices of about so many characters.
-SLICE_CHARS = 1 << 21
+SLICE_CHARS = 1 << 19
 #: A byte piece scores so much less than the rarest piece.
 BYTE_PENALTY = 10.0
 #: Scores are added up as whole numbers of this unit, so that equal ways are exactly equal.
 UNIT = 1e-6
 
+#: Stands for the cost of a second-best way where there is none.
+NO_WAY = (1 << 63) - 1
+
+#: What follows where the tree ends.
+NO_NODE = (None, -1, {})
+
 #: Fixed values of the piece format.
 SPACE = "▁"
 WHITE = "".join(filter(str.isspace, map(chr, range(0x3001))))
@@ -71,15 +77,64 @@ def read_vocabulary(path: str) -> tuple[list[tuple[int, str, float]], list[int]]
 
 
 class Words(dict):
-    """Words and their segmentation; an unknown one is segmented when it is asked for."""
+    """Words by number; an unknown one is segmented when it is asked for.
+
+    The segmentations are in plain arrays, by number: objects of their own would take more
+    memory than the words. Most words come once, so those that came again are worth keeping.
+    """
 
     def __init__(self, codec: Codec):
         super().__init__()
         self.codec = codec
-
-    def __missing__(self, unit: str) -> tuple[bytes, int, float]:
-        found = self[unit] = self.codec.word(unit)
-        return found
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        #: Of word i: ids[ends[i]:ends[i + 1]], the score, and what the second-best way costs.
+        self.ids, self.ends = array("i"), array("q", [0])
+        self.scores, self.gaps = array("q"), array("q")
+        #: Whether the word was asked for again.
+        self.again = bytearray()
+
+    def forget(self) -> None:
+        """Only words that were asked for again since the last time stay, half of REMEMBERED at most."""
+        names = list(self)
+        kept = np.flatnonzero(np.frombuffer(self.again, np.uint8))[:REMEMBERED // 2]
+        ends = np.frombuffer(self.ends, np.int64)
+        sizes = ends[kept + 1] - ends[kept]
+        ids = gathered(np.frombuffer(self.ids, np.int32), ends[kept], sizes)
+        scores, gaps = (np.frombuffer(v, np.int64)[kept] for v in (self.scores, self.gaps))
+        self.clear()
+        self.update((names[i], number) for number, i in enumerate(kept.tolist()))
+        self.ids.frombytes(ids.tobytes())
+        self.ends.frombytes(np.cumsum(sizes, dtype=np.int64).tobytes())
+        self.scores.frombytes(scores.tobytes())
+        self.gaps.frombytes(gaps.tobytes())
+        self.again = bytearray(len(kept))
+
+    def __missing__(self, unit: str) -> int:
+        ids, score, gap = self.codec.word(unit)
+        self.ids.frombytes(ids)
+        self.ends.append(len(self.ids))
+        self.scores.append(score)
+        self.gaps.append(gap)
+        self.again.append(0)
+        number = self[unit] = len(self)
+        return number
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """values[starts[i] : starts[i] + sizes[i]] of every i, one after the other."""
+    after = np.cumsum(sizes)
+    return values[np.repeat(starts - after + sizes, sizes) + np.arange(after[-1] if len(after) else 0)]
+
+
+def smallest(values: np.ndarray, count: int) -> list[int]:
+    """The places of the `count` smallest values, the first of equal ones first."""
+    places = np.arange(len(values))
+    if 0 < count < len(values):
+        places = np.flatnonzero(values <= np.partition(values, count - 1)[count - 1])
+    return places[np.argsort(values[places], kind="stable")][:count].tolist()
 
 
 class Codec:
@@ -97,12 +152,15 @@ class Codec:
             node: list = [None, 0, self.root]
             for c in piece:
                 node = node[2].setdefault(c, [None, 0, {}])
-            node[:2] = [score, self.ids[piece]]
-        self.bytes = [b""] * (max([*byte_ids, *self.ids.values()]) + 1)
+            node[:2] = [float(score), self.ids[piece]]
+        raw = [b""] * (max([*byte_ids, *self.ids.values()]) + 1)
         for piece, i in self.ids.items():
-            self.bytes[i] = piece.replace(SPACE, " ").encode()
+            raw[i] = piece.replace(SPACE, " ").encode()
         for b, i in enumerate(byte_ids):
-            self.bytes[i] = bytes([b])
+            raw[i] = bytes([b])
+        # The bytes of all pieces in one array, and how many each has.
+        self.bytes, self.sizes = np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw])
+        self.starts = np.cumsum(self.sizes) - self.sizes
         # White space that no longer piece holds stands alone, like a literal mark.
         joined = set("".join(p for p in self.ids if len(p) > 1))
         alone = re.escape("".join(c for c in WHITE if c not in joined and c != " ") + SPACE)
@@ -115,25 +173,36 @@ class Codec:
 
     def forward(self, unit: str) -> tuple[list, list, list[int], list[int]]:
         """Best and second-best score up to each place, where the best path comes from, and
-        the id of its last piece (-1 for bytes)."""
-        n, root = len(unit), self.root
-        chars = unit.replace(" ", SPACE)
-        best, second = [0] + [-math.inf] * n, [-math.inf] * (n + 1)
+        the id of its last piece (-1 for bytes).
+
+        Scores are whole numbers as floats, exact up to 2^53, which are quickly compared.
+        """
+        n, none = len(unit), -math.inf
+        best, second = [0.0] + [none] * n, [none] * (n + 1)
         back, last = [0] * (n + 1), [-1] * (n + 1)
         if unit == SPACE:
             # A literal mark must not become a space: its bytes only.
-            return [0, 3 * self.byte_score], second, back, last
-        for i in range(n):
-            here, behind = best[i], second[i]
-            following, j, single = root, i, False
-            for c in chars[i : i + self.longest]:
-                node = following.get(c)
-                if node is None:
+            return [0.0, 3.0 * self.byte_score], second, back, last
+        chars = unit.replace(" ", SPACE)
+        first, longest = self.root.get, self.longest
+        for i, c in enumerate(chars):
+            here, behind, j = best[i], second[i], i + 1
+            score, piece, following = first(c, NO_NODE)
+            if score is None:
+                score, piece = float(self.byte_score * len(unit[i].encode())), -1
+            found = here + score
+            if found > best[j]:
+                other = behind + score
+                second[j] = best[j] if best[j] > other else other
+                best[j], back[j], last[j] = found, i, piece
+            elif found > second[j]:
+                second[j] = found
+            for c in chars[j : i + longest]:
+                if c not in following:
                     break
-                score, piece, following = node
+                score, piece, following = following[c]
                 j += 1
                 if score is not None:
-                    single = single or j == i + 1
                     found = here + score
                     if found > best[j]:
                         other = behind + score
@@ -141,18 +210,9 @@ class Codec:
                         best[j], back[j], last[j] = found, i, piece
                     elif found > second[j]:
                         second[j] = found
-            if not single:
-                score = self.byte_score * len(unit[i].encode())
-                found, j = here + score, i + 1
-                if found > best[j]:
-                    other = behind + score
-                    second[j] = best[j] if best[j] > other else other
-                    best[j], back[j], last[j] = found, i, -1
-                elif found > second[j]:
-                    second[j] = found
         return best, second, back, last
 
-    def word(self, unit: str) -> tuple[bytes, int, float]:
+    def word(self, unit: str) -> tuple[bytes, int, int]:
         """The best ids (as 32-bit numbers), their score, and what the second-best way costs."""
         best, second, back, last = self.forward(unit)
         end, ids = len(unit), []
@@ -164,7 +224,8 @@ class Codec:
                 ids += [self.byte_ids[b] for b in reversed(unit[start:end].encode())]
             end = start
         ids.reverse()
-        return array("i", ids).tobytes(), best[-1], best[-1] - second[-1]
+        gap = best[-1] - second[-1]
+        return array("i", ids).tobytes(), int(best[-1]), NO_WAY if gap == math.inf else int(gap)
 
     def _edges(self, unit: str) -> Iterator[tuple[int, int, int]]:
         """(start, end, score) of the whole lattice of a unit, by start."""
@@ -217,18 +278,24 @@ class Codec:
 
     def encode(self, text: str, count: int) -> list[tuple[float, bytes]]:
         """The `count` best ways of a text, as (score, ids); a leading space is added."""
-        units = self.units.findall(f" {text}")
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        records = list(map(self.words.__getitem__, units))
-        parts = [r[0] for r in records]
-        score = sum([r[1] for r in records])
+        units, words = self.units.findall(f" {text}"), self.words
+        if len(words) > REMEMBERED:
+            words.forget()
+        known = len(words)
+        numbers = np.fromiter(map(words.__getitem__, units), np.int64, len(units))
+        np.frombuffer(words.again, np.uint8)[numbers[numbers < known]] = 1
+        # An array cannot grow while a view of it is held.
+        ends = np.frombuffer(words.ends, np.int64)
+        starts, sizes = ends[numbers], ends[numbers + 1] - ends[numbers]
+        best = gathered(np.frombuffer(words.ids, np.int32), starts, sizes).tobytes()
+        score = int(np.frombuffer(words.scores, np.int64)[numbers].sum())
+        gaps = np.frombuffer(words.gaps, np.int64)[numbers]
+        del ends
         # A way that differs in any other word costs at least as much as `count` others.
-        gaps = [r[2] for r in records]
-        places = heapq.nsmallest(count - 1, range(len(gaps)), key=gaps.__getitem__) if count > 1 else []
+        places = smallest(gaps, count - 1)
         ways: list[tuple[int, tuple]] = [(0, ())]
         for place in places:
-            if gaps[place] == math.inf:
+            if gaps[place] == NO_WAY:
                 continue
             unit = units[place]
             if len(self.ways) > REMEMBERED // 20:
@@ -242,19 +309,20 @@ class Codec:
                 for rank, (more, ids) in enumerate(options)
             ]
             ways = sorted(ways, key=lambda w: w[0])[:count]
+        after = 4 * np.cumsum(sizes)
         found = []
         for cost, changes in ways:
-            own = parts
-            if changes:
-                own = parts.copy()
-                for place, ids in changes:
-                    own[place] = ids
-            found.append(((score - cost) * UNIT, b"".join(own)))
+            parts, at = [], 0
+            for place, ids in sorted(changes):
+                parts += [best[at : after[place] - 4 * sizes[place]], ids]
+                at = after[place]
+            found.append(((score - cost) * UNIT, b"".join([*parts, best[at:]])))
         return found
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of ids; the added leading space goes."""
-        return b"".join(map(self.bytes.__getitem__, ids)).decode(errors="replace")[1:]
+        ids = np.asarray(ids, np.int64)
+        return gathered(self.bytes, self.starts[ids], self.sizes[ids]).tobytes().decode(errors="replace")[1:]
 
 
 def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -298,15 +366,16 @@ def encode(docs: DataFrame, path: str = VOCABULARY, n_best: int = N_BEST) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        # Many small records that stay: the search for cycles would go over them again and again.
-        gc.set_threshold(200_000)
+        # A worker may have served another operator; what that left is given back first.
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         for batch in batches:
             for start, end in ranges(pc.utf8_length(batch["text"]).to_pylist()):
                 # Only the texts of a slice are Python objects at a time.
                 texts = batch["text"].slice(start, end - start).to_pylist()
                 found = [None if t is None else own.encode(t, n_best) for t in texts]
                 trips = [
-                    None if ways is None else own.decode(np.frombuffer(ways[0][1], np.int32).tolist()) == text
+                    None if ways is None else own.decode(np.frombuffer(ways[0][1], np.int32)) == text
                     for text, ways in zip(texts, found, strict=True)
                 ]
                 flat = [way for ways in found for way in ways or ()]

@@ -104,3 +104,52 @@ def test_encode_and_decode(documents, clashing, awkward, no_documents):
 def test_slices_yield_all_rows(documents, monkeypatch):
     monkeypatch.setattr(pieces, "SLICE_CHARS", 10)
     assert [i for a, b in pieces.slices(["abc"] * 9 + [None]) for i in range(a, b)] == list(range(10))
+
+
+def test_words_are_remembered_in_little_memory(codec):
+    """The record of a word takes less than the word; as objects it took over 150 bytes."""
+    import tracemalloc
+
+    own = pieces.Codec(codec.pieces, codec.byte_ids)
+    units = [f" w{i * 7919 % 99991}" for i in range(20000)]
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        for unit in units:
+            own.words[unit]
+        taken = tracemalloc.get_traced_memory()[0] - before
+    finally:
+        tracemalloc.stop()
+    # Number, entry and record; the words themselves are held by the test.
+    assert taken / len(units) < 150
+
+
+def test_words_that_came_again_stay(codec, monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED", 40)
+    own, fresh = (pieces.Codec(codec.pieces, codec.byte_ids) for _ in range(2))
+    asked = []
+    word = own.word
+    monkeypatch.setattr(own, "word", lambda unit: asked.append(unit) or word(unit))
+    for i in range(200):
+        text = f"often Größe 日本 word{i}"
+        found = own.encode(text, 4)
+        monkeypatch.setattr(pieces, "REMEMBERED", 10**6)
+        assert found == fresh.encode(text, 4)
+        monkeypatch.setattr(pieces, "REMEMBERED", 40)
+        assert len(own.words) <= 44
+    assert asked.count(" often") == asked.count(" Größe") == 1
+
+
+def test_smallest_and_gathered():
+    import heapq
+    import random
+
+    draw = random.Random(5)
+    for _ in range(300):
+        values = [draw.choice([1, 2, 3, pieces.NO_WAY]) for _ in range(draw.randint(0, 9))]
+        count = draw.randint(0, 6)
+        want = heapq.nsmallest(count, range(len(values)), key=values.__getitem__)
+        assert pieces.smallest(np.array(values, np.int64), count) == want
+    parts = pieces.gathered(np.arange(9), np.array([4, 0, 7]), np.array([2, 0, 2]))
+    assert parts.tolist() == [4, 5, 7, 8]
+    assert pieces.gathered(np.arange(9), np.array([], int), np.array([], int)).tolist() == []
