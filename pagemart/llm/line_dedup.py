@@ -9,7 +9,8 @@ that follow each other in the order, one word put in parts one. So two matching
 pair among the first few pairs of each (see `n_pairs`). Pairs of rare words are far more telling
 than words: their groups hardly grow with the corpus. The sizes of the sets (length filter) and
 64 parity bits, whose Hamming distance is at most the number of words in which two sets differ,
-rule out most of what is left; what remains is verified on whole sets. Equal sets are one class
+rule out most of what is left, and the prefixes of two sets (see `prefixes_agree`) nearly all of
+the rest; what remains is verified on whole sets. Equal sets are one class
 from the start, so copies, however many, are never paired.
 
 Pairs are counted in ROUNDS parts, and only those of two classes or more go on. Where there are
@@ -174,13 +175,15 @@ def _pair_rows(classes: DataFrame, part: int) -> DataFrame:
 
     `pair` is both words as one number, `at` the document of the class's first line.
     """
-    others = F.size("prefix") - 1
-    neighbours = F.arrays_zip(F.slice("prefix", 1, others).alias("one"), F.slice("prefix", 2, others).alias("next"))
     at = F.coalesce(F.col("first.doc_id").cast("long"), F.lit(-(1 << 63))).alias("at")
-    rows = classes.where(n_pairs(F.col("size")) > 0).select(*_SET, at, F.inline(neighbours).alias("one", "next"))
+    rows = classes.where(n_pairs(F.col("size")) > 0)
+    rows = rows.select(*_SET, at, "prefix", F.posexplode("prefix").alias("i", "one"))
+    # Other parts go before their second word is looked up.
+    rows = rows.where((F.pmod("one", F.lit(ROUNDS)) == part) & (F.col("i") < F.size("prefix") - 1))
     upper = F.call_function("shiftleft", F.col("one").cast("long"), F.lit(32))
-    pair = upper.bitwiseOR(F.col("next").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-    return rows.where(F.pmod("next", F.lit(ROUNDS)) == part).select(pair.alias("pair"), *_SET, "at")
+    following = F.get("prefix", F.col("i") + 1).cast("long")
+    pair = upper.bitwiseOR(following.bitwiseAND(F.lit(0xFFFFFFFF)))
+    return rows.select(pair.alias("pair"), *_SET, "at")
 
 
 def shared_pairs(classes: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
@@ -202,21 +205,22 @@ def shared_pairs(classes: DataFrame, tables: Tables) -> tuple[DataFrame, DataFra
     return reduce(DataFrame.unionByName, twos), reduce(DataFrame.unionByName, members)
 
 
-def _hub_candidates(members: DataFrame, classes: DataFrame) -> DataFrame:
+def _hub_candidates(members: DataFrame, classes: DataFrame, tables: Tables) -> DataFrame:
     """(a, b): b may match a, an early class of a word pair that more than HEAVY classes have."""
     heavy = members.where(F.col("n") > HEAVY)
     # Aggregates of plain numbers, which need no sort.
     hubs = heavy.groupBy("pair").agg(*[F.min_by(c, "at").alias(f"{c}_a") for c in _SET])
     found = _side(heavy, "b").join(hubs, "pair").where(_could_match())
-    found = found.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
+    found = tables.table(found.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct())
     return _in_order(found, classes)
 
 
 def _in_order(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of which a is the earlier."""
+    """The pairs (a, b) of which a is the earlier; `pairs` is a table."""
+    small = is_small(pairs, BROADCAST_ROWS)
     for side in "ab":
         of = classes.select(F.col("cls").alias(side), F.col("first").alias(f"first_{side}"))
-        pairs = pairs.join(of, side)
+        pairs = (F.broadcast(pairs) if small else pairs).join(of, side)
     return pairs.where(F.col("first_a") < F.col("first_b")).select("a", "b")
 
 
@@ -238,14 +242,43 @@ def _candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
 
 
+def prefixes_agree() -> Column:
+    """Whether the prefixes of a pair (a, b) leave it open.
+
+    Of two prefixes let the one of a end no later in the order of words. Its words that b has are
+    then in the prefix of b; those that b lacks are size_a less the shared words at most. Equal
+    short numbers count once on both sides (`own`), so they rule out no match.
+    """
+
+    def least(side: str) -> Column:
+        return F.col(f"own_{side}") - (F.col(f"size_{side}") - _needed())
+
+    shared = F.size(F.array_intersect("prefix_a", "prefix_b"))
+    return shared >= F.least(least("a"), least("b"))
+
+
+def _classes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+
+
+def _agreeing(pairs: DataFrame, classes: DataFrame, tables: Tables) -> DataFrame:
+    """The pairs (a, b) that the prefixes leave open; a prefix is a fraction of a set."""
+    own = F.size(F.array_distinct("prefix")).alias("own")
+    of = tables.table(_classes_of(pairs).join(classes.select("cls", "size", own, "prefix"), "cls"))
+    for side in "ab":
+        pairs = pairs.join(of.toDF(side, *[f"{c}_{side}" for c in ("size", "own", "prefix")]), side)
+    return tables.table(pairs.where(prefixes_agree()).select("a", "b"))
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, tables: Tables) -> DataFrame:
     """(cls) that match an earlier class in one of the pairs (a, b), whichever of them is earlier.
 
-    The sets come from the texts of the first lines; texts without such lines are not split, and
-    not shuffled either where the places of the lines can be broadcast.
+    Pairs whose prefixes differ too much go first, before any set is made. The sets come from the
+    texts of the first lines; texts without such lines are not split, and not shuffled either
+    where the places of the lines can be broadcast.
     """
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    places = needed.join(classes.select("cls", "first.*"), "cls")
+    pairs = _agreeing(pairs, classes, tables)
+    places = _classes_of(pairs).join(classes.select("cls", "first.*"), "cls")
     places = places.select(F.struct("doc_id", "tie").alias("key"), "cls", "no")
     places = tables.table(places.groupBy("key").agg(F.collect_list(F.struct("cls", "no")).alias("wanted")))
     if is_small(places, BROADCAST_ROWS):
@@ -277,10 +310,11 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, tables: Tab
 def repeated_classes(classes: DataFrame, docs: DataFrame, tables: Tables) -> DataFrame:
     """(cls) of the classes that match an earlier one; see above for the steps."""
     twos, members = shared_pairs(classes, tables)
-    by_hub = tables.table(_hub_candidates(members, classes))
-    settled = by_hub.select(F.col("b").alias("cls")).distinct()
+    by_hub = tables.table(_hub_candidates(members, classes, tables))
+    settled = tables.table(by_hub.select(F.col("b").alias("cls")).distinct())
     everyone = _side(members, "a")
-    open_ones = _side(members.join(settled, "cls", "left_anti"), "b")
+    few = is_small(settled, BROADCAST_ROWS)
+    open_ones = _side(members.join(F.broadcast(settled) if few else settled, "cls", "left_anti"), "b")
     ordered = by_hub.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     found = _open(twos.distinct(), classes).unionByName(_candidates(open_ones, everyone)).unionByName(ordered)
     pairs = tables.table(found.distinct())
@@ -290,7 +324,11 @@ def repeated_classes(classes: DataFrame, docs: DataFrame, tables: Tables) -> Dat
     refuted = tables.table(settled.join(repeated, "cls", "left_anti"))
     if refuted.isEmpty():
         return repeated
-    again = _candidates(_side(members.join(refuted, "cls"), "b"), everyone)
+    again = tables.table(members.join(F.broadcast(refuted) if few else refuted, "cls"))
+    # Only pairs that these classes have are worth a shuffle of the others.
+    asked = tables.table(again.select("pair").distinct())
+    others = everyone.join(F.broadcast(asked) if is_small(asked, BROADCAST_ROWS) else asked, "pair", "left_semi")
+    again = _candidates(_side(again, "b"), others)
     again = tables.table(again.join(pairs, ["a", "b"], "left_anti"))
     return repeated.unionByName(_verified(again, classes, docs, tables))
 

@@ -187,3 +187,47 @@ def test_a_frequent_rare_word_brings_no_candidates(spark):
         twos, members = line_dedup.shared_pairs(classes, tables)
         assert classes.count() == 200
         assert (twos.count(), members.count()) == (0, 0)
+
+
+def test_prefixes_part_what_parity_bits_leave_open(spark):
+    """Long sets that share their first words only never have their sets made; matches do."""
+    from pagemart.llm.common import Tables
+
+    lines = ["first second " + " ".join(f"l{i}w{j}" for j in range(300)) for i in range(12)]
+    lines += [lines[0].replace(f"l0w{k} ", f"e{k} ") for k in (0, 150, 298)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    levels = [1] * line_dedup.COUNTERS
+    for h in spark.sql("SELECT xxhash64('first') AS a, xxhash64('second') AS b").first():
+        levels[h & (line_dedup.COUNTERS - 1)] = 0
+    with Tables(spark, "test") as tables:
+        classes = tables.table(line_dedup.line_classes(line_dedup.line_sets(docs, levels)))
+        places = classes.select("cls", F.col("first.doc_id").alias("doc"))
+        a, b = places.toDF("a", "doc_a"), places.toDF("b", "doc_b")
+        every = tables.table(a.join(b, F.col("doc_a") < F.col("doc_b")).select("a", "b"))
+        left_open = line_dedup._open(every, classes)
+        kept = line_dedup._agreeing(left_open, classes, tables).join(a, "a").join(b, "b")
+        assert left_open.count() > 30
+        found = {(row["doc_a"], row["doc_b"]) for row in kept.collect()}
+    assert found == {(x, y) for x in (0, 12, 13, 14) for y in (0, 12, 13, 14) if x < y}
+
+
+def test_prefixes_of_matching_sets_agree(spark):
+    """Random matching sets of many sizes, few short numbers for many words included."""
+    import random
+
+    draw = random.Random(11)
+    sizes = [row["n"] for row in spark.range(200).select(line_dedup.n_pairs(F.col("id")).alias("n")).collect()]
+    rows = []
+    while len(rows) < 1500:
+        a = set(draw.sample(range(1000), draw.randint(4, 90)))
+        b = a - set(draw.sample(sorted(a), draw.randint(0, len(a) // 5)))
+        # New words early in the order leave the prefixes the least room.
+        b |= set(draw.sample(range(-300, draw.choice((0, 1000))), draw.randint(0, len(a) // 4)))
+        if a == b or 100 * len(a & b) < 80 * len(a | b):
+            continue
+        numbers = draw.choice((7, 50, 1 << 30))
+        prefixes = [[w % numbers for w in sorted(x)[: sizes[len(x)] + 1]] for x in (a, b)]
+        rows.append((len(a), len(b), *(len(set(p)) for p in prefixes), *prefixes))
+    names = "size_a int, size_b int, own_a int, own_b int, prefix_a array<int>, prefix_b array<int>"
+    frame = spark.createDataFrame(rows, names)
+    assert frame.where(line_dedup.prefixes_agree()).count() == 1500
