@@ -370,6 +370,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         F.xxhash64("text").alias("_tie"),
     )
     found = repeated_lines(docs)
+    # Measured, as an estimate from files would have whole texts shuffled at far smaller sizes.
+    if is_small(found, BROADCAST_ROWS):
+        found = F.broadcast(found)
     same = rows["_id"].eqNullSafe(found["doc_id"]) & (rows["_tie"] == found["tie"])
     both = rows.join(found, same, "left")
     lines = F.split("row.text", "\n")

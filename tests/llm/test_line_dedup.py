@@ -231,3 +231,14 @@ def test_prefixes_of_matching_sets_agree(spark):
     names = "size_a int, size_b int, own_a int, own_b int, prefix_a array<int>, prefix_b array<int>"
     frame = spark.createDataFrame(rows, names)
     assert frame.where(line_dedup.prefixes_agree()).count() == 1500
+
+
+def test_texts_are_not_shuffled_for_few_lines_to_go(spark, documents):
+    """The size of the files that hold the lines to go decides nothing."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = line_dedup.deduplicated(documents)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
